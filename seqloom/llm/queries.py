@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from . import quality_rules, sharding, token_counts
+from . import exact_dedup, html_text, minhash, packing, quality_rules, sharding, token_counts
 
 QUERIES = {
+    "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_packing": packing.op2_packing,
+    "op3_minhash": minhash.op3_minhash,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op6_sharding": sharding.op6_sharding,
     "op8_token_counts": token_counts.op8_token_counts,
+    "op10_html_text": html_text.op10_html_text,
 }
 
 SQL = {
+    "op1_exact_dedup": exact_dedup.SQL,
     "op4_quality_rules": quality_rules.SQL,
 }
