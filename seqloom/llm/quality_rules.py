@@ -48,7 +48,7 @@ RULES = (
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` plus n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words, n_stop_words."""
+    """``docs`` plus n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words, n_stop_words, n_distinct_words."""
     names = [F.col(c) for c in docs.columns]
     value = text_or_empty(text)
     has_word = f"[^{SPACE_CLASS[1:]}"
@@ -72,6 +72,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_lines",
         "n_repeat_words",
         F.size(F.filter("_words", lambda w: w.isin(*dict.fromkeys(STOP_WORDS)))).cast("long").alias("n_stop_words"),
+        F.size(F.array_distinct("_words")).cast("long").alias("n_distinct_words"),
     )
 
 

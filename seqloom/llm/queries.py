@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, minhash, packing, quality_rules, sharding, token_counts
+from . import exact_dedup, html_text, minhash, mixing, packing, quality_classifier, quality_rules, sharding, token_counts, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_packing": packing.op2_packing,
     "op3_minhash": minhash.op3_minhash,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_sharding": sharding.op6_sharding,
+    "op7_quality_classifier": quality_classifier.op7_quality_classifier,
     "op8_token_counts": token_counts.op8_token_counts,
+    "op9_mixing": mixing.op9_mixing,
     "op10_html_text": html_text.op10_html_text,
 }
 
