@@ -1,13 +1,64 @@
-"""The corpus pipeline."""
+"""A corpus from raw documents to packed sequences.
+
+Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns the columns
+of ``documents``; the last returns the pieces of the packed sequences. Near-duplicates are five-word shingle
+sets of similarity 0.8 or more. SQL cannot express the trained, sketching and packing stages, so ORACLE_SQL
+is None and the tests hold the stages against brute force.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from seqloom.llm import exact_dedup, minhash, mixing, packing, quality_classifier
+from seqloom.llm.common import persisted
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts."""
+    return quality_classifier.classified(docs).where("kept").select(*docs.columns)
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts, the one with the smallest number."""
+    return exact_dedup.exact_duplicates(docs).where("kept").select(*docs.columns)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    kept = minhash.near_duplicates(docs, k=5, percent=80).where("kept").select(F.col("doc_id").alias("_kept"))
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn so that sources meet the target weights; a document may be drawn again."""
+    return mixing.mixed(docs).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 1024 tokens."""
+    import public_tokenizers
+
+    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("exact dedup", exact_stage),
+    ("near dedup", near_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn; each is written and read again before the next one."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = persisted(docs)
     return docs
