@@ -1 +1 @@
-
+"""Column functions and host-side helpers over letters, words and counts."""

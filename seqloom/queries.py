@@ -1,4 +1,385 @@
-"""Registered queries over the word-count engine, with equivalent SQL."""
+"""Registered queries over the word-count engine, with equivalent SQL.
 
-QUERIES = {}
-SQL = {}
+Sequences are derived from ``documents`` (whole table) by the rule of :mod:`seqloom.sources.derived`; its four
+languages serve as tables a to d of the set algebra, and ``benchmark`` as the target of coverage maps.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import codec, letters
+from .functions.letters import MOST
+from .operators import histograms, homopolymers, profiles, tables, words
+from .plans import jobs
+from .sources import derived
+
+K, SMALL, LONG = 11, 7, 30
+LANGUAGES = ("de", "en", "es", "fr")
+
+
+def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived.document_reads(spark, sf_dir)
+
+
+def table(spark: SparkSession, sf_dir: str, k: int = K, cutoff: int = 1) -> DataFrame:
+    return words.count_table(reads(spark, sf_dir), k, cutoff)
+
+
+def by_language(spark: SparkSession, sf_dir: str, k: int = SMALL) -> list[DataFrame]:
+    counted = words.readable(words.raw_counts(reads(spark, sf_dir), k, "lang"), k)
+    return [counted.where(F.col("lang") == x).select("kmer", F.least("n", F.lit(MOST)).cast("int").alias("count")) for x in LANGUAGES]
+
+
+def raw(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
+    return words.raw_counts(reads(spark, sf_dir), k)
+
+
+def histogram(spark: SparkSession, sf_dir: str, k: int = K) -> histograms.Histogram:
+    return histograms.of_counts(raw(spark, sf_dir, k), k)
+
+
+# --- SQL building blocks -------------------------------------------------------------------------
+
+
+def sql_reads(name: str = "reads", source: str = "documents", keys: str = "doc_id AS read_id, lang") -> str:
+    return f"{name} AS (SELECT {keys}, translate(regexp_replace(text, '[^A-Za-z]', '', 'g'), '{derived.FROM}', '{derived.TO}') AS seq FROM {source})"
+
+
+def sql_turned(w: str) -> str:
+    return f"reverse(translate({w}, 'acgt', 'tgca'))"
+
+
+def sql_windows(k: int, name: str = "windows", source: str = "reads", keys: str = "read_id, lang") -> str:
+    return f"{name} AS (SELECT {keys}, p - 1 AS pos, substring(seq, p, {k}) AS w FROM (SELECT *, unnest(range(1, length(seq) - {k} + 2)) AS p FROM {source} WHERE length(seq) >= {k}))"
+
+
+def sql_raw(k: int, name: str = "raw", keys: str = "") -> str:
+    return f"{name} AS (SELECT {keys} least(w, {sql_turned('w')}) AS kmer, count(*) AS n FROM windows WHERE w NOT LIKE '%n%' GROUP BY ALL)"
+
+
+def sql_counted(k: int = K) -> str:
+    return f"WITH {sql_reads()}, {sql_windows(k)}, {sql_raw(k)}, tab AS (SELECT kmer, least(n, {MOST})::INTEGER AS count FROM raw)"
+
+
+def sql_wide(k: int = SMALL) -> str:
+    columns = ", ".join(f"least(coalesce(max(n) FILTER (WHERE lang = '{x}'), 0), {MOST})::BIGINT AS c{i}" for i, x in enumerate(LANGUAGES))
+    return f"WITH {sql_reads()}, {sql_windows(k)}, {sql_raw(k, keys='lang,')}, wide AS (SELECT kmer, {columns} FROM raw GROUP BY kmer)"
+
+
+def sql_gc(w: str = "kmer") -> str:
+    return f"(100 * length(regexp_replace({w}, '[^gc]', '', 'g'))) // length({w})"
+
+
+SQL_HIST = f"{sql_counted()}, hist AS (SELECT least(n, {MOST})::INTEGER AS freq, count(*) AS n FROM raw GROUP BY 1)"
+SQL_PROFILE = (
+    f"{sql_counted(SMALL)}, prof AS (SELECT read_id, pos::INTEGER AS pos, coalesce(count, 0)::INTEGER AS count FROM windows LEFT JOIN tab ON kmer = CASE WHEN w NOT LIKE '%n%' THEN least(w, {sql_turned('w')}) END)"
+)
+SQL_RUNS = "runs AS (SELECT read_id, pos, count, pos - row_number() OVER (PARTITION BY read_id, count ORDER BY pos) AS g FROM prof)"
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str):
+    def add(f):
+        QUERIES[f.__name__] = f
+        SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- counting, tables ----------------------------------------------------------------------------
+
+
+@query(f"{sql_counted()} SELECT * FROM tab")
+def kmer_count(spark, d):
+    return table(spark, d)
+
+
+@query(f"{sql_counted()} SELECT * FROM tab WHERE count >= 4")
+def kmer_count_cutoff(spark, d):
+    return table(spark, d, cutoff=4)
+
+
+@query(f"WITH {sql_reads()}, {sql_windows(LONG + 10)}, {sql_raw(LONG + 10)} SELECT kmer, n::INTEGER AS count FROM raw WHERE n > 1")
+def kmer_count_long_words(spark, d):
+    return table(spark, d, LONG + 10, 2)
+
+
+@query(
+    f"WITH {sql_reads('raw_reads')}, squeezed AS (SELECT read_id, lang, "
+    + "regexp_replace(" * 5 + "seq" + "".join(f", '{c}+', '{c}', 'g')" for c in "acgtn")
+    + f" AS seq FROM raw_reads), reads AS (SELECT read_id, lang, substring(seq, 9) AS seq FROM squeezed), {sql_windows(K)}, {sql_raw(K)} SELECT kmer, least(n, {MOST})::INTEGER AS count FROM raw"
+)
+def kmer_count_compressed_barcoded(spark, d):
+    return jobs.count(reads(spark, d), K, compress=True, barcode=8).table
+
+
+@query(f"WITH {sql_reads()} SELECT count(*) AS reads, sum(length(seq))::BIGINT AS bases, count(*) FILTER (WHERE length(seq) < {K}) AS short_reads, sum(greatest(length(seq) - {K - 1}, 0))::BIGINT AS windows FROM reads")
+def read_summary(spark, d):
+    return jobs.summary(reads(spark, d), K)
+
+
+@query(f"{sql_counted()} SELECT kmer, count FROM tab QUALIFY row_number() OVER (ORDER BY kmer) - 1 BETWEEN 1000 AND 1999")
+def table_ordinals(spark, d):
+    return tables.at(table(spark, d), "1000-1999")
+
+
+@query(f"{sql_counted()} SELECT kmer, count FROM tab WHERE kmer >= 'aacc' AND kmer < 'acct'")
+def table_prefixes(spark, d):
+    return tables.at(table(spark, d), "aacc-accg")
+
+
+@query(f"{sql_counted()} SELECT word, coalesce(count, -1)::INTEGER AS count FROM (SELECT DISTINCT w AS word FROM windows WHERE read_id % 20 = 0 AND w NOT LIKE '%n%') LEFT JOIN tab ON kmer = least(word, {sql_turned('word')})")
+def table_lookup(spark, d):
+    own = reads(spark, d).where("read_id % 20 = 0")
+    starts = F.explode(F.sequence(F.lit(1), F.length("seq") - K + 1))
+    asked = own.where(F.length("seq") >= K).select("seq", starts.alias("p")).select(F.expr(f"substring(seq, p, {K})").alias("word")).where(letters.is_valid(F.col("word"))).distinct()
+    return tables.lookup(table(spark, d), asked)
+
+
+@query(f"{sql_counted()} SELECT kmer, count FROM tab WHERE kmer >= 'ccccccccccc' ORDER BY kmer LIMIT 1")
+def table_seek(spark, d):
+    return tables.seek(table(spark, d), "c" * K)
+
+
+@query(f"{sql_counted()}, o AS (SELECT kmer, count, lag(kmer) OVER (ORDER BY kmer) AS b FROM tab) SELECT kmer, count FROM o WHERE b >= kmer")
+def table_order_check(spark, d):
+    return tables.disordered(tables.ordinals(table(spark, d)), "ord").select("kmer", "count")
+
+
+@query(f"{sql_counted()}, p AS (SELECT kmer[1:4] AS prefix, count(*) AS n FROM tab GROUP BY 1) SELECT prefix, n, (sum(n) OVER (ORDER BY prefix))::BIGINT AS upto FROM p")
+def table_prefix_index(spark, d):
+    return tables.prefix_index(table(spark, d), 4)
+
+
+@query(f"{sql_counted()}, p AS (SELECT kmer[1:4] AS prefix, count(*) AS n FROM tab GROUP BY 1) SELECT max(n) AS largest FROM p")
+def table_largest_bucket(spark, d):
+    return tables.largest_bucket(table(spark, d), 4)
+
+
+@query(f"{sql_counted()}, o AS (SELECT *, row_number() OVER (ORDER BY kmer) - 1 AS o, count(*) OVER () AS t FROM tab) SELECT kmer, count FROM o WHERE o >= t // 4 AND o < 2 * t // 4")
+def table_slice(spark, d):
+    return tables.sliced(table(spark, d), 2, 4)
+
+
+@query(f"{sql_counted(8)} SELECT kmer, count FROM tab UNION ALL SELECT {sql_turned('kmer')}, count FROM tab WHERE kmer <> {sql_turned('kmer')}")
+def table_symmetric(spark, d):
+    return tables.symmetric(table(spark, d, 8))
+
+
+@query(f"{sql_wide()} SELECT kmer, least(c0 + c1 + c2 + c3, {MOST})::INTEGER AS count FROM wide")
+def table_merge(spark, d):
+    return tables.merged(by_language(spark, d))
+
+
+@query(f"{sql_counted()} SELECT kmer, count FROM tab")
+def table_concat(spark, d):
+    own = table(spark, d)
+    return tables.concatenated([own.where("kmer < 'ag'"), own.where("kmer >= 'ag' AND kmer < 'cc'"), own.where("kmer >= 'cc'")])
+
+
+@query(f"{sql_counted()} SELECT kmer, kmer || chr(9) || count AS line FROM tab")
+def table_lines(spark, d):
+    return tables.lines(table(spark, d))
+
+
+@query(f"{sql_counted()} SELECT kmer, 'S {K} ' || kmer || chr(10) || 'C ' || count AS line FROM tab")
+def table_tagged_lines(spark, d):
+    return tables.tagged_lines(table(spark, d), K)
+
+
+# --- histograms ----------------------------------------------------------------------------------
+
+
+@query(f"{SQL_HIST} SELECT * FROM hist")
+def kmer_histogram(spark, d):
+    return histogram(spark, d).bins
+
+
+@query(f"{sql_counted()} SELECT coalesce(sum(n) FILTER (WHERE n <= 1), 0)::BIGINT AS i_low, coalesce(sum(n) FILTER (WHERE n >= {MOST}), 0)::BIGINT AS i_high FROM raw")
+def histogram_ends(spark, d):
+    return histogram(spark, d).ends
+
+
+@query(f"{sql_counted()} SELECT least(greatest(n, 3), 40)::INTEGER AS freq, count(*) AS n, sum(n)::BIGINT AS instances FROM raw GROUP BY 1")
+def histogram_clipped(spark, d):
+    h = histogram(spark, d).clipped(3, 40)
+    return h.bins.join(h.as_instances().bins.withColumnRenamed("n", "instances"), "freq")
+
+
+@query(f"{SQL_HIST} SELECT freq, (freq::BIGINT * n)::BIGINT AS n FROM hist")
+def histogram_instances(spark, d):
+    return histogram(spark, d).as_instances().bins
+
+
+@query(f"{SQL_HIST} SELECT freq, n FROM hist")
+def histogram_there_and_back(spark, d):
+    return histogram(spark, d).as_instances().as_words().bins
+
+
+@query(f"{SQL_HIST} SELECT freq, n, round(100.0 * sum(n) OVER (ORDER BY freq DESC) / sum(n) OVER (), 6)::DOUBLE AS cum_percent FROM hist")
+def histogram_cumulative(spark, d):
+    return histogram(spark, d).cumulated().withColumn("cum_percent", F.round("cum_percent", 6))
+
+
+@query(f"{sql_counted()}, c AS (SELECT least(n, 1000) AS freq, n FROM raw) SELECT freq::INTEGER AS freq, (CASE WHEN freq = 1000 THEN sum(n) // 1000 ELSE count(*) END)::BIGINT AS n FROM c GROUP BY freq")
+def histogram_scoped(spark, d):
+    return histogram(spark, d).clipped(1, 1000).scoped()
+
+
+@query(f"{SQL_HIST} SELECT freq, freq || chr(9) || n AS line FROM hist")
+def histogram_lines(spark, d):
+    return histogram(spark, d).tabbed()
+
+
+@query(f"{sql_counted()} SELECT least(n, {MOST})::INTEGER AS freq, count(*) AS n FROM raw GROUP BY 1")
+def histogram_concat(spark, d):
+    own = raw(spark, d)
+    parts = [own.where("pmod(xxhash64(kmer), 2) = 0"), own.where("pmod(xxhash64(kmer), 2) = 1")]
+    return histograms.concatenated([histograms.of_counts(x, K) for x in parts]).bins
+
+
+@query(f"{sql_wide()} SELECT least(c0 + c1 + c2 + c3, {MOST})::INTEGER AS freq, count(*) AS n FROM wide GROUP BY 1")
+def histogram_merge(spark, d):
+    return histograms.of_counts(tables.merged_raw(by_language(spark, d)), SMALL).bins
+
+
+# --- set algebra ---------------------------------------------------------------------------------
+
+
+def _expression(name: str, text: str, where: str, value: str) -> None:
+    def run(spark, d):
+        return tables.evaluated(by_language(spark, d), {name: text})[name]
+
+    run.__name__ = name
+    query(f"{sql_wide()}, v AS (SELECT kmer, {value} AS v FROM wide WHERE {where}) SELECT kmer, least(v, {MOST})::INTEGER AS count FROM v WHERE v > 0")(run)
+
+
+_IN = "c0 > 0 AND c1 > 0"
+for _name, _mode, _value in (("sum", "+", "c0 + c1"), ("mean", "*", "(c0 + c1) // 2"), ("rest", "-", "greatest(c0 - c1, 0)"), ("least", "<", "least(c0, c1)"), ("most", ">", "greatest(c0, c1)"), ("left", ".", "c0")):
+    _expression(f"tables_and_{_name}", f"A &{_mode} B", _IN, _value)
+_expression("tables_or_sum", "A |+ B |+ C", "c0 + c1 + c2 > 0", "c0 + c1 + c2")
+_expression("tables_or_left", "A |. B", "c0 + c1 > 0", "CASE WHEN c0 > 0 THEN c0 ELSE c1 END")
+_expression("tables_or_mean", "A |* B", "c0 + c1 > 0", "CASE WHEN c0 = 0 THEN c1 WHEN c1 = 0 THEN c0 ELSE (c0 + c1) // 2 END")
+_expression("tables_without", "B - A - D", "c1 > 0 AND c0 = 0 AND c3 = 0", "c1")
+_expression("tables_differ", "A ^ C", "(c0 > 0) <> (c2 > 0)", "c0 + c2")
+_expression("tables_members", "#A |+ #B |+ #C |+ #D", "c0 + c1 + c2 + c3 > 0", "(c0 > 0)::INT + (c1 > 0)::INT + (c2 > 0)::INT + (c3 > 0)::INT")
+_expression("tables_logic", "#((A & B) | (C ^ D))", f"({_IN}) OR ((c2 > 0) <> (c3 > 0))", "1")
+_expression("tables_counts_within", "(A |+ B)[2-5,9,20-]", "c0 + c1 > 0", "CASE WHEN c0 + c1 BETWEEN 2 AND 5 OR c0 + c1 = 9 OR c0 + c1 BETWEEN 20 AND 32767 THEN c0 + c1 ELSE 0 END")
+_expression("tables_gc_within", "B{-50}", "c1 > 0", f"CASE WHEN {sql_gc()} BETWEEN 1 AND 50 THEN c1 ELSE 0 END")
+_expression("tables_filtered_members", "#(A[3-]) &< C", "c0 > 0 AND c2 > 0", "CASE WHEN c0 >= 3 AND c2 > 0 THEN least(1, c2) ELSE 0 END")
+
+
+@query(f"{sql_wide()} SELECT least(greatest(greatest(c0 - c1, 0), 2), 30)::INTEGER AS freq, count(*) AS n FROM wide WHERE {_IN} AND c0 > c1 GROUP BY 1")
+def tables_expression_histogram(spark, d):
+    return jobs.expressed(by_language(spark, d), {"x": "A &- B"}, 2, 30)["x"][1].bins
+
+
+@query(
+    f"{sql_wide()}, m AS (SELECT (c0 > 0)::INT + 2 * (c1 > 0)::INT + 4 * (c2 > 0)::INT + 8 * (c3 > 0)::INT AS mask, list_min(list_filter([c0, c1, c2, c3], lambda x: x > 0)) AS c FROM wide) "
+    "SELECT mask::INTEGER AS mask, least(greatest(c, 1), 100)::INTEGER AS freq, count(*) AS n FROM m GROUP BY ALL"
+)
+def tables_venn(spark, d):
+    return tables.venn(by_language(spark, d))
+
+
+# --- profiles, intervals -------------------------------------------------------------------------
+
+
+@query(f"{SQL_PROFILE} SELECT * FROM prof")
+def profile_absolute(spark, d):
+    return profiles.absolute(reads(spark, d), SMALL)
+
+
+_TARGET = f"{sql_counted(SMALL)}, {sql_reads('target', 'benchmark', 'item_id::BIGINT AS read_id')}, {sql_windows(SMALL, 'there', 'target', 'read_id')}"
+
+
+@query(f"{_TARGET} SELECT read_id, pos::INTEGER AS pos, coalesce(count, 0)::INTEGER AS count FROM there LEFT JOIN (SELECT * FROM tab WHERE count >= 20) ON kmer = CASE WHEN w NOT LIKE '%n%' THEN least(w, {sql_turned('w')}) END")
+def profile_relative(spark, d):
+    return profiles.relative(derived.benchmark_reads(spark, d), table(spark, d, SMALL, 20), SMALL)
+
+
+@query(f"{SQL_PROFILE}, {SQL_RUNS} SELECT read_id, min(pos)::INTEGER AS first, max(pos)::INTEGER AS last, count FROM runs WHERE count > 0 GROUP BY read_id, count, g")
+def profile_runs(spark, d):
+    return profiles.runs(profiles.absolute(reads(spark, d), SMALL))
+
+
+@query(f"{SQL_PROFILE}, s AS (SELECT 0 AS nr, 3 AS a, 5 AS b UNION ALL SELECT 1, 5, 6) SELECT nr::INTEGER AS nr, read_id, pos, count FROM prof JOIN s ON read_id + 1 BETWEEN a AND b")
+def profile_selection(spark, d):
+    return profiles.chosen(profiles.absolute(reads(spark, d), SMALL), [(3, 5), (5, 6)]).select("nr", "read_id", "pos", "count")
+
+
+@query(f"{SQL_PROFILE} SELECT read_id, pos, count FROM prof UNION ALL SELECT read_id + (SELECT count(*) FROM reads), pos, count FROM prof")
+def profile_concat(spark, d):
+    own = profiles.absolute(reads(spark, d), SMALL)
+    total = reads(spark, d).count()
+    return profiles.concatenated([(own, total), (own, total)])
+
+
+@query(f"{SQL_PROFILE} SELECT read_id, pos, count FROM prof")
+def profile_codec(spark, d):
+    made = profiles.arrays(profiles.absolute(reads(spark, d), SMALL))
+    return made.select("read_id", codec.decoded(codec.encoded(F.col("counts"))).alias("counts")).select("read_id", F.posexplode("counts").alias("pos", "count"))
+
+
+_HITS = f"{_TARGET}, hits AS (SELECT read_id AS seq_idx, pos FROM there JOIN (SELECT * FROM tab WHERE count >= 20) ON kmer = least(w, {sql_turned('w')}) WHERE w NOT LIKE '%n%')"
+
+
+@query(f"{_HITS} SELECT seq_idx, pos::INTEGER AS beg, (pos + {SMALL})::INTEGER AS end FROM hits")
+def coverage_intervals(spark, d):
+    return jobs.mapped(table(spark, d, SMALL, 20), derived.benchmark_reads(spark, d), SMALL)
+
+
+@query(
+    f"{_HITS}, f AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY seq_idx ORDER BY pos) <= {SMALL} THEN 0 ELSE 1 END AS s FROM hits), g AS (SELECT *, sum(s) OVER (PARTITION BY seq_idx ORDER BY pos) AS i FROM f) "
+    f"SELECT seq_idx, min(pos)::INTEGER AS beg, (max(pos) + {SMALL})::INTEGER AS end FROM g GROUP BY seq_idx, i"
+)
+def coverage_merged(spark, d):
+    return jobs.mapped(table(spark, d, SMALL, 20), derived.benchmark_reads(spark, d), SMALL, merge=True)
+
+
+# --- word relations, scalars ---------------------------------------------------------------------
+
+
+@query(
+    f"{sql_counted()}, s AS (SELECT kmer[1:{K // 2}] AS l, kmer[{K // 2 + 1}] AS m, kmer[{K // 2 + 2}:] AS r, count FROM tab WHERE count BETWEEN 3 AND 200) "
+    'SELECT l AS "left", upper(m) AS centre, r AS "right", count FROM s QUALIFY count(*) OVER (PARTITION BY l, r) > 1'
+)
+def haplotype_groups(spark, d):
+    return tables.haplotypes(table(spark, d), K, 3, 200)
+
+
+_H = LONG // 2
+
+
+@query(
+    f"{sql_counted(LONG)}, h AS (SELECT kmer, count::BIGINT AS count, kmer[1:{_H}] AS l, kmer[{_H + 1}:] AS r, kmer[{_H}] AS b FROM tab), "
+    "s AS (SELECT *, length(l) - length(rtrim(l, b)) AS n FROM h), x AS (SELECT *, length(r) - length(ltrim(r, b)) - n + 1 AS y FROM s WHERE n <= 5), "
+    f"y AS (SELECT *, least(y, 3) AS c FROM x WHERE y >= 0), f AS (SELECT *, substring(r, (n + c)::BIGINT, ({LONG - _H - 2} - n)::BIGINT) AS flank FROM y), "
+    "t AS (SELECT *, row_number() OVER (PARTITION BY l, n, c, flank ORDER BY kmer) AS turn FROM f), "
+    "g AS (SELECT l, n, b, flank, turn, " + ", ".join(f"coalesce(sum(count) FILTER (WHERE c = {i}), 0) AS n{i}" for i in range(4)) + " FROM t GROUP BY ALL), "
+    "e AS (SELECT *, n1 BETWEEN 2 AND 500 AND n0 <= 2 AND n2 <= 2 AS even FROM g), o AS (SELECT *, NOT even AND n2 BETWEEN 2 AND 500 AND n1 <= 2 AND n3 <= 2 AND 2 * n < 10 AS odd FROM e) "
+    "SELECT CASE WHEN b IN ('a', 't') THEN 'at' ELSE 'cg' END AS base_class, (2 * n + CASE WHEN even THEN 0 ELSE 1 END)::INTEGER AS len, "
+    "sum(CASE WHEN even THEN n0 ELSE n1 END)::BIGINT AS less, sum(CASE WHEN even THEN n1 ELSE n2 END)::BIGINT AS good, sum(CASE WHEN even THEN n2 ELSE n3 END)::BIGINT AS more FROM o WHERE even OR odd GROUP BY 1, 2"
+)
+def homopolymer_errors(spark, d):
+    return homopolymers.errors(table(spark, d, LONG), LONG, 2, 2, 500)
+
+
+@query(
+    f"{sql_counted(8)} SELECT kmer, {sql_turned('kmer')} AS turned, kmer = {sql_turned('kmer')} AS palindrome, ({sql_gc()})::INTEGER AS gc, "
+    "list_sum(list_transform(range(1, 9), lambda i: (instr('acgt', kmer[i]) - 1) * pow(4, 8 - i)))::BIGINT AS packed, "
+    f"list_min(list_transform(range(1, 5), lambda i: least(kmer[i:i + 4], {sql_turned('kmer[i:i + 4]')}))) AS minimizer FROM tab"
+)
+def word_functions(spark, d):
+    w = F.col("kmer")
+    return table(spark, d, 8).select("kmer", letters.reverse_complement(w).alias("turned"), letters.is_palindrome(w).alias("palindrome"), letters.gc_percent(w).alias("gc"), letters.packed(w).alias("packed"), letters.minimizer(w, 5).alias("minimizer"))
+
+
+@query(f"WITH {sql_reads()} SELECT read_id, " + "regexp_replace(" * 5 + "seq" + "".join(f", '{c}+', '{c}', 'g')" for c in "acgtn") + " AS seq FROM reads")
+def homopolymer_compression(spark, d):
+    return reads(spark, d).select("read_id", letters.compressed(F.col("seq")).alias("seq"))
