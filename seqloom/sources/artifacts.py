@@ -14,8 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..functions.codec import decode
 from ..operators.histograms import Histogram
@@ -60,35 +60,43 @@ def packed_word(word: str) -> bytes:
     return bytes(codes[i] << 6 | codes[i + 1] << 4 | codes[i + 2] << 2 | codes[i + 3] for i in range(0, len(codes), 4))
 
 
+def _opened(path: str):
+    """A file of any store that pyarrow knows; Spark's own reader skips names with a leading dot."""
+    store, inside = fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
+    return store.open_input_file(inside)
+
+
 def read_table_files(spark: SparkSession, stub: str) -> DataFrame:
     """(kmer, count) of a binary table; every part file is one task."""
-    raw = _one_file(spark, stub)
+    with _opened(stub) as file:
+        raw = file.read()
     k, parts, minval, width = struct.unpack_from("=iiii", raw)
-    index = np.frombuffer(raw, np.int64, 256**width, 16)
     folder, name = os.path.split(stub)
     root = name.removesuffix(".ktab")
     suffix = (k + 3) // 4 - width
-
-    sizes = []
-    files = [f"{folder}/.{root}.ktab.{i + 1}" for i in range(parts)]
-    for path in files:
-        with_head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 12).alias("head")).first()["head"]
-        sizes.append(struct.unpack("=iq", bytes(with_head))[1])
-    starts = dict(zip((f".{root}.ktab.{i + 1}" for i in range(parts)), np.concatenate(([0], np.cumsum(sizes)[:-1])).tolist(), strict=True))
+    files, first = [], 0
+    for part in range(1, parts + 1):
+        with _opened(path := f"{folder}/.{root}.ktab.{part}") as file:
+            n = struct.unpack("=iq", file.read(12))[1]
+        files.append((path, first, n))
+        first += n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                n = struct.unpack_from("=iq", content)[1]
-                first = starts[os.path.basename(path)]
-                rows = np.frombuffer(content, np.uint8, n * (suffix + 2), 12).reshape(n, suffix + 2)
-                prefixes = np.searchsorted(index, np.arange(first, first + n), side="right")
-                words = [unpacked_word(int(p).to_bytes(width, "big") + row[:suffix].tobytes(), k) for p, row in zip(prefixes, rows, strict=True)]
-                counts = np.ascontiguousarray(rows[:, suffix:]).view(np.uint16).ravel().astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(counts)], names=["kmer", "count"])
-
-    # a leading dot hides part files from globbing, so they are named one by one
-    return spark.read.format("binaryFile").load(files).select("path", "content").mapInArrow(run, "kmer string, count int")
+            for path, first, n in zip(*(batch.column(c).to_pylist() for c in ("path", "first", "n")), strict=True):
+                with _opened(stub) as file:
+                    index = np.frombuffer(file.read()[16:], np.int64)
+                with _opened(path) as file:
+                    file.seek(12)
+                    for start in range(first, first + n, 1 << 20):
+                        some = min(1 << 20, first + n - start)
+                        rows = np.frombuffer(file.read(some * (suffix + 2)), np.uint8).reshape(some, suffix + 2)
+                        prefixes = np.searchsorted(index, np.arange(start, start + some), side="right")
+                        words = [unpacked_word(int(p).to_bytes(width, "big") + row[:suffix].tobytes(), k) for p, row in zip(prefixes, rows, strict=True)]
+                        counts = np.ascontiguousarray(rows[:, suffix:]).view(np.uint16).ravel().astype(np.int32)
+                        yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(counts)], names=["kmer", "count"])
+
+    return spark.createDataFrame(files, "path string, first long, n long").repartition(len(files)).mapInArrow(run, "kmer string, count int")
 
 
 def read_profile_files(folder: str, root: str) -> Iterator[tuple[int, list[int]]]:
@@ -111,32 +119,32 @@ def _filesystem(spark: SparkSession, path: str):
 
 def of_root(spark: SparkSession, root: str) -> list[str]:
     """The artifacts that exist under a root name."""
-    hadoop, fs = _filesystem(spark, root)
-    return [f"{root}.{kind}" for kind in KINDS if fs.exists(hadoop.Path(f"{root}.{kind}"))]
+    hadoop, store = _filesystem(spark, root)
+    return [f"{root}.{kind}" for kind in KINDS if store.exists(hadoop.Path(f"{root}.{kind}"))]
 
 
 def remove(spark: SparkSession, root: str) -> int:
     """Delete all artifacts of a root as a unit."""
-    hadoop, fs = _filesystem(spark, root)
+    hadoop, store = _filesystem(spark, root)
     found = of_root(spark, root)
     for path in found:
-        fs.delete(hadoop.Path(path), True)
+        store.delete(hadoop.Path(path), True)
     return len(found)
 
 
 def copy(spark: SparkSession, root: str, to: str, move: bool = False, overwrite: bool = True) -> int:
     """Copy or move all artifacts of a root as a unit; existing ones are kept if ``overwrite`` is off."""
-    hadoop, fs = _filesystem(spark, root)
+    hadoop, store = _filesystem(spark, root)
     done = 0
     for path in of_root(spark, root):
         target = hadoop.Path(to + path[len(root) :])
-        if fs.exists(target):
+        if store.exists(target):
             if not overwrite:
                 continue
-            fs.delete(target, True)
+            store.delete(target, True)
         if move:
-            fs.rename(hadoop.Path(path), target)
+            store.rename(hadoop.Path(path), target)
         else:
-            hadoop.FileUtil.copy(fs, hadoop.Path(path), fs, target, False, spark._jsc.hadoopConfiguration())
+            hadoop.FileUtil.copy(store, hadoop.Path(path), store, target, False, spark._jsc.hadoopConfiguration())
         done += 1
     return done
