@@ -39,7 +39,9 @@ END_ID = 0
 #: A space next to other white space may join its token; elsewhere a token never reaches back over it.
 ODD = r"[\s\p{Z}\x{85}\x{0B}\x{1C}-\x{1F}] | [\s\p{Z}\x{85}\x{0B}\x{1C}-\x{1F}]"
 SAFE = re.compile(r"(?<=\S)(?= \S)")
-REMEMBERED = 400_000
+#: Pieces that may stand in lines of one text: a token never crosses a newline between such pieces.
+PLAIN = re.compile(r" ?\S+\Z")
+REMEMBERED = 1_000_000
 
 
 @lru_cache(maxsize=2)
@@ -55,6 +57,7 @@ class Pieces:
 
     def __init__(self, path: str):
         self.model = byte_model(path)
+        self.newline = self.model.encode("\n", add_special_tokens=False).ids[0]
         self.forget()
 
     def forget(self) -> None:
@@ -67,18 +70,31 @@ class Pieces:
         if len(self.known) > REMEMBERED:
             self.forget()
         fresh = [p for p in dict.fromkeys(pieces) if p not in self.known]
-        for i in range(0, len(fresh), 10_000):
-            some = fresh[i : i + 10_000]
-            for piece, coded in zip(some, self.model.encode_batch(some, add_special_tokens=False), strict=True):
-                ids, at = coded.ids, len(self.known)
-                if at >= len(self.starts):
-                    self.starts, self.lengths = np.resize(self.starts, 2 * at), np.resize(self.lengths, 2 * at)
-                if self.used + len(ids) > len(self.flat):
-                    self.flat = np.resize(self.flat, 2 * (self.used + len(ids)))
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.starts[at], self.lengths[at] = self.used, len(ids)
-                self.known[piece] = at
-                self.used += len(ids)
+        joined = [p for p in fresh if PLAIN.match(p)]
+        other = [p for p in fresh if not PLAIN.match(p)]
+        for i in range(0, len(joined), 20_000):
+            some = joined[i : i + 20_000]
+            ids = np.array(self.model.encode("\n".join(some), add_special_tokens=False).ids, np.uint32)
+            breaks = np.flatnonzero(ids == self.newline)
+            if len(breaks) != len(some) - 1:
+                other.extend(some)
+                continue
+            self.append(some, np.delete(ids, breaks), np.diff(np.concatenate(([-1], breaks, [len(ids)]))) - 1)
+        for i in range(0, len(other), 10_000):
+            some = other[i : i + 10_000]
+            coded = [x.ids for x in self.model.encode_batch(some, add_special_tokens=False)]
+            self.append(some, np.fromiter((x for ids in coded for x in ids), np.uint32), np.fromiter(map(len, coded), np.int64))
+
+    def append(self, pieces: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        at, end = len(self.known), len(self.known) + len(pieces)
+        if end > len(self.starts):
+            self.starts, self.lengths = np.resize(self.starts, 2 * end), np.resize(self.lengths, 2 * end)
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * (self.used + len(ids)))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.starts[at:end], self.lengths[at:end] = self.used + np.cumsum(lengths) - lengths, lengths
+        self.known.update(zip(pieces, range(at, end), strict=True))
+        self.used += len(ids)
 
     def places(self, pieces: list[str]) -> np.ndarray:
         return np.fromiter((self.known[p] for p in pieces), np.int64, len(pieces))
@@ -247,7 +263,7 @@ def packed(docs: DataFrame, model_path: str, capacity: int = 1024, block: int =
         pieces, packer, rows = Pieces(model_path), Packer(TaskContext.get().partitionId(), capacity, block, cuts), []
         kind = pa.int64()
         for batch in batches:
-            for part in byte_slices(batch, "_text", 8 << 20):
+            for part in byte_slices(batch, "_text", 16 << 20):
                 ids, counts = pieces.encode(part.column("_text"))
                 ends = np.cumsum(counts)
                 for doc, end, count in zip(part.column("_key").to_pylist(), ends.tolist(), counts.tolist(), strict=True):
