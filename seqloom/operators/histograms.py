@@ -72,6 +72,13 @@ class Histogram:
         head = self.bins.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).select(F.lit(-(1 << 40)).alias("ord"), F.concat(F.lit(f"Histogram of {what} of {name}: "), F.format_number("t", 0)).alias("line"))
         return head.unionByName(rows)
 
+    def tagged(self, name: str) -> DataFrame:
+        """The one-letter tagged form: name, range, and all bins from low to high."""
+        bins = self.bins.sparkSession.range(self.low, self.high + 1).select(F.col("id").cast("int").alias("freq")).join(self.bins, "freq", "left").select("freq", F.coalesce("n", F.lit(0)).alias("n"))
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("freq", "n"))), lambda x: x["n"].cast("string"))  # one item a bin
+        head = f"N {len(name)} {name}\nR {self.low} {self.high}\nH {self.high - self.low + 1} "
+        return bins.agg(F.concat(F.lit(head), F.concat_ws(" ", listed)).alias("line"))
+
     def tabbed(self) -> DataFrame:
         return self.bins.where("n > 0").select("freq", F.concat_ws("\t", "freq", "n").alias("line"))
 

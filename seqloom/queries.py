@@ -308,6 +308,21 @@ def profile_runs(spark, d):
     return profiles.runs(profiles.absolute(reads(spark, d), SMALL))
 
 
+@query(f"{SQL_PROFILE} SELECT read_id, pos, count::VARCHAR AS line FROM prof UNION ALL SELECT DISTINCT read_id, -1, 'Read' || chr(9) || (read_id + 1) FROM prof")
+def profile_lines(spark, d):
+    return profiles.lines(profiles.absolute(reads(spark, d), SMALL))
+
+
+@query(f"{SQL_PROFILE} SELECT read_id, 'P ' || count(*) || ' ' || string_agg(count, ' ' ORDER BY pos) AS line FROM prof GROUP BY read_id")
+def profile_tagged_lines(spark, d):
+    return profiles.tagged_lines(profiles.absolute(reads(spark, d), SMALL))
+
+
+@query(f"{SQL_HIST}, b AS (SELECT f, coalesce(n, 0) AS n FROM (SELECT unnest(range(1, {MOST + 1})) AS f) LEFT JOIN hist ON f = freq) SELECT 'N 9 documents' || chr(10) || 'R 1 {MOST}' || chr(10) || 'H {MOST} ' || string_agg(n, ' ' ORDER BY f) AS line FROM b")
+def histogram_tagged_line(spark, d):
+    return histogram(spark, d).tagged("documents")
+
+
 @query(f"{SQL_PROFILE}, s AS (SELECT 0 AS nr, 3 AS a, 5 AS b UNION ALL SELECT 1, 5, 6) SELECT nr::INTEGER AS nr, read_id, pos, count FROM prof JOIN s ON read_id + 1 BETWEEN a AND b")
 def profile_selection(spark, d):
     return profiles.chosen(profiles.absolute(reads(spark, d), SMALL), [(3, 5), (5, 6)]).select("nr", "read_id", "pos", "count")

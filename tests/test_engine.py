@@ -168,3 +168,10 @@ def test_streaming_counts(spark, tmp_path, seqs):
     query = running_counts(stream, 7).writeStream.outputMode("complete").format("memory").queryName("counts_so_far").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert as_dict(spark.table("counts_so_far")) == dict(counted(seqs, 7))
+
+
+def test_profile_text_forms(spark):
+    prof = spark.createDataFrame([(0, p, c) for p, c in enumerate([0, 2, 2])], "read_id long, pos int, count int")
+    assert [r["line"] for r in profiles.lines(prof).orderBy("read_id", "pos").collect()] == ["Read\t1", "0", "2", "2"]
+    assert [r["line"] for r in profiles.run_lines(prof).collect()] == ["1\t2\t2"]
+    assert [r["line"] for r in profiles.tagged_lines(prof).collect()] == ["P 3 0 2 2"]
