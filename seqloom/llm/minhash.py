@@ -18,8 +18,9 @@ With r registers in each of n bands, a pair at similarity s meets nowhere with p
 defaults 8e-6 exactly at 0.85, 2e-8 at 0.9.
 
 Defined results: null, empty and blank texts have no shingles, link with nothing and stay alone; texts
-of fewer words than a shingle are one shingle; a repeated row belongs to its text's class; rows with a null
-identifier form components only by name null and are kept; extra columns are ignored.
+of fewer words than a shingle are one shingle; a repeated row belongs to its text's class; a row with a null
+identifier belongs to its text's class but never names it (alone, it has a null component and is kept); extra
+columns are ignored.
 """
 
 from __future__ import annotations
