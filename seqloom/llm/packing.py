@@ -41,7 +41,7 @@ ODD = r"[\s\p{Z}\x{85}\x{0B}\x{1C}-\x{1F}] | [\s\p{Z}\x{85}\x{0B}\x{1C}-\x{1F}]"
 SAFE = re.compile(r"(?<=\S)(?= \S)")
 #: Pieces that may stand in lines of one text: a token never crosses a newline between such pieces.
 PLAIN = re.compile(r" ?\S+\Z")
-REMEMBERED = 1_000_000
+REMEMBERED = 700_000
 
 
 @lru_cache(maxsize=2)
@@ -69,7 +69,8 @@ class Pieces:
         """Called before a run's look-ups, so that none of its places is forgotten in between."""
         if len(self.known) > REMEMBERED:
             self.forget()
-        fresh = [p for p in dict.fromkeys(pieces) if p not in self.known]
+        known = self.known
+        fresh = list(dict.fromkeys([p for p in pieces if p not in known]))
         joined = [p for p in fresh if PLAIN.match(p)]
         other = [p for p in fresh if not PLAIN.match(p)]
         for i in range(0, len(joined), 20_000):
@@ -128,6 +129,12 @@ class Pieces:
         return np.concatenate(ids), counts
 
 
+@lru_cache(maxsize=1)
+def pieces_of(path: str) -> Pieces:
+    """One table for all tasks that a worker process runs."""
+    return Pieces(path)
+
+
 def differencing(sizes: list[int], windows: int) -> list[list[int]]:
     """Deal items into ``windows`` sets of near-equal sums; returns the items of each set."""
     if windows == 1:
@@ -260,7 +267,7 @@ def packed(docs: DataFrame, model_path: str, capacity: int = 1024, block: int =
     """One row per piece: PIECE_COLUMNS, with the ids' CRC-32 as unsigned little-endian 32-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, packer, rows = Pieces(model_path), Packer(TaskContext.get().partitionId(), capacity, block, cuts), []
+        pieces, packer, rows = pieces_of(model_path), Packer(TaskContext.get().partitionId(), capacity, block, cuts), []
         kind = pa.int64()
         for batch in batches:
             for part in byte_slices(batch, "_text", 16 << 20):
