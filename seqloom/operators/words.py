@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,7 +67,11 @@ def slices(seq: str | None, k: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _array(words: np.ndarray, k: int) -> pa.Array:
-    return pa.array(words) if k <= PACKED_UP_TO else pa.array(words.astype(f"U{k}"))
+    if k <= PACKED_UP_TO:
+        return pa.array(words)
+    # all words are k bytes, so their bytes in a row are the values buffer of one string array
+    ends = np.arange(0, len(words) * k + 1, k, dtype=np.int32)
+    return pa.Array.from_buffers(pa.string(), len(words), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(words).tobytes())])
 
 
 def readable(df: DataFrame, k: int, word: str = "kmer") -> DataFrame:
@@ -114,7 +119,7 @@ def positions(reads: DataFrame, k: int, key: str = "read_id") -> DataFrame:
                 for start, codes in slices(seq, k):
                     words, valid = canonical_words(codes, k)
                     n = len(words)
-                    named = pa.array(words, mask=~valid) if k <= PACKED_UP_TO else pa.array(words.astype(f"U{k}"), mask=~valid)
+                    named = pc.if_else(pa.array(valid), _array(words, k), None)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.int64()), pa.array(np.arange(start, start + n, dtype=np.int32)), named], names=["_key", "pos", "kmer"])
 
     return reads.select(F.col(key).cast("long").alias("_key"), "seq").mapInArrow(run, f"_key long, pos int, kmer {word_type(k)}").withColumnRenamed("_key", key)
