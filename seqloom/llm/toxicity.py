@@ -1,10 +1,10 @@
 """Toxicity behind a noisy channel: deobfuscate, then score.
 
 A character trigram model is counted over the words of all documents (its table is bounded by the
-alphabet: 64^3 cells). A word that may be disguised -- digits or signs among letters, letters repeated three
-times or more, or a run of single letters set apart -- becomes a lattice: every character offers the letters
+alphabet: 64^3 cells). A word that may be disguised -- digits or signs among letters or instead of them, a letter
+repeated, or a run of single letters set apart -- becomes a lattice: every character offers the letters
 it may stand for, separators may vanish, repetitions may shrink. Viterbi decoding finds the likeliest
-reading under model and channel costs; plain words are their own reading. Evidence is learnt from a
+reading under model and channel costs, of words of any length; plain words are their own reading. Evidence is learnt from a
 bounded sample of labelled training rows: words and word beginnings whose share of toxic documents is
 significant (binomial tail, Bonferroni-corrected). A document's score is the posterior of
 a naive Bayes model over the distinct features found in it (each word giving its most significant one).
@@ -45,7 +45,8 @@ COST_READING, COST_GUESS, COST_SKIP, COST_SHRINK = 0.7, 2.5, 0.7, 0.7
 TRAILING = ".,;:!?\"'()[]{}|#*$%&<>~`^_-/\\"
 LEADING = ".,;:?\"'()[]{}&<>~`^_-/\\"
 PLAIN = re.compile(r"[^\W\d_]+\Z")
-TRIPLE = re.compile(r"([^\W\d_])\1\1")
+DOUBLE = re.compile(r"([^\W\d_])\1")
+MARKS = "\"'.,;:()[]{}"
 BEGINNINGS = (4, 5, 6, 7)
 LONGEST = 64
 REMEMBERED = 500_000
@@ -60,6 +61,13 @@ def stripped(word: str) -> str:
     return word.rstrip(TRAILING).lstrip(LEADING)
 
 
+def alone(word: str) -> str:
+    """The character of a word that is one character, marks at its edges aside; else the empty string."""
+    if len(word) == 1:
+        return word
+    return next((form for form in (stripped(word), word.strip(MARKS)) if len(form) == 1), "")
+
+
 # --- character model ---------------------------------------------------------------------------
 
 
@@ -93,32 +101,36 @@ class CharacterModel:
         self.cost = -np.log(trust * share(three) + (1 - trust) * (0.9 * share(two)[None] + 0.1 * share(one)[None, None]))
 
 
-def lattice(word: str) -> list[list[tuple[str, float]]]:
-    """For each place the readings ("" for none) with their channel costs."""
-    places, i = [], 0
+def lattice(word: str) -> Iterator[list[tuple[str, float]]]:
+    """For each place the readings ("" for none) with their channel costs; what can only vanish has no place."""
+    i = 0
     while i < len(word):
         c, run = word[i], 1
         while i + run < len(word) and word[i + run] == c:
             run += 1
         if c in CODE:
-            places.append([(c, 0.0)])
+            yield [(c, 0.0)]
             if run == 2:
-                places.append([(c, 0.0), ("", COST_SHRINK * 2)])
+                yield [(c, 0.0), ("", COST_SHRINK * 2)]
             elif run > 2:
-                places.append([("", COST_SHRINK), (c, COST_SHRINK * 1.5)])
+                yield [("", COST_SHRINK), (c, COST_SHRINK * 1.5)]
         elif c in READINGS:
             options = [(x, COST_GUESS if len(READINGS[c]) > 2 else COST_READING) for x in READINGS[c]]
-            places.extend([options if c.isdigit() else [*options, ("", COST_SKIP * 2)]] * min(run, 2))
-        else:
-            places.append([("", COST_SKIP)])
+            yield options if c.isdigit() else [*options, ("", COST_SKIP * 2)]
+            if run > 1:
+                yield [*options, ("", COST_SKIP * 2 if not c.isdigit() else COST_SHRINK * 2 if run == 2 else COST_SHRINK)]
         i += run
-    return places
 
 
 def decode(word: str, model: CharacterModel) -> str:
-    """The likeliest reading of a disguised word."""
+    """The likeliest reading of a disguised word.
+
+    Long readings are settled window by window: once the best one has two windows, its first is final, and the
+    readings that differ there end.
+    """
+    settled: list[str] = []
     states = {(EDGE, EDGE): (0.0, "")}
-    for options in lattice(word[: 4 * LONGEST]):
+    for options in lattice(word):
         new: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (cost, text) in states.items():
             for letter, price in options:
@@ -130,11 +142,15 @@ def decode(word: str, model: CharacterModel) -> str:
                 if key not in new or value < new[key]:
                     new[key] = value
         states = new
-    return min((cost + model.cost[a, b, EDGE], text) for (a, b), (cost, text) in states.items())[1]
+        if min(len(text) for _, text in states.values()) >= 2 * LONGEST:
+            first = min(states.values())[1][:LONGEST]
+            settled.append(first)
+            states = {key: (cost, text[LONGEST:]) for key, (cost, text) in states.items() if text.startswith(first)}
+    return "".join(settled) + min((cost + model.cost[a, b, EDGE], text) for (a, b), (cost, text) in states.items())[1]
 
 
 def disguised(word: str) -> bool:
-    return len(word) > 2 and any(c.isalpha() for c in word) and (not PLAIN.match(word) or TRIPLE.search(word) is not None)
+    return len(word) > 2 and any(c in CODE or c in READINGS for c in word) and (not PLAIN.match(word) or DOUBLE.search(word) is not None)
 
 
 # --- evidence ----------------------------------------------------------------------------------
@@ -155,6 +171,10 @@ class Evidence:
     base: float
     model: CharacterModel
     known: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    reach: int = 0
+
+    def __post_init__(self):
+        self.reach = max((len(f) - 1 for f in self.listed if f[0] == "="), default=0)
 
     def looked_up(self, word: str) -> tuple[str, ...]:
         return tuple(f for f in features(word) if f in self.listed or f + AGAIN in self.listed) if word else ()
@@ -165,8 +185,8 @@ class Evidence:
         if out is None:
             bare = stripped(word)
             out = self.looked_up(bare)
-            for form in () if out else sorted({bare, word.strip("\"'.,;:()[]{}")}):
-                if not out and len(form) <= LONGEST and disguised(form):
+            for form in () if out else sorted({bare, word.strip(MARKS)}):
+                if not out and disguised(form):
                     out = self.looked_up(decode(form, self.model))
             if len(self.known) > REMEMBERED:
                 self.known.clear()
@@ -176,13 +196,11 @@ class Evidence:
     def of_run(self, letters: str) -> set[tuple[str, ...]]:
         """Letters that stood apart: the listed words among them, as written or decoded."""
         out = set()
-        for i in range(0, len(letters), LONGEST // 2):
-            piece = letters[i : i + LONGEST]
-            for form in {piece, decode(piece, self.model)}:
-                for start in range(len(form)):
-                    for stop in range(start + 3, min(start + 20, len(form)) + 1):
-                        if "=" + form[start:stop] in self.listed:
-                            out.add(("=" + form[start:stop],))
+        for form in {letters, decode(letters, self.model)}:
+            for start in range(len(form)):
+                for stop in range(start + 3, min(start + self.reach, len(form)) + 1):
+                    if "=" + form[start:stop] in self.listed:
+                        out.add(("=" + form[start:stop],))
         return out
 
     def ratio(self, items: list[tuple[str, ...]]) -> float:
@@ -205,16 +223,17 @@ class Evidence:
         found = [self.of_word(w) for w in words]
         codes = coded.indices.to_numpy()
         marked = np.fromiter((bool(f) for f in found), bool, len(words))
-        single = np.fromiter((len(w) == 1 for w in words), bool, len(words))
+        letters = [alone(w) for w in words]
+        single = np.fromiter((bool(c) for c in letters), bool, len(words))
         evidence: dict[int, dict] = {}
         for at in np.flatnonzero(marked[codes]) if len(codes) else ():
             evidence.setdefault(int(np.searchsorted(offsets, at, side="right")) - 1, {})[stripped(words[codes[at]])] = found[codes[at]]
-        alone = np.concatenate(([0], np.cumsum(single[codes]))) if len(codes) else np.zeros(1, np.int64)
-        for i in np.flatnonzero(alone[offsets[1:]] - alone[offsets[:-1]] >= 3):
+        before = np.concatenate(([0], np.cumsum(single[codes]))) if len(codes) else np.zeros(1, np.int64)
+        for i in np.flatnonzero(before[offsets[1:]] - before[offsets[:-1]] >= 3):
             run = ""
             for c in [*codes[offsets[i] : offsets[i + 1]].tolist(), -1]:
                 if c >= 0 and single[c]:
-                    run += words[c]
+                    run += letters[c]
                     continue
                 if len(run) >= 3:
                     evidence.setdefault(int(i), {}).update({names: names for names in self.of_run(run)})

@@ -56,6 +56,27 @@ def test_disguises_are_read(spark):
     assert (calm < 0.2).all()
 
 
+def test_long_spaced_doubled_and_letterless_disguises_are_read(spark):
+    docs, labels = tables(spark, SF)
+    evidence = toxicity.learnt(docs, labels)
+    import pyarrow as pa
+
+    assert "=idiot" in evidence.listed
+    texts = ["id" + "i" * 70 + "ot", "i" + "." * 40 + "d" + "-." * 40 + "i.o.t", "i d i o t.", '"i d i o t', "(i, d, i, o, t)", "i " * 70 + "d i o t", "iddiot", "1d1000000000t"]
+    for text in texts:
+        assert evidence.scores(pa.array([text]))[0] >= 0.7, text
+    calm = ["a better letter from summer", "1. 2. 3. 4.", "plan a, plan b, c. and d", "100% 3.5 2024-05-06 12:30", "#" * 500, "x1" * 5000]
+    assert (evidence.scores(pa.array(calm)) < 0.2).all()
+    model = toxicity.CharacterModel(toxicity.trigram_counts(["ass", "glass", "table"], np.array([900.0, 9.0, 9.0])))
+    made_up = toxicity.Evidence({"=ass": (9.0, 9.0), "=" + "ab" * 15: (9.0, 9.0)}, 0.01, model)
+    assert (made_up.scores(pa.array(["@$$", "4$$", "455", " ".join("ab" * 15)])) >= 0.7).all()
+
+
+def test_long_readings_are_whole(spark):
+    model = toxicity.CharacterModel(toxicity.trigram_counts(["idiot", "clown"], np.array([9.0, 9.0])))
+    assert toxicity.decode("1d10t-cl0wn-" * 300, model) == "idiotclown" * 300
+
+
 def test_toxicity_without_labels_and_odd_rows(docs, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = toxicity.toxicity(docs([(1, None), (None, ""), (2, "x " * 100_000)]), none).collect()
