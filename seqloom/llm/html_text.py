@@ -1,10 +1,12 @@
 """Main text of web pages by composite text density.
 
 A page is tokenised into a light DOM that forgives unclosed and misnested tags. Each node outside
-scripts, menus, forms, comment sections and the like gets its link-adjusted characters per tag; a node's
+scripts, menus, comment sections and the like gets its link-adjusted characters per tag; a node's
 density sum adds its children's densities. The node of the largest sum is the heart of the page, and the
 least density on its path up to the body is the threshold: every node that reaches it contributes its own
-largest-sum subtree. A heart inside an article or main element stands for that whole element. Pages
+largest-sum subtree. A heart inside an article or main element stands for that whole element. A form, or
+an element whose class or id names a side part, is left out before that only if it holds no article or main
+element of the page and less than half of its link-adjusted text. Pages
 are independent rows, so the plan is scan -> map with no shuffle.
 
 Defined results: null or empty html, and pages without any text, give the empty text; markup that the
@@ -41,13 +43,21 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-DROPPED = frozenset("head nav footer aside form button select option label input dialog menu object audio video canvas".split())
+DROPPED = frozenset("head nav footer aside button select option label input dialog menu object audio video canvas".split())
 INLINE = frozenset("a abbr b big cite code em font i kbd mark s samp small span strike strong sub sup tt u var".split())
 BAD_NAMES = frozenset(
     "nav navbar navigation menu sidebar footer header masthead ad ads advert adverts advertisement adsense banner promo sponsor sponsored cookie cookies consent gdpr "
     "notice popup modal overlay newsletter subscribe signup login share sharing social related recommended comment comments disqus breadcrumb breadcrumbs pagination pager widget toolbar".split()
 )
-BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+#: Last parts that make a longer name a side part's, parts that say nothing, and parts that make it a state.
+ENDINGS = frozenset(
+    "nav navbar navigation sidebar footer masthead ads advert adverts advertisement adsense banner consent gdpr popup modal "
+    "newsletter comments disqus breadcrumb breadcrumbs pagination pager toolbar widget".split()
+)
+FRAMES = frozenset("area bar block body box button buttons container form group icons inner item items left link links list panel post posts right section slot top bottom unit wrap wrapper".split())
+STATES = frozenset("has have no not with without is hide show open closed before after".split())
+HEADERS = frozenset("header site global top bar inner wrap wrapper container".split())
+BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
 #: A start tag of the key closes an open element of the value, as far as the nearest of the barriers.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BARRIERS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
@@ -58,6 +68,7 @@ class Page:
 
     def __init__(self, source: str):
         self.tags, self.parents, self.dropped, self.linked = ["html"], [-1], [False], [False]
+        self.doubtful = [False]
         self.items: list[tuple[int, str] | None] = []
         self.stack, at = [0], 0
         for token in TOKEN.finditer(source):
@@ -69,6 +80,7 @@ class Page:
                 (self.close if token["end"] else self.open)(name.lower(), token["rest"])
         if at < len(source):
             self.items.append((self.stack[-1], source[at:]))
+        self.settle()
 
     def open(self, name: str, rest: str) -> None:
         if name in BLOCK:
@@ -81,11 +93,12 @@ class Page:
         if name in VOID:
             return
         parent = self.stack[-1]
-        inside = [self.tags[i] for i in self.stack]
+        inside = {"article", "main"} & {self.tags[i] for i in self.stack}
         self.tags.append(name)
         self.parents.append(parent)
         self.linked.append(self.linked[parent] or name == "a")
-        self.dropped.append(self.dropped[parent] or name in DROPPED or name == "header" and not {"article", "main"} & set(inside) or unwanted(name, rest))
+        self.dropped.append(self.dropped[parent] or name in DROPPED or name == "header" and not inside or unwanted(name, rest))
+        self.doubtful.append(name == "form" or side_part(name, rest, bool(inside)))
         if not rest.rstrip().endswith("/") or name in BLOCK:
             self.stack.append(len(self.tags) - 1)
 
@@ -109,6 +122,32 @@ class Page:
             if tag in barriers:
                 return
 
+    def settle(self) -> None:
+        """Drop the doubtful nodes that hold neither the page's articles nor most of its link-adjusted text."""
+        if not any(self.doubtful):
+            return
+        n = len(self.tags)
+        plain, depth, holds = [0] * n, [0] * n, [False] * n
+        for item in self.items:
+            if item and not self.dropped[item[0]] and not self.linked[item[0]]:
+                plain[item[0]] += len(item[1]) - sum(map(item[1].count, " \n\t\r"))
+        for i in range(1, n):
+            depth[i] = depth[self.parents[i]] + self.doubtful[i]
+        for i in range(n - 1, 0, -1):
+            plain[self.parents[i]] += plain[i]
+        articles = [i for i in range(n) if self.tags[i] in ("article", "main") and plain[i]]
+        # articles inside comments and the like do not count where there are others
+        least = min((depth[i] for i in articles), default=0)
+        articles = [i for i in articles if depth[i] == least]
+        for i in articles:
+            holds[i] = True
+        most = max((plain[i] for i in articles), default=0)
+        for i in range(n - 1, 0, -1):
+            holds[self.parents[i]] |= holds[i]
+        for i in range(1, n):
+            small = not plain[i] or 2 * plain[i] < plain[0] or 4 * most >= plain[i]
+            self.dropped[i] = self.dropped[i] or self.dropped[self.parents[i]] or self.doubtful[i] and not holds[i] and small
+
     def densities(self) -> tuple[list[float], list[float]]:
         """Composite text density of each node, and the sum over its children."""
         n = len(self.tags)
@@ -171,8 +210,6 @@ def unwanted(name: str, rest: str) -> bool:
         return False
     for attribute, value in ATTRIBUTE.findall(rest):
         attribute, value = attribute.lower(), value.strip("\"'").lower()
-        if attribute in ("class", "id") and not BAD_NAMES.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
         if attribute == "role" and value in BAD_ROLES or attribute == "hidden" or attribute == "aria-hidden" and value == "true":
             return True
         if attribute == "style" and re.search(r"display\s*:\s*none", value):
@@ -180,6 +217,30 @@ def unwanted(name: str, rest: str) -> bool:
     return False
 
 
+def side_part(name: str, rest: str, inside: bool) -> bool:
+    """Whether the class, id or role names a side part of a page; ``inside`` is true in an article or main element."""
+    if not rest or name in ("html", "body", "article", "main"):
+        return False
+    for attribute, value in ATTRIBUTE.findall(rest):
+        attribute, value = attribute.lower(), value.strip("\"'").lower()
+        if attribute in ("class", "id") and any(bad_name(x, inside) for x in value.split()):
+            return True
+        if attribute == "role" and value == "form":
+            return True
+    return False
+
+
+def bad_name(value: str, inside: bool) -> bool:
+    """A whole name, a clear ending, or bad parts among parts that say nothing; has-sidebar or share-price are none."""
+    parts = [x for x in re.split(r"[^a-z0-9]+", value) if x]
+    bad = BAD_NAMES.intersection(parts)
+    if not bad or not STATES.isdisjoint(parts):
+        return False
+    if bad == {"header"}:
+        return not inside and HEADERS.issuperset(parts)
+    return parts[-1] in ENDINGS or all(x in BAD_NAMES or x in FRAMES or x.isdigit() for x in parts)
+
+
 def main_text(source: str | None) -> str:
     """Blocks of the main text, joined by newlines."""
     if not source:

@@ -61,6 +61,35 @@ def test_main_text(wrap):
     assert html_text.main_text(PAGE % (wrap % BODY)) == TEXT
 
 
+LONG = "".join(f"<p>Paragraph number {i} has quite a few words in it, and so it weighs something.</p>" for i in range(8))
+
+
+@pytest.mark.parametrize(
+    "wrap",
+    [
+        "<div class='layout has-sidebar'>%s</div>",
+        "<div id=page class='no-sidebar'>%s</div>",
+        "<div class='nav-open'>%s</div>",
+        "<div class='sidebar'>%s</div>",
+        "<form action=/x>%s</form>",
+        "<form><div class='comments widget'><main>%s</main></div></form>",
+        "<article><div class='entry-header'>%s</div></article>",
+        "<div><div class='share-price ad-hoc notice-board'>%s</div></div>",
+    ],
+)
+def test_names_and_forms_do_not_lose_the_text(wrap):
+    side = "<div class='comments-area'><p>A comment.</p></div><div class='site-header'>Site</div><form>Search</form><div class='cookie-notice'>Cookies</div>"
+    text = html_text.main_text("<body>" + wrap % LONG + side + "</body>")
+    assert text.count("\n") == 7 and text.startswith("Paragraph number 0") and text.endswith("something.")
+
+
+def test_headline_stays_and_long_comments_go():
+    comments = "<div class='comments'>" + "<article class=comment-body><p>A reader says a good many things about this.</p></article>" * 30 + "</div>"
+    page = "<body><article><div class='entry-header'><h1>Head</h1></div>%s<div class='share-price'>Up 3</div></article>%s</body>" % (LONG, comments)
+    text = html_text.main_text(page)
+    assert text.startswith("Head\nParagraph") and text.endswith("Up 3") and "reader" not in text
+
+
 def test_main_text_without_semantic_elements():
     long = "".join(f"<p>Paragraph number {i} has quite a few words in it, and so it weighs something.</p>" for i in range(8))
     page = f"<body><div><a href=1>one</a> <a href=2>two</a> <a href=3>three</a></div><div id=x><div>{long}</div></div><div><a href=4>more</a><a href=5>links</a></div></body>"
