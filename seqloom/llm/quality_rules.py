@@ -3,8 +3,8 @@
 Every metric is a built-in expression over the row's own text, so a plan is scan -> project with no
 shuffle and no Python. Repeated three-word windows are found inside the row: 64-bit window hashes are
 truncated just enough to hold the window's position in the low bits, sorted as primitive longs, and
-equal neighbours name the repeated positions (16 position bits leave 48 hash bits, so two different
-windows of one text meet with probability below 1e-8 even for texts of tens of thousands of words).
+equal neighbours name the positions that may be repeated. The words of these positions are then sorted and
+compared themselves, so the count is exact whatever the hashes are.
 
 Defined results: null or empty text has zero in every metric and fails the base rule; repeated rows
 get the same verdict each; extra columns are ignored by :func:`verdicts` and kept by :func:`measured`.
@@ -47,7 +47,7 @@ RULES = (
 )
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
+def measured(docs: DataFrame, text: str = "text", hash_bits: int = 64) -> DataFrame:
     """``docs`` plus n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words, n_stop_words, n_distinct_words."""
     names = [F.col(c) for c in docs.columns]
     value = text_or_empty(text)
@@ -63,7 +63,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.size("_lines").cast("long").alias("n_lines"),
     )
-    return _with_repeats(base).select(
+    return _with_repeats(base, hash_bits).select(
         *names,
         "n_words",
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
@@ -76,24 +76,30 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def _with_repeats(base: DataFrame) -> DataFrame:
+def _with_repeats(base: DataFrame, hash_bits: int) -> DataFrame:
     """Add n_repeat_words: how many words lie in a three-word window found at least twice.
 
     The steps are separate projections, so that sorting and zipping stay in generated code and the
-    lambdas hold a few operations each.
+    lambdas hold a few operations each. ``hash_bits`` changes the work, never the result.
     """
     words, size = F.col("_words"), F.size("_words")
     long = lambda x: F.lit(x).cast("long")
     windows = F.arrays_zip(*(F.slice(words, F.lit(i), F.greatest(size - 2, F.lit(0))).alias(f"w{i}") for i in (1, 2, 3)))
     width = F.greatest(F.ceil(F.log2(size.cast("double"))).cast("int"), F.lit(1)) + 1
-    keyed = base.withColumn("_low", F.when(size > 0, F.call_function("shiftleft", long(1), width) - 1).otherwise(long(0))).withColumn("_high", F.bitwise_not("_low"))
+    keyed = base.withColumn("_low", F.when(size > 0, F.call_function("shiftleft", long(1), width) - 1).otherwise(long(0))).withColumn("_high", F.bitwise_not("_low").bitwiseAND(long(-(1 << (64 - hash_bits)))))
     keyed = keyed.withColumn("_keys", F.sort_array(F.transform(windows, lambda x, i: F.xxhash64(x).bitwiseAND(F.col("_high")).bitwiseOR(i.cast("long")))))
     short = F.greatest(F.size("_keys") - 1, F.lit(0))
     pairs = F.arrays_zip(F.slice("_keys", F.lit(1), short).alias("a"), F.slice("_keys", F.lit(2), short).alias("b"))
-    # two keys of one window differ in the position bits alone
+    # keys of one window differ in the position bits alone; those of other windows may meet them
     twice = keyed.withColumn("_twice", F.filter(pairs, lambda x: x["a"].bitwiseAND(F.col("_high")) == x["b"].bitwiseAND(F.col("_high"))))
     starts = F.concat(F.transform("_twice", lambda x: x["a"].bitwiseAND(F.col("_low"))), F.transform("_twice", lambda x: x["b"].bitwiseAND(F.col("_low"))))
-    placed = twice.withColumn("_starts", F.sort_array(F.array_distinct(starts)))
+    likely = twice.withColumn("_likely", F.array_distinct(starts))
+    read = likely.withColumn("_read", F.sort_array(F.transform("_likely", lambda p: F.struct(*(words[p + i].alias(f"w{i}") for i in range(3)), p.alias("at")))))
+    fewer = F.greatest(F.size("_read") - 1, F.lit(0))
+    sides = F.arrays_zip(F.slice("_read", F.lit(1), fewer).alias("a"), F.slice("_read", F.lit(2), fewer).alias("b"))
+    same = read.withColumn("_same", F.filter(sides, lambda x: (x["a"]["w0"] == x["b"]["w0"]) & (x["a"]["w1"] == x["b"]["w1"]) & (x["a"]["w2"] == x["b"]["w2"])))
+    repeated = F.concat(F.transform("_same", lambda x: x["a"]["at"]), F.transform("_same", lambda x: x["b"]["at"]))
+    placed = same.withColumn("_starts", F.sort_array(F.array_distinct(repeated)))
     later = F.slice("_starts", F.lit(2), F.size("_starts"))
     gaps = F.transform(F.arrays_zip(F.col("_starts").alias("a"), later.alias("b")), lambda x: F.least(F.coalesce(x["b"] - x["a"], long(3)), long(3)))
     return placed.withColumn("n_repeat_words", F.aggregate(gaps, long(0), lambda a, x: a + x))

@@ -34,6 +34,16 @@ def test_metrics_against_brute_force(docs):
         assert not (row["base_failed"] and row["kept"])
 
 
+def test_windows_that_share_a_hash_are_told_apart(docs):
+    r = random.Random(7)
+    texts = [" ".join(f"w{i}" for i in range(5000)), " ".join(["a b c", *(f"x{i}" for i in range(400)), "a b c d", *(f"y{i}" for i in range(400)), "b c d"])]
+    texts += [None, "a b", "a b c a b c", " ".join(r.choice("abcdefgh") for _ in range(300))]
+    want = [(i, base(t)[4]) for i, t in enumerate(texts)]
+    for bits in (1, 7, 64):
+        got = quality_rules.measured(docs(list(enumerate(texts))), hash_bits=bits).select("doc_id", "n_repeat_words").collect()
+        assert sorted(map(tuple, got)) == want
+
+
 def test_no_python_in_native_plans(docs):
     rows = [(1, "a"), (2, None)]
     for df in (quality_rules.verdicts(docs(rows)), sharding.sharded(docs(rows).drop("shard"))):
