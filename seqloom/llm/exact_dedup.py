@@ -11,7 +11,7 @@ that adaptive execution may broadcast when small, and split when skewed).
 
 Defined results: null text counts as empty text; a null identifier never owns a text that a real one
 has; a repeated row (same identifier, same text) counts as a copy, and every repeat of the owner's
-identifier is marked kept; an empty table gives an empty result; input columns that bear a result's
+identifier is marked kept (:func:`one_of_each` leaves one row all the same); an empty table gives an empty result; input columns that bear a result's
 name are replaced by the result.
 """
 
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, text_or_empty
+from .common import ascii_lower, persisted, text_or_empty
 
 TRIE_BYTES = 256 << 20
 
@@ -219,6 +219,13 @@ def exact_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k
     return joined.select(*names, owner.alias("keep_id"), F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"), F.col(key).eqNullSafe(owner).alias("kept"), F.lower(F.hex("_digest")).alias("text_sha256"))
 
 
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: str = "smallest") -> DataFrame:
+    """One row of ``docs`` for each text: of the rows that bear the owner's identifier, or of those without any, one."""
+    found = persisted(exact_duplicates(docs, text, key, keep).where("kept").withColumn("_row", F.monotonically_increasing_id()))
+    firsts = found.where("group_size > 1").groupBy("text_sha256").agg(F.min("_row").alias("_first")).select("_first")
+    return found.join(firsts, found["_row"] == firsts["_first"], "left").where("group_size = 1 OR _first IS NOT NULL").select(*docs.columns)
+
+
 def op1_exact_dedup(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return exact_duplicates(docs, keep="largest").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")

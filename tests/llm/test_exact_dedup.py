@@ -4,6 +4,7 @@ import random
 from hypothesis import given
 from hypothesis import strategies as st
 
+import corpus_pipeline
 from seqloom.llm.exact_dedup import PatriciaTrie, exact_duplicates
 
 
@@ -51,5 +52,11 @@ def test_against_brute_force(docs):
         assert sorted(map(tuple, got), key=str) == brute(rows, keep == "largest")
 
 
+def test_one_row_of_each_text_reaches_the_next_stage(docs, spark, sf):
+    rows = [(1, "same"), (1, "Same"), (2, "same"), (3, "three"), (None, "lost"), (None, "LOST"), (None, "alone"), (4, None), (4, ""), (5, "x"), (None, "x")]
+    got = corpus_pipeline.exact_stage(spark, docs(rows, more=False), sf).collect()
+    assert sorted(((r["doc_id"], (r["text"] or "").lower()) for r in got), key=str) == sorted([(1, "same"), (3, "three"), (None, "lost"), (None, "alone"), (4, ""), (5, "x")], key=str)
+
+
 def test_empty_table(docs):
     assert exact_duplicates(docs([(1, "a")]).limit(0)).count() == 0
