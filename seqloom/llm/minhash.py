@@ -18,9 +18,9 @@ With r registers in each of n bands, a pair at similarity s meets nowhere with p
 defaults 8e-6 exactly at 0.85, 2e-8 at 0.9.
 
 Defined results: null, empty and blank texts have no shingles, link with nothing and stay alone; texts
-of fewer words than a shingle are one shingle; a repeated row belongs to its text's class; a row with a null
-identifier belongs to its text's class but never names it (alone, it has a null component and is kept); extra
-columns are ignored.
+of fewer words than a shingle are one shingle; a repeated row belongs to its text's class; rows with a null
+identifier are compared like others, under numbers above all identifiers, so they never name a component that has
+one (a component of such rows alone is null, and one of its rows is kept); extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ from pyspark.sql import functions as F
 from .common import byte_slices, persisted
 from .components import components
 
+ROWS = 1 << 52  #: above any row number that Spark gives to fewer than 2^19 partitions
+
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 PART = 3000
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -267,12 +269,25 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def _numbered(source: DataFrame) -> tuple[DataFrame, int | None]:
+    """``source`` with a number for every null identifier, and the largest real one (None where none is null)."""
+    nulls = persisted(source.where("_key IS NULL").withColumn("_key", F.monotonically_increasing_id()))
+    if nulls.isEmpty():
+        return source, None
+    top = source.agg(F.max("_key")).first()[0]
+    top = -1 if top is None else top
+    if top + ROWS >= 1 << 63:
+        raise ValueError("no numbers are left above the identifiers for the rows without one")
+    return source.where("_key IS NOT NULL").unionByName(nulls.withColumn("_key", F.col("_key") + F.lit(top + 1))), top
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 20, rows: int | None = None, text: str = "text", key: str = "doc_id", part: int = PART) -> DataFrame:
     """One row per document: the key, n_shingles, component_id and kept."""
     rows = rows or (5 if percent >= 84 else 4)
     source = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
+    source, top = _numbered(source)
     sketches = persisted(source.mapInArrow(_sketch(k, bands, rows), "id long, n_shingles long, print binary, bands array<long>"))
-    classes = sketches.where("print IS NOT NULL AND id IS NOT NULL").groupBy("print").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+    classes = sketches.where("print IS NOT NULL").groupBy("print").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
     banded = persisted(classes.select("rep", F.explode("bands").alias("bucket")))
 
     buckets = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("rep")).alias("mark"), F.sum(F.hash("rep").cast("long")).alias("total")).where("size > 1")
@@ -291,8 +306,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     linked = components(sent.mapInArrow(_verify(percent), "a long, b long"))
 
     named = classes.join(linked, classes["rep"] == linked["node"], "left").where("copies > 1 OR component IS NOT NULL").select("print", F.coalesce("component", "rep").alias("component"))
+    own, component = F.col("id"), F.coalesce("component", "id")
+    real = (lambda x: x) if top is None else (lambda x: F.when(x <= top, x))
     return sketches.select("id", "n_shingles", "print").join(named, "print", "left").select(
-        F.col("id").alias(key), "n_shingles", F.coalesce("component", "id").alias("component_id"), F.col("id").eqNullSafe(F.coalesce("component", "id")).alias("kept")
+        real(own).alias(key), "n_shingles", real(component).alias("component_id"), own.eqNullSafe(component).alias("kept")
     )
 
 

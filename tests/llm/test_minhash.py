@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from seqloom.llm import components, minhash
 
 
@@ -61,6 +62,21 @@ def test_empty_null_and_repeated_rows(docs):
     assert sorted((str(r["doc_id"]), r["component_id"]) for r in got) == [("5", 5), ("5", 5), ("None", 5)]
 
 
+def test_rows_without_an_identifier_are_compared(docs, spark, sf):
+    r = random.Random(9)
+    words = lambda: [f"w{r.randrange(10**6)}" for _ in range(200)]
+    one, two, alone = words(), words(), words()
+    near = lambda x: " ".join([*x[:-1], "other"])
+    rows = [(5, "a b c"), (None, "A b c"), (7, " ".join(one)), (None, near(one)), (None, " ".join(two)), (None, near(two)), (None, " ".join(alone)), (None, ""), (None, None)]
+    got = minhash.near_duplicates(docs(rows), k=3, percent=85).collect()
+    have = sorted(((x["doc_id"], x["n_shingles"], x["component_id"], x["kept"]) for x in got), key=str)
+    want = [(5, 1, 5, True), (None, 1, 5, False), (7, 198, 7, True), (None, 198, 7, False)]
+    want += [(None, 198, None, True), (None, 198, None, False), (None, 198, None, True), (None, 0, None, True), (None, 0, None, True)]
+    assert have == sorted(want, key=str)
+    rows += [(8, near(alone)), (8, " ".join([*alone[:-2], "yet", "other"]))]
+    assert corpus_pipeline.near_stage(spark, docs(rows, more=False), sf).count() == 6
+
+
 def test_registers_merge_and_estimate():
     sketch = minhash.SetSketch(2000)
     r = np.random.default_rng(1)
