@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -17,8 +18,23 @@ SPACES = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def column(name: str) -> Column:
+    """A column of any name, dots and back quotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def apart(df: DataFrame) -> str:
+    """A prefix of underscores that begins no column of ``df``: names for intermediate columns."""
+    prefix = "_"
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
+def others(df: DataFrame, *results: str) -> list[str]:
+    """The columns of ``df`` but those that a result of the same name, in any case, replaces."""
+    replaced = {r.lower() for r in results}
+    return [c for c in df.columns if c.lower() not in replaced]
 
 
 def text_or_empty(text: str = "text") -> Column:
@@ -35,24 +51,47 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is set only where none is configured."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="seqloom-checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", where)
+    """The folder that driver and executors share: spark.checkpoint.dir. Where none is set, a local master gets one of its own."""
     context = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not where and not re.match(r"local(\[|$)", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not where:
+        where = _own_dirs.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="seqloom-checkpoints-")
+        _own_dirs[context.applicationId] = where
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(where)
     return where
 
 
 def persisted(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back: cuts the lineage, survives lost executors."""
+    """``df`` written to the shared folder and read back: cuts the lineage, survives lost executors.
+
+    The folder goes when the application ends, or before that by :func:`discarded`.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/seqloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    where, files = _files(spark, path)
+    files.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discarded(df: DataFrame) -> None:
+    """Delete what :func:`persisted` wrote for ``df``; nothing may read it or what derives from it afterwards."""
+    where, files = _files(df.sparkSession, df.written_to)
+    files.delete(where, True)
+
+
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def byte_slices(batch: pa.RecordBatch, column: str, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
@@ -66,6 +105,7 @@ def byte_slices(batch: pa.RecordBatch, column: str, limit: int = 16 << 20) -> It
         stop = max(int(np.searchsorted(ends, done + limit, side="right")), start + 1)
         yield batch.slice(start, stop - start)
         start, done = stop, int(ends[stop - 1])
+    pa.default_memory_pool().release_unused()
 
 
 def string_lengths(values: pa.Array) -> np.ndarray:

@@ -25,6 +25,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +41,8 @@ END_ID = 0
 ODD = r"[\s\p{Z}\x{85}\x{0B}\x{1C}-\x{1F}] | [\s\p{Z}\x{85}\x{0B}\x{1C}-\x{1F}]"
 SAFE = re.compile(r"(?<=\S)(?= \S)")
 #: Pieces that may stand in lines of one text: a token never crosses a newline between such pieces.
-PLAIN = re.compile(r" ?\S+\Z")
-REMEMBERED = 700_000
+PLAIN = r"\A ?[^\s\p{Z}\x{85}\x{0B}\x{1C}-\x{1F}]+\z"
+RUN, REMEMBERED = 4 << 20, 350_000  #: text bytes and pieces that a worker holds at a time
 
 
 @lru_cache(maxsize=2)
@@ -53,52 +54,51 @@ def byte_model(path: str):
 
 
 class Pieces:
-    """Ids of text pieces, each distinct piece encoded once; forgets all when the table is full."""
+    """Ids of text pieces, each distinct piece encoded once; between runs, a full table is emptied."""
 
     def __init__(self, path: str):
         self.model = byte_model(path)
         self.newline = self.model.encode("\n", add_special_tokens=False).ids[0]
-        self.forget()
-
-    def forget(self) -> None:
+        self.starts, self.lengths, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
         self.known: dict[str, int] = {}
-        self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
+        self.pieces = self.used = 0
 
-    def reserve(self, pieces: list[str]) -> None:
-        """Called before a run's look-ups, so that none of its places is forgotten in between."""
-        if len(self.known) > REMEMBERED:
-            self.forget()
-        known = self.known
-        fresh = list(dict.fromkeys([p for p in pieces if p not in known]))
-        joined = [p for p in fresh if PLAIN.match(p)]
-        other = [p for p in fresh if not PLAIN.match(p)]
-        for i in range(0, len(joined), 20_000):
-            some = joined[i : i + 20_000]
-            ids = np.array(self.model.encode("\n".join(some), add_special_tokens=False).ids, np.uint32)
+    def encoded(self, plain: list[str], other: list[str]) -> None:
+        """Append the ids of the pieces, in order: plain ones as lines of long texts, others one by one."""
+        for i in range(0, len(plain), 2000):
+            some = plain[i : i + 2000]
+            ids = np.array(self.model.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, np.uint32)
             breaks = np.flatnonzero(ids == self.newline)
-            if len(breaks) != len(some) - 1:
-                other.extend(some)
-                continue
-            self.append(some, np.delete(ids, breaks), np.diff(np.concatenate(([-1], breaks, [len(ids)]))) - 1)
+            if len(breaks) == len(some) - 1:
+                self.append(np.delete(ids, breaks), np.diff(np.concatenate(([-1], breaks, [len(ids)]))) - 1)
+            else:
+                self.encoded([], some)
         for i in range(0, len(other), 10_000):
-            some = other[i : i + 10_000]
-            coded = [x.ids for x in self.model.encode_batch(some, add_special_tokens=False)]
-            self.append(some, np.fromiter((x for ids in coded for x in ids), np.uint32), np.fromiter(map(len, coded), np.int64))
+            coded = [x.ids for x in self.model.encode_batch_fast(other[i : i + 10_000], add_special_tokens=False)]
+            self.append(np.fromiter((x for ids in coded for x in ids), np.uint32), np.fromiter(map(len, coded), np.int64))
 
-    def append(self, pieces: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        at, end = len(self.known), len(self.known) + len(pieces)
+    def append(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        at, end = self.pieces, self.pieces + len(lengths)
         if end > len(self.starts):
             self.starts, self.lengths = np.resize(self.starts, 2 * end), np.resize(self.lengths, 2 * end)
         if self.used + len(ids) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * (self.used + len(ids)))
         self.flat[self.used : self.used + len(ids)] = ids
         self.starts[at:end], self.lengths[at:end] = self.used + np.cumsum(lengths) - lengths, lengths
-        self.known.update(zip(pieces, range(at, end), strict=True))
-        self.used += len(ids)
+        self.pieces, self.used = end, self.used + len(ids)
 
     def places(self, pieces: list[str]) -> np.ndarray:
-        return np.fromiter((self.known[p] for p in pieces), np.int64, len(pieces))
+        """Where the pieces stand."""
+        at = np.fromiter((self.known.get(p, -1) for p in pieces), np.int64, len(pieces))
+        fresh = np.flatnonzero(at < 0).tolist()
+        new = dict.fromkeys([pieces[i] for i in fresh])
+        flags = pc.match_substring_regex(pa.array(list(new), pa.string()), PLAIN).to_pylist()
+        plain, other = list(compress(new, flags)), [p for p, flag in zip(new, flags, strict=True) if not flag]
+        new.update(zip([*plain, *other], range(self.pieces, self.pieces + len(new)), strict=True))
+        self.encoded(plain, other)
+        at[fresh] = [new[pieces[i]] for i in fresh]
+        self.known.update(new)
+        return at
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and each text's number of ids."""
@@ -109,23 +109,20 @@ class Pieces:
         coded = split.flatten().dictionary_encode()
         codes, words = coded.indices.to_numpy(), [" " + w for w in coded.dictionary.to_pylist()]
         heads = offsets[:-1]
-        first = [words[c][1:] for c in codes[heads]]
-        own = {int(i): SAFE.split(texts[int(i)].as_py()) for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False))}
-        self.reserve([*words, *first, *(p for pieces in own.values() for p in pieces)])
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+            self.pieces = self.used = 0
         places = self.places(words)[codes]
-        places[heads] = self.places(first)
+        places[heads] = self.places([words[c][1:] for c in codes[heads]])
+        own = {int(i): self.places(SAFE.split(texts[int(i)].as_py())) for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False))}
         counts = list_sums(self.lengths[places], offsets)
-        if not own:
-            return ragged_take(self.flat, self.starts[places], self.lengths[places]), counts
         ids, done = [], 0
-        for i in sorted(own):
+        for i in [*own, len(counts)]:
             part = places[offsets[done] : offsets[i]]
             ids.append(ragged_take(self.flat, self.starts[part], self.lengths[part]))
-            part = self.places(own[i])
-            ids.append(ragged_take(self.flat, self.starts[part], self.lengths[part]))
-            counts[i], done = len(ids[-1]), i + 1
-        part = places[offsets[done] :]
-        ids.append(ragged_take(self.flat, self.starts[part], self.lengths[part]))
+            if i in own:
+                ids.append(ragged_take(self.flat, self.starts[own[i]], self.lengths[own[i]]))
+                counts[i], done = len(ids[-1]), i + 1
         return np.concatenate(ids), counts
 
 
@@ -270,7 +267,7 @@ def packed(docs: DataFrame, model_path: str, capacity: int = 1024, block: int =
         pieces, packer, rows = pieces_of(model_path), Packer(TaskContext.get().partitionId(), capacity, block, cuts), []
         kind = pa.int64()
         for batch in batches:
-            for part in byte_slices(batch, "_text", 16 << 20):
+            for part in byte_slices(batch, "_text", RUN):
                 ids, counts = pieces.encode(part.column("_text"))
                 ends = np.cumsum(counts)
                 for doc, end, count in zip(part.column("_key").to_pylist(), ends.tolist(), counts.tolist(), strict=True):
