@@ -10,8 +10,9 @@ element of the page and less than half of its link-adjusted text. Pages
 are independent rows, so the plan is scan -> map with no shuffle.
 
 Defined results: null or empty html, and pages without any text, give the empty text; markup that the
-end of the page cuts off is dropped; repeated rows are extracted each; very deep nesting is walked
-without recursion.
+end of the page cuts off is dropped; repeated rows are extracted each; null keys stay null; an empty table gives an empty result;
+columns other than the kept ones are ignored, so input columns named text or n_chars clash with nothing unless they are asked to
+be kept (then the result takes their place); very deep nesting is walked without recursion, in time that grows with the page's length.
 """
 
 from __future__ import annotations
@@ -23,27 +24,30 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import byte_slices
+from .common import byte_slices, column
 
+#: A quoted value may hold ">"; quotes elsewhere in a tag are plain characters. No part can match in two ways, so time is linear.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|title)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>(?:.*?</(?P=raw)\s*>|.*\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>"
-    r"|<[!?/][^>]*(?:>|\Z)"
-    r"|<[a-z][^>]*\Z",
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
+    r"|<(?P<end>/?)(?P<name>[a-z][^\s/>]*+)(?P<rest>(?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)>"
+    r"|<[!?/][^>]*+(?:>|\Z)"
+    r"|<[a-z][^>]*+\Z",
     re.I | re.S,
 )
-ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/\s*\Z")
 
-#: Elements without content, elements that start a block, and elements that never hold article text.
+#: Elements without content, elements whose content is no markup, elements that start a block, and elements that never
+#: hold article text.
+RAW = frozenset("iframe noembed noframes script style textarea title xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-DROPPED = frozenset("head nav footer aside button select option label input dialog menu object audio video canvas".split())
+DROPPED = frozenset("head nav footer aside button select option label input dialog menu object audio video canvas svg math template noscript".split())
+FOREIGN = frozenset("svg math".split())
 INLINE = frozenset("a abbr b big cite code em font i kbd mark s samp small span strike strong sub sup tt u var".split())
 BAD_NAMES = frozenset(
     "nav navbar navigation menu sidebar footer header masthead ad ads advert adverts advertisement adsense banner promo sponsor sponsored cookie cookies consent gdpr "
@@ -63,21 +67,40 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 BARRIERS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 
 
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in RAW}
+
+
+def attributes(rest: str) -> dict[str, str]:
+    """The attributes of a tag, names in lower case, values decoded; of two with one name the first counts."""
+    found: dict[str, str] = {}
+    for name, *values in ATTRIBUTE.findall(rest):
+        found.setdefault(name.lower(), references.unescape("".join(values)))
+    return found
+
+
 class Page:
     """Nodes in document order, and the page's texts and block breaks in order."""
 
     def __init__(self, source: str):
         self.tags, self.parents, self.dropped, self.linked = ["html"], [-1], [False], [False]
-        self.doubtful = [False]
+        self.doubtful, self.inside, self.foreign = [False], [False], [False]
         self.items: list[tuple[int, str] | None] = []
         self.stack, at = [0], 0
-        for token in TOKEN.finditer(source):
+        #: Depths in the stack of the open elements of each name, and of those that start a block.
+        self.depths: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        while token := TOKEN.search(source, at):
             if token.start() > at:
                 self.items.append((self.stack[-1], source[at : token.start()]))
             at = token.end()
-            name = token["name"]
-            if name:
-                (self.close if token["end"] else self.open)(name.lower(), token["rest"])
+            name = (token["name"] or "").lower()
+            if name and token["end"]:
+                self.close(name)
+            elif name in RAW and not (self.foreign[self.stack[-1]] and SELF_CLOSED.search(token["rest"])):
+                end = RAW_END[name].search(source, at)
+                at = end.end() if end else len(source)
+            elif name:
+                self.open(name, token["rest"])
         if at < len(source):
             self.items.append((self.stack[-1], source[at:]))
         self.settle()
@@ -90,37 +113,45 @@ class Page:
             self.pop(CLOSES[name], BARRIERS[name])
         if name == "br":
             self.items.append((self.stack[-1], " "))
-        if name in VOID:
-            return
         parent = self.stack[-1]
-        inside = {"article", "main"} & {self.tags[i] for i in self.stack}
+        if name in VOID and not self.foreign[parent]:
+            return
         self.tags.append(name)
         self.parents.append(parent)
         self.linked.append(self.linked[parent] or name == "a")
-        self.dropped.append(self.dropped[parent] or name in DROPPED or name == "header" and not inside or unwanted(name, rest))
-        self.doubtful.append(name == "form" or side_part(name, rest, bool(inside)))
-        if not rest.rstrip().endswith("/") or name in BLOCK:
+        self.inside.append(self.inside[parent] or name in ("article", "main"))
+        self.foreign.append(self.foreign[parent] or name in FOREIGN)
+        known = attributes(rest) if rest else {}
+        self.dropped.append(self.dropped[parent] or name in DROPPED or name == "header" and not self.inside[parent] or unwanted(name, known))
+        self.doubtful.append(name == "form" or side_part(name, known, self.inside[parent]))
+        if name in BLOCK or not SELF_CLOSED.search(rest):
+            self.depths.setdefault(name, []).append(len(self.stack))
+            if name in BLOCK:
+                self.blocks.append(len(self.stack))
             self.stack.append(len(self.tags) - 1)
 
-    def close(self, name: str, rest: str) -> None:
+    def cut(self, depth: int) -> None:
+        """Close the element at this depth of the stack and all above it."""
+        for i in self.stack[depth:]:
+            self.depths[self.tags[i]].pop()
+        while self.blocks and self.blocks[-1] >= depth:
+            self.blocks.pop()
+        del self.stack[depth:]
+
+    def nearest(self, names: set[str]) -> int:
+        return max((self.depths[x][-1] for x in names if self.depths.get(x)), default=0)
+
+    def close(self, name: str) -> None:
         if name in BLOCK:
             self.items.append(None)
-        for depth in range(len(self.stack) - 1, 0, -1):
-            tag = self.tags[self.stack[depth]]
-            if tag == name:
-                del self.stack[depth:]
-                return
-            if name in INLINE and tag in BLOCK:
-                return
+        depth = self.nearest({name})
+        if depth and not (name in INLINE and self.blocks and self.blocks[-1] > depth):
+            self.cut(depth)
 
     def pop(self, names: set[str], barriers: set[str]) -> None:
-        for depth in range(len(self.stack) - 1, 0, -1):
-            tag = self.tags[self.stack[depth]]
-            if tag in names:
-                del self.stack[depth:]
-                return
-            if tag in barriers:
-                return
+        depth = self.nearest(names)
+        if depth > self.nearest(barriers):
+            self.cut(depth)
 
     def settle(self) -> None:
         """Drop the doubtful nodes that hold neither the page's articles nor most of its link-adjusted text."""
@@ -205,29 +236,18 @@ class Page:
         return inside
 
 
-def unwanted(name: str, rest: str) -> bool:
-    if not rest or name in ("html", "body", "article", "main"):
+def unwanted(name: str, known: dict[str, str]) -> bool:
+    if not known or name in ("html", "body", "article", "main"):
         return False
-    for attribute, value in ATTRIBUTE.findall(rest):
-        attribute, value = attribute.lower(), value.strip("\"'").lower()
-        if attribute == "role" and value in BAD_ROLES or attribute == "hidden" or attribute == "aria-hidden" and value == "true":
-            return True
-        if attribute == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return False
+    hides = re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", known.get("style", ""), re.I)
+    return "hidden" in known or known.get("aria-hidden", "").lower() == "true" or known.get("role", "").lower() in BAD_ROLES or hides is not None
 
 
-def side_part(name: str, rest: str, inside: bool) -> bool:
+def side_part(name: str, known: dict[str, str], inside: bool) -> bool:
     """Whether the class, id or role names a side part of a page; ``inside`` is true in an article or main element."""
-    if not rest or name in ("html", "body", "article", "main"):
+    if not known or name in ("html", "body", "article", "main"):
         return False
-    for attribute, value in ATTRIBUTE.findall(rest):
-        attribute, value = attribute.lower(), value.strip("\"'").lower()
-        if attribute in ("class", "id") and any(bad_name(x, inside) for x in value.split()):
-            return True
-        if attribute == "role" and value == "form":
-            return True
-    return False
+    return known.get("role", "").lower() == "form" or any(bad_name(x, inside) for a in ("class", "id") for x in known.get(a, "").lower().split())
 
 
 def bad_name(value: str, inside: bool) -> bool:
@@ -250,7 +270,7 @@ def main_text(source: str | None) -> str:
     blocks, now = [], []
     for item in [*page.items, None]:
         if item is None:
-            block = " ".join(references.unescape("".join(now)).split())
+            block = " ".join("".join(map(references.unescape, now)).split())
             if block:
                 blocks.append(block)
             now = []
@@ -261,6 +281,7 @@ def main_text(source: str | None) -> str:
 
 def extract_main_text(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The ``keep`` columns plus ``text`` and ``n_chars``."""
+    keep = tuple(c for c in keep if c.lower() not in ("text", "n_chars"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,8 +289,8 @@ def extract_main_text(pages: DataFrame, html: str = "html", keep: tuple[str, ...
                 texts = [main_text(x) for x in part.column("_html").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*keep).schema)
-    return pages.select(*keep, F.col(html).alias("_html")).mapInArrow(run, f"{kept}, text string, n_chars long")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*map(column, keep)).schema)
+    return pages.select(*map(column, keep), column(html).alias("_html")).mapInArrow(run, f"{kept}, text string, n_chars long")
 
 
 def op10_html_text(spark, sf_dir):

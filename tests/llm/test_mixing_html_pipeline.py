@@ -1,6 +1,9 @@
 import math
+import random
+import time
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,9 +100,93 @@ def test_main_text_without_semantic_elements():
     assert text.count("\n") == 7 and "one" not in text and "links" not in text
 
 
+@pytest.mark.parametrize(
+    "end",
+    [
+        "<p title='A hidden gem'>Gem.</p>",
+        "<p data-id='comment'>Gem.</p>",
+        "<p data-state=hidden data-role=navigation>Gem.</p>",
+        "<svg/><p>Gem.</p>",
+        "<svg><path d=M0/><title>bad</title><style/><svg/>bad</svg><p>Gem.</p>",
+        "<p data-x=it's>Gem.</p><p title=it's></p>",
+        "<section id='notice-of-meeting'><p>Gem.</p></section>",
+        "<template><template>bad</template>bad</template><p>Gem.</p>",
+        "<a name='x'/><p>Gem.</p>",
+        "<noscript><p>bad</p></noscript><p hidden>bad</p><p class=hidden-gem>Gem.</p>",
+        "<p title='a > b' class=x=y>Gem.</p>",
+        "<script>'</scripty>' + bad</script><textarea><p>bad</textarea><p>Gem.</p>",
+        "<!--><p>Gem.</p><!-- bad --!>",
+    ],
+)
+def test_attributes_and_odd_markup_lose_nothing(end):
+    text = html_text.main_text(f"<body><article>{LONG}{end}</article></body>")
+    assert text.count("\n") == 8 and text.endswith("\nGem.")
+    assert html_text.main_text(f"<body><form action=/x>{LONG}{end}</form></body>").endswith("\nGem.")
+
+
+def test_references_are_decoded_within_their_own_text():
+    assert html_text.main_text("<article><p>a &am<b></b>p; &lt;b&gt; &#x41;&nbsp;&notit;</p></article>") == "a &amp; <b> A \u00acit;"
+
+
+@pytest.mark.parametrize("part", ["<div><b>", "<div>", "<svg/>", "</p>", "<ul><li>", "<a href='x>", '<a ="', "<p></i>", "<!--", "<table><tr><td>"])
+def test_time_follows_the_length(part):
+    def taken(n):
+        start = time.process_time()
+        html_text.main_text(part * n + "</i>" * n)
+        return time.process_time() - start
+
+    assert taken(40_000) < 10 * max(taken(10_000), 0.01)
+
+
+def density_by_recursion(node, all_chars, all_links):
+    """(characters, linked ones, tags, link tags, density, sum) of a tree of (name, text, children), straight from the definitions."""
+    name, text, children = node
+    parts = [density_by_recursion(c, all_chars, all_links) for c in children]
+    linked = name == "a"
+    chars = len(text) + sum(p[0] for p in parts)
+    links = chars if linked else sum(p[1] for p in parts)
+    tags = 1 + sum(p[2] for p in parts)
+    link_tags = linked + sum(p[3] for p in parts)
+    density = 0.0
+    if chars:
+        base = math.log(chars / max(chars - links, 1) * links + all_links / all_chars * chars + math.e)
+        density = max(chars / tags * math.log(max(chars / max(links, 1) * tags / max(link_tags, 1), 1 + 1e-9)) / base, 0.0)
+    return chars, links, tags, link_tags, density, sum(p[4] for p in parts) or density
+
+
+def test_densities_equal_the_definition():
+    r = random.Random(3)
+
+    def tree(depth):
+        name = r.choice(["div", "section", "span", "a"]) if depth else "div"
+        children = [tree(depth + 1) for _ in range(r.randint(0, 4))] if depth < 4 and name != "a" else []
+        return name, "x" * r.randint(0, 60), children
+
+    def html(node):
+        return f"<{node[0]}>{node[1]}{''.join(map(html, node[2]))}</{node[0]}>"
+
+    def walk(node):
+        yield node
+        for c in node[2]:
+            yield from walk(c)
+
+    for _ in range(60):
+        root = ("html", "", [tree(0) for _ in range(3)])
+        page = html_text.Page("".join(map(html, root[2])))
+        chars, links = density_by_recursion(root, 1, 1)[:2]
+        density, sums = page.densities()
+        want = [density_by_recursion(n, max(chars, 1), links)[4:] for n in walk(root)]
+        assert np.allclose(list(zip(density, sums, strict=True)), want)
+        heart = max(range(len(want)), key=lambda i: (want[i][1], -i))
+        assert page.content()[heart] or not chars
+
+
 def test_odd_pages(spark):
     assert [html_text.main_text(x) for x in (None, "", "<p", "<!-- x", "<div></div>", "plain")] == ["", "", "", "", "", "plain"]
     assert html_text.main_text("<div>" * 50_000 + "deep") == "deep"
+    assert html_text.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    clash = spark.createDataFrame([("<p>a</p>", "old", 9)], "html string, text string, N_Chars int")
+    assert html_text.extract_main_text(clash, keep=("html", "text", "N_Chars")).collect() == [("<p>a</p>", "a", 1)]
     pages = spark.createDataFrame([(1, "u", None), (1, "u", None), (2, None, "<article><p>é𝄞</p></article>")], "page_id long, url string, html string").withColumn("text", F.lit(1))
     assert sorted(map(tuple, html_text.extract_main_text(pages).collect()), key=str) == [(1, "u", "", 0), (1, "u", "", 0), (2, None, "é𝄞", 2)]
 
