@@ -2,20 +2,22 @@
 
 A character trigram model is counted over the words of all documents (its table is bounded by the
 alphabet: 64^3 cells). A word that may be disguised -- digits or signs among letters or instead of them, a letter
-repeated, or a run of single letters set apart -- becomes a lattice: every character offers the letters
-it may stand for, separators may vanish, repetitions may shrink. Viterbi decoding finds the likeliest
-reading under model and channel costs, of words of any length; plain words are their own reading. Evidence is learnt from a
-bounded sample of labelled training rows: words and word beginnings whose share of toxic documents is
-significant (binomial tail, Bonferroni-corrected). A document's score is the posterior of
-a naive Bayes model over the distinct features found in it (each word giving its most significant one).
+repeated, letters that look like others, or parts set apart -- becomes a lattice (:mod:`.channel`), and Viterbi decoding finds its
+likeliest reading, whatever its length; a word with inner marks is also read part by part. Words written in several parts are found
+by the joined skeletons of neighbouring words and read with the spaces in the lattice, so they count only where one word is likelier
+than several.
+
+Evidence is learnt from a bounded sample of labelled training rows, as written and as decoded: words and word beginnings whose
+share of toxic documents is significant (binomial tail, Bonferroni-corrected). The level of significance is the one of the least
+log loss when each third of these training rows is scored with evidence of the other two; no other label is read. A document's score is
+the posterior of a naive Bayes model over the distinct features found in it (each word giving its most significant one).
 
 Every distinct word of a run is decoded and weighed once. The pass over the documents is scan -> map;
 only feature counts of the sample are shuffled.
 
 Defined results: null and empty texts get the bare prior (half the base rate, as they show no listed word); without
-usable labels every score is 0.01; rows
-with a null identifier are not held out; repeated rows are scored each; a labelled row counts once for each
-time it occurs.
+usable labels every score is 0.01; rows with a null identifier are not held out; repeated rows are scored each; a labelled
+row counts once for each time it occurs; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,32 +26,29 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, ragged_take
-
-#: The letters of the character model, and what a sign may stand for.
-LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœ"
-READINGS = {
-    "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
-    "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "#": "aeiou", "%": "aeiou", "?": "aeiou",
-}
-EDGE, OTHER, SIZE = 0, 1, 64
-CODE = {c: i + 2 for i, c in enumerate(LETTERS)}
-COST_READING, COST_GUESS, COST_SKIP, COST_SHRINK = 0.7, 2.5, 0.7, 0.7
-TRAILING = ".,;:!?\"'()[]{}|#*$%&<>~`^_-/\\"
-LEADING = ".,;:?\"'()[]{}&<>~`^_-/\\"
-PLAIN = re.compile(r"[^\W\d_]+\Z")
-DOUBLE = re.compile(r"([^\W\d_])\1")
+from .channel import SIZE, TRAILING, CharacterModel, Skeletons, decode, disguised, normal, spans, stripped, trigram_counts
+from .common import byte_slices, column, persisted, ragged_take
+
 MARKS = "\"'.,;:()[]{}"
+#: What joins the parts of a word.
+JOINTS = re.compile(r"[-_/.,:;~=&\\\"'()\[\]{}\u2010-\u2015]+")
 BEGINNINGS = (4, 5, 6, 7)
-LONGEST = 64
-REMEMBERED = 500_000
+RUN, REMEMBERED = 8 << 20, 200_000  #: text bytes and words that a worker holds at a time
+LEVELS = (0.01, 0.05, 0.25, 1.0)
+FOLDS = 3
+#: Share of the sample's documents from which on a word is too frequent to be a part of another.
+COMMON = 0.005
+ALL = "\t"  #: the feature that every document has
+AGAIN = "\t2"  #: ends the name of a feature that two or more distinct words of a document have
+PART = "\tp"  #: ends the name of a word as written
 
 
 def _words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
@@ -57,10 +56,6 @@ def _words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     return lists.flatten().dictionary_encode(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
 
 
-def stripped(word: str) -> str:
-    return word.rstrip(TRAILING).lstrip(LEADING)
-
-
 def alone(word: str) -> str:
     """The character of a word that is one character, marks at its edges aside; else the empty string."""
     if len(word) == 1:
@@ -68,167 +63,117 @@ def alone(word: str) -> str:
     return next((form for form in (stripped(word), word.strip(MARKS)) if len(form) == 1), "")
 
 
-# --- character model ---------------------------------------------------------------------------
-
-
-_TABLE = np.full(0x180, OTHER, np.int64)
-for _letter, _code in CODE.items():
-    _TABLE[ord(_letter)] = _code
-_TABLE[ord(" ")] = EDGE
-
-
-def trigram_counts(words: list[str], weights: np.ndarray) -> np.ndarray:
-    """Weighted counts of letter trigrams, two edges before and one behind each word; other signs count as OTHER."""
-    if not words:
-        return np.zeros(SIZE**3)
-    points = np.frombuffer(("  " + "   ".join(words) + " ").encode("utf-32-le", "replace"), np.uint32)
-    codes = np.where(points < len(_TABLE), _TABLE[np.minimum(points, len(_TABLE) - 1)], OTHER)
-    lengths = np.array([len(w) for w in words]) + 3
-    lengths[-1] = len(codes) - lengths[:-1].sum()
-    weight = np.repeat(weights, lengths)[2:]
-    return np.bincount((codes[:-2] * SIZE + codes[1:-1]) * SIZE + codes[2:], weights=weight, minlength=SIZE**3)
-
-
-class CharacterModel:
-    """Interpolated trigram costs (negative logarithms)."""
-
-    def __init__(self, counts: np.ndarray):
-        three = counts.reshape(SIZE, SIZE, SIZE).astype(float)
-        two, one = three.sum(axis=0), three.sum(axis=(0, 1))
-        share = lambda x: (x + 0.1) / (x + 0.1).sum(axis=-1, keepdims=True)
-        seen = three.sum(axis=2, keepdims=True)
-        trust = seen / (seen + 20)
-        self.cost = -np.log(trust * share(three) + (1 - trust) * (0.9 * share(two)[None] + 0.1 * share(one)[None, None]))
-
-
-def lattice(word: str) -> Iterator[list[tuple[str, float]]]:
-    """For each place the readings ("" for none) with their channel costs; what can only vanish has no place."""
-    i = 0
-    while i < len(word):
-        c, run = word[i], 1
-        while i + run < len(word) and word[i + run] == c:
-            run += 1
-        if c in CODE:
-            yield [(c, 0.0)]
-            if run == 2:
-                yield [(c, 0.0), ("", COST_SHRINK * 2)]
-            elif run > 2:
-                yield [("", COST_SHRINK), (c, COST_SHRINK * 1.5)]
-        elif c in READINGS:
-            options = [(x, COST_GUESS if len(READINGS[c]) > 2 else COST_READING) for x in READINGS[c]]
-            yield options if c.isdigit() else [*options, ("", COST_SKIP * 2)]
-            if run > 1:
-                yield [*options, ("", COST_SKIP * 2 if not c.isdigit() else COST_SHRINK * 2 if run == 2 else COST_SHRINK)]
-        i += run
-
-
-def decode(word: str, model: CharacterModel) -> str:
-    """The likeliest reading of a disguised word.
-
-    Long readings are settled window by window: once the best one has two windows, its first is final, and the
-    readings that differ there end.
-    """
-    settled: list[str] = []
-    states = {(EDGE, EDGE): (0.0, "")}
-    for options in lattice(word):
-        new: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, text) in states.items():
-            for letter, price in options:
-                if letter:
-                    c = CODE[letter]
-                    key, value = (b, c), (cost + price + model.cost[a, b, c], text + letter)
-                else:
-                    key, value = (a, b), (cost + price, text)
-                if key not in new or value < new[key]:
-                    new[key] = value
-        states = new
-        if min(len(text) for _, text in states.values()) >= 2 * LONGEST:
-            first = min(states.values())[1][:LONGEST]
-            settled.append(first)
-            states = {key: (cost, text[LONGEST:]) for key, (cost, text) in states.items() if text.startswith(first)}
-    return "".join(settled) + min((cost + model.cost[a, b, EDGE], text) for (a, b), (cost, text) in states.items())[1]
-
-
-def disguised(word: str) -> bool:
-    return len(word) > 2 and any(c in CODE or c in READINGS for c in word) and (not PLAIN.match(word) or DOUBLE.search(word) is not None)
-
-
 # --- evidence ----------------------------------------------------------------------------------
 
 
 def features(word: str) -> list[str]:
-    return ["=" + word, *(word[:n] for n in BEGINNINGS if len(word) > n)]
-
-
-AGAIN = "\t2"  #: ends the name of a feature that two or more distinct words of a document have
+    return ["=" + word, *(word[:n] for n in BEGINNINGS if len(word) > n)] if word else []
+
+
+def readings(word: str, model: CharacterModel) -> Iterator[str]:
+    """A word as written, as decoded, and its parts as written and as decoded."""
+    bare = stripped(word)
+    plain = normal(bare)
+    yield bare
+    if plain != bare:
+        yield plain
+    for form in sorted({plain, word.strip(MARKS)}):
+        if disguised(form):
+            yield decode(form, model)
+    parts = [x for x in JOINTS.split(plain) if len(x) > 2]
+    if len(parts) > 1 or parts and parts[0] != plain:
+        for part in parts:
+            yield part
+            if disguised(part):
+                yield decode(part, model)
 
 
 @dataclass
 class Evidence:
-    """Listed features with their significance and log-likelihood ratio, and the channel's character model."""
+    """Listed features with their significance and log-likelihood ratio, the channel's character model, and frequent words."""
 
     listed: dict[str, tuple[float, float]]
     base: float
     model: CharacterModel
+    common: frozenset[str] = frozenset()
     known: dict[str, tuple[str, ...]] = field(default_factory=dict)
-    reach: int = 0
 
     def __post_init__(self):
-        self.reach = max((len(f) - 1 for f in self.listed if f[0] == "="), default=0)
+        exact = [f[1:].removesuffix(AGAIN) for f in self.listed if f[0] == "="]
+        skeletons = Skeletons(exact)
+        self.reach, self.wanted = int(skeletons.lengths.max(initial=0)), np.unique(skeletons.hashes)
+        self.longest = max(map(len, exact), default=0)
 
     def looked_up(self, word: str) -> tuple[str, ...]:
-        return tuple(f for f in features(word) if f in self.listed or f + AGAIN in self.listed) if word else ()
+        return tuple(f for f in features(word) if f in self.listed or f + AGAIN in self.listed)
 
-    def of_word(self, word: str) -> tuple[str, ...]:
-        """The listed features of the word as written, else as decoded."""
-        out = self.known.get(word)
+    def remembered(self, key: str, made) -> tuple[str, ...]:
+        out = self.known.get(key)
         if out is None:
-            bare = stripped(word)
-            out = self.looked_up(bare)
-            for form in () if out else sorted({bare, word.strip(MARKS)}):
-                if not out and disguised(form):
-                    out = self.looked_up(decode(form, self.model))
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-            self.known[word] = out
+            out = self.known[key] = made()
         return out
 
+    def of_word(self, word: str) -> tuple[str, ...]:
+        """The listed features of the first reading of a word that has any."""
+        return self.remembered(word, lambda: next(filter(None, map(self.looked_up, readings(word, self.model))), ()))
+
+    def of_span(self, words: list[str]) -> tuple[str, ...]:
+        """The listed word that neighbouring words are likelier to be than several words; frequent words stay what they are."""
+        parts = [stripped(w) for w in words]
+        if len(parts) > 1 and all(len(x) > 1 and x in self.common for x in parts):
+            return ()
+
+        def made() -> tuple[str, ...]:
+            reading = "=" + decode(" ".join(parts), self.model)
+            return (reading,) if reading in self.listed or reading + AGAIN in self.listed else ()
+
+        return self.remembered(" ".join(parts), made) if len(parts) > 1 else made()
+
     def of_run(self, letters: str) -> set[tuple[str, ...]]:
         """Letters that stood apart: the listed words among them, as written or decoded."""
         out = set()
         for form in {letters, decode(letters, self.model)}:
             for start in range(len(form)):
-                for stop in range(start + 3, min(start + self.reach, len(form)) + 1):
+                for stop in range(start + 3, min(start + self.longest, len(form)) + 1):
                     if "=" + form[start:stop] in self.listed:
                         out.add(("=" + form[start:stop],))
         return out
 
-    def ratio(self, items: list[tuple[str, ...]]) -> float:
-        """Sum of the ratios of the distinct features that are the most significant of some word."""
+    def ratio(self, items: list[tuple[str, ...]], least: float = 0.0) -> float:
+        """Sum of the ratios of the distinct features that are the most significant of some word, and more so than ``least``."""
         times: dict[str, int] = {}
         for names in items:
             for f in names:
                 times[f] = times.get(f, 0) + 1
         chosen = {}
         for names in items:
-            forms = [x for f in names for x in ([f + AGAIN] if times[f] > 1 else [f]) if x in self.listed]
+            forms = [x for f in names for x in ([f + AGAIN] if times[f] > 1 else [f]) if self.listed.get(x, (0.0,))[0] > least]
             if forms:
                 best = max(forms, key=self.listed.get)
                 chosen[best] = self.listed[best][1]
         return sum(chosen.values())
 
-    def scores(self, texts: pa.Array) -> np.ndarray:
+    def found(self, texts: pa.Array) -> dict[int, list[tuple[str, ...]]]:
+        """For each text with any, the listed features of each of its distinct words, runs of letters, and words in parts."""
         coded, offsets = _words(texts)
         words = coded.dictionary.to_pylist()
-        found = [self.of_word(w) for w in words]
         codes = coded.indices.to_numpy()
-        marked = np.fromiter((bool(f) for f in found), bool, len(words))
+        evidence: dict[int, dict] = {}
+        if not len(codes) or not self.listed:
+            return {}
+        own = [self.of_word(w) for w in words]
+        marked = np.fromiter((bool(f) for f in own), bool, len(words))
+        owner = lambda at: int(np.searchsorted(offsets, at, side="right")) - 1
+        for at in np.flatnonzero(marked[codes]):
+            evidence.setdefault(owner(at), {})[stripped(words[codes[at]])] = own[codes[at]]
+        for i, start, stop in spans(codes, offsets, Skeletons([stripped(w) for w in words]), self.wanted, self.reach):
+            if not marked[codes[start:stop]].any() and (names := self.of_span([words[c] for c in codes[start:stop]])):
+                evidence.setdefault(i, {})[names] = names
         letters = [alone(w) for w in words]
         single = np.fromiter((bool(c) for c in letters), bool, len(words))
-        evidence: dict[int, dict] = {}
-        for at in np.flatnonzero(marked[codes]) if len(codes) else ():
-            evidence.setdefault(int(np.searchsorted(offsets, at, side="right")) - 1, {})[stripped(words[codes[at]])] = found[codes[at]]
-        before = np.concatenate(([0], np.cumsum(single[codes]))) if len(codes) else np.zeros(1, np.int64)
+        before = np.concatenate(([0], np.cumsum(single[codes])))
         for i in np.flatnonzero(before[offsets[1:]] - before[offsets[:-1]] >= 3):
             run = ""
             for c in [*codes[offsets[i] : offsets[i + 1]].tolist(), -1]:
@@ -238,9 +183,15 @@ class Evidence:
                 if len(run) >= 3:
                     evidence.setdefault(int(i), {}).update({names: names for names in self.of_run(run)})
                 run = ""
+        return {i: list(items.values()) for i, items in evidence.items()}
+
+    def chance(self, ratio: float) -> float:
+        return 1 / (1 + math.exp(-min(math.log(self.base / (1 - self.base)) + ratio, 50.0)))
+
+    def scores(self, texts: pa.Array) -> np.ndarray:
         out = np.full(len(texts), self.base)
-        for i, items in evidence.items():
-            out[i] = 1 / (1 + math.exp(-min(math.log(self.base / (1 - self.base)) + self.ratio(list(items.values())), 50.0)))
+        for i, items in self.found(texts).items():
+            out[i] = self.chance(self.ratio(items))
         return out
 
 
@@ -255,69 +206,126 @@ def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(counts[cells].astype(np.int64))], names=["cell", "n"])
 
 
-def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(feature, toxic documents, clean documents) of each run."""
-    for batch in batches:
-        for part in byte_slices(batch, "_text"):
-            coded, offsets = _words(part.column("_text"))
-            toxic = part.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
-            if not len(coded):
-                continue
-            forms: dict[str, int] = {}
-            bare = np.fromiter((forms.setdefault(stripped(w), len(forms)) for w in coded.dictionary.to_pylist()), np.int64)
-            listed = [features(w) if w else [] for w in forms]
-            names: dict[str, int] = {}
-            flat = np.fromiter((names.setdefault(f, len(names)) for fs in listed for f in fs), np.int64)
-            sizes = np.array([len(fs) for fs in listed])
-            starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            codes = coded.indices.to_numpy()
-            both = {True: np.zeros(2 * len(names), np.int64), False: np.zeros(2 * len(names), np.int64)}
-            for i in range(len(toxic)):
-                own = np.unique(bare[codes[offsets[i] : offsets[i + 1]]])
-                if len(own):
-                    found, times = np.unique(ragged_take(flat, starts[own], sizes[own]), return_counts=True)
-                    both[bool(toxic[i])][found + len(names) * (times > 1)] += 1
-            yield pa.RecordBatch.from_arrays([pa.array([*names, *(f + AGAIN for f in names)]), pa.array(both[True]), pa.array(both[False])], names=["feature", "toxic", "clean"])
-
-
-def significant(rows: list[tuple[str, int, int]], toxic: int, clean: int, tested: int, level: float = 0.25) -> dict[str, tuple[float, float]]:
-    """Features more toxic than chance explains (Chernoff bound of the binomial tail), with smoothed log ratios."""
-    out, base = {}, toxic / (toxic + clean)
-    for feature, bad, good in rows:
-        n, share = bad + good, bad / (bad + good)
-        if share >= max(0.5, base):
-            strength = n * (share * math.log(share / base) + (0 if share == 1 else (1 - share) * math.log((1 - share) / (1 - base))))
-            if strength > math.log(max(tested, 1) / level):
-                out[feature] = (strength, math.log((bad + 0.5) / (toxic + 1)) - math.log((good + 0.5) / (clean + 1)))
-    return out
+def _count_features(model: CharacterModel):
+    """(feature, fold, toxic documents, clean documents) of each run."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in byte_slices(batch, "_text", RUN):
+                coded, offsets = _words(part.column("_text"))
+                kinds = part.column("fold").to_numpy().astype(np.int64) * 2 + part.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
+                forms: dict[str, int] = {}
+                bare = np.fromiter((forms.setdefault(stripped(w), len(forms)) for w in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+                names: dict[str, int] = {}
+                listed = [np.unique([names.setdefault(f, len(names)) for x in readings(w, model) for f in features(x)] + [names.setdefault(w + PART, len(names))]) for w in forms]
+                flat = np.concatenate([np.zeros(0, np.int64), *listed]).astype(np.int64)
+                sizes = np.array([len(x) for x in listed], np.int64)
+                starts = np.cumsum(sizes) - sizes
+                codes = coded.indices.to_numpy()
+                counts = np.zeros((2 * FOLDS, 2 * len(names) + 1), np.int64)
+                for i, (start, stop) in enumerate(pairwise(offsets.tolist())):
+                    own = np.unique(bare[codes[start:stop]])
+                    found, times = np.unique(ragged_take(flat, starts[own], sizes[own]), return_counts=True)
+                    counts[kinds[i], found + len(names) * (times > 1)] += 1
+                    counts[kinds[i], -1] += 1
+                every = pa.array([*names, *(f + AGAIN for f in names), ALL])
+                for fold in range(FOLDS):
+                    some = np.flatnonzero(counts[2 * fold] + counts[2 * fold + 1])
+                    yield pa.RecordBatch.from_arrays(
+                        [every.take(pa.array(some)), pa.array(np.full(len(some), fold)), pa.array(counts[2 * fold + 1, some]), pa.array(counts[2 * fold, some])], names=["feature", "fold", "toxic", "clean"]
+                    )
+
+    return run
+
+
+@dataclass(frozen=True)
+class Side:
+    """Training rows but those of one fold (None: all rows): how to read a feature's counts, and the totals."""
+
+    fold: int | None
+    toxic: int = 0
+    clean: int = 0
+    tested: int = 1
+
+    def counts(self) -> tuple[Column, Column]:
+        less = lambda c: F.col(c) - F.col(f"{c}{self.fold}") if self.fold is not None else F.col(c)
+        return less("toxic"), less("clean")
+
+    def least(self, level: float) -> float:
+        return math.log(max(self.tested, 1) / level)
+
+    def evidence(self, found: DataFrame, model: CharacterModel, trigrams: np.ndarray, level: float, common: frozenset[str]) -> Evidence:
+        """Features more toxic than chance explains (Chernoff bound of the binomial tail), with smoothed log ratios.
+
+        The test runs where the counts are; only features that pass it come to the driver, as many as a bounded sample can prove.
+        """
+        if not self.toxic or not self.clean:
+            return Evidence({}, 0.01, model)
+        bad, good = self.counts()
+        base = self.toxic / (self.toxic + self.clean)
+        share = bad / (bad + good)
+        strength = (bad + good) * (share * F.log(share / base) + F.when(share >= 1, 0.0).otherwise((1 - share) * F.log((1 - share) / (1 - base))))
+        rows = found.where(~F.col("feature").endswith(PART)).where(~F.col("feature").endswith(PART + AGAIN)).select("feature", bad.alias("bad"), good.alias("good"), share.alias("share"), strength.alias("strength"))
+        rows = rows.where((F.col("bad") > 0) & (F.col("share") >= max(0.5, base)) & (F.col("strength") > self.least(level)) & (F.col("feature") != ALL)).orderBy("feature").collect()
+        listed = {r["feature"]: (r["strength"], math.log((r["bad"] + 0.5) / (self.toxic + 1)) - math.log((r["good"] + 0.5) / (self.clean + 1))) for r in rows}
+        weights = np.full(len(listed), trigrams.sum() / 200 / max(len(listed), 1))
+        likelier = CharacterModel(trigrams + trigram_counts([f.removesuffix(AGAIN).removeprefix("=") for f in listed], weights))
+        return Evidence(listed, base / 2, likelier, common)
+
+
+def _losses(sides: list[Side], evidence: list[Evidence]):
+    """(level, loss): the log losses of training rows, each scored with evidence of the other folds, summed over a run."""
 
-def learnt(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", sample: int = 20_000, most: int = 100_000) -> Evidence:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in byte_slices(batch, "_text", RUN):
+                sums, folds = np.zeros(len(LEVELS)), part.column("fold").to_numpy()
+                toxic = part.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
+                for fold, (side, own) in enumerate(zip(sides, evidence, strict=True)):
+                    rows = np.flatnonzero(folds == fold)
+                    found = own.found(part.column("_text").take(pa.array(rows)))
+                    for j, row in enumerate(rows.tolist()):
+                        for k, level in enumerate(LEVELS):
+                            chance = own.chance(own.ratio(found[j], side.least(level))) if j in found else own.base
+                            sums[k] -= math.log(max(chance if toxic[row] else 1 - chance, 1e-6))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(LEVELS))), pa.array(sums)], names=["level", "loss"])
+
+    return run
+
+
+def learnt(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", sample: int = 20_000) -> Evidence:
     """Evidence from at most ``sample`` labelled training rows; the character model from all documents."""
-    source = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    source = docs.select(column(key).alias("_key"), column(text).alias("_text"))
     cells = source.select("_text").mapInArrow(_count_trigrams, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(SIZE**3)
+    trigrams = np.zeros(SIZE**3)
     for row in cells:
-        counts[row["cell"]] = row["n"]
-    chosen = labels.where(F.col("toxic").isNotNull() & ~held_out(key)).select(F.col(key).alias("_key"), "toxic").orderBy(F.xxhash64("_key"), "_key", "toxic").limit(sample)
-    rows = chosen.collect()
-    bad = sum(r["toxic"] == 1 for r in rows)
-    if not 0 < bad < len(rows):
-        return Evidence({}, 0.01, CharacterModel(counts))
-    spark = docs.sparkSession
-    bounded = F.broadcast(spark.createDataFrame([(r["_key"], r["toxic"]) for r in rows], chosen.schema))
-    found = source.join(bounded, "_key").select("_text", F.col("toxic") == 1).toDF("_text", "toxic").mapInArrow(_count_features, "feature string, toxic long, clean long")
-    found = found.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    tested = found.where("toxic >= 3")
-    best = tested.where("toxic >= clean").orderBy(F.desc("toxic"), "feature").limit(most)
-    listed = significant([tuple(r) for r in best.collect()], bad, len(rows) - bad, tested.count())
-    weights = np.full(len(listed), counts.sum() / 200 / max(len(listed), 1))
-    counts += trigram_counts([f.removesuffix(AGAIN).removeprefix("=") for f in listed], weights)
-    return Evidence(listed, bad / len(rows) / 2, CharacterModel(counts))
+        trigrams[row["cell"]] = row["n"]
+    model = CharacterModel(trigrams)
+    chosen = labels.where(F.col("toxic").isNotNull() & ~held_out(key)).select(column(key).alias("_key"), (F.col("toxic") == 1).alias("toxic")).orderBy(F.xxhash64("_key"), "_key", "toxic").limit(sample)
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "_key"), F.lit(FOLDS)).cast("int").alias("fold")
+    rows = source.join(F.broadcast(chosen), "_key").select("_text", "toxic", fold)  # at most ``sample`` labels
+    each = lambda c, i: F.sum(F.when(F.col("fold") == i, F.col(c)).otherwise(0)).alias(f"{c}{i}")
+    counted = rows.mapInArrow(_count_features(model), "feature string, fold long, toxic long, clean long").groupBy("feature")
+    found = persisted(counted.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), *(each(c, i) for c in ("toxic", "clean") for i in range(FOLDS))))
+    sides = [Side(fold) for fold in (*range(FOLDS), None)]
+    is_all, is_part = F.col("feature") == ALL, F.col("feature").contains(PART)
+    totals = found.agg(*(F.coalesce(F.sum(F.when(is_all, c)), F.lit(0)) for side in sides for c in side.counts()), *(F.count(F.when(~is_all & ~is_part & (side.counts()[0] >= 3), 1)) for side in sides)).first()
+    n = len(sides)
+    sides = [Side(side.fold, totals[2 * i], totals[2 * i + 1], totals[2 * n + i]) for i, side in enumerate(sides)]
+    every = sides[-1]
+    if not every.toxic or not every.clean:
+        return Evidence({}, 0.01, model)
+    least = max(COMMON * (every.toxic + every.clean), 3)
+    frequent = found.where(F.col("feature").endswith(PART) & (F.col("toxic") + F.col("clean") >= least)).select("feature").collect()  # at most the sample's words / COMMON of its rows
+    common = frozenset(r["feature"].removesuffix(PART) for r in frequent)
+    trials = [side.evidence(found, model, trigrams, LEVELS[-1], common) for side in sides[:-1]]
+    losses = {r["level"]: r["loss"] for r in rows.mapInArrow(_losses(sides[:-1], trials), "level long, loss double").groupBy("level").agg(F.sum("loss").alias("loss")).collect()}
+    level = LEVELS[min(losses, key=lambda i: (losses[i], i))]
+    return every.evidence(found, model, trigrams, level, common)
 
 
 def held_out(key: str = "doc_id"):
-    return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
+    return F.coalesce(F.pmod(F.crc32(column(key).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", limit: float = 0.7, sample: int = 20_000) -> DataFrame:
@@ -326,11 +334,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in byte_slices(batch, "_text"):
+            for part in byte_slices(batch, "_text", RUN):
                 yield pa.RecordBatch.from_arrays([part.column("_key"), pa.array(evidence.scores(part.column("_text")), pa.float64())], names=["_key", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
-    scored = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(run, f"_key {kind}, score double")
+    scored = docs.select(column(key).alias("_key"), column(text).alias("_text")).mapInArrow(run, f"_key {kind}, score double")
     return scored.select(F.col("_key").alias(key), held_out("_key").alias("held_out"), "score", (F.col("score") >= limit).cast("int").alias("predicted"))
 
 

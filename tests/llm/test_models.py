@@ -1,8 +1,11 @@
 import zlib
+from itertools import groupby, pairwise
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
-from seqloom.llm import quality_classifier, toxicity
+from seqloom.llm import channel, quality_classifier, toxicity
 
 
 def tables(spark, sf):
@@ -48,8 +51,6 @@ def test_toxicity_held_out_accuracy(spark):
 def test_disguises_are_read(spark):
     docs, labels = tables(spark, SF)
     evidence = toxicity.learnt(docs, labels)
-    import pyarrow as pa
-
     for text in ("an 1d10t here", "cl0wn", "what a m0r0n!", "sc-u-m", "a l o s e r b", "patheeeetic", "tr@sh", "w0rthle55"):
         assert evidence.scores(pa.array([text]))[0] >= 0.7, text
     calm = evidence.scores(pa.array(["", None, "a quiet day", "password=5aaa9ac60bfe", "x y z", "100% 3.5"], pa.string()))
@@ -59,22 +60,62 @@ def test_disguises_are_read(spark):
 def test_long_spaced_doubled_and_letterless_disguises_are_read(spark):
     docs, labels = tables(spark, SF)
     evidence = toxicity.learnt(docs, labels)
-    import pyarrow as pa
-
     assert "=idiot" in evidence.listed
     texts = ["id" + "i" * 70 + "ot", "i" + "." * 40 + "d" + "-." * 40 + "i.o.t", "i d i o t.", '"i d i o t', "(i, d, i, o, t)", "i " * 70 + "d i o t", "iddiot", "1d1000000000t"]
     for text in texts:
         assert evidence.scores(pa.array([text]))[0] >= 0.7, text
     calm = ["a better letter from summer", "1. 2. 3. 4.", "plan a, plan b, c. and d", "100% 3.5 2024-05-06 12:30", "#" * 500, "x1" * 5000]
     assert (evidence.scores(pa.array(calm)) < 0.2).all()
-    model = toxicity.CharacterModel(toxicity.trigram_counts(["ass", "glass", "table"], np.array([900.0, 9.0, 9.0])))
+    model = channel.CharacterModel(channel.trigram_counts(["ass", "glass", "table"], np.array([900.0, 9.0, 9.0])))
     made_up = toxicity.Evidence({"=ass": (9.0, 9.0), "=" + "ab" * 15: (9.0, 9.0)}, 0.01, model)
     assert (made_up.scores(pa.array(["@$$", "4$$", "455", " ".join("ab" * 15)])) >= 0.7).all()
 
 
+def test_split_joined_foreign_and_very_long_disguises_are_read(spark):
+    docs, labels = tables(spark, SF)
+    evidence = toxicity.learnt(docs, labels)
+    texts = ["id iot", "idi ot", "i di ot", "an 1d 10t,", "so-1d10t", "such_an/idiot", "\u0456d\u0456\u043et", "\u00ecd\u00ed\u00f6t", "\uff49\uff44\uff49\uff4f\uff54", "idi\u200bot"]
+    texts += ["1" + "-" * 58 + "d10t", "1" + "-" * 600 + "d10t", "id" + "i" * 40 + "ot", "id" + "i" * 800 + "ot", "id" + "-" * 300 + " iot", "d i s g u s t i n g"]
+    for text in texts:
+        assert evidence.scores(pa.array([text]))[0] >= 0.7, text
+    calm = ["the id of iota", "as sure as that", "a " * 3000, "- " * 3000, "i di to", "1 2 3 4 5 6", "\u0442\u043e\u0442 \u0434\u043e\u043c", "i\u0307" * 50]
+    assert (evidence.scores(pa.array(calm)) < 0.2).all()
+    # a frequent word is no part of another, whatever the model says
+    model = channel.CharacterModel(channel.trigram_counts(["penis", "pen", "is"], np.array([900.0, 9.0, 9.0])))
+    made_up = toxicity.Evidence({"=penis": (9.0, 9.0)}, 0.01, model, frozenset(["pen", "is"]))
+    assert made_up.scores(pa.array(["the pen is red", "a pe nis"])).round(1).tolist() == [0.0, 1.0]
+
+
+def test_spans_equal_brute_force():
+    r = np.random.default_rng(5)
+    words = sorted({"".join(r.choice(list("abi1-"), r.integers(1, 5))) for _ in range(60)})
+    listed = ["aba", "bibab", "ia", "abab"]
+    skeletons = channel.Skeletons(words)
+    offsets = np.concatenate(([0], np.cumsum(r.integers(0, 30, 40))))
+    codes = r.integers(0, len(words), offsets[-1])
+    fold = lambda x: "".join(k for k, _ in groupby(c for c in x.replace("1", "i") if c != "-"))
+    wanted = channel.Skeletons(listed)
+    got = {(i, tuple(words[c] for c in codes[a:b])) for i, a, b in channel.spans(codes, offsets, skeletons, np.sort(wanted.hashes), 5)}
+    want = set()
+    for i, (a, b) in enumerate(pairwise(offsets.tolist())):
+        own = [words[c] for c in codes[a:b]]
+        for start in range(len(own)):
+            for stop in range(start + 1, len(own) + 1):
+                if fold("".join(own[start:stop])) in listed:
+                    want.add((i, fold("".join(own[start:stop]))))
+    assert {(i, fold("".join(x))) for i, x in got} == want
+
+
 def test_long_readings_are_whole(spark):
-    model = toxicity.CharacterModel(toxicity.trigram_counts(["idiot", "clown"], np.array([9.0, 9.0])))
-    assert toxicity.decode("1d10t-cl0wn-" * 300, model) == "idiotclown" * 300
+    model = channel.CharacterModel(channel.trigram_counts(["idiot", "clown"], np.array([9.0, 9.0])))
+    assert channel.decode("1d10t-cl0wn-" * 300, model) == "idiotclown" * 300
+
+
+def test_training_reads_no_held_out_label(spark):
+    docs, labels = tables(spark, SF)
+    other = labels.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    one, two = toxicity.learnt(docs, labels), toxicity.learnt(docs, other)
+    assert one.listed == two.listed and one.base == two.base and one.common == two.common
 
 
 def test_toxicity_without_labels_and_odd_rows(docs, spark):
