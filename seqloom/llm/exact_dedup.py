@@ -11,8 +11,8 @@ that adaptive execution may broadcast when small, and split when skewed).
 
 Defined results: null text counts as empty text; a null identifier never owns a text that a real one
 has; a repeated row (same identifier, same text) counts as a copy, and every repeat of the owner's
-identifier is marked kept (:func:`one_of_each` leaves one row all the same); an empty table gives an empty result; input columns that bear a result's
-name are replaced by the result.
+identifier is marked kept (:func:`one_of_each` leaves one row all the same); identifiers are of any type that has an order; an empty
+table gives an empty result; input columns that bear a result's name are replaced by the result, others may have any name.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, persisted, text_or_empty
+from .common import apart, ascii_lower, column, others, persisted
 
 TRIE_BYTES = 256 << 20
 
@@ -135,8 +135,8 @@ class PatriciaTrie:
             yield from trie.owners()
 
 
-PARTIAL = "n_bytes long, content long, digest binary, body binary, owner long, number long"
-GROUPS = "digest binary, keep_id long, group_size long"
+PARTIAL = "n_bytes long, content long, digest binary, body binary, owner {kind}, number long"
+GROUPS = "digest binary, keep_id {kind}, group_size long"
 
 
 def _partials(largest: bool):
@@ -165,7 +165,7 @@ def _partials(largest: bool):
         if copies:
             digests, owners, numbers, sizes, contents = zip(*copies, strict=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(sizes, pa.int64()), pa.array(contents, pa.int64()), pa.array(digests, pa.binary()), pa.nulls(len(copies), pa.binary()), pa.array(owners, pa.int64()), pa.array(numbers, pa.int64())],
+                [pa.array(sizes, pa.int64()), pa.array(contents, pa.int64()), pa.array(digests, pa.binary()), pa.nulls(len(copies), pa.binary()), pa.array(owners, batch.schema.field("owner").type), pa.array(numbers, pa.int64())],
                 names=["n_bytes", "content", "digest", "body", "owner", "number"],
             )
 
@@ -175,8 +175,9 @@ def _partials(largest: bool):
 def _tries(largest: bool, budget: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with tempfile.TemporaryDirectory() as scratch:
-            trie, later = PatriciaTrie(largest, budget, scratch), {}
+            trie, later, kind = PatriciaTrie(largest, budget, scratch), {}, pa.null()
             for batch in batches:
+                kind = batch.schema.field("owner").type
                 for digest, body, owner, number in zip(*(batch.column(c).to_pylist() for c in ("digest", "body", "owner", "number")), strict=True):
                     if body is not None:
                         trie.insert(body, owner, number, digest)
@@ -192,38 +193,40 @@ def _tries(largest: bool, budget: int):
                 if entry[1] > 1:
                     rows.append((digest, *entry))
                 if len(rows) >= 50_000:
-                    yield _groups(rows)
+                    yield _groups(rows, kind)
                     rows = []
             if rows:
-                yield _groups(rows)
+                yield _groups(rows, kind)
 
     return run
 
 
-def _groups(rows: list[tuple]) -> pa.RecordBatch:
+def _groups(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     digests, owners, numbers = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(owners, pa.int64()), pa.array(numbers, pa.int64())], names=["digest", "keep_id", "group_size"])
+    return pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(owners, kind), pa.array(numbers, pa.int64())], names=["digest", "keep_id", "group_size"])
 
 
 def exact_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: str = "smallest", budget: int = TRIE_BYTES) -> DataFrame:
     """``docs`` plus ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``."""
-    largest = {"smallest": False, "largest": True}[keep]
-    body = ascii_lower(text_or_empty(text))
+    largest, own = {"smallest": False, "largest": True}[keep], apart(docs)
+    kind = docs.schema[key].dataType.simpleString()
+    digest_name, keep_name, size_name = own + "digest", own + "keep", own + "size"
+    body = ascii_lower(F.coalesce(column(text), F.lit("")))
     digest = F.unhex(F.sha2(F.encode(body, "UTF-8"), 256))
-    texts = docs.select(F.octet_length(body).cast("long").alias("n_bytes"), F.xxhash64(body).alias("content"), digest.alias("digest"), F.encode(body, "UTF-8").alias("body"), F.col(key).cast("long").alias("owner"))
-    partials = texts.mapInArrow(_partials(largest), PARTIAL)
-    groups = partials.repartition("n_bytes", "content").mapInArrow(_tries(largest, budget), GROUPS).select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep"), F.col("group_size").alias("_size"))
-    names = [F.col(c) for c in docs.columns if c not in ("keep_id", "group_size", "kept", "text_sha256")]
-    joined = docs.withColumn("_digest", digest).join(groups, "_digest", "left")
-    owner = F.when(F.col("_size").isNull(), F.col(key)).otherwise(F.col("_keep"))
-    return joined.select(*names, owner.alias("keep_id"), F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"), F.col(key).eqNullSafe(owner).alias("kept"), F.lower(F.hex("_digest")).alias("text_sha256"))
+    texts = docs.select(F.octet_length(body).cast("long").alias("n_bytes"), F.xxhash64(body).alias("content"), digest.alias("digest"), F.encode(body, "UTF-8").alias("body"), column(key).alias("owner"))
+    partials = texts.mapInArrow(_partials(largest), PARTIAL.format(kind=kind))
+    groups = partials.repartition("n_bytes", "content").mapInArrow(_tries(largest, budget), GROUPS.format(kind=kind)).toDF(digest_name, keep_name, size_name)
+    names = [column(c) for c in others(docs, "keep_id", "group_size", "kept", "text_sha256")]
+    joined = docs.withColumn(digest_name, digest).join(groups, digest_name, "left")
+    owner = F.when(F.col(size_name).isNull(), column(key)).otherwise(F.col(keep_name))
+    return joined.select(*names, owner.alias("keep_id"), F.coalesce(size_name, F.lit(1)).cast("long").alias("group_size"), column(key).eqNullSafe(owner).alias("kept"), F.lower(F.hex(digest_name)).alias("text_sha256"))
 
 
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: str = "smallest") -> DataFrame:
     """One row of ``docs`` for each text: of the rows that bear the owner's identifier, or of those without any, one."""
-    found = persisted(exact_duplicates(docs, text, key, keep).where("kept").withColumn("_row", F.monotonically_increasing_id()))
-    firsts = found.where("group_size > 1").groupBy("text_sha256").agg(F.min("_row").alias("_first")).select("_first")
-    return found.join(firsts, found["_row"] == firsts["_first"], "left").where("group_size = 1 OR _first IS NOT NULL").select(*docs.columns)
+    found = persisted(exact_duplicates(docs, text, key, keep).where("kept"))
+    repeated = found.where("group_size > 1").dropDuplicates(["text_sha256"])  # one row a group, but for repeats of the owner's
+    return found.where("group_size = 1").unionByName(repeated).select(*map(column, docs.columns))
 
 
 def op1_exact_dedup(spark, sf_dir):
