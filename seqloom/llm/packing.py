@@ -4,17 +4,18 @@ A partition is read once, with no shuffle: texts are tokenised in Arrow runs, wh
 document leave at once, and the remainders gather into blocks of ``block`` windows. Inside a block the
 differencing keeps one tuple of window sums per partial partition and always merges the two tuples of
 largest imbalance, the heavy windows of one against the light windows of the other, until one near-equal
-partition is left. With ``cuts`` the few tokens by which a near-equal window exceeds its capacity are
-cut off and fill the windows below it, so that every window of a whole block is full; without, the
-window count rises until all fit. A partition's last tokens that fill no window go to sequences whose
+partition is left. Near-equal windows of a block that is filled to its capacity exceed theirs by a little here and there. Without
+``cuts`` the window count rises until all fit, at the price of padding. With ``cuts`` only what exceeds a window is cut off; full windows
+leave, and differencing deals the light windows and the cuttings anew, to the fewest windows that hold them, until nothing exceeds:
+then every window of a whole block is full. A partition's last tokens that fill no window go to sequences whose
 lengths are powers of two, which need no padding.
 
 A worker holds one run of texts, one block of at most ``block`` x capacity ids, and a bounded table of
 distinct word pieces. Blocks depend on nothing but their partition, so a lost executor's task repeats
 them alike. Sequence numbers are unique: partition number x 2^32 plus a running number.
 
-Defined results: null text counts as empty and gives the end id alone; repeated rows are packed each;
-an empty table gives an empty result.
+Defined results: null text counts as empty and gives the end id alone; repeated rows are packed each; keys are of any type, null keys
+are keys; an empty table gives an empty result; columns other than key and text are ignored.
 """
 
 from __future__ import annotations
@@ -32,9 +33,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import byte_slices, list_sums, ragged_take
+from .common import byte_slices, column, list_sums, ragged_take
 
 END_ID = 0
 #: A space next to other white space may join its token; elsewhere a token never reaches back over it.
@@ -156,34 +156,46 @@ def differencing(sizes: list[int], windows: int) -> list[list[int]]:
     return [x or [] for x in parts[heap[0][1]]] if heap else [[] for _ in range(windows)]
 
 
-def windows_of(sizes: list[int], capacity: int, cuts: bool) -> list[list[tuple[int, int, int]]]:
-    """(item, start, length) of each window; items are at most ``capacity`` long."""
+Part = tuple[int, int, int]  #: item, start, length
+
+
+def windows_of(sizes: list[int], capacity: int, cuts: bool) -> list[list[Part]]:
+    """The parts in each window; items are at most ``capacity`` long.
+
+    Without ``cuts`` the window count rises until differencing fits all. With ``cuts``, what exceeds the capacity of a window is
+    cut off and that window is done; the rest is dealt anew by differencing to as many windows as it needs, until nothing exceeds.
+    """
     count = max(1, -(-sum(sizes) // capacity))
-    while True:
+    if not cuts:
         dealt = differencing(sizes, count)
-        if cuts or all(sum(sizes[i] for i in items) <= capacity for items in dealt):
-            break
-        count += 1
-    out, loose = [], []
-    for items in dealt:
-        room, window = capacity, []
-        for i in items:
-            fits = min(room, sizes[i])
-            if fits:
-                window.append((i, 0, fits))
-            if fits < sizes[i]:
-                loose.append((i, fits, sizes[i] - fits))
-            room -= fits
-        out.append([room, window])
-    for entry in out:
-        while loose and entry[0]:
-            item, start, length = loose.pop()
-            fits = min(entry[0], length)
-            entry[1].append((item, start, fits))
-            entry[0] -= fits
-            if fits < length:
-                loose.append((item, start + fits, length - fits))
-    return [window for _, window in out if window]
+        while any(sum(sizes[i] for i in items) > capacity for items in dealt):
+            count += 1
+            dealt = differencing(sizes, count)
+        return [[(i, 0, sizes[i]) for i in items] for items in dealt if items]
+    out: list[list[Part]] = []
+    bundles: list[list[Part]] = [[(i, 0, size)] for i, size in enumerate(sizes) if size]
+    while bundles:
+        weights = [sum(n for _, _, n in parts) for parts in bundles]
+        rest: list[list[Part]] = []
+        done = len(out)
+        for items in differencing(weights, -(-sum(weights) // capacity)):
+            window, excess, room = [], [], capacity
+            for item, start, length in (part for i in items for part in bundles[i]):
+                fits = min(room, length)
+                if fits:
+                    window.append((item, start, fits))
+                if fits < length:
+                    excess.append((item, start + fits, length - fits))
+                room -= fits
+            if excess:
+                out.append(window)
+                rest.append(excess)
+            elif window:
+                rest.append(window)
+        if len(out) == done:
+            return out + rest
+        bundles = rest
+    return out
 
 
 PIECE_COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -265,8 +277,9 @@ def packed(docs: DataFrame, model_path: str, capacity: int = 1024, block: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, packer, rows = pieces_of(model_path), Packer(TaskContext.get().partitionId(), capacity, block, cuts), []
-        kind = pa.int64()
+        kind = pa.null()
         for batch in batches:
+            kind = batch.schema.field("_key").type
             for part in byte_slices(batch, "_text", RUN):
                 ids, counts = pieces.encode(part.column("_text"))
                 ends = np.cumsum(counts)
@@ -279,8 +292,9 @@ def packed(docs: DataFrame, model_path: str, capacity: int = 1024, block: int =
         if rows:
             yield _batch(rows, kind)
 
-    source = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
-    return source.mapInArrow(run, ", ".join(f"{c} long" for c in PIECE_COLUMNS))
+    source = docs.select(column(key).alias("_key"), column(text).alias("_text"))
+    kind = docs.schema[key].dataType.simpleString()
+    return source.mapInArrow(run, ", ".join(f"{c} {kind if c == PIECE_COLUMNS[0] else 'long'}" for c in PIECE_COLUMNS))
 
 
 def op2_packing(spark, sf_dir):

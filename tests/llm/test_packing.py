@@ -22,6 +22,30 @@ def test_windows_hold_every_token_once(sizes, cuts):
         assert sum(n for _, n in places) == size and (cuts or len(places) == 1)
     if cuts:
         assert len(windows) == -(-sum(sizes) // 20)
+        assert sum(len(w) for w in windows) <= len(sizes) + len(windows)  # a window is cut once at most
+
+
+def test_cuts_fill_all_windows_and_whole_items_raise_the_count():
+    r = random.Random(3)
+    sizes = []
+    while sum(sizes) < 64 * 1024:
+        sizes.append(min(r.randint(1, 1023), 64 * 1024 - sum(sizes)))
+    assert [sum(n for _, _, n in w) for w in packing.windows_of(sizes, 1024, True)] == [1024] * 64
+    whole = packing.windows_of(sizes, 1024, False)
+    assert 64 < len(whole) < 75 and all(sum(n for _, _, n in w) <= 1024 for w in whole)
+
+
+def test_differencing_equals_the_method_by_hand(spark):
+    # two ways: repeatedly replace the two largest by their difference
+    r = random.Random(6)
+    for _ in range(50):
+        sizes = [r.randint(1, 100) for _ in range(r.randint(1, 12))]
+        left = sorted(sizes)
+        while len(left) > 1:
+            a, b = left.pop(), left.pop()
+            left = sorted([*left, a - b])
+        sums = [sum(sizes[i] for i in w) for w in packing.differencing(sizes, 2)]
+        assert max(sums) - min(sums) == left[0]
 
 
 def test_differencing_is_near_equal():
@@ -58,5 +82,11 @@ def test_round_trip_and_padding(docs):
         assert total == 1024 or total & (total - 1) == 0
 
 
+def test_null_and_text_keys(spark):
+    rows = [("a", "x y"), (None, "z"), ("a", "x y")]
+    got = packing.packed(spark.createDataFrame(rows, "doc_id string, text string"), MODEL).collect()
+    assert sorted({str(r["doc_id"]) for r in got}) == ["None", "a"] and sum(r["length"] for r in got if r["doc_id"] == "a") == 2 * got[0]["doc_tokens"]
+
+
 def test_empty_table(docs):
     assert packing.packed(docs([(1, "a")]).limit(0), MODEL).count() == 0
