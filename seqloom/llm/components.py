@@ -3,7 +3,11 @@
 Alternating large-star and small-star contraction: every round points the neighbours of each node to the
 smallest one it knows, until nothing moves. A round is two aggregations and joins on node numbers; its
 edges are written to the shared folder, so lineage stays short and lost executors only repeat one round.
-Minima are partially aggregated before the shuffle, so a hub's edges never meet in one group.
+Minima are partially aggregated before the shuffle, so a hub's edges never meet in one group. A round's folder goes when the next one
+is written.
+
+Defined results: an edge of a node with itself and an edge with a null end say nothing; repeated and turned edges count once; no
+edges give an empty table.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import persisted
+from .common import discarded, persisted
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -33,7 +37,8 @@ def components(edges: DataFrame) -> DataFrame:
     stamp = F.struct(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.hash("a", "b").cast("long")))
     before, after = None, now.agg(stamp).first()
     while after != before:
-        before = after
-        now = persisted(_small_star(_large_star(now)))
+        before, last = after, now
+        now = persisted(_small_star(_large_star(last)))
         after = now.agg(stamp).first()
+        discarded(last)
     return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))

@@ -7,11 +7,14 @@
 2. Bands: runs of registers are hashed to bucket names. Buckets of one class vanish, and buckets
    with the same members count once, so a small family travels once and not once per band.
 3. Verify: the texts of classes in shared buckets are read again and their full sets sent to the
-   buckets; a bucket above ``PART`` members is dealt out as pairs of parts, so no task holds more than
-   two parts. In a task, members already connected need no comparison; others must share a rare
+   buckets. In a task, members already connected need no comparison; others must share a rare
    shingle of their prefix (exact filter), pass the registers' joint likelihood (a pair is left out only when
    the threshold is e^-25 as likely as the best estimate), and then have their full sets intersected.
    A task returns a star per connected part: at most one edge per member, never all pairs.
+   A bucket above ``PART`` members is dealt into parts of that size, and a few leaders of it go to every part, so that the parts of a
+   family meet. Pairs of members that are connected then need no more. Only where a bucket has members outside its largest component,
+   these (again in parts) meet the members of all other parts: no pair of a bucket is left out, and no set is sent again for a family
+   that the leaders connect.
 4. Connect: stars of all buckets become components by contraction in DataFrames.
 
 With r registers in each of n bands, a pair at similarity s meets nowhere with probability (1 - s^r)^n: for the
@@ -36,13 +39,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, persisted
+from .common import byte_slices, column, persisted
 from .components import components
 
 ROWS = 1 << 52  #: above any row number that Spark gives to fewer than 2^19 partitions
 
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
-PART = 3000
+PART, LEADERS = 3000, 16
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -170,13 +173,16 @@ def _full_sets(k: int, registers: int):
 
 
 class Family:
-    """The members of a bucket (or of two of its parts), and the links among them."""
+    """The members of a bucket (or of two of its parts), and the links among them; members of one label are connected already."""
 
-    def __init__(self, ids: list[int], sides: list[int], members: list[np.ndarray], registers: np.ndarray, percent: int):
+    def __init__(self, ids: list[int], sides: list[int], labels: list[int], members: list[np.ndarray], registers: np.ndarray, percent: int):
         order = sorted(range(len(ids)), key=lambda i: (len(members[i]), ids[i]))
         self.ids, self.sides = [ids[i] for i in order], [sides[i] for i in order]
         self.members, self.registers, self.percent = [members[i] for i in order], registers[order], percent
         self.parent = list(range(len(ids)))
+        known: dict[int, int] = {}
+        for i, label in enumerate(labels[j] for j in order):
+            self.link(i, known.setdefault(label, i))
         self.likely = JointLikelihood(percent / 100)
 
     def find(self, i: int) -> int:
@@ -243,12 +249,12 @@ def _verify(percent: int):
         for batch in batches:
             out = []
             buckets, ones, twos = (batch.column(c).to_pylist() for c in ("bucket", "one", "two"))
-            ids, sides, members, registers = (batch.column(c) for c in ("id", "side", "members", "registers"))
+            ids, sides, labels, members, registers = (batch.column(c) for c in ("id", "side", "label", "members", "registers"))
             for i, now in enumerate(zip(buckets, ones, twos, strict=True)):
                 if now != name:
                     out += _stars(rows, percent)
                     name, rows = now, []
-                rows.append((ids[i].as_py(), sides[i].as_py(), np.frombuffer(members[i].as_py(), np.uint64), np.frombuffer(registers[i].as_py(), np.uint16)))
+                rows.append((ids[i].as_py(), sides[i].as_py(), labels[i].as_py(), np.frombuffer(members[i].as_py(), np.uint64), np.frombuffer(registers[i].as_py(), np.uint16)))
             if out:
                 yield _edges(out)
         if out := _stars(rows, percent):
@@ -260,8 +266,8 @@ def _verify(percent: int):
 def _stars(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
     if len(rows) < 2:
         return []
-    ids, sides, members, registers = zip(*rows, strict=True)
-    return Family(list(ids), list(sides), list(members), np.stack(registers), percent).stars()
+    ids, sides, labels, members, registers = zip(*rows, strict=True)
+    return Family(list(ids), list(sides), list(labels), list(members), np.stack(registers), percent).stars()
 
 
 def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -281,36 +287,75 @@ def _numbered(source: DataFrame) -> tuple[DataFrame, int | None]:
     return source.where("_key IS NOT NULL").unionByName(nulls.withColumn("_key", F.col("_key") + F.lit(top + 1))), top
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 20, rows: int | None = None, text: str = "text", key: str = "doc_id", part: int = PART) -> DataFrame:
-    """One row per document: the key, n_shingles, component_id and kept."""
+PLACE = "struct<bucket: long, one: int, two: int, side: int, label: long>"
+
+
+def _verified(source: DataFrame, placed: DataFrame, k: int, registers: int, percent: int) -> DataFrame:
+    """Stars of the links in each place (bucket, one, two); ``placed`` has a row for each member (rep) of each."""
+    places = placed.groupBy("rep").agg(F.collect_list(F.struct("bucket", "one", "two", "side", "label")).alias("places"))
+    sets = source.join(places, source["_key"] == places["rep"]).select("_key", "_text", "places").mapInArrow(_full_sets(k, registers), f"id long, members binary, registers binary, places array<{PLACE}>")
+    # a repeated row of a representative sends its set again, which links nothing new
+    sent = sets.select("id", "members", "registers", F.explode("places").alias("place")).select("id", "members", "registers", "place.*")
+    sent = sent.repartition("bucket", "one", "two").sortWithinPartitions("bucket", "one", "two")
+    return sent.mapInArrow(_verify(percent), "a long, b long")
+
+
+def _first_places(banded: DataFrame, part: int, leaders: int) -> DataFrame:
+    """Members of shared buckets, dealt into parts; some leaders of a bucket of several parts go to all of them."""
+    buckets = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("rep")).alias("mark"), F.sum(F.hash("rep").cast("long")).alias("total")).where("size > 1")
+    chosen = buckets.groupBy("size", "mark", "total").agg(F.min("bucket").alias("bucket"))
+    placed = banded.join(chosen, "bucket").withColumn("parts", F.ceil(F.col("size") / part).cast("int")).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    leads = (F.col("parts") > 1) & (F.pmod(F.xxhash64(F.lit("lead"), "rep", "bucket"), F.ceil(F.col("size") / leaders)) == 0)
+    return placed.withColumn("one", F.explode(F.when(leads, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("mine"))))
+
+
+def _second_places(first: DataFrame, linked: DataFrame, part: int) -> DataFrame:
+    """In buckets of several parts that are not connected yet: all members, against those outside the largest component."""
+    big = first.where("parts > 1 AND one = mine").select("rep", "bucket", "parts", "mine")
+    labelled = big.join(linked, big["rep"] == linked["node"], "left").select("rep", "bucket", "parts", "mine", F.coalesce("component", "rep").alias("label"))
+    counts = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    open_ones = counts.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("size")).select("bucket", F.col("top.label").alias("largest"), F.ceil((F.col("size") - F.col("top.n")) / part).cast("int").alias("groups"))
+    waiting = labelled.join(open_ones.where("groups > 0"), "bucket")
+    own = F.pmod(F.xxhash64(F.lit("rest"), "rep"), F.col("groups")).cast("int")
+    member = F.transform(F.sequence(F.lit(0), F.col("groups") - 1), lambda j: F.struct(F.col("mine").alias("one"), j.alias("two"), F.lit(0).alias("side")))
+    against = F.transform(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: i != F.col("mine")), lambda i: F.struct(i.alias("one"), own.alias("two"), F.lit(1).alias("side")))
+    everywhere = F.when(F.col("label") != F.col("largest"), F.concat(member, against)).otherwise(member)
+    return waiting.select("rep", "bucket", "label", F.explode(everywhere).alias("place")).select("rep", "bucket", "label", "place.*")
+
+
+def _named(sketches: DataFrame, names: DataFrame) -> DataFrame:
+    """``sketches`` with the component of their print. Prints of a thousandth of the rows or more are joined by broadcast: there are
+    a thousand at most."""
+    rows = max(sketches.count(), 1)
+    hot = F.broadcast(names.where(F.col("copies") * 1000 >= F.lit(rows)).drop("copies"))
+    cold = names.where(F.col("copies") * 1000 < F.lit(rows)).drop("copies")
+    return sketches.join(hot, "print").unionByName(sketches.join(hot, "print", "left_anti").join(cold, "print", "left"))
+
+
+def near_duplicates(
+    docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 20, rows: int | None = None, text: str = "text", key: str = "doc_id", part: int = PART, leaders: int = LEADERS
+) -> DataFrame:
+    """One row per document: the key (an integer), n_shingles, component_id and kept."""
     rows = rows or (5 if percent >= 84 else 4)
-    source = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
+    source = docs.select(column(key).cast("long").alias("_key"), column(text).alias("_text"))
     source, top = _numbered(source)
     sketches = persisted(source.mapInArrow(_sketch(k, bands, rows), "id long, n_shingles long, print binary, bands array<long>"))
     classes = sketches.where("print IS NOT NULL").groupBy("print").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
     banded = persisted(classes.select("rep", F.explode("bands").alias("bucket")))
 
-    buckets = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("rep")).alias("mark"), F.sum(F.hash("rep").cast("long")).alias("total")).where("size > 1")
-    chosen = buckets.groupBy("size", "mark", "total").agg(F.min("bucket").alias("bucket"))
-    spread = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.struct(F.least(other, F.col("mine")).alias("one"), F.greatest(other, F.col("mine")).alias("two")))
-    placed = banded.join(chosen, "bucket").withColumn("parts", F.ceil(F.col("size") / part).cast("int")).withColumn("mine", spread)
-    places = placed.groupBy("rep").agg(F.collect_list(F.struct("bucket", "mine", pairs.alias("pairs"))).alias("places"))
-
-    sets = source.join(places, source["_key"] == places["rep"]).select("_key", "_text", "places").mapInArrow(
-        _full_sets(k, bands * rows), "id long, members binary, registers binary, places array<struct<bucket: long, mine: int, pairs: array<struct<one: int, two: int>>>>"
-    )
-    # a repeated row of a representative sends its set again, which links nothing new
-    sent = sets.select("id", "members", "registers", F.explode("places").alias("place")).select("id", "members", "registers", "place.bucket", F.col("place.mine").alias("side"), F.explode("place.pairs").alias("pair"))
-    sent = sent.select("id", "members", "registers", "bucket", "side", "pair.one", "pair.two").repartition("bucket", "one", "two").sortWithinPartitions("bucket", "one", "two")
-    linked = components(sent.mapInArrow(_verify(percent), "a long, b long"))
+    first = _first_places(banded, part, leaders)
+    edges = _verified(source, first.select("rep", "bucket", "one", F.lit(0).alias("two"), F.lit(0).alias("side"), F.col("rep").alias("label")), k, bands * rows, percent)
+    linked = persisted(components(edges))
+    if not first.where("parts > 1").isEmpty():
+        more = persisted(_second_places(first, linked, part))
+        if not more.isEmpty():
+            stars = linked.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            linked = persisted(components(stars.unionByName(_verified(source, more, k, bands * rows, percent))))
 
-    named = classes.join(linked, classes["rep"] == linked["node"], "left").where("copies > 1 OR component IS NOT NULL").select("print", F.coalesce("component", "rep").alias("component"))
+    names = classes.join(linked, classes["rep"] == linked["node"], "left").where("copies > 1 OR component IS NOT NULL").select("print", "copies", F.coalesce("component", "rep").alias("component"))
     own, component = F.col("id"), F.coalesce("component", "id")
     real = (lambda x: x) if top is None else (lambda x: F.when(x <= top, x))
-    return sketches.select("id", "n_shingles", "print").join(named, "print", "left").select(
-        real(own).alias(key), "n_shingles", real(component).alias("component_id"), own.eqNullSafe(component).alias("kept")
-    )
+    return _named(sketches.select("id", "n_shingles", "print"), names).select(real(own).alias(key), "n_shingles", real(component).alias("component_id"), own.eqNullSafe(component).alias("kept"))
 
 
 def op3_minhash(spark, sf_dir):
