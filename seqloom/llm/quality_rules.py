@@ -7,7 +7,8 @@ equal neighbours name the positions that may be repeated. The words of these pos
 compared themselves, so the count is exact whatever the hashes are.
 
 Defined results: null or empty text has zero in every metric and fails the base rule; repeated rows
-get the same verdict each; extra columns are ignored by :func:`verdicts` and kept by :func:`measured`.
+get the same verdict each; an empty table gives an empty result; input columns that bear a result's name, in any case, are replaced by
+the result, others may have any name and are kept.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, text_or_empty
+from .common import SPACE_CLASS, apart, column, others
 
 #: Frequent function words of the four languages.
 STOP_WORDS = (
@@ -47,62 +48,73 @@ RULES = (
 )
 
 
+METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "n_stop_words", "n_distinct_words")
+
+
 def measured(docs: DataFrame, text: str = "text", hash_bits: int = 64) -> DataFrame:
-    """``docs`` plus n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words, n_stop_words, n_distinct_words."""
-    names = [F.col(c) for c in docs.columns]
-    value = text_or_empty(text)
+    """``docs`` plus METRICS; input columns of these names are replaced."""
+    own = apart(docs)
+    words, lines = own + "words", own + "lines"
+    names = [column(c) for c in others(docs, *METRICS)]
+    value = F.coalesce(column(text), F.lit(""))
     has_word = f"[^{SPACE_CLASS[1:]}"
     base = docs.select(
         *names,
-        F.array_remove(F.split(value, SPACE_CLASS + "+"), "").alias("_words"),
-        F.filter(F.split(value, "\n"), lambda line: line.rlike(has_word)).alias("_lines"),
+        F.array_remove(F.split(value, SPACE_CLASS + "+"), "").alias(words),
+        F.filter(F.split(value, "\n"), lambda line: line.rlike(has_word)).alias(lines),
         F.size(F.regexp_extract_all(value, F.lit(r"[#*$%&|<>]"), F.lit(0))).cast("long").alias("n_symbols"),
     ).select(
-        "*",
-        F.size("_words").cast("long").alias("n_words"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.size("_lines").cast("long").alias("n_lines"),
+        *names,
+        words,
+        "n_symbols",
+        F.size(words).cast("long").alias("n_words"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+        F.size(lines).cast("long").alias("n_lines"),
     )
-    return _with_repeats(base, hash_bits).select(
+    return _with_repeats(base, own, hash_bits).select(
         *names,
         "n_words",
-        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
         "n_symbols",
         "n_dup_lines",
         "n_lines",
         "n_repeat_words",
-        F.size(F.filter("_words", lambda w: w.isin(*dict.fromkeys(STOP_WORDS)))).cast("long").alias("n_stop_words"),
-        F.size(F.array_distinct("_words")).cast("long").alias("n_distinct_words"),
+        F.size(F.filter(words, lambda w: w.isin(*dict.fromkeys(STOP_WORDS)))).cast("long").alias("n_stop_words"),
+        F.size(F.array_distinct(words)).cast("long").alias("n_distinct_words"),
     )
 
 
-def _with_repeats(base: DataFrame, hash_bits: int) -> DataFrame:
+def _with_repeats(base: DataFrame, own: str, hash_bits: int) -> DataFrame:
     """Add n_repeat_words: how many words lie in a three-word window found at least twice.
 
     The steps are separate projections, so that sorting and zipping stay in generated code and the
-    lambdas hold a few operations each. ``hash_bits`` changes the work, never the result.
+    lambdas hold a few operations each. ``hash_bits`` changes the work, never the result; ``own`` begins the names of the steps.
     """
-    words, size = F.col("_words"), F.size("_words")
+    words, size = F.col(own + "words"), F.size(own + "words")
+    low, high, keys, twice, likely, read, same, starts = (F.col(own + x) for x in ("low", "high", "keys", "twice", "likely", "read", "same", "starts"))
+
+    def step(df: DataFrame, name: str, value: Column) -> DataFrame:
+        return df.withColumn(own + name, value)
+
+    def neighbours(values: Column) -> Column:
+        pairs = F.greatest(F.size(values) - 1, F.lit(0))
+        return F.arrays_zip(F.slice(values, F.lit(1), pairs).alias("a"), F.slice(values, F.lit(2), pairs).alias("b"))
+
     long = lambda x: F.lit(x).cast("long")
     windows = F.arrays_zip(*(F.slice(words, F.lit(i), F.greatest(size - 2, F.lit(0))).alias(f"w{i}") for i in (1, 2, 3)))
     width = F.greatest(F.ceil(F.log2(size.cast("double"))).cast("int"), F.lit(1)) + 1
-    keyed = base.withColumn("_low", F.when(size > 0, F.call_function("shiftleft", long(1), width) - 1).otherwise(long(0))).withColumn("_high", F.bitwise_not("_low").bitwiseAND(long(-(1 << (64 - hash_bits)))))
-    keyed = keyed.withColumn("_keys", F.sort_array(F.transform(windows, lambda x, i: F.xxhash64(x).bitwiseAND(F.col("_high")).bitwiseOR(i.cast("long")))))
-    short = F.greatest(F.size("_keys") - 1, F.lit(0))
-    pairs = F.arrays_zip(F.slice("_keys", F.lit(1), short).alias("a"), F.slice("_keys", F.lit(2), short).alias("b"))
+    df = step(base, "low", F.when(size > 0, F.call_function("shiftleft", long(1), width) - 1).otherwise(long(0)))
+    df = step(df, "high", F.bitwise_not(low).bitwiseAND(long(-(1 << (64 - hash_bits)))))
+    df = step(df, "keys", F.sort_array(F.transform(windows, lambda x, i: F.xxhash64(x).bitwiseAND(high).bitwiseOR(i.cast("long")))))
     # keys of one window differ in the position bits alone; those of other windows may meet them
-    twice = keyed.withColumn("_twice", F.filter(pairs, lambda x: x["a"].bitwiseAND(F.col("_high")) == x["b"].bitwiseAND(F.col("_high"))))
-    starts = F.concat(F.transform("_twice", lambda x: x["a"].bitwiseAND(F.col("_low"))), F.transform("_twice", lambda x: x["b"].bitwiseAND(F.col("_low"))))
-    likely = twice.withColumn("_likely", F.array_distinct(starts))
-    read = likely.withColumn("_read", F.sort_array(F.transform("_likely", lambda p: F.struct(*(words[p + i].alias(f"w{i}") for i in range(3)), p.alias("at")))))
-    fewer = F.greatest(F.size("_read") - 1, F.lit(0))
-    sides = F.arrays_zip(F.slice("_read", F.lit(1), fewer).alias("a"), F.slice("_read", F.lit(2), fewer).alias("b"))
-    same = read.withColumn("_same", F.filter(sides, lambda x: (x["a"]["w0"] == x["b"]["w0"]) & (x["a"]["w1"] == x["b"]["w1"]) & (x["a"]["w2"] == x["b"]["w2"])))
-    repeated = F.concat(F.transform("_same", lambda x: x["a"]["at"]), F.transform("_same", lambda x: x["b"]["at"]))
-    placed = same.withColumn("_starts", F.sort_array(F.array_distinct(repeated)))
-    later = F.slice("_starts", F.lit(2), F.size("_starts"))
-    gaps = F.transform(F.arrays_zip(F.col("_starts").alias("a"), later.alias("b")), lambda x: F.least(F.coalesce(x["b"] - x["a"], long(3)), long(3)))
-    return placed.withColumn("n_repeat_words", F.aggregate(gaps, long(0), lambda a, x: a + x))
+    df = step(df, "twice", F.filter(neighbours(keys), lambda x: x["a"].bitwiseAND(high) == x["b"].bitwiseAND(high)))
+    df = step(df, "likely", F.array_distinct(F.concat(F.transform(twice, lambda x: x["a"].bitwiseAND(low)), F.transform(twice, lambda x: x["b"].bitwiseAND(low)))))
+    df = step(df, "read", F.sort_array(F.transform(likely, lambda p: F.struct(*(words[p + i].alias(f"w{i}") for i in range(3)), p.alias("at")))))
+    df = step(df, "same", F.filter(neighbours(read), lambda x: (x["a"]["w0"] == x["b"]["w0"]) & (x["a"]["w1"] == x["b"]["w1"]) & (x["a"]["w2"] == x["b"]["w2"])))
+    df = step(df, "starts", F.sort_array(F.array_distinct(F.concat(F.transform(same, lambda x: x["a"]["at"]), F.transform(same, lambda x: x["b"]["at"])))))
+    later = F.slice(starts, F.lit(2), F.size(starts))
+    gaps = F.transform(F.arrays_zip(starts.alias("a"), later.alias("b")), lambda x: F.least(F.coalesce(x["b"] - x["a"], long(3)), long(3)))
+    return df.withColumn("n_repeat_words", F.aggregate(gaps, long(0), lambda a, x: a + x))
 
 
 def passes(rules: tuple[Rule, ...] = RULES) -> Column:

@@ -20,4 +20,5 @@ QUERIES = {
 SQL = {
     "op1_exact_dedup": exact_dedup.SQL,
     "op4_quality_rules": quality_rules.SQL,
+    "op6_sharding": sharding.SQL,
 }

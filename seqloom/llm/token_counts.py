@@ -7,7 +7,8 @@ up to the pieces of the whole. Each distinct part of a run is encoded once and i
 bounded table; only lengths leave the worker. There is no shuffle, and long texts cost memory in
 proportion to one run.
 
-Defined results: null text counts as empty (0 bytes, 0 tokens); repeated rows are counted each.
+Defined results: null text counts as empty (0 bytes, 0 tokens); repeated rows are counted each; an empty table gives an empty result;
+input columns other than the kept ones are ignored.
 """
 
 from __future__ import annotations
@@ -22,11 +23,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, list_sums, string_lengths
+from .common import byte_slices, column, list_sums
 
 MARK = "▁"
 SAFE = re.compile(f"(?<=[^ {MARK}]) (?=[^ {MARK}])")
-REMEMBERED = 600_000
+RUN, REMEMBERED = 8 << 20, 400_000  #: text bytes and parts that a worker holds at a time
 
 
 @lru_cache(maxsize=2)
@@ -68,24 +69,26 @@ def _known(words: list[str], model, known: dict[str, int]) -> np.ndarray:
     return np.fromiter((known[w] for w in words), np.int64, len(words))
 
 
-def token_counts(docs: DataFrame, model_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``keep`` columns plus ``n_bytes`` and ``n_tokens``."""
+def token_counter(model_path: str):
+    """A function that makes a column of token counts of a column of texts; null counts as empty."""
     if crosses_spaces(model_path):
         raise ValueError("this vocabulary has entries across spaces; its texts have no safe boundaries")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model, known = piece_model(model_path), {}
-        for batch in batches:
-            for run in byte_slices(batch, "_text"):
-                values = run.column("_text")
-                yield pa.RecordBatch.from_arrays(
-                    [*(run.column(c) for c in keep), pa.array(string_lengths(values)), pa.array(lengths_of(values, model, known))],
-                    names=[*keep, "n_bytes", "n_tokens"],
-                )
-
-    source = docs.select(*keep, F.col(text).alias("_text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return source.mapInArrow(count, f"{kept}, n_bytes long, n_tokens long")
+        for texts in arrays:
+            batch = pa.RecordBatch.from_arrays([texts], names=["_text"])
+            parts = [lengths_of(run.column("_text"), model, known) for run in byte_slices(batch, "_text", RUN)]
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))
+
+    return F.arrow_udf(count, "long").asNondeterministic()  # so that no filter above repeats it
+
+
+def token_counts(docs: DataFrame, model_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ``keep`` columns plus ``n_bytes`` and ``n_tokens``; of two of a name the result counts."""
+    kept = [column(c) for c in keep if c.lower() not in ("n_bytes", "n_tokens")]
+    n_bytes = F.coalesce(F.octet_length(column(text)), F.lit(0)).cast("long")
+    return docs.select(*kept, n_bytes.alias("n_bytes"), token_counter(model_path)(column(text)).alias("n_tokens"))
 
 
 def op8_token_counts(spark, sf_dir, limit: int = 4096):

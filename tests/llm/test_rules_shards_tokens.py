@@ -1,3 +1,5 @@
+import hashlib
+import math
 import random
 import re
 import zlib
@@ -46,7 +48,7 @@ def test_windows_that_share_a_hash_are_told_apart(docs):
 
 def test_no_python_in_native_plans(docs):
     rows = [(1, "a"), (2, None)]
-    for df in (quality_rules.verdicts(docs(rows)), sharding.sharded(docs(rows).drop("shard"))):
+    for df in (quality_rules.verdicts(docs(rows)), sharding.sharded(docs(rows))):
         assert "Python" not in df._jdf.queryExecution().toString() and "Arrow" not in df._jdf.queryExecution().toString()
 
 
@@ -64,6 +66,42 @@ def test_shards_are_gapless_and_grow_into_the_new_one(spark):
     assert sharding.sharded(df.limit(0)).count() == 0
 
 
+def test_shards_equal_rendezvous_by_hand(spark):
+    rows = [(None, "a"), (None, "b"), (5, None), *((i % 400, f"t{i}") for i in range(900))]
+    weights = [1.0, 2.5, 0.5]
+
+    def shard(key, over):
+        digest = lambda s: (int(hashlib.md5(f"{key}#{s}".encode()).hexdigest()[:13], 16) + 1) / float(16**13 + 1)
+        return min(range(len(over)), key=lambda s: (-math.log(digest(s)) / over[s], s))
+
+    got = sharding.sharded(spark.createDataFrame(rows, "doc_id long, text string"), weights, grown_weight=2.0, spread=["text"]).collect()
+    for r in got:
+        key = "" if r["doc_id"] is None else str(r["doc_id"])
+        assert (r["shard"], r["grown_shard"]) == (shard(key, weights), shard(key, [*weights, 2.0]))
+    for s in range(3):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+
+
+def test_a_hot_key_has_many_ranges(spark):
+    df = spark.range(5000).selectExpr("CAST(NULL AS LONG) AS doc_id", "id AS text_crc32")
+    got = sharding.sharded(df, spread=["text_crc32"])
+    assert sorted(r["slot"] for r in got.collect()) == list(range(5000))
+    assert df.select(F.substring(F.md5(F.concat_ws("/", F.lit(""), F.col("text_crc32").cast("string"))), 1, 3)).distinct().count() > 2000
+
+
+def test_clashing_names_are_replaced_or_kept(spark):
+    names = ["doc_id", "text", "N_Words", "n_lines", "kept", "_words", "__words", "shard", "Slot", "_name", "n_tokens", "n_bytes", "a.b"]
+    df = spark.createDataFrame([(1, "a b c", *range(11)), (2, None, *range(11))], names)
+    got = quality_rules.verdicts(df)
+    assert len({c.lower() for c in got.columns}) == len(got.columns) and {"_words", "__words", "a.b"} <= set(got.columns)
+    assert [(r["n_words"], r["n_lines"], r["_words"]) for r in got.orderBy("doc_id").collect()] == [(3, 1, 3), (0, 0, 3)]
+    assert quality_rules.verdicts(df.limit(0)).count() == 0
+    got = sharding.sharded(df)
+    assert len({c.lower() for c in got.columns}) == len(got.columns) and [r["_name"] for r in got.collect()] == [7, 7]
+    got = token_counts.token_counts(df, public_tokenizers.path("piece_bpe_32k.model"), keep=tuple(names))
+    assert len({c.lower() for c in got.columns}) == len(got.columns) and sorted(r["n_bytes"] for r in got.collect()) == [0, 5]
+
+
 def test_shard_query_columns(spark, sf):
     rows = sharding.op6_sharding(spark, sf).collect()
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
