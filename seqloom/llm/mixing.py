@@ -5,14 +5,17 @@ makes all sources equal. Entropy falls and repetition falls as t rises, so bisec
 entropy reaches the target, then raises it as far as the repetition limit demands. A source's weight times
 the budget is its token budget: whole passes over its documents, then part of one more.
 
-Every pass visits the source's blocks (hash buckets of documents) in its own pseudo-random order. Only
-the last pass needs running sums: first over blocks, then over the documents of the one block in which
-the budget ends. So no window ever holds a source, only its block table or one block; the
-number of blocks grows with the source's tokens. Driver data: one row per source (``most_sources`` at most).
+Every pass visits the source's blocks (hash buckets of documents) in a pseudo-random order of its own; ``place`` is the block's
+place in it, from 0. The last pass takes whole blocks in that order and, of the block in which the budget ends, documents in
+another pseudo-random order. Tokens are counted once: rows with their counts are written to the shared folder, and what follows
+reads those columns that it needs. Places and running sums over a source's blocks are made in two levels (ranges of
+the order, then blocks inside a range), so no window holds more than 4096 ranges, the blocks of one, or the documents of one block;
+the number of blocks grows with the source's tokens and rows. Driver data: one row per source (``most_sources`` at most).
 
 Defined results: a null source is a source of its own; null and empty texts have no tokens and come
-with their block; a source without tokens gets no weight and no rows; repeated rows are drawn each; an
-empty table gives an empty result; result columns replace input columns of the same name.
+with their block; a source without tokens gets no weight and no rows; repeated rows are drawn each and share a block; null keys are
+keys; an empty table gives an empty result; input columns named n_tokens, pass_no, block or place are replaced, others may have any name
+and are kept.
 """
 
 from __future__ import annotations
@@ -23,14 +26,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, text_or_empty
+from .common import SPACE_CLASS, apart, column, others, persisted
+from .token_counts import token_counter
 
-BLOCK_TOKENS, FEWEST, MOST = 1 << 20, 16, 1 << 14
+BLOCK_TOKENS, BLOCK_ROWS, FEWEST, RANGE_BITS = 1 << 20, 1 << 16, 16, 12
 BROADCAST_ROWS = 200_000
 
 
 def words_of(text: str = "text") -> Column:
-    return F.size(F.array_remove(F.split(text_or_empty(text), SPACE_CLASS + "+"), "")).cast("long")
+    return F.size(F.array_remove(F.split(F.coalesce(column(text), F.lit("")), SPACE_CLASS + "+"), "")).cast("long")
 
 
 def weights_at(exponent: float, tokens: list[int]) -> list[float]:
@@ -82,7 +86,7 @@ class Plan:
     left: int
 
 
-def planned(tokens: dict[str, int], budget: float | None, entropy_share: float, most_repeats: float) -> list[Plan]:
+def planned(tokens: dict[str, int], budget: float | None, entropy_share: float, most_repeats: float, rows: dict[str, int] | None = None) -> list[Plan]:
     names = sorted(tokens)
     sizes = [tokens[s] for s in names]
     if not sum(sizes):
@@ -94,44 +98,69 @@ def planned(tokens: dict[str, int], budget: float | None, entropy_share: float,
     for name, n, weight in zip(names, sizes, weights, strict=True):
         if n:
             due = round(weight * budget)
-            blocks = min(MOST, max(FEWEST, 1 << math.ceil(math.log2(max(n / BLOCK_TOKENS, 1)))))
-            plans.append(Plan(name, blocks, due // n, due % n))
+            parts = max(n / BLOCK_TOKENS, (rows or {}).get(name, 0) / BLOCK_ROWS, FEWEST)
+            plans.append(Plan(name, 1 << math.ceil(math.log2(parts)), due // n, due % n))
     return plans
 
 
+def permuted(blocks: DataFrame, seed: int) -> DataFrame:
+    """(source, blocks, passes, left) rows as (source, pass_no, block, place, turn): each pass's permutation of the source's blocks."""
+    passes = blocks.select("*", F.explode(F.sequence(F.lit(0), F.col("passes"))).alias("pass_no")).where("pass_no < passes OR left > 0")
+    return passes.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")).withColumn("turn", F.xxhash64(F.lit(seed), "source", "pass_no", "block"))
+
+
+def placed(order: DataFrame) -> DataFrame:
+    """``order`` plus ``place`` and ``done``: how many blocks come before by ``turn``, and the ``size`` of these and the block itself."""
+    ranged = order.withColumn("range", F.shiftrightunsigned("turn", 64 - RANGE_BITS))
+    inside = Window.partitionBy("source", "pass_no", "range").orderBy("turn", "block")
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy("source", "pass_no").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("source", "pass_no", "range").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
+    shifts = sums.select("source", "pass_no", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s"))
+    numbered = ranged.withColumn("inside", F.row_number().over(inside)).withColumn("sum", F.sum("size").over(upto)).join(shifts, ["source", "pass_no", "range"])
+    return numbered.select(*order.columns, (F.col("n") + F.col("inside") - 1).alias("place"), (F.col("s") + F.col("sum")).alias("done"))
+
+
 def mixed(
     docs: DataFrame, source: str = "source", key: str = "doc_id", text: str = "text", tokens: Column | None = None, budget: float | None = None,
     entropy_share: float = 0.95, most_repeats: float = 4.0, seed: int = 7, most_sources: int = 100_000,
 ) -> DataFrame:
-    """``docs`` drawn to the mixed weights, plus ``n_tokens``, ``pass_no`` and ``block``; ``budget`` tokens in all (default: as many as there are)."""
-    spark = docs.sparkSession
-    names = [c for c in docs.columns if c not in ("n_tokens", "pass_no", "block")]
-    group = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("null"))
-    keyed = docs.select(*names, group.alias("_group"), (words_of(text) if tokens is None else tokens).alias("n_tokens"), F.xxhash64(F.lit(seed), F.col(key), F.col(text)).alias("_hash"))
-    totals = keyed.groupBy("_group").agg(F.sum("n_tokens").alias("n")).limit(most_sources + 1).collect()
+    """``docs`` drawn to the mixed weights, plus ``n_tokens``, ``pass_no``, ``block`` and ``place``.
+
+    ``tokens`` counts a row's tokens (default: words between white space); ``budget`` is the number of tokens in all (default: as many
+    as there are).
+    """
+    spark, own = docs.sparkSession, apart(docs)
+    names = [column(c) for c in others(docs, "n_tokens", "pass_no", "block", "place")]
+    group, hashed = own + "group", own + "hash"
+    name = F.coalesce(F.concat(F.lit("="), column(source).cast("string")), F.lit("null"))
+    keyed = persisted(docs.select(*names, name.alias(group), F.xxhash64(F.lit(seed), column(key), column(text)).alias(hashed), (words_of(text) if tokens is None else tokens).alias("n_tokens")))
+    totals = keyed.groupBy(group).agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("rows")).limit(most_sources + 1).collect()
     if len(totals) > most_sources:
         raise ValueError(f"more than {most_sources} sources")
-    plans = planned({r["_group"]: int(r["n"] or 0) for r in totals}, budget, entropy_share, most_repeats)
+    plans = planned({r[group]: int(r["n"] or 0) for r in totals}, budget, entropy_share, most_repeats, {r[group]: r["rows"] for r in totals})
     # one row per source, at most most_sources of them
-    table = F.broadcast(spark.createDataFrame([(p.source, p.blocks, p.passes, p.left) for p in plans], "_group string, _blocks int, _passes int, _left long"))
-    dealt = keyed.join(table, "_group").withColumn("block", F.pmod("_hash", "_blocks").cast("int"))
-
-    turn = lambda *more: F.xxhash64(F.lit(seed), F.col("_group"), F.col("_passes"), *more)
-    sizes = dealt.groupBy("_group", "block", "_passes", "_left").agg(F.sum("n_tokens").alias("_size"))
-    order = Window.partitionBy("_group").orderBy(turn(F.col("block")), "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = sizes.withColumn("_done", F.sum("_size").over(order)).withColumn("_room", F.col("_left") - F.col("_done") + F.col("_size")).where("_room > 0")
-    last = last.select("_group", "block", (F.col("_size") <= F.col("_room")).alias("_all"), "_room")
-    if sum(p.blocks for p in plans) <= BROADCAST_ROWS:
-        last = F.broadcast(last)
-
-    columns = [*names, "n_tokens"]
-    whole = dealt.where("_passes > 0").select(*columns, F.explode(F.sequence(F.lit(0), F.col("_passes") - 1)).alias("pass_no"), "block")
-    final = dealt.join(last, ["_group", "block"])
-    full = final.where("_all").select(*columns, F.col("_passes").alias("pass_no"), "block")
-    inside = Window.partitionBy("_group").orderBy(turn(F.col("_hash")), "_hash", key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = final.where("NOT _all").withColumn("_sum", F.sum("n_tokens").over(inside)).where("_sum <= _room").select(*columns, F.col("_passes").alias("pass_no"), "block")
-    return whole.unionByName(full).unionByName(cut)
+    table = F.broadcast(spark.createDataFrame([(p.source, p.blocks, p.passes, p.left) for p in plans], "source string, blocks long, passes int, left long"))
+    dealt = keyed.join(table.select(F.col("source").alias(group), F.col("blocks").alias(own + "blocks")), group).withColumn("block", F.pmod(hashed, own + "blocks"))
+
+    sizes = dealt.groupBy(F.col(group).alias("source"), "block").agg(F.sum("n_tokens").alias("size"))
+    order = permuted(table, seed).join(sizes, ["source", "block"])  # blocks without rows have nothing to give
+    room = F.col("left") - F.col("done") + F.col("size")
+    chosen = placed(order).withColumn("room", F.when(F.col("pass_no") < F.col("passes"), F.col("size")).otherwise(room)).where((F.col("pass_no") < F.col("passes")) | (F.col("room") > 0))
+    chosen = chosen.select(F.col("source").alias(group), "block", "pass_no", "place", (F.col("size") <= F.col("room")).alias(own + "all"), F.col("room").alias(own + "room"))
+    if sum(p.blocks * (p.passes + 1) for p in plans) <= BROADCAST_ROWS:
+        chosen = F.broadcast(chosen)
+
+    drawn, results = dealt.join(chosen, [group, "block"]), [*names, "n_tokens", "pass_no", "block", "place"]
+    turn = F.xxhash64(F.lit(seed), group, "pass_no", hashed)
+    inside = Window.partitionBy(group).orderBy(turn, hashed, column(key)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = drawn.where(f"NOT {own}all").withColumn(own + "sum", F.sum("n_tokens").over(inside)).where(f"{own}sum <= {own}room")
+    return drawn.where(f"{own}all").select(*results).unionByName(cut.select(*results))
 
 
 def op9_mixing(spark, sf_dir):
-    return mixed(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "source", "n_tokens", "pass_no", "block")
+    import public_tokenizers
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
+    counts = token_counter(public_tokenizers.path("piece_bpe_32k.model"))
+    return mixed(docs, tokens=counts(F.col("text"))).select("doc_id", "source", "n_tokens", "pass_no", "block", "place")

@@ -44,6 +44,53 @@ def test_draws_meet_budgets(spark):
         assert sum(1 for r in got if r["source"] == s and r["pass_no"] == number) == sizes[s]
 
 
+def test_permutations_and_last_pass_by_hand(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 8)
+    monkeypatch.setattr(mixing, "RANGE_BITS", 3)
+    rows = [(i, "ab"[i % 5 == 0], "w " * (i % 7)) for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.mixed(docs, entropy_share=1.0).collect()
+    natural = Counter()
+    for _, s, text in rows:
+        natural["=" + s] += len(text.split())
+    plans = {p.source[1:]: p for p in mixing.planned(natural, None, 1.0, 4.0, Counter("=" + s for _, s, _ in rows))}
+    assert plans["b"].passes >= 1 and plans["a"].blocks > 100
+    block_of = {r["doc_id"]: r["block"] for r in got}
+    orders = {}
+    for s, p in plans.items():
+        for number in range(p.passes + 1):
+            own = [r for r in got if r["source"] == s and r["pass_no"] == number]
+            order = {r["block"]: r["place"] for r in own}
+            assert len(set(order.values())) == len(order) and all(order[r["block"]] == r["place"] for r in own)
+            orders[s, number] = order
+            if number < p.passes:
+                assert sorted(order.values()) == list(range(len(order))) and len(own) == sum(x[1] == s for x in rows)
+                continue
+            # whole blocks in the order of places, then part of the next one
+            sizes, counts = Counter(), Counter()
+            for i, source, text in rows:
+                if source == s and i in block_of:
+                    sizes[block_of[i]] += len(text.split())
+                    counts[block_of[i]] += 1
+            left, drawn = p.left, Counter(r["block"] for r in own)
+            for block in sorted(order, key=order.get):
+                if sizes[block] <= left:
+                    assert drawn[block] == counts[block]
+                    left -= sizes[block]
+                else:
+                    assert order[block] == max(order.values())
+                    assert sum(r["n_tokens"] for r in own if r["block"] == block) <= left
+    assert orders["b", 0] != orders["b", 1]
+
+
+def test_mixing_clashing_names(spark):
+    names = ["doc_id", "text", "source", "_group", "_hash", "Place", "n_tokens", "turn", "size"]
+    df = spark.createDataFrame([(1, "a b", "s", *range(6)), (2, "c", None, *range(6))], names)
+    got = mixing.mixed(df)
+    assert got.columns == ["doc_id", "text", "source", "_group", "_hash", "turn", "size", "n_tokens", "pass_no", "block", "place"]
+    assert {(r["n_tokens"], r["_group"], r["size"]) for r in got.collect()} == {(2, 0, 5), (1, 0, 5)}
+
+
 def test_mixing_odd_rows(docs):
     rows = [(1, None), (2, ""), (None, "a b"), (3, "c"), (3, "c")]
     assert mixing.mixed(docs(rows)).count() == 5
