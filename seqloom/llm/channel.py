@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 
@@ -155,6 +156,41 @@ def disguised(word: str) -> bool:
     return len(word) > 2 and any(c in CODE or c in READINGS for c in word) and (not PLAIN.match(word) or DOUBLE.search(word) is not None)
 
 
+#: What joins the parts of a word.
+JOINTS = r"[-_/.,:;~=&\\\"'()\[\]{}\x{2010}-\x{2015}]"
+#: Characters that are no letter of the model and no digit may vanish.
+SILENT = "[^" + LETTERS + "0-9]*"
+
+
+def _written() -> dict[str, str]:
+    """For each letter of the model, the class of characters that may stand for it, as a regular expression."""
+    out = {c: {c} for c in LETTERS}
+    for c, options in READINGS.items():
+        for x in options:
+            out[x].add(c)
+    for point in (*range(0x80, 0x600), *range(0x1E00, 0x2200), *range(0x2460, 0x2500), *range(0xFF00, 0xFFF0), *range(0x1D400, 0x1D800)):
+        c = chr(point)
+        for x in {likeness(c), *normal(c)} - {""}:
+            for y in READINGS.get(x, x) if x not in CODE else x:
+                out.get(y, set()).add(c)
+    return {x: "[" + "".join(re.escape(c) for c in sorted(cs)) + "]+" for x, cs in out.items()}
+
+
+WRITTEN = _written()
+
+
+def patterns(words: set[str], beginnings: set[str], each: int = 12) -> list[str]:
+    """Regular expressions, of at most ``each`` items, one of which every spelling matches that may be read as one of the words or
+    as a word with one of the beginnings, whole or as a part between joints."""
+    heads: list[str] = []
+    for x in sorted(beginnings):
+        if not heads or not x.startswith(heads[-1]):
+            heads.append(x)
+    spelt = lambda x: SILENT.join(WRITTEN.get(c, re.escape(c)) for c in (k for k, _ in groupby(x)))
+    items = [spelt(x) for x in heads if x] + [f"{spelt(x)}{SILENT}(?:$|{JOINTS})" for x in sorted(words) if x and not x.startswith(tuple(heads))]
+    return [rf"(?:^|{JOINTS}){SILENT}(?:{'|'.join(items[i : i + each])})" for i in range(0, len(items), each)]
+
+
 # --- skeletons ---------------------------------------------------------------------------------
 
 STEP = np.uint64(0x9E3779B97F4A7C15)

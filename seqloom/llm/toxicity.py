@@ -34,14 +34,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .channel import SIZE, TRAILING, CharacterModel, Skeletons, decode, disguised, normal, spans, stripped, trigram_counts
+from .channel import JOINTS, LEADING, SIZE, TRAILING, CharacterModel, Skeletons, decode, disguised, normal, patterns, spans, stripped, trigram_counts
 from .common import byte_slices, column, persisted, ragged_take
 
 MARKS = "\"'.,;:()[]{}"
-#: What joins the parts of a word.
-JOINTS = re.compile(r"[-_/.,:;~=&\\\"'()\[\]{}\u2010-\u2015]+")
+PARTS = re.compile(re.sub(r"\\x\{(\w+)\}", r"\\u\1", JOINTS))
 BEGINNINGS = (4, 5, 6, 7)
-RUN, REMEMBERED = 8 << 20, 200_000  #: text bytes and words that a worker holds at a time
+RUN, REMEMBERED = 8 << 20, 100_000  #: text bytes and words that a worker holds at a time
 LEVELS = (0.01, 0.05, 0.25, 1.0)
 FOLDS = 3
 #: Share of the sample's documents from which on a word is too frequent to be a part of another.
@@ -80,7 +79,7 @@ def readings(word: str, model: CharacterModel) -> Iterator[str]:
     for form in sorted({plain, word.strip(MARKS)}):
         if disguised(form):
             yield decode(form, model)
-    parts = [x for x in JOINTS.split(plain) if len(x) > 2]
+    parts = [x for x in PARTS.split(plain) if len(x) > 2]
     if len(parts) > 1 or parts and parts[0] != plain:
         for part in parts:
             yield part
@@ -103,6 +102,14 @@ class Evidence:
         skeletons = Skeletons(exact)
         self.reach, self.wanted = int(skeletons.lengths.max(initial=0)), np.unique(skeletons.hashes)
         self.longest = max(map(len, exact), default=0)
+        self.patterns = patterns(set(exact), {f.removesuffix(AGAIN) for f in self.listed if f[0] != "="})
+
+    def candidates(self, words: pa.Array) -> np.ndarray:
+        """Which words may have a listed feature, as written or decoded: a filter in front of the decoder, which loses none."""
+        out = np.zeros(len(words), bool)
+        for pattern in self.patterns:
+            out |= pc.match_substring_regex(words, pattern).to_numpy(zero_copy_only=False)
+        return out
 
     def looked_up(self, word: str) -> tuple[str, ...]:
         return tuple(f for f in features(word) if f in self.listed or f + AGAIN in self.listed)
@@ -163,26 +170,30 @@ class Evidence:
         evidence: dict[int, dict] = {}
         if not len(codes) or not self.listed:
             return {}
-        own = [self.of_word(w) for w in words]
-        marked = np.fromiter((bool(f) for f in own), bool, len(words))
+        own = {i: names for i in np.flatnonzero(self.candidates(coded.dictionary)).tolist() if (names := self.of_word(words[i]))}
+        marked = np.zeros(len(words), bool)
+        marked[list(own)] = True
+        bare = pc.utf8_ltrim(pc.utf8_rtrim(coded.dictionary, TRAILING), LEADING)
         owner = lambda at: int(np.searchsorted(offsets, at, side="right")) - 1
         for at in np.flatnonzero(marked[codes]):
             evidence.setdefault(owner(at), {})[stripped(words[codes[at]])] = own[codes[at]]
-        for i, start, stop in spans(codes, offsets, Skeletons([stripped(w) for w in words]), self.wanted, self.reach):
+        for i, start, stop in spans(codes, offsets, Skeletons(bare.to_pylist()), self.wanted, self.reach):
             if not marked[codes[start:stop]].any() and (names := self.of_span([words[c] for c in codes[start:stop]])):
                 evidence.setdefault(i, {})[names] = names
-        letters = [alone(w) for w in words]
-        single = np.fromiter((bool(c) for c in letters), bool, len(words))
-        before = np.concatenate(([0], np.cumsum(single[codes])))
-        for i in np.flatnonzero(before[offsets[1:]] - before[offsets[:-1]] >= 3):
-            run = ""
-            for c in [*codes[offsets[i] : offsets[i + 1]].tolist(), -1]:
-                if c >= 0 and single[c]:
-                    run += letters[c]
-                    continue
-                if len(run) >= 3:
-                    evidence.setdefault(int(i), {}).update({names: names for names in self.of_run(run)})
-                run = ""
+        short = pc.or_(pc.less_equal(pc.utf8_length(bare), 1), pc.equal(pc.utf8_length(pc.utf8_trim(coded.dictionary, MARKS)), 1))
+        letters = {i: c for i in np.flatnonzero(short.to_numpy(zero_copy_only=False)).tolist() if (c := alone(words[i]))}
+        single = np.zeros(len(words), bool)
+        single[list(letters)] = True
+        apart = single[codes]
+        begins, ends = apart.copy(), apart.copy()
+        begins[1:] &= ~apart[:-1]
+        ends[:-1] &= ~apart[1:]
+        breaks = offsets[1:-1]
+        breaks = breaks[(breaks > 0) & (breaks < len(codes))]
+        begins[breaks], ends[breaks - 1] = apart[breaks], apart[breaks - 1]
+        for start, stop in zip(np.flatnonzero(begins).tolist(), (np.flatnonzero(ends) + 1).tolist(), strict=True):
+            if stop - start >= 3:
+                evidence.setdefault(owner(start), {}).update({names: names for names in self.of_run("".join(letters[c] for c in codes[start:stop].tolist()))})
         return {i: list(items.values()) for i, items in evidence.items()}
 
     def chance(self, ratio: float) -> float:
