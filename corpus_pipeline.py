@@ -4,6 +4,11 @@ Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept,
 of ``documents``; the last returns the pieces of the packed sequences. Near-duplicates are five-word shingle
 sets of similarity 0.8 or more. SQL cannot express the trained, sketching and packing stages, so ORACLE_SQL
 is None and the tests hold the stages against brute force.
+
+Defined results of every stage: an empty table gives an empty one; columns may have any names and stay as they are, for each stage picks
+rows of its input (the mixing stage some of them several times) and nothing of what its operator adds. Documents without words go
+with the classifier; of rows with equal texts, repeated rows and rows without an identifier included, one stays; of near-duplicates
+also; a null source is a source; null identifiers reach the packed pieces as nulls.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import exact_dedup, minhash, mixing, packing, quality_classifier
+from seqloom.llm import exact_dedup, minhash, mixing, packing, quality_classifier, token_counts
 from seqloom.llm.common import persisted
 
 ORACLE_SQL = None
@@ -35,8 +40,11 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn so that sources meet the target weights; a document may be drawn again."""
-    return mixing.mixed(docs).select(*docs.columns)
+    """Documents drawn so that sources meet the target weights of tokens; a document may be drawn again."""
+    import public_tokenizers
+
+    counts = token_counts.token_counter(public_tokenizers.path("piece_bpe_32k.model"))
+    return mixing.mixed(docs, tokens=counts(F.col("text"))).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
