@@ -57,6 +57,24 @@ def canonical_words(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum(forward, backward), valid
 
 
+def letter_codes(words: pa.Array, k: int) -> np.ndarray:
+    """Codes of valid words of k letters, one row a word."""
+    return _CODE[np.frombuffer("".join(words.to_pylist()).encode(), np.uint8)].reshape(-1, k)
+
+
+def unpacked_codes(words: np.ndarray, k: int) -> np.ndarray:
+    """Codes of packed words, one row a word."""
+    return ((words[:, None] >> (2 * np.arange(k - 1, -1, -1, dtype=np.int64))) & 3).astype(np.uint8)
+
+
+def packed_codes(codes: np.ndarray, long: bool) -> pa.Array:
+    """Rows of codes as LONGs, or as bytes, in their order."""
+    k = codes.shape[1]
+    if long:
+        return pa.array((codes.astype(np.int64) << (2 * np.arange(k - 1, -1, -1, dtype=np.int64))).sum(axis=1))
+    return pa.array(np.ascontiguousarray(codes).view(f"V{k}").ravel().tolist(), pa.binary())
+
+
 def slices(seq: str | None, k: int) -> Iterator[tuple[int, np.ndarray]]:
     """(first position, letter codes) of overlapping slices of a sequence."""
     if seq is None or len(seq) < k:
