@@ -13,7 +13,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 
@@ -156,46 +155,13 @@ def disguised(word: str) -> bool:
     return len(word) > 2 and any(c in CODE or c in READINGS for c in word) and (not PLAIN.match(word) or DOUBLE.search(word) is not None)
 
 
-#: What joins the parts of a word.
-JOINTS = r"[-_/.,:;~=&\\\"'()\[\]{}\x{2010}-\x{2015}]"
-#: Characters that are no letter of the model and no digit may vanish.
-SILENT = "[^" + LETTERS + "0-9]*"
-
-
-def _written() -> dict[str, str]:
-    """For each letter of the model, the class of characters that may stand for it, as a regular expression."""
-    out = {c: {c} for c in LETTERS}
-    for c, options in READINGS.items():
-        for x in options:
-            out[x].add(c)
-    for point in (*range(0x80, 0x600), *range(0x1E00, 0x2200), *range(0x2460, 0x2500), *range(0xFF00, 0xFFF0), *range(0x1D400, 0x1D800)):
-        c = chr(point)
-        for x in {likeness(c), *normal(c)} - {""}:
-            for y in READINGS.get(x, x) if x not in CODE else x:
-                out.get(y, set()).add(c)
-    return {x: "[" + "".join(re.escape(c) for c in sorted(cs)) + "]+" for x, cs in out.items()}
-
-
-WRITTEN = _written()
-
-
-def patterns(words: set[str], beginnings: set[str], each: int = 12) -> list[str]:
-    """Regular expressions, of at most ``each`` items, one of which every spelling matches that may be read as one of the words or
-    as a word with one of the beginnings, whole or as a part between joints."""
-    heads: list[str] = []
-    for x in sorted(beginnings):
-        if not heads or not x.startswith(heads[-1]):
-            heads.append(x)
-    spelt = lambda x: SILENT.join(WRITTEN.get(c, re.escape(c)) for c in (k for k, _ in groupby(x)))
-    items = [spelt(x) for x in heads if x] + [f"{spelt(x)}{SILENT}(?:$|{JOINTS})" for x in sorted(words) if x and not x.startswith(tuple(heads))]
-    return [rf"(?:^|{JOINTS}){SILENT}(?:{'|'.join(items[i : i + each])})" for i in range(0, len(items), each)]
-
-
 # --- skeletons ---------------------------------------------------------------------------------
 
 STEP = np.uint64(0x9E3779B97F4A7C15)
 BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))  #: the inverse of STEP
-LAST = 255  #: ends a word
+WILD, LAST = 26, 255  #: stands for several letters; ends a word
+#: Signs that need not stand for the letter of their class: they may vanish, or have several readings in different classes.
+UNSURE = "".join(c for c, options in READINGS.items() if not c.isdigit() or options == "gb")
 
 
 def _folds() -> np.ndarray:
@@ -207,32 +173,72 @@ def _folds() -> np.ndarray:
             c = chr(point)
             c = likeness(c) if point > 127 and c not in READINGS else c.lower()
             c = READINGS.get(c, c)
-            table[point] = classes.get(c[:1], 0) if len(c) <= 2 else 0
+            table[point] = classes.get(c[:1], 0) if len(c) <= 2 else WILD
     table[10] = LAST
     return table
 
 
 FOLDS = _folds()
+_UNSURE = np.zeros(len(FOLDS), bool)
+_UNSURE[[ord(c) for c in UNSURE]] = True
 
 
 class Skeletons:
-    """Of a list of words: hash, length, first and last class of what is left when characters fold and repetitions collapse."""
+    """Of a list of words: hash, length, first and last class of what is left when characters fold and repetitions collapse, and how
+    many classes come before the first unsure sign."""
 
     def __init__(self, words: list[str]):
         points = np.frombuffer(("\n".join(words) + "\n" if words else "").encode("utf-32-le", "replace"), np.uint32)
-        classes = FOLDS[np.where(points < len(FOLDS), points, 0)]
-        classes = classes[classes > 0]
+        points = np.where(points < len(FOLDS), points, 0)
+        classes = FOLDS[points]
+        held = classes > 0
+        classes, unsure = classes[held], _UNSURE[points[held]]
         again = np.zeros(len(classes), bool)
-        again[1:] = (classes[1:] == classes[:-1]) & (classes[1:] != LAST)
-        classes = classes[~again]
+        again[1:] = (classes[1:] == classes[:-1]) & (classes[1:] != LAST) & (unsure[1:] == unsure[:-1])
+        classes, unsure = classes[~again], unsure[~again]
         ends = np.flatnonzero(classes == LAST)
-        starts = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends
-        self.lengths = ends - starts
-        places = np.arange(len(classes)) - np.repeat(starts, self.lengths + 1)
-        self.powers = powers(int(self.lengths.max(initial=0)) + 2)
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(classes.astype(np.uint64) * self.powers[places], dtype=np.uint64)))
-        self.hashes = total[ends] - total[starts]
-        self.first, self.last = classes[starts], classes[np.maximum(ends - 1, 0)]
+        self.starts = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends
+        self.lengths = ends - self.starts
+        words_of = np.repeat(np.arange(len(ends)), self.lengths + 1)
+        places = np.arange(len(classes)) - self.starts[words_of]
+        self.total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(classes.astype(np.uint64) * powers(int(self.lengths.max(initial=0)) + 2)[places], dtype=np.uint64)))
+        self.hashes = self.total[ends] - self.total[self.starts]
+        self.first, self.last = classes[self.starts], classes[np.maximum(ends - 1, 0)]
+        self.sure = self.lengths.copy()
+        at = np.flatnonzero(unsure)[::-1]
+        self.sure[words_of[at]] = places[at]
+
+    def prefixes(self, length: int | np.ndarray) -> np.ndarray:
+        """Hashes of the first classes of each word, at most ``length``."""
+        return self.total[self.starts + np.minimum(length, self.lengths)] - self.total[self.starts]
+
+
+def within(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which values are among the ordered ones."""
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
+class Filter:
+    """What may be read as one of some words, or as a word with one of some beginnings, by skeletons alone.
+
+    It loses nothing: a sure spelling's skeleton is its reading's; before the first unsure sign a spelling goes like some prefix.
+    """
+
+    def __init__(self, words: list[str], beginnings: list[str]):
+        exact, heads = Skeletons(words), Skeletons(beginnings)
+        self.exact, self.reach = np.unique(exact.hashes), int(exact.lengths.max(initial=0))
+        self.heads = {int(n): np.unique(heads.hashes[heads.lengths == n]) for n in np.unique(heads.lengths)}
+        every = [x.prefixes(n)[x.lengths >= n] for x in (exact, heads) for n in range(1, int(x.lengths.max(initial=0)) + 1)]
+        self.prefixes = np.unique(np.concatenate([np.zeros(1, np.uint64), *every]))
+
+    def __call__(self, forms: Skeletons) -> np.ndarray:
+        sure = forms.sure == forms.lengths
+        out = sure & within(forms.hashes, self.exact)
+        for n, heads in self.heads.items():
+            out |= (forms.sure >= n) & within(forms.prefixes(n), heads)
+        return out | ~sure & within(forms.prefixes(forms.sure), self.prefixes)
 
 
 def powers(n: int) -> np.ndarray:
@@ -254,8 +260,7 @@ def spans(codes: np.ndarray, offsets: np.ndarray, skeletons: Skeletons, wanted:
     at = np.flatnonzero(skeletons.lengths[word] <= reach)
     hashes, lengths, last = skeletons.hashes[word[at]], skeletons.lengths[word[at]], skeletons.last[word[at]]
     for n in range(1, 2 * reach + 2):
-        found = wanted[np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)] == hashes
-        for i in at[found].tolist():
+        for i in at[within(hashes, wanted)].tolist():
             yield int(text[i]), int(place[i]), int(place[i + n - 1]) + 1
         keep = at + n < len(word)
         keep[keep] = text[at[keep] + n] == text[at[keep]]

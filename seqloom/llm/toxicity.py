@@ -34,11 +34,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .channel import JOINTS, LEADING, SIZE, TRAILING, CharacterModel, Skeletons, decode, disguised, normal, patterns, spans, stripped, trigram_counts
+from .channel import LEADING, SIZE, TRAILING, CharacterModel, Filter, Skeletons, decode, disguised, normal, spans, stripped, trigram_counts
 from .common import byte_slices, column, persisted, ragged_take
 
 MARKS = "\"'.,;:()[]{}"
-PARTS = re.compile(re.sub(r"\\x\{(\w+)\}", r"\\u\1", JOINTS))
+#: What joins the parts of a word.
+PARTS = re.compile(r"[-_/.,:;~=&\\\"'()\[\]{}\u2010-\u2015]+")
+JOINED = r"[-_/.,:;~=&\\\"'()\[\]{}\x{2010}-\x{2015}]"
 BEGINNINGS = (4, 5, 6, 7)
 RUN, REMEMBERED = 8 << 20, 100_000  #: text bytes and words that a worker holds at a time
 LEVELS = (0.01, 0.05, 0.25, 1.0)
@@ -99,16 +101,22 @@ class Evidence:
 
     def __post_init__(self):
         exact = [f[1:].removesuffix(AGAIN) for f in self.listed if f[0] == "="]
-        skeletons = Skeletons(exact)
-        self.reach, self.wanted = int(skeletons.lengths.max(initial=0)), np.unique(skeletons.hashes)
         self.longest = max(map(len, exact), default=0)
-        self.patterns = patterns(set(exact), {f.removesuffix(AGAIN) for f in self.listed if f[0] != "="})
-
-    def candidates(self, words: pa.Array) -> np.ndarray:
-        """Which words may have a listed feature, as written or decoded: a filter in front of the decoder, which loses none."""
-        out = np.zeros(len(words), bool)
-        for pattern in self.patterns:
-            out |= pc.match_substring_regex(words, pattern).to_numpy(zero_copy_only=False)
+        self.may_be = Filter(exact, sorted({f.removesuffix(AGAIN) for f in self.listed if f[0] != "="}))
+
+    def candidates(self, words: pa.Array, bare: pa.Array, skeletons: Skeletons) -> np.ndarray:
+        """Which words may have a listed feature, as written or decoded, whole or in a part; ``bare`` are the words without marks."""
+        out = self.may_be(skeletons)
+        marked = pc.utf8_trim(words, MARKS)
+        forms, owners = [], []
+        for i in np.flatnonzero(pc.and_(pc.not_equal(marked, bare), pc.invert(pa.array(out))).to_numpy(zero_copy_only=False)).tolist():
+            forms.append(marked[i].as_py())
+            owners.append(i)
+        for i in np.flatnonzero(pc.match_substring_regex(bare, JOINED).to_numpy(zero_copy_only=False) & ~out).tolist():
+            parts = PARTS.split(normal(bare[i].as_py()))
+            forms += parts
+            owners += [i] * len(parts)
+        out[np.array(owners, np.int64)[self.may_be(Skeletons(forms))]] = True
         return out
 
     def looked_up(self, word: str) -> tuple[str, ...]:
@@ -170,14 +178,15 @@ class Evidence:
         evidence: dict[int, dict] = {}
         if not len(codes) or not self.listed:
             return {}
-        own = {i: names for i in np.flatnonzero(self.candidates(coded.dictionary)).tolist() if (names := self.of_word(words[i]))}
+        bare = pc.utf8_ltrim(pc.utf8_rtrim(coded.dictionary, TRAILING), LEADING)
+        skeletons = Skeletons(bare.to_pylist())
+        own = {i: names for i in np.flatnonzero(self.candidates(coded.dictionary, bare, skeletons)).tolist() if (names := self.of_word(words[i]))}
         marked = np.zeros(len(words), bool)
         marked[list(own)] = True
-        bare = pc.utf8_ltrim(pc.utf8_rtrim(coded.dictionary, TRAILING), LEADING)
         owner = lambda at: int(np.searchsorted(offsets, at, side="right")) - 1
         for at in np.flatnonzero(marked[codes]):
             evidence.setdefault(owner(at), {})[stripped(words[codes[at]])] = own[codes[at]]
-        for i, start, stop in spans(codes, offsets, Skeletons(bare.to_pylist()), self.wanted, self.reach):
+        for i, start, stop in spans(codes, offsets, skeletons, self.may_be.exact, self.may_be.reach):
             if not marked[codes[start:stop]].any() and (names := self.of_span([words[c] for c in codes[start:stop]])):
                 evidence.setdefault(i, {})[names] = names
         short = pc.or_(pc.less_equal(pc.utf8_length(bare), 1), pc.equal(pc.utf8_length(pc.utf8_trim(coded.dictionary, MARKS)), 1))

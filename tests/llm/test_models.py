@@ -3,6 +3,7 @@ from itertools import groupby, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import functions as F
 
 from seqloom.llm import channel, quality_classifier, toxicity
@@ -111,6 +112,24 @@ def test_long_readings_are_whole(spark):
     assert channel.decode("1d10t-cl0wn-" * 300, model) == "idiotclown" * 300
 
 
+def test_the_filter_loses_no_reading():
+    r = np.random.default_rng(8)
+    listed = {"=idiot": (9.0, 1.0), "=boss": (9.0, 1.0), "clow": (9.0, 1.0), "pathe": (9.0, 1.0), "=\u00e9lan": (9.0, 1.0)}
+    model = channel.CharacterModel(channel.trigram_counts([x.strip("=") for x in listed] * 3, np.full(15, 50.0)))
+    evidence = toxicity.Evidence(listed, 0.05, model)
+    swaps = {"i": "i1!*", "o": "o0\u043e", "a": "a4@\u00e0*", "s": "s5$", "e": "e3*", "t": "t7+", "l": "l1|", "\u00e9": "\u00e9e3"}
+    words = []
+    for _ in range(3000):
+        base = str(r.choice(["idiot", "boss", "clown", "pathetic", "\u00e9lan", "idiom", "plan", "clo", "host"]))
+        spelt = "".join(str(r.choice(list(swaps.get(c, c)))) * int(r.choice([1, 1, 1, 2, 4])) + str(r.choice(["", "", "", "-", "."])) for c in base)
+        words.append(str(r.choice(["", "so-", "x_", '"'])) + spelt + str(r.choice(["", ".", "!", "-x"])))
+    words = pa.array(words, pa.string())
+    bare = pa.compute.utf8_ltrim(pa.compute.utf8_rtrim(words, channel.TRAILING), channel.LEADING)
+    passed = evidence.candidates(words, bare, channel.Skeletons(bare.to_pylist()))
+    found = [bool(evidence.of_word(w)) for w in words.to_pylist()]
+    assert sum(found) > 500 and all(p for p, f in zip(passed, found, strict=True) if f)
+
+
 def test_training_reads_no_held_out_label(spark):
     docs, labels = tables(spark, SF)
     other = labels.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
