@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -52,6 +53,7 @@ def let(value: Column, body) -> Column:
 
 
 _own_dirs: dict[str, str] = {}
+_process = ctypes.CDLL(None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -105,7 +107,15 @@ def byte_slices(batch: pa.RecordBatch, column: str, limit: int = 16 << 20) -> It
         stop = max(int(np.searchsorted(ends, done + limit, side="right")), start + 1)
         yield batch.slice(start, stop - start)
         start, done = stop, int(ends[stop - 1])
+    released()
+
+
+def released() -> None:
+    """Give freed memory back to the machine: workers live on between stages, and what they hold counts against their executor."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(_process, "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def string_lengths(values: pa.Array) -> np.ndarray:
@@ -119,8 +129,10 @@ def ragged_take(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np
     total = int(lengths.sum())
     if not total:
         return flat[:0]
-    shift = np.repeat(starts - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths)
-    return flat[shift + np.arange(total)]
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    at = np.repeat((starts - np.concatenate(([0], np.cumsum(lengths)[:-1]))).astype(kind), lengths)
+    at += np.arange(total, dtype=kind)
+    return flat[at]
 
 
 def list_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:

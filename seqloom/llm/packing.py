@@ -10,8 +10,7 @@ leave, and differencing deals the light windows and the cuttings anew, to the fe
 then every window of a whole block is full. A partition's last tokens that fill no window go to sequences whose
 lengths are powers of two, which need no padding.
 
-A worker holds one run of texts, one block of at most ``block`` x capacity ids, and a bounded table of
-distinct word pieces. Blocks depend on nothing but their partition, so a lost executor's task repeats
+A worker holds one run of texts with its ids, and one block of at most ``block`` x capacity ids. Blocks depend on nothing but their partition, so a lost executor's task repeats
 them alike. Sequence numbers are unique: partition number x 2^32 plus a running number.
 
 Defined results: null text counts as empty and gives the end id alone; repeated rows are packed each; keys are of any type, null keys
@@ -26,7 +25,6 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +40,7 @@ ODD = r"[\s\p{Z}\x{85}\x{0B}\x{1C}-\x{1F}] | [\s\p{Z}\x{85}\x{0B}\x{1C}-\x{1F}]"
 SAFE = re.compile(r"(?<=\S)(?= \S)")
 #: Pieces that may stand in lines of one text: a token never crosses a newline between such pieces.
 PLAIN = r"\A ?[^\s\p{Z}\x{85}\x{0B}\x{1C}-\x{1F}]+\z"
-RUN, REMEMBERED = 4 << 20, 350_000  #: text bytes and pieces that a worker holds at a time
+RUN, LINE = 16 << 20, 2000  #: text bytes that a worker holds at a time, and pieces in a line
 
 
 @lru_cache(maxsize=2)
@@ -53,52 +51,42 @@ def byte_model(path: str):
     return Tokenizer.from_file(path)
 
 
-class Pieces:
-    """Ids of text pieces, each distinct piece encoded once; between runs, a full table is emptied."""
+class Encoder:
+    """Ids of texts, run by run; each distinct piece of a run is encoded once, in long lines of pieces."""
 
     def __init__(self, path: str):
         self.model = byte_model(path)
         self.newline = self.model.encode("\n", add_special_tokens=False).ids[0]
-        self.starts, self.lengths, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
-        self.known: dict[str, int] = {}
-        self.pieces = self.used = 0
-
-    def encoded(self, plain: list[str], other: list[str]) -> None:
-        """Append the ids of the pieces, in order: plain ones as lines of long texts, others one by one."""
-        for i in range(0, len(plain), 2000):
-            some = plain[i : i + 2000]
-            ids = np.array(self.model.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, np.uint32)
-            breaks = np.flatnonzero(ids == self.newline)
-            if len(breaks) == len(some) - 1:
-                self.append(np.delete(ids, breaks), np.diff(np.concatenate(([-1], breaks, [len(ids)]))) - 1)
+
+    def pieces(self, words: pa.Array, lead: str) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all distinct words, each behind ``lead``, in a row, and the number of ids of each."""
+        plain = pc.match_substring_regex(words, PLAIN).to_numpy(zero_copy_only=False)
+        ids, lengths = [np.zeros(0, np.uint32)], np.zeros(len(words), np.int64)
+        order = np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain)))
+        own = words.take(pa.array(order[: int(plain.sum())]))
+        ends = np.append(np.arange(0, len(own), LINE), len(own)).astype(np.int32)
+        lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), own), "\n" + lead).to_pylist() if len(own) else []
+        for start, stop, line in zip(ends[:-1].tolist(), ends[1:].tolist(), lines, strict=False):
+            line_ids = np.array(self.model.encode_batch_fast([lead + line], add_special_tokens=False)[0].ids, np.uint32)
+            breaks = np.flatnonzero(line_ids == self.newline)
+            if len(breaks) == stop - start - 1:
+                ids.append(np.delete(line_ids, breaks))
+                lengths[order[start:stop]] = np.diff(np.concatenate(([-1], breaks, [len(line_ids)]))) - 1
             else:
-                self.encoded([], some)
-        for i in range(0, len(other), 10_000):
-            coded = [x.ids for x in self.model.encode_batch_fast(other[i : i + 10_000], add_special_tokens=False)]
-            self.append(np.fromiter((x for ids in coded for x in ids), np.uint32), np.fromiter(map(len, coded), np.int64))
-
-    def append(self, ids: np.ndarray, lengths: np.ndarray) -> None:
-        at, end = self.pieces, self.pieces + len(lengths)
-        if end > len(self.starts):
-            self.starts, self.lengths = np.resize(self.starts, 2 * end), np.resize(self.lengths, 2 * end)
-        if self.used + len(ids) > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * (self.used + len(ids)))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.starts[at:end], self.lengths[at:end] = self.used + np.cumsum(lengths) - lengths, lengths
-        self.pieces, self.used = end, self.used + len(ids)
-
-    def places(self, pieces: list[str]) -> np.ndarray:
-        """Where the pieces stand."""
-        at = np.fromiter((self.known.get(p, -1) for p in pieces), np.int64, len(pieces))
-        fresh = np.flatnonzero(at < 0).tolist()
-        new = dict.fromkeys([pieces[i] for i in fresh])
-        flags = pc.match_substring_regex(pa.array(list(new), pa.string()), PLAIN).to_pylist()
-        plain, other = list(compress(new, flags)), [p for p, flag in zip(new, flags, strict=True) if not flag]
-        new.update(zip([*plain, *other], range(self.pieces, self.pieces + len(new)), strict=True))
-        self.encoded(plain, other)
-        at[fresh] = [new[pieces[i]] for i in fresh]
-        self.known.update(new)
-        return at
+                self.one_by_one(words, lead, order[start:stop], ids, lengths)
+        self.one_by_one(words, lead, order[len(own) :], ids, lengths)
+        # from the order of encoding to that of the words
+        ordered = lengths[order]
+        starts = np.empty(len(words), np.int64)
+        starts[order] = np.cumsum(ordered) - ordered
+        return ragged_take(np.concatenate(ids), starts, lengths), lengths
+
+    def one_by_one(self, words: pa.Array, lead: str, places: np.ndarray, ids: list[np.ndarray], lengths: np.ndarray) -> None:
+        for i in range(0, len(places), LINE):
+            some = [lead + w for w in words.take(pa.array(places[i : i + LINE])).to_pylist()]
+            coded = [x.ids for x in self.model.encode_batch_fast(some, add_special_tokens=False)]
+            lengths[places[i : i + LINE]] = list(map(len, coded))
+            ids.append(np.fromiter((x for own in coded for x in own), np.uint32))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and each text's number of ids."""
@@ -106,30 +94,32 @@ class Pieces:
         odd = pc.match_substring_regex(texts, ODD)
         split = pc.split_pattern(pc.if_else(odd, "", texts), " ")
         offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
-        coded = split.flatten().dictionary_encode()
-        codes, words = coded.indices.to_numpy(), [" " + w for w in coded.dictionary.to_pylist()]
-        heads = offsets[:-1]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-            self.pieces = self.used = 0
-        places = self.places(words)[codes]
-        places[heads] = self.places([words[c][1:] for c in codes[heads]])
-        own = {int(i): self.places(SAFE.split(texts[int(i)].as_py())) for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False))}
-        counts = list_sums(self.lengths[places], offsets)
-        ids, done = [], 0
-        for i in [*own, len(counts)]:
-            part = places[offsets[done] : offsets[i]]
-            ids.append(ragged_take(self.flat, self.starts[part], self.lengths[part]))
-            if i in own:
-                ids.append(ragged_take(self.flat, self.starts[own[i]], self.lengths[own[i]]))
-                counts[i], done = len(ids[-1]), i + 1
-        return np.concatenate(ids), counts
-
-
-@lru_cache(maxsize=1)
-def pieces_of(path: str) -> Pieces:
-    """One table for all tasks that a worker process runs."""
-    return Pieces(path)
+        flat = split.flatten()
+        heads = flat.take(pa.array(offsets[:-1])).dictionary_encode()
+        coded = flat.dictionary_encode()
+        rows = np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()
+        own = [SAFE.split(texts[i].as_py()) for i in rows]
+        odd_ones = pa.array([p for pieces in own for p in pieces], pa.string()).dictionary_encode()
+
+        sets = [self.pieces(coded.dictionary, " "), self.pieces(heads.dictionary, ""), self.pieces(odd_ones.dictionary, "")]
+        ids, lengths = (np.concatenate(x) for x in zip(*sets, strict=True))
+        starts = np.cumsum(lengths) - lengths
+        shift = np.cumsum([0, *(len(n) for _, n in sets)])
+        places = coded.indices.to_numpy().astype(np.int64)
+        places[offsets[:-1]] = heads.indices.to_numpy() + shift[1]
+        if not rows:
+            return ragged_take(ids, starts[places], lengths[places]), list_sums(lengths[places], offsets)
+        # an odd text has one empty piece so far, and gets its own ones instead
+        sizes = np.diff(offsets)
+        sizes[rows] = [len(pieces) for pieces in own]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        all_places = np.empty(ends[-1], np.int64)
+        is_odd = np.repeat(np.isin(np.arange(len(sizes)), rows), sizes)
+        all_places[is_odd] = odd_ones.indices.to_numpy() + shift[2]
+        keep = np.ones(len(places), bool)
+        keep[offsets[:-1][rows]] = False
+        all_places[~is_odd] = places[keep]
+        return ragged_take(ids, starts[all_places], lengths[all_places]), list_sums(lengths[all_places], ends)
 
 
 def differencing(sizes: list[int], windows: int) -> list[list[int]]:
@@ -276,7 +266,7 @@ def packed(docs: DataFrame, model_path: str, capacity: int = 1024, block: int =
     """One row per piece: PIECE_COLUMNS, with the ids' CRC-32 as unsigned little-endian 32-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, packer, rows = pieces_of(model_path), Packer(TaskContext.get().partitionId(), capacity, block, cuts), []
+        pieces, packer, rows = Encoder(model_path), Packer(TaskContext.get().partitionId(), capacity, block, cuts), []
         kind = pa.null()
         for batch in batches:
             kind = batch.schema.field("_key").type

@@ -59,7 +59,7 @@ def test_pieces_equal_the_library():
     r = random.Random(5)
     parts = ["a", "B", " ", "  ", "\n", "\t", "é", "1", "'s", "'", "ß", "!", "\x85", "\x1c", "漢", "<|endoftext|>", " "]
     texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 30))) for _ in range(3000)] + [None]
-    ids, counts = packing.Pieces(MODEL).encode(pa.array(texts, pa.string()))
+    ids, counts = packing.Encoder(MODEL).encode(pa.array(texts, pa.string()))
     ends = np.cumsum(counts)
     for text, end, n in zip(texts, ends, counts, strict=True):
         assert ids[end - n : end].tolist() == packing.byte_model(MODEL).encode(text or "", add_special_tokens=False).ids
