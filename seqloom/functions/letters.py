@@ -22,6 +22,12 @@ def canonical(word: Column) -> Column:
     return F.least(word, reverse_complement(word))
 
 
+def canonical_word(word: str) -> str:
+    """The same for a word at hand, in lower case."""
+    word = word.lower()
+    return min(word, word[::-1].translate(str.maketrans("acgt", "tgca")))
+
+
 def is_palindrome(word: Column) -> Column:
     return word == reverse_complement(word)
 

@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from ..functions.letters import MOST
 
 
+#: Least top of the range for fitting.
+FIT_HIGH = 1000
+
+
 @dataclass(frozen=True)
 class Histogram:
     """``bins``: freq, n. ``ends``: one row of i_low, i_high. ``instances``: whether n counts instances."""
@@ -59,8 +63,12 @@ class Histogram:
         down = Window.orderBy(F.desc("freq")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return self.bins.where("n > 0").select("freq", "n", (100.0 * F.sum("n").over(down) / F.sum("n").over(Window.partitionBy())).alias("cum_percent"))
 
+    def for_fitting(self, low: int = 1, high: int = FIT_HIGH) -> DataFrame:
+        """The form for genome-profile fitting over a range, which is widened to contain 1 to FIT_HIGH."""
+        return self.clipped(min(low, 1), max(high, FIT_HIGH)).scoped()
+
     def scoped(self) -> DataFrame:
-        """The form for genome-profile fitting: the last bin holds its instances divided by its frequency."""
+        """The last bin holds its instances divided by its frequency."""
         last = F.when(F.col("freq") == self.high, F.expr(f"i_high div {self.high}")).otherwise(F.col("n"))
         return self.as_words().bins.crossJoin(F.broadcast(self.ends)).select("freq", last.alias("n")).where("n > 0")
 

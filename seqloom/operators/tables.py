@@ -53,10 +53,20 @@ def lookup(table: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def seek(table: DataFrame, word: str) -> DataFrame:
-    """The first row at or after a word in order."""
+    """The first row at or after a word's canonical form in order; the word is whole."""
+    return seek_entry(table, letters.canonical_word(word))
+
+
+def seek_entry(table: DataFrame, word: str) -> DataFrame:
+    """The first row at or after a word, or the beginning of one, as it is written."""
     return table.where(F.col("kmer") >= word.lower()).orderBy("kmer").limit(1)
 
 
+def seek_ordinal(table: DataFrame, place: int) -> DataFrame:
+    """The row at a 0-based place in order."""
+    return ordinals(table).where(F.col("ord") == place).drop("ord")
+
+
 def disordered(table: DataFrame, place: str) -> DataFrame:
     """Rows that do not strictly follow the row before them by ``place``; none in a proper table."""
     after = table.groupBy(F.col("kmer")).agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n"))
@@ -65,6 +75,19 @@ def disordered(table: DataFrame, place: str) -> DataFrame:
     return table.join(pairs, place).where("_before >= kmer").select(table.columns).unionByName(repeated).distinct()
 
 
+def disordered_stored(placed: DataFrame, run: int = 1 << 16) -> DataFrame:
+    """Rows of a stored table (file, row, kmer, count) that do not strictly follow the row stored before them, in file order.
+
+    Runs of rows are checked inside; the last word of each run is then held against the first row of the next one (one row a run).
+    """
+    own = placed.withColumn("run", F.expr(f"row div {run}"))
+    inside = Window.partitionBy("file", "run").orderBy("row")
+    wrong = own.withColumn("before", F.lag("kmer").over(inside)).where("before >= kmer").select("kmer", "count")
+    ends = own.groupBy("file", "run").agg(F.min_by(F.struct("kmer", "count"), "row").alias("first"), F.max_by("kmer", "row").alias("last"))
+    joints = ends.withColumn("before", F.lag("last").over(Window.orderBy("file", "run"))).where("before >= first.kmer")
+    return wrong.unionByName(joints.select("first.kmer", "first.count"))
+
+
 def prefix_index(table: DataFrame, length: int) -> DataFrame:
     """(prefix, n, upto): words of each prefix, and of all prefixes up to it. At most 4^length rows."""
     counted = table.groupBy(F.substring("kmer", 1, length).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
@@ -136,6 +159,20 @@ def venn(tables: list[DataFrame], low: int = 1, high: int = 100) -> DataFrame:
     return wide.groupBy(mask.cast("int").alias("mask"), freq.alias("freq")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def haplotype_sites(table: DataFrame, k: int, low: int = 1, high: int = MOST) -> DataFrame:
+    """:func:`haplotypes` plus ``site``, the 0-based number of each group in the order of left and right parts.
+
+    Groups are numbered inside short prefixes and shifted by the groups of the prefixes before (at most 4^PLACED_BY rows).
+    """
+    found = haplotypes(table, k, low, high).withColumn("_prefix", F.substring("left", 1, PLACED_BY))
+    groups = found.select("_prefix", "left", "right").distinct()
+    counts = groups.groupBy("_prefix").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = F.broadcast(counts.select("_prefix", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift")))
+    inside = F.dense_rank().over(Window.partitionBy("_prefix").orderBy("left", "right"))
+    return found.withColumn("_inside", inside).join(shifts, "_prefix").select((F.col("_shift") + F.col("_inside") - 1).cast("long").alias("site"), "left", "centre", "right", "count")
+
+
 def haplotypes(table: DataFrame, k: int, low: int = 1, high: int = MOST) -> DataFrame:
     """(left, centre, right, count): words in range that differ from another one in the middle letter alone."""
     half = k // 2
@@ -152,3 +189,19 @@ def lines(table: DataFrame) -> DataFrame:
 def tagged_lines(table: DataFrame, k: int) -> DataFrame:
     """Rows of the one-letter tagged text form: k, the prefix letter, words and counts."""
     return table.select("kmer", F.concat(F.lit(f"S {k} "), F.col("kmer"), F.lit("\nC "), F.col("count")).alias("line"))
+
+
+def tagged_buckets(table: DataFrame, k: int, prefix: int) -> DataFrame:
+    """(ord, line): the tagged form by prefix: k, prefix length, least count and first prefix; then the suffixes and counts of each prefix.
+
+    A bucket has the words of one prefix, so the prefix bounds its size.
+    """
+    split = table.select(F.substring("kmer", 1, prefix).alias("prefix"), F.struct(F.substring("kmer", prefix + 1, k).alias("suffix"), F.col("count").cast("string").alias("count")).alias("x"))
+    buckets = split.groupBy("prefix").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    body = F.concat(
+        F.concat_ws(" ", F.lit("S"), F.size("xs") * (k - prefix), F.array_join(F.transform("xs", lambda x: x["suffix"]), "")), F.lit("\n"),
+        F.concat_ws(" ", F.lit("C"), F.size("xs"), F.array_join(F.transform("xs", lambda x: x["count"]), " ")),
+    )
+    place = F.conv(F.translate(F.min("prefix"), "acgt", "0123"), 4, 10)
+    head = split.agg(F.count(F.lit(1)).alias("n"), F.concat_ws(" ", F.lit("K"), F.lit(k), F.lit(prefix), F.min(F.col("x.count").cast("int")), place).alias("line")).where("n > 0")
+    return head.select(F.lit("").alias("ord"), "line").unionByName(buckets.select(F.col("prefix").alias("ord"), body.alias("line")))

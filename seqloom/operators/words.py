@@ -80,8 +80,14 @@ def slices(seq: str | None, k: int) -> Iterator[tuple[int, np.ndarray]]:
     if seq is None or len(seq) < k:
         return
     codes = _CODE[np.frombuffer(seq.encode("ascii", "replace"), np.uint8)]
-    for start in range(0, len(codes) - k + 1, SLICE):
-        yield start, codes[start : start + SLICE + k - 1]
+    size = slice_size(k)
+    for start in range(0, len(codes) - k + 1, size):
+        yield start, codes[start : start + size + k - 1]
+
+
+def slice_size(k: int) -> int:
+    """Windows that are worked on at a time: words of letters take k bytes each, several times over."""
+    return SLICE if k <= PACKED_UP_TO else max(SLICE // k, 1)
 
 
 def _array(words: np.ndarray, k: int) -> pa.Array:
@@ -101,15 +107,20 @@ def partial_counts(reads: DataFrame, k: int, group: str | None = None) -> DataFr
     """(group,) kmer, n: counts within each Arrow batch, words as :func:`word_type`."""
     check_k(k)
 
+    most = 4 * slice_size(k) if k > PACKED_UP_TO else SLICE
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.column("_group").to_pylist() if group else [None] * batch.num_rows
             gathered: dict = {}
-            for name, seq in zip(names, batch.column("seq").to_pylist(), strict=True):
-                for _, codes in slices(seq, k):
+            held: dict = {}
+            for name, seq in zip(names, batch.column("seq"), strict=True):
+                for _, codes in slices(seq.as_py(), k):
                     words, valid = canonical_words(codes, k)
                     gathered.setdefault(name, []).append(words[valid])
-                    if sum(map(len, gathered[name])) > SLICE:
+                    held[name] = held.get(name, 0) + len(words)
+                    if held[name] > most:
+                        held[name] = 0
                         yield from _counted({name: gathered.pop(name)}, k, group)
             yield from _counted(gathered, k, group)
 
@@ -126,23 +137,37 @@ def _counted(gathered: dict, k: int, group: str | None) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(words), pa.string()), *columns] if group else columns, names=["_group", "kmer", "n"] if group else ["kmer", "n"])
 
 
+ROWS = 1 << 16  #: positions of an Arrow batch, about
+
+
 def positions(reads: DataFrame, k: int, key: str = "read_id") -> DataFrame:
     """(key, pos, kmer) of every window; kmer is null where a letter is invalid."""
     check_k(k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, ...]] = []
+        held = 0
         for batch in batches:
             keys = batch.column("_key").to_pylist()
-            for name, seq in zip(keys, batch.column("seq").to_pylist(), strict=True):
-                for start, codes in slices(seq, k):
+            for name, seq in zip(keys, batch.column("seq"), strict=True):
+                for start, codes in slices(seq.as_py(), k):
                     words, valid = canonical_words(codes, k)
-                    n = len(words)
-                    named = pc.if_else(pa.array(valid), _array(words, k), None)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.int64()), pa.array(np.arange(start, start + n, dtype=np.int32)), named], names=["_key", "pos", "kmer"])
+                    parts.append((np.full(len(words), name is not None), np.full(len(words), name or 0, np.int64), np.arange(start, start + len(words), dtype=np.int32), words, valid))
+                    held += len(words)
+                    if held >= ROWS:
+                        yield _positioned(parts, k)
+                        parts, held = [], 0
+        if parts:
+            yield _positioned(parts, k)
 
     return reads.select(F.col(key).cast("long").alias("_key"), "seq").mapInArrow(run, f"_key long, pos int, kmer {word_type(k)}").withColumnRenamed("_key", key)
 
 
+def _positioned(parts: list[tuple[np.ndarray, ...]], k: int) -> pa.RecordBatch:
+    named, names, places, words, valid = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(names, mask=~named), pa.array(places), pc.if_else(pa.array(valid), _array(words, k), None)], names=["_key", "pos", "kmer"])
+
+
 def raw_counts(reads: DataFrame, k: int, group: str | None = None) -> DataFrame:
     """(group,) kmer, n: unclipped counts of canonical words, words as :func:`word_type`."""
     return partial_counts(reads, k, group).groupBy(*([group] if group else []), "kmer").agg(F.sum("n").alias("n"))

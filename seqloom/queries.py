@@ -6,16 +6,19 @@ languages serve as tables a to d of the set algebra, and ``benchmark`` as the ta
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import codec, letters
 from .functions.letters import MOST
 from .operators import histograms, homopolymers, profiles, tables, words
-from .plans import jobs
-from .sources import derived
+from .plans import expressions, jobs
+from .sources import artifacts, derived, files
 
-K, SMALL, LONG = 11, 7, 30
+#: Words of 21 letters, so that tables grow with the input (there are 2^41 of them); of 30 for runs; the default of 40 once.
+K, SMALL, LONG, COVERED = 21, 21, 30, 3
 LANGUAGES = ("de", "en", "es", "fr")
 
 
@@ -141,14 +144,35 @@ def table_lookup(spark, d):
     return tables.lookup(table(spark, d), asked)
 
 
-@query(f"{sql_counted()} SELECT kmer, count FROM tab WHERE kmer >= 'ccccccccccc' ORDER BY kmer LIMIT 1")
+@query(f"{sql_counted()} SELECT kmer, count FROM tab WHERE kmer >= '{'c' * K}' ORDER BY kmer LIMIT 1")
 def table_seek(spark, d):
-    return tables.seek(table(spark, d), "c" * K)
+    return tables.seek(table(spark, d), "G" * K)
+
+
+@query(f"{sql_counted()} SELECT kmer, count FROM tab WHERE kmer >= 'ggga' ORDER BY kmer LIMIT 1")
+def table_seek_entry(spark, d):
+    return tables.seek_entry(table(spark, d), "GGGA")
+
 
+@query(f"{sql_counted()} SELECT kmer, count FROM tab QUALIFY row_number() OVER (ORDER BY kmer) = 4322")
+def table_seek_ordinal(spark, d):
+    return tables.seek_ordinal(table(spark, d), 4321)
 
-@query(f"{sql_counted()}, o AS (SELECT kmer, count, lag(kmer) OVER (ORDER BY kmer) AS b FROM tab) SELECT kmer, count FROM o WHERE b >= kmer")
+
+@query(f"{sql_counted()}, o AS (SELECT kmer, count, lag(kmer) OVER (ORDER BY reverse(kmer)) AS b FROM tab) SELECT kmer, count FROM o WHERE b >= kmer")
 def table_order_check(spark, d):
-    return tables.disordered(tables.ordinals(table(spark, d)), "ord").select("kmer", "count")
+    """Of a table that was stored in the order of its reversed words."""
+    back = F.reverse("kmer")
+    path = stored(spark, "backward.ktab")
+    table(spark, d).repartitionByRange(back).sortWithinPartitions(back).write.parquet(path)
+    return tables.disordered_stored(artifacts.placed_rows(spark, path))
+
+
+@query(f"{sql_counted()} SELECT kmer, count FROM tab WHERE false")
+def table_order_check_sorted(spark, d):
+    path = stored(spark, "forward.ktab")
+    artifacts.write_table(table(spark, d), path)
+    return tables.disordered_stored(artifacts.placed_rows(spark, path))
 
 
 @query(f"{sql_counted()}, p AS (SELECT kmer[1:4] AS prefix, count(*) AS n FROM tab GROUP BY 1) SELECT prefix, n, (sum(n) OVER (ORDER BY prefix))::BIGINT AS upto FROM p")
@@ -166,9 +190,9 @@ def table_slice(spark, d):
     return tables.sliced(table(spark, d), 2, 4)
 
 
-@query(f"{sql_counted(8)} SELECT kmer, count FROM tab UNION ALL SELECT {sql_turned('kmer')}, count FROM tab WHERE kmer <> {sql_turned('kmer')}")
+@query(f"{sql_counted()} SELECT kmer, count FROM tab UNION ALL SELECT {sql_turned('kmer')}, count FROM tab WHERE kmer <> {sql_turned('kmer')}")
 def table_symmetric(spark, d):
-    return tables.symmetric(table(spark, d, 8))
+    return tables.symmetric(table(spark, d))
 
 
 @query(f"{sql_wide()} SELECT kmer, least(c0 + c1 + c2 + c3, {MOST})::INTEGER AS count FROM wide")
@@ -231,6 +255,12 @@ def histogram_scoped(spark, d):
     return histogram(spark, d).clipped(1, 1000).scoped()
 
 
+@query(f"{sql_counted()}, c AS (SELECT least(n, 1000) AS freq, n FROM raw) SELECT freq::INTEGER AS freq, (CASE WHEN freq = 1000 THEN sum(n) // 1000 ELSE count(*) END)::BIGINT AS n FROM c GROUP BY freq")
+def histogram_fit(spark, d):
+    """A range that does not contain 1 to 1000 is widened."""
+    return histogram(spark, d).for_fitting(5, 40)
+
+
 @query(f"{SQL_HIST} SELECT freq, freq || chr(9) || n AS line FROM hist")
 def histogram_lines(spark, d):
     return histogram(spark, d).tabbed()
@@ -271,7 +301,7 @@ _expression("tables_members", "#A |+ #B |+ #C |+ #D", "c0 + c1 + c2 + c3 > 0", "
 _expression("tables_logic", "#((A & B) | (C ^ D))", f"({_IN}) OR ((c2 > 0) <> (c3 > 0))", "1")
 _expression("tables_counts_within", "(A |+ B)[2-5,9,20-]", "c0 + c1 > 0", "CASE WHEN c0 + c1 BETWEEN 2 AND 5 OR c0 + c1 = 9 OR c0 + c1 BETWEEN 20 AND 32767 THEN c0 + c1 ELSE 0 END")
 _expression("tables_gc_within", "B{-50}", "c1 > 0", f"CASE WHEN {sql_gc()} BETWEEN 1 AND 50 THEN c1 ELSE 0 END")
-_expression("tables_filtered_members", "#(A[3-]) &< C", "c0 > 0 AND c2 > 0", "CASE WHEN c0 >= 3 AND c2 > 0 THEN least(1, c2) ELSE 0 END")
+_expression("tables_filtered_members", "#(B[3-]) &< A", "c1 > 0 AND c0 > 0", "CASE WHEN c1 >= 3 AND c0 > 0 THEN least(1, c0) ELSE 0 END")
 
 
 @query(f"{sql_wide()} SELECT least(greatest(greatest(c0 - c1, 0), 2), 30)::INTEGER AS freq, count(*) AS n FROM wide WHERE {_IN} AND c0 > c1 GROUP BY 1")
@@ -298,9 +328,9 @@ def profile_absolute(spark, d):
 _TARGET = f"{sql_counted(SMALL)}, {sql_reads('target', 'benchmark', 'item_id::BIGINT AS read_id')}, {sql_windows(SMALL, 'there', 'target', 'read_id')}"
 
 
-@query(f"{_TARGET} SELECT read_id, pos::INTEGER AS pos, coalesce(count, 0)::INTEGER AS count FROM there LEFT JOIN (SELECT * FROM tab WHERE count >= 20) ON kmer = CASE WHEN w NOT LIKE '%n%' THEN least(w, {sql_turned('w')}) END")
+@query(f"{_TARGET} SELECT read_id, pos::INTEGER AS pos, coalesce(count, 0)::INTEGER AS count FROM there LEFT JOIN (SELECT * FROM tab WHERE count >= {COVERED}) ON kmer = CASE WHEN w NOT LIKE '%n%' THEN least(w, {sql_turned('w')}) END")
 def profile_relative(spark, d):
-    return profiles.relative(derived.benchmark_reads(spark, d), table(spark, d, SMALL, 20), SMALL)
+    return profiles.relative(derived.benchmark_reads(spark, d), table(spark, d, SMALL, COVERED), SMALL)
 
 
 @query(f"{SQL_PROFILE}, {SQL_RUNS} SELECT read_id, min(pos)::INTEGER AS first, max(pos)::INTEGER AS last, count FROM runs WHERE count > 0 GROUP BY read_id, count, g")
@@ -341,12 +371,21 @@ def profile_codec(spark, d):
     return made.select("read_id", codec.decoded(codec.encoded(F.col("counts"))).alias("counts")).select("read_id", F.posexplode("counts").alias("pos", "count"))
 
 
-_HITS = f"{_TARGET}, hits AS (SELECT read_id AS seq_idx, pos FROM there JOIN (SELECT * FROM tab WHERE count >= 20) ON kmer = least(w, {sql_turned('w')}) WHERE w NOT LIKE '%n%')"
+_HITS = f"{_TARGET}, hits AS (SELECT read_id AS seq_idx, pos FROM there JOIN (SELECT * FROM tab WHERE count >= {COVERED}) ON kmer = least(w, {sql_turned('w')}) WHERE w NOT LIKE '%n%')"
 
 
 @query(f"{_HITS} SELECT seq_idx, pos::INTEGER AS beg, (pos + {SMALL})::INTEGER AS end FROM hits")
 def coverage_intervals(spark, d):
-    return jobs.mapped(table(spark, d, SMALL, 20), derived.benchmark_reads(spark, d), SMALL)
+    return jobs.mapped(table(spark, d, SMALL, COVERED), derived.benchmark_reads(spark, d), SMALL)
+
+
+@query(f"{_HITS} SELECT seq_idx::VARCHAR || chr(9) || pos || chr(9) || (pos + {SMALL}) || chr(9) || 'benchmark' AS line FROM hits")
+def coverage_lines(spark, d):
+    """The text of a written file of intervals."""
+    path = stored(spark, "benchmark.bed")
+    found = jobs.mapped(table(spark, d, SMALL, COVERED), derived.benchmark_reads(spark, d), SMALL)
+    artifacts.write_intervals(profiles.named_intervals(found, "benchmark"), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
 
 
 @query(
@@ -354,7 +393,7 @@ def coverage_intervals(spark, d):
     f"SELECT seq_idx, min(pos)::INTEGER AS beg, (max(pos) + {SMALL})::INTEGER AS end FROM g GROUP BY seq_idx, i"
 )
 def coverage_merged(spark, d):
-    return jobs.mapped(table(spark, d, SMALL, 20), derived.benchmark_reads(spark, d), SMALL, merge=True)
+    return jobs.mapped(table(spark, d, SMALL, COVERED), derived.benchmark_reads(spark, d), SMALL, merge=True)
 
 
 # --- word relations, scalars ---------------------------------------------------------------------
@@ -368,6 +407,15 @@ def haplotype_groups(spark, d):
     return tables.haplotypes(table(spark, d), K, 3, 200)
 
 
+@query(
+    f"{sql_counted()}, s AS (SELECT kmer[1:{K // 2}] AS l, kmer[{K // 2 + 1}] AS m, kmer[{K // 2 + 2}:] AS r, count FROM tab WHERE count BETWEEN 3 AND 200), "
+    "g AS (SELECT *, count(*) OVER (PARTITION BY l, r) AS n FROM s) "
+    'SELECT (dense_rank() OVER (ORDER BY l, r) - 1)::BIGINT AS site, l AS "left", upper(m) AS centre, r AS "right", count FROM g WHERE n > 1'
+)
+def haplotype_sites(spark, d):
+    return tables.haplotype_sites(table(spark, d), K, 3, 200)
+
+
 _H = LONG // 2
 
 
@@ -399,3 +447,133 @@ def word_functions(spark, d):
 @query(f"WITH {sql_reads()} SELECT read_id, " + "regexp_replace(" * 5 + "seq" + "".join(f", '{c}+', '{c}', 'g')" for c in "acgtn") + " AS seq FROM reads")
 def homopolymer_compression(spark, d):
     return reads(spark, d).select("read_id", letters.compressed(F.col("seq")).alias("seq"))
+
+
+# --- files and stored artifacts ------------------------------------------------------------------
+
+
+def stored(spark: SparkSession, name: str) -> str:
+    """A new place in the warehouse, which driver and executors share."""
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/seqloom-{uuid.uuid4().hex}/{name}"
+
+
+def _file(name: str, ending: str, line: str, sql: str = "seq", **options):
+    """A query that writes reads as text records, one a row, and reads them as a sequence file."""
+
+    def run(spark, d):
+        path = stored(spark, f"reads{ending}")
+        rows = reads(spark, d).where("seq IS NOT NULL").withColumn("name", F.concat(F.lit("r"), F.col("read_id")))
+        rows.repartitionByRange("read_id").sortWithinPartitions("read_id").select(F.expr(line)).write.options(**options).text(path)
+        return files.read_sequences(spark, path)
+
+    run.__name__ = name
+    query(f"WITH {sql_reads()} SELECT (row_number() OVER (ORDER BY read_id) - 1)::BIGINT AS read_id, {sql} AS seq FROM reads WHERE seq IS NOT NULL")(run)
+
+
+# sequences run over three lines; qualities may look like heads
+_file("file_fasta", ".fa", r"concat('>', name, ' x > y', '\n', substring(seq, 1, 7), '\n', substring(seq, 8, 60), '\n', substring(seq, 68))")
+_file("file_fastq", ".fq", r"concat('@', name, '\n', seq, '\n+\n', repeat('@', length(seq)))")
+_file("file_fastq_gzip", ".fastq.gz", r"concat('@', name, '\n', seq, '\n+\n', repeat('>', length(seq)))", compression="gzip")
+
+
+@query(f"WITH {sql_reads()} SELECT (row_number() OVER (ORDER BY read_id) - 1)::BIGINT AS read_id, seq FROM reads WHERE seq <> '' AND read_id % 3 <> 1")
+def file_sam(spark, d):
+    """Every third record is secondary or supplementary and is left out."""
+    path = stored(spark, "reads.sam")
+    flag = F.expr("CASE WHEN read_id % 3 <> 1 THEN 16 WHEN read_id % 2 = 0 THEN 256 ELSE 2064 END")
+    rows = reads(spark, d).where("seq <> ''").withColumn("flag", flag)
+    line = r"concat(CASE WHEN read_id = 0 THEN '@HD\tVN:1\n' ELSE '' END, concat_ws('\t', concat('r', read_id), flag, '*', 0, 0, '*', '*', 0, 0, seq, '*'))"
+    rows.repartitionByRange("read_id").sortWithinPartitions("read_id").select(F.expr(line)).write.text(path)
+    return files.read_sequences(spark, path)
+
+
+@query(f"WITH {sql_reads()}, n AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY read_id) AS i, seq FROM reads WHERE seq IS NOT NULL) SELECT (row_number() OVER (ORDER BY lang, i) - 1)::BIGINT AS read_id, seq FROM n")
+def files_several(spark, d):
+    """One file for each language, read together; identifiers go on from file to file."""
+    paths = []
+    for lang in [r["lang"] for r in reads(spark, d).select("lang").distinct().orderBy("lang").collect()]:
+        paths.append(stored(spark, f"{lang}.fa"))
+        rows = reads(spark, d).where((F.col("lang") == lang) & F.col("seq").isNotNull())
+        rows.repartitionByRange("read_id").sortWithinPartitions("read_id").select(F.expr(r"concat('>', read_id, '\n', seq)")).write.text(paths[-1])
+    return files.read_sequences(spark, paths)
+
+
+@query("SELECT * FROM (VALUES ('x.fa', 'fasta'), ('x.FASTA.gz', 'fasta'), ('a/b.fq', 'fastq'), ('b.fastq.gz', 'fastq'), ('c.sam', 'sam'), ('c.bam', 'bam'), ('d.cram', 'cram'), ('e.db', 'two-bit'), ('e.dam', 'two-bit')) t(path, kind)")
+def file_kinds(spark, d):
+    paths = ["x.fa", "x.FASTA.gz", "a/b.fq", "b.fastq.gz", "c.sam", "c.bam", "d.cram", "e.db", "e.dam"]
+    return spark.createDataFrame([(p, files.kind_of(p)) for p in paths], "path string, kind string")
+
+
+@query(f"{sql_counted()} SELECT kmer, count FROM tab WHERE count >= 2")
+def stored_table(spark, d):
+    path = stored(spark, "x.ktab")
+    artifacts.write_table(table(spark, d), path)
+    return artifacts.read_table(spark, path, 2)
+
+
+@query(f"{sql_counted()} SELECT kmer, count FROM tab WHERE kmer >= 'aacc' AND kmer < 'acct'")
+def stored_table_range(spark, d):
+    """Prefix addresses of a stored table prune its files."""
+    path = stored(spark, "x.ktab")
+    artifacts.write_table(table(spark, d), path)
+    return tables.at(artifacts.read_table(spark, path), "aacc-accg")
+
+
+@query(f"{SQL_PROFILE} SELECT read_id, pos, count FROM prof WHERE read_id BETWEEN 10 AND 40 OR read_id BETWEEN 500 AND 510")
+def stored_profiles(spark, d):
+    path = stored(spark, "x.prof")
+    artifacts.write_profiles(profiles.absolute(reads(spark, d), SMALL), path)
+    return artifacts.read_profiles(spark, path, [(10, 40), (500, 510)])
+
+
+@query(f"{SQL_HIST} SELECT freq, n FROM hist")
+def stored_histogram(spark, d):
+    path = stored(spark, "x.hist")
+    artifacts.write_histogram_file(histogram(spark, d), path)
+    return artifacts.read_histogram_file(spark, path).bins
+
+
+@query(f"{sql_counted()} SELECT kmer, count FROM tab")
+def stored_and_moved(spark, d):
+    """Artifacts of one root copied, moved and removed as a unit."""
+    root = stored(spark, "a")
+    artifacts.write_table(table(spark, d), f"{root}.ktab")
+    artifacts.copy(spark, root, f"{root}2")
+    artifacts.copy(spark, f"{root}2", f"{root}3", move=True)
+    if artifacts.remove(spark, root) != 1 or artifacts.of_root(spark, root) or artifacts.of_root(spark, f"{root}2"):
+        raise RuntimeError("artifacts were left behind")
+    return artifacts.read_table(spark, f"{root}3.ktab")
+
+
+@query(
+    f"{sql_counted()}, b AS (SELECT kmer[1:12] AS p, string_agg(kmer[13:], '' ORDER BY kmer) AS s, string_agg(count::VARCHAR, ' ' ORDER BY kmer) AS c, count(*) AS n FROM tab GROUP BY 1) "
+    f"SELECT 'S' AS tag, [(n * {K - 12})::VARCHAR, s] AS fields FROM b UNION ALL SELECT 'C', list_concat([n::VARCHAR], string_split(c, ' ')) FROM b "
+    f"UNION ALL SELECT 'K', ['{K}', '12', min(count)::VARCHAR, list_sum(list_transform(range(1, 13), lambda i: (instr('acgt', min(kmer)[i]) - 1) * pow(4, 12 - i)))::BIGINT::VARCHAR] FROM tab"
+)
+def stored_tagged_table(spark, d):
+    """A written tagged file, its head with schema and provenance left out."""
+    path = stored(spark, "x.kmr")
+    artifacts.write_tagged(tables.tagged_buckets(table(spark, d), K, 12), path, "kmr", ["D K 4 3 INT 3 INT 3 INT 3 INT", "D S 1 6 STRING", "D C 1 8 INT_LIST"], "table", ["ord"])
+    return artifacts.read_tagged(spark, path)
+
+
+@query(f"{sql_counted()}, o AS (SELECT kmer, count, ntile(7) OVER (ORDER BY kmer) AS part FROM tab) SELECT kmer, count, true AS in_order FROM o")
+def table_ranges(spark, d):
+    """Range partitions in order: every partition's words lie above those of the one before."""
+    made = tables.ordered(table(spark, d), 7).withColumn("part", F.spark_partition_id())
+    bounds = made.groupBy("part").agg(F.min("kmer").alias("low"), F.max("kmer").alias("high"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    checked = bounds.withColumn("in_order", F.coalesce(F.max("high").over(before) < F.col("low"), F.lit(True)))
+    return made.join(checked, "part").select("kmer", "count", "in_order")
+
+
+@query("SELECT * FROM (VALUES ('A &+ B', 9), ('A &- B', 1), ('A &* B', 4), ('A |+ C', 1), ('A[5-] &> B', 7), ('#A |+ #B', 1), ('A - B', 2), ('A ^ B', 2)) t(expression, least)")
+def expression_least_values(spark, d):
+    """The least count a result may have, from the least counts 2, 7 and 1 of the tables."""
+    texts = ["A &+ B", "A &- B", "A &* B", "A |+ C", "A[5-] &> B", "#A |+ #B", "A - B", "A ^ B"]
+    return spark.createDataFrame([(x, expressions.least_value(expressions.parsed(x), [2, 7, 1])) for x in texts], "expression string, least int")
+
+
+@query(f"{SQL_HIST} SELECT freq, format('{{:,}}', n) AS shown FROM hist")
+def grouped_numbers(spark, d):
+    return histogram(spark, d).bins.select("freq", F.format_number("n", 0).alias("shown"))

@@ -11,16 +11,21 @@ from __future__ import annotations
 import os
 import struct
 from collections.abc import Iterator
+from datetime import UTC, datetime
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..functions.codec import decode
+from ..functions.codec import decode_all
+from ..operators import profiles
 from ..operators.histograms import Histogram
 
 KINDS = ("hist", "ktab", "prof")
+_TWO_BIT = np.frombuffer(b"acgt", np.uint8)
 
 
 def write_table(table: DataFrame, path: str) -> None:
@@ -28,6 +33,29 @@ def write_table(table: DataFrame, path: str) -> None:
     table.repartitionByRange("kmer").sortWithinPartitions("kmer").write.mode("overwrite").parquet(path)
 
 
+def read_table(spark: SparkSession, path: str, cutoff: int = 1) -> DataFrame:
+    """(kmer, count) of a stored table, words counted ``cutoff`` times or more; the cut-off reaches the scan."""
+    return spark.read.parquet(path).where(F.col("count") >= cutoff)
+
+
+def placed_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(file, row, kmer, count) of a stored table: where each row stands, files in the order of their names."""
+    return spark.read.parquet(path).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"), "kmer", "count")
+
+
+def write_profiles(profile: DataFrame, path: str, reads: DataFrame | None = None) -> None:
+    """(read_id, code) in ranges of reads, so that a read is found by file and row-group statistics."""
+    profiles.compact(profile, reads).repartitionByRange("read_id").sortWithinPartitions("read_id").write.mode("overwrite").parquet(path)
+
+
+def read_profiles(spark: SparkSession, path: str, wanted: list[tuple[int, int]] | None = None) -> DataFrame:
+    """(read_id, pos, count) of stored profiles; ``wanted`` are inclusive ranges of 0-based reads, which reach the scan."""
+    stored = spark.read.parquet(path)
+    if wanted is not None:
+        stored = stored.where(reduce(Column.__or__, (F.col("read_id").between(a, b) for a, b in wanted), F.lit(False)))
+    return profiles.from_compact(stored)
+
+
 def _one_file(spark: SparkSession, path: str) -> bytes:
     return bytes(spark.read.format("binaryFile").load(path).select("content").first()["content"])
 
@@ -50,6 +78,14 @@ def histogram_bytes(h: Histogram) -> bytes:
     return struct.pack("=iiiqq", h.k, h.low, h.high, ends["i_low"], ends["i_high"]) + bins.tobytes()
 
 
+def write_histogram_file(h: Histogram, path: str) -> None:
+    spark = h.bins.sparkSession
+    hadoop, store = _filesystem(spark, path)
+    out = store.create(hadoop.Path(path), True)
+    out.write(bytearray(histogram_bytes(h)))
+    out.close()
+
+
 def unpacked_word(code: bytes, k: int) -> str:
     return "".join("acgt"[b >> s & 3] for b in code for s in (6, 4, 2, 0))[:k]
 
@@ -60,23 +96,23 @@ def packed_word(word: str) -> bytes:
     return bytes(codes[i] << 6 | codes[i + 1] << 4 | codes[i + 2] << 2 | codes[i + 3] for i in range(0, len(codes), 4))
 
 
-def _opened(path: str):
+def opened(path: str):
     """A file of any store that pyarrow knows; Spark's own reader skips names with a leading dot."""
     store, inside = fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
     return store.open_input_file(inside)
 
 
-def read_table_files(spark: SparkSession, stub: str) -> DataFrame:
-    """(kmer, count) of a binary table; every part file is one task."""
-    with _opened(stub) as file:
+def read_table_files(spark: SparkSession, stub: str, cutoff: int = 1) -> DataFrame:
+    """(kmer, count) of a binary table, words counted ``cutoff`` times or more; every part file is one task."""
+    with opened(stub) as file:
         raw = file.read()
-    k, parts, minval, width = struct.unpack_from("=iiii", raw)
+    k, parts, _, width = struct.unpack_from("=iiii", raw)
     folder, name = os.path.split(stub)
     root = name.removesuffix(".ktab")
     suffix = (k + 3) // 4 - width
     files, first = [], 0
     for part in range(1, parts + 1):
-        with _opened(path := f"{folder}/.{root}.ktab.{part}") as file:
+        with opened(path := f"{folder}/.{root}.ktab.{part}") as file:
             n = struct.unpack("=iq", file.read(12))[1]
         files.append((path, first, n))
         first += n
@@ -84,31 +120,94 @@ def read_table_files(spark: SparkSession, stub: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, first, n in zip(*(batch.column(c).to_pylist() for c in ("path", "first", "n")), strict=True):
-                with _opened(stub) as file:
+                with opened(stub) as file:
                     index = np.frombuffer(file.read()[16:], np.int64)
-                with _opened(path) as file:
+                with opened(path) as file:
                     file.seek(12)
-                    for start in range(first, first + n, 1 << 20):
-                        some = min(1 << 20, first + n - start)
+                    for start in range(first, first + n, 1 << 18):
+                        some = min(1 << 18, first + n - start)
                         rows = np.frombuffer(file.read(some * (suffix + 2)), np.uint8).reshape(some, suffix + 2)
-                        prefixes = np.searchsorted(index, np.arange(start, start + some), side="right")
-                        words = [unpacked_word(int(p).to_bytes(width, "big") + row[:suffix].tobytes(), k) for p, row in zip(prefixes, rows, strict=True)]
                         counts = np.ascontiguousarray(rows[:, suffix:]).view(np.uint16).ravel().astype(np.int32)
-                        yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(counts)], names=["kmer", "count"])
+                        prefixes = np.searchsorted(index, np.arange(start, start + some), side="right").astype(">u4").view(np.uint8).reshape(some, 4)[:, 4 - width :]
+                        kept = counts >= cutoff
+                        yield pa.RecordBatch.from_arrays([unpacked_words(np.concatenate([prefixes, rows[:, :suffix]], axis=1)[kept], k), pa.array(counts[kept])], names=["kmer", "count"])
 
-    return spark.createDataFrame(files, "path string, first long, n long").repartition(len(files)).mapInArrow(run, "kmer string, count int")
+    return spark.createDataFrame(files, "path string, first long, n long").repartition(max(len(files), 1)).mapInArrow(run, "kmer string, count int")
 
 
-def read_profile_files(folder: str, root: str) -> Iterator[tuple[int, list[int]]]:
-    """(read_id, counts) of binary profiles in a folder that this process sees."""
-    with open(f"{folder}/{root}.prof", "rb") as stub:
-        _, parts = struct.unpack("=ii", stub.read(8))
-    for part in range(1, parts + 1):
-        with open(f"{folder}/.{root}.pidx.{part}", "rb") as index, open(f"{folder}/.{root}.prof.{part}", "rb") as data:
-            _, first, n = struct.unpack("=iqq", index.read(20))
-            ends, code = np.frombuffer(index.read(8 * n), np.int64), data.read()
-        for i in range(n):
-            yield first + i, decode(code[ends[i - 1] if i else 0 : ends[i]])
+def unpacked_words(codes: np.ndarray, k: int) -> pa.Array:
+    """Rows of packed bytes as words of k letters."""
+    letters = np.ascontiguousarray(_TWO_BIT[(codes[:, :, None] >> np.array([6, 4, 2, 0], np.uint8)) & 3].reshape(len(codes), 4 * codes.shape[1])[:, :k])
+    return pa.Array.from_buffers(pa.string(), len(codes), [None, pa.py_buffer(np.arange(0, len(codes) * k + 1, k, dtype=np.int32)), pa.py_buffer(letters.tobytes())])
+
+
+def table_file_facts(stub: str) -> dict[str, int]:
+    """k, parts, minval (what the table was cut off at) and words of a binary table."""
+    with opened(stub) as file:
+        raw = file.read()
+    k, parts, minval, _ = struct.unpack_from("=iiii", raw)
+    return {"k": k, "parts": parts, "minval": minval, "words": int(np.frombuffer(raw, np.int64, -1, 16)[-1])}
+
+
+def read_profile_files(spark: SparkSession, stub: str, wanted: list[tuple[int, int]] | None = None) -> DataFrame:
+    """(read_id, counts) of binary profiles, or of inclusive ranges of 0-based reads; every part is one task."""
+    folder, name = os.path.split(stub)
+    root = name.removesuffix(".prof")
+    with opened(stub) as file:
+        _, parts = struct.unpack("=ii", file.read(8))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in batch.column("part").to_pylist():
+                with opened(f"{folder}/.{root}.pidx.{part}") as index:
+                    _, first, n = struct.unpack("=iqq", index.read(20))
+                    ends = np.concatenate(([0], np.frombuffer(index.read(8 * n), np.int64)))
+                ids = np.arange(first, first + n)
+                kept = np.ones(n, bool) if wanted is None else np.any([(ids >= a) & (ids <= b) for a, b in wanted] or [np.zeros(n, bool)], axis=0)
+                with opened(f"{folder}/.{root}.prof.{part}") as data:
+                    for some in np.array_split(np.flatnonzero(kept), max(1, n // 1000)):
+                        codes = []
+                        for i in some.tolist():
+                            data.seek(int(ends[i]))
+                            codes.append(data.read(int(ends[i + 1] - ends[i])))
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[some]), decode_all(pa.array(codes, pa.binary()))], names=["read_id", "counts"])
+
+    found = spark.createDataFrame([(part,) for part in range(1, parts + 1)], "part int").repartition(max(parts, 1))
+    return found.mapInArrow(run, "read_id long, counts array<int>")
+
+
+# --- tagged text ---------------------------------------------------------------------------------
+
+
+def write_tagged(lines: DataFrame, path: str, kind: str, schema: list[str], command: str, order: list[str]) -> None:
+    """Tagged text: a head (file type, schema and provenance), then the column ``line`` in the given order.
+
+    The head is a part file of its own, whose name sorts before the others, so the parts in the order of their names are the whole file.
+    """
+    spark = lines.sparkSession
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("line").write.mode("overwrite").text(path)
+    hadoop, store = _filesystem(spark, path)
+    out = store.create(hadoop.Path(f"{path}/part-00000-0-head.txt"), True)
+    out.write(bytearray(("\n".join(tagged_head(kind, schema, command)) + "\n").encode()))
+    out.close()
+
+
+def tagged_head(kind: str, schema: list[str], command: str) -> list[str]:
+    """The lines before the data: type and version, one line for each line type, and who made the file."""
+    when = datetime.now(UTC).strftime("%Y-%m-%d_%H:%M:%S")
+    return [f"1 {len(kind)} {kind} 2 0", *(f"~ {x}" for x in schema), f"! 4 {len('seqloom')} seqloom 3 1.0 {len(command)} {command} {len(when)} {when}"]
+
+
+def read_tagged(spark: SparkSession, path: str) -> DataFrame:
+    """(tag, fields) of the data lines of tagged text."""
+    rows = spark.read.text(path).where(~F.col("value").rlike("^(1 |[!~#<>.])") & (F.col("value") != ""))
+    return rows.select(F.substring("value", 1, 1).alias("tag"), F.split(F.expr("substring(value, 3)"), " ").alias("fields"))
+
+
+def write_intervals(intervals: DataFrame, path: str) -> None:
+    """Tab-separated lines seq_idx, beg, end, name, in the order of sequences and places."""
+    order = ["seq_idx", "beg"]
+    intervals.select("seq_idx", "beg", "end", "name").repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("sep", "\t").csv(path)
 
 
 def _filesystem(spark: SparkSession, path: str):

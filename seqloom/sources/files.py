@@ -1,27 +1,42 @@
 """Sequence files as (read_id LONG, seq STRING), identifiers 0-based in file order.
 
 Text formats go through Spark's own reader, which splits and decompresses them and reaches any store it
-knows. A row's place comes from its split and its number inside the split; one count per split passes
-through the driver. CRAM has no decoder here and is refused.
+knows; a path may be a file or a folder of part files. A line's place is its number inside its split plus the lines of the splits
+before it: one row per split, in a table that is joined and never passes through the driver. Lines are not shuffled for that.
+CRAM has no decoder here and is refused. A binary alignment is one task a file; its blocks are decompressed one by one.
 """
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .artifacts import opened
+
 #: File kinds by name ending, the letters of binary alignments, and the flag bits of secondary records.
 KINDS = {
-    ".cram": "cram", ".bam": "bam", ".sam": "sam", ".db": "dazzler", ".dam": "dazzler",
+    ".cram": "cram", ".bam": "bam", ".sam": "sam", ".db": "two-bit", ".dam": "two-bit",
     ".fastq": "fastq", ".fq": "fastq", ".fasta": "fasta", ".fa": "fasta", ".fna": "fasta",
 }
 BAM_LETTERS = "=acmgrsvtwyhkdbn"
 SECONDARY = 0x900
+CHUNK, RECORDS = 1 << 16, 10_000
+_NIBBLES, _TWO_BIT = np.frombuffer(BAM_LETTERS.encode(), np.uint8), np.frombuffer(b"acgt", np.uint8)
+#: Fixed values of two-bit databases: the size of the index's head, a read's record in it, the flag of the best read of a well, and the
+#: line of the stub with the trimming.
+INDEX_HEAD, BEST = 112, 0x800
+READ = np.dtype({"names": ["length", "offset", "flags"], "formats": ["=i4", "=i8", "=i4"], "offsets": [4, 16, 32], "itemsize": 40})
+TRIMMING = re.compile(r"size =\s*\d+ cutoff =\s*(\d+) all =\s*(\d)")
 
 
 def kind_of(path: str) -> str:
@@ -38,40 +53,42 @@ def read_sequences(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     kinds = {kind_of(p) for p in paths}
     if len(kinds) != 1:
         raise ValueError("all files must be of one kind")
-    reader = {"fasta": _fasta, "fastq": _fastq, "sam": _sam, "bam": _bam}.get(kind := kinds.pop())
+    reader = {"fasta": _fasta, "fastq": _fastq, "sam": _sam, "bam": _bam, "two-bit": _database}.get(kind := kinds.pop())
     if reader is None:
         raise NotImplementedError(f"{kind} files are not supported")
-    out, shift = None, 0
-    for path in paths:
-        part = reader(spark, path)
-        if len(paths) > 1:
-            part = part.withColumn("read_id", F.col("read_id") + shift)
-            shift += part.count()
-        out = part if out is None else out.unionByName(part)
-    return out
+    parts = [reader(spark, path) for path in paths]
+    if len(parts) == 1:
+        return parts[0]
+    tagged = reduce(DataFrame.unionByName, (part.withColumn("_file", F.lit(i)) for i, part in enumerate(parts)))
+    counts = tagged.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
+    shifts = F.broadcast(counts.select("_file", _before("_n", "_file").alias("_shift")))  # one row a path
+    return tagged.join(shifts, "_file").select((F.col("read_id") + F.col("_shift")).alias("read_id"), "seq")
+
+
+def _before(count: str, order: str) -> Column:
+    """The sum of the counts of all rows before; the table has one row a file, split or run."""
+    return F.coalesce(F.sum(count).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
 def _numbered(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
-    """(nr, value): the lines of a file with their 0-based numbers."""
+    """(nr, value): the lines of a file with their 0-based numbers.
+
+    Spark numbers a task's rows one after the other, and a split is read by one task in order, so a line's number in its split is the
+    distance to the split's least number.
+    """
     reader = spark.read.option("lineSep", separator) if separator else spark.read
-    rows = reader.text(path).select("value", F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_in"))
-    sizes = {r["_split"]: r["n"] for r in rows.groupBy("_split").agg(F.count(F.lit(1)).alias("n")).collect()}
-    shifts, total = {}, 0
-    for split in sorted(sizes):
-        shifts[split], total = total, total + sizes[split]
-    if not shifts:
-        return rows.select(F.lit(0).cast("long").alias("nr"), "value")
-    shift = F.create_map(*(F.lit(x) for pair in shifts.items() for x in pair))
-    inside = F.row_number().over(Window.partitionBy("_split").orderBy("_in")) - 1
-    return rows.select((F.element_at(shift, F.col("_split")) + inside).cast("long").alias("nr"), "value")
+    split = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    rows = reader.text(path).select("value", split.alias("_split"), F.monotonically_increasing_id().alias("_in"))
+    sizes = rows.groupBy("_split").agg(F.count(F.lit(1)).alias("_n"), F.min("_in").alias("_least"))
+    shifts = sizes.select("_split", "_least", _before("_n", "_split").alias("_shift"))
+    return rows.join(shifts, "_split").select((F.col("_shift") + F.col("_in") - F.col("_least")).cast("long").alias("nr"), "value")
 
 
 def _dense(rows: DataFrame) -> DataFrame:
     """Rank rows by ``nr``, a run of a million numbers at a time; (read_id, seq)."""
     run = F.expr("nr div 1048576")
     counts = rows.groupBy(run.alias("_run")).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counts.select("_run", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    shifts = counts.select("_run", _before("_n", "_run").alias("_shift"))
     inside = F.row_number().over(Window.partitionBy("_run").orderBy("nr"))
     return rows.withColumn("_run", run).withColumn("_inside", inside).join(shifts, "_run").select((F.col("_shift") + F.col("_inside") - 1).cast("long").alias("read_id"), "seq")
 
@@ -96,35 +113,58 @@ def _sam(spark: SparkSession, path: str) -> DataFrame:
     return _dense(kept.select("nr", F.when(F.col("f")[9] == "*", "").otherwise(F.col("f")[9]).alias("seq")))
 
 
-def bgzf_blocks(data: bytes) -> bytes:
-    """The concatenated contents of gzip members."""
-    out = []
-    while data:
+def gzip_members(data: bytes) -> Iterator[bytes]:
+    """The contents of gzip members in a row, a piece at a time."""
+    view, at = memoryview(data), 0
+    while at < len(view):
         member = zlib.decompressobj(31)
-        out.append(member.decompress(data))
-        data = member.unused_data
-    return b"".join(out)
+        while not member.eof and at < len(view):
+            piece = view[at : at + CHUNK]
+            yield member.decompress(piece)
+            at += len(piece) - len(member.unused_data)
+
+
+class _Bytes:
+    """Reads a stream of pieces a given number of bytes at a time."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.held, self.at = pieces, b"", 0
+
+    def take(self, n: int) -> bytes:
+        while len(self.held) - self.at < n:
+            more = next(self.pieces, None)
+            if more is None:
+                raise ValueError("the file ends within a record")
+            self.held, self.at = self.held[self.at :] + more, 0
+        self.at += n
+        return self.held[self.at - n : self.at]
+
+    def ended(self) -> bool:
+        while self.at >= len(self.held):
+            more = next(self.pieces, None)
+            if more is None:
+                return True
+            self.held, self.at = more, 0
+        return False
+
+    def integer(self) -> int:
+        return struct.unpack("<i", self.take(4))[0]
 
 
 def bam_sequences(data: bytes) -> Iterator[str]:
-    raw = bgzf_blocks(data)
-    if raw[:4] != b"BAM\1":
+    raw = _Bytes(gzip_members(data))
+    if raw.take(4) != b"BAM\1":
         raise ValueError("not a BAM file")
-    (size,) = struct.unpack_from("<i", raw, 4)
-    at = 8 + size
-    (references,) = struct.unpack_from("<i", raw, at)
-    at += 4
-    for _ in range(references):
-        (size,) = struct.unpack_from("<i", raw, at)
-        at += 8 + size
-    while at < len(raw):
-        (size,) = struct.unpack_from("<i", raw, at)
-        name, cigar, flag, length = raw[at + 12], *struct.unpack_from("<HHi", raw, at + 16)
-        start = at + 36 + name + 4 * cigar
+    raw.take(raw.integer())
+    for _ in range(raw.integer()):
+        raw.take(raw.integer() + 4)
+    while not raw.ended():
+        record = raw.take(raw.integer())
+        name, cigar, flag, length = record[8], *struct.unpack_from("<HHi", record, 12)
+        start = 32 + name + 4 * cigar
         if not flag & SECONDARY:
-            packed = raw[start : start + (length + 1) // 2]
-            yield "".join(BAM_LETTERS[b >> 4] + BAM_LETTERS[b & 15] for b in packed)[:length]
-        at += 4 + size
+            packed = np.frombuffer(record, np.uint8, (length + 1) // 2, start)
+            yield _NIBBLES[np.stack([packed >> 4, packed & 15], axis=1).ravel()[:length]].tobytes().decode()
 
 
 def _bam(spark: SparkSession, path: str) -> DataFrame:
@@ -133,7 +173,60 @@ def _bam(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content"):
-                found = list(bam_sequences(content.as_py()))
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(found)), pa.int64()), pa.array(found, pa.string())], names=["read_id", "seq"])
+                first, found = 0, bam_sequences(content.as_py())
+                while some := list(islice(found, RECORDS)):
+                    yield pa.RecordBatch.from_arrays([pa.array(range(first, first + len(some)), pa.int64()), pa.array(some, pa.string())], names=["read_id", "seq"])
+                    first += len(some)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "read_id long, seq string")
+
+
+# --- two-bit databases ---------------------------------------------------------------------------
+
+
+def _database(spark: SparkSession, path: str) -> DataFrame:
+    """Reads of a two-bit database that its trimming keeps; every range of reads is one task.
+
+    The stub names the trimming; beside it, hidden files hold the index of the reads and their letters, four to a byte.
+    """
+    with opened(path) as file:
+        trimming = TRIMMING.search(file.read().decode())
+    if trimming is None:
+        raise ValueError(f"{path} has no trimming; split the database first")
+    cutoff, best = int(trimming[1]), 0 if int(trimming[2]) else BEST
+    folder, name = os.path.split(path)
+    root = f"{folder}/.{os.path.splitext(name)[0]}"
+    with opened(f"{root}.idx") as file:
+        (total,) = struct.unpack("=i", file.read(4))
+
+    def kept(index: bytes) -> tuple[np.ndarray, np.ndarray]:
+        reads = np.frombuffer(index, READ)
+        return reads, (reads["length"] >= cutoff) & (reads["flags"] & BEST >= best)
+
+    def index_of(first: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        with opened(f"{root}.idx") as file:
+            file.seek(INDEX_HEAD + first * READ.itemsize)
+            return kept(file.read(n * READ.itemsize))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, n in zip(*(batch.column(c).to_pylist() for c in ("first", "n")), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([first]), pa.array([n]), pa.array([int(index_of(first, n)[1].sum())])], names=["first", "n", "_n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, n, shift in zip(*(batch.column(c).to_pylist() for c in ("first", "n", "_shift")), strict=True):
+                reads, keep = index_of(first, n)
+                with opened(f"{root}.bps") as file:
+                    for i, read in enumerate(reads[keep]):
+                        file.seek(int(read["offset"]))
+                        codes = np.frombuffer(file.read((int(read["length"]) + 3) // 4), np.uint8)
+                        letters = _TWO_BIT[(codes[:, None] >> np.array([6, 4, 2, 0], np.uint8)) & 3].ravel()[: read["length"]]
+                        yield pa.RecordBatch.from_arrays([pa.array([shift + i]), pa.array([letters.tobytes().decode()])], names=["read_id", "seq"])
+
+    ranges = [(first, min(RECORDS, total - first)) for first in range(0, total, RECORDS)]
+    if not ranges:
+        return spark.createDataFrame([], "read_id long, seq string")
+    tasks = spark.createDataFrame(ranges, "first long, n long").repartition(min(len(ranges), 1000))
+    shifts = tasks.mapInArrow(counted, "first long, n long, _n long").select("first", "n", _before("_n", "first").alias("_shift"))  # one row a range
+    return shifts.repartition(min(len(ranges), 1000), "first").mapInArrow(run, "read_id long, seq string")

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from seqloom.operators import histograms, profiles, tables, words
+from seqloom.operators import histograms, homopolymers, profiles, tables, words
 from seqloom.plans import expressions, jobs
 from seqloom.streaming.counts import running_counts
 
@@ -146,6 +146,81 @@ def test_disordered(spark):
     assert [r["kmer"] for r in tables.disordered(rows, "o").collect()] == ["aaccc"]
 
 
+def test_stored_order(spark):
+    rows = [("f1", i, w) for i, w in enumerate(["aaaaa", "ccccc", "aaccc", "ggggg"])] + [("f2", i, w) for i, w in enumerate(["ggggg", "ttttt"])]
+    placed = spark.createDataFrame([(f, i, w, 1) for f, i, w in rows], "file string, row long, kmer string, count int")
+    for run in (1, 2, 3, 100):
+        assert sorted(r["kmer"] for r in tables.disordered_stored(placed, run).collect()) == ["aaccc", "ggggg"]
+    assert tables.disordered_stored(placed.limit(0)).count() == 0
+
+
+def test_seeks(spark):
+    t = table(spark, {"aaaac": 1, "aaagg": 2, "ccccc": 3})
+    assert tables.seek(t, "GGGGG").first()["kmer"] == "ccccc" and tables.seek_entry(t, "GGGGG").count() == 0
+    assert tables.seek_entry(t, "aaag").first()["kmer"] == "aaagg" and tables.seek_ordinal(t, 2).first()["kmer"] == "ccccc"
+
+
+def test_haplotype_sites(spark):
+    t = table(spark, {"aacaa": 1, "aagaa": 2, "ccacc": 3, "ggtgg": 3, "ggagg": 4, "ggcgg": 5})
+    got = sorted(tuple(r) for r in tables.haplotype_sites(t, 5).collect())
+    assert got == [(0, "aa", "C", "aa", 1), (0, "aa", "G", "aa", 2), (1, "gg", "A", "gg", 4), (1, "gg", "C", "gg", 5), (1, "gg", "T", "gg", 3)]
+
+
+def test_tagged_buckets(spark):
+    t = table(spark, {"accaa": 1, "acgaa": 2, "ggtgg": 3})
+    assert [r["line"] for r in tables.tagged_buckets(t, 5, 2).orderBy("ord").collect()] == ["K 5 2 1 1", "S 6 caagaa\nC 2 1 2", "S 3 tgg\nC 1 3"]
+    assert tables.tagged_buckets(t.limit(0), 5, 2).count() == 0
+
+
+def test_fit_range_is_widened(spark):
+    h = histograms.of_counts(spark.createDataFrame([(1,), (3,), (1500,), (2500,)], "n long"), 5)
+    assert {tuple(r) for r in h.for_fitting().collect()} == {(1, 1), (3, 1), (1000, 4)}
+    assert {tuple(r) for r in h.for_fitting(9, 40).collect()} == {(1, 1), (3, 1), (1000, 4)}
+    assert {tuple(r) for r in h.for_fitting(1, 2000).collect()} == {(1, 1), (3, 1), (1500, 1), (2000, 1)}
+
+
+def homopolymers_by_hand(counts, k, error, low, high):
+    """The rule of the module's text, word by word."""
+    half, sites = k // 2, {}
+    for w, n in sorted(counts.items()):
+        left, right, base = w[:half], w[half:], w[half - 1]
+        size = len(left) - len(left.rstrip(base))
+        x = len(right) - len(right.lstrip(base)) - size + 1
+        if size <= 5 and x >= 0:
+            x = min(x, 3)
+            sites.setdefault((left, size, base, right[size + x - 1 : size + x - 1 + k - half - 2 - size]), {}).setdefault(x, []).append(n)
+    out = Counter()
+    for (_, size, base, _), found in sites.items():
+        for turn in range(max(map(len, found.values()))):
+            n = [found[x][turn] if turn < len(found.get(x, ())) else 0 for x in range(4)]
+            kind = "at" if base in "at" else "cg"
+            if low <= n[1] <= high and n[0] <= error and n[2] <= error:
+                chosen, length = n[0:3], 2 * size
+            elif low <= n[2] <= high and n[1] <= error and n[3] <= error and 2 * size < 10:
+                chosen, length = n[1:4], 2 * size + 1
+            else:
+                continue
+            for name, value in zip(("less", "good", "more"), chosen, strict=True):
+                out[kind, length, name] += value
+    return out
+
+
+@pytest.mark.parametrize("k", [30, 31, 64])
+def test_homopolymer_errors_by_hand(spark, k):
+    r = random.Random(k)
+    counts = {}
+    for _ in range(120):
+        left, base, flank = "".join(r.choice("acgt") for _ in range(k // 2)), r.choice("acgt"), "".join(r.choice("acgt") for _ in range(k))
+        size = r.randint(1, 6)
+        left = left[: k // 2 - size].rstrip(base)[: k // 2 - size].rjust(k // 2 - size, "c" if base != "c" else "g") + base * size
+        for x in range(5):
+            if r.random() < 0.6:
+                counts[(left + base * (size - 1 + x) + flank)[:k]] = r.choice([1, 1, 2, 9, 40])
+    want = homopolymers_by_hand(counts, k, 2, 5, 100)
+    got = homopolymers.errors(table(spark, counts), k, 2, 5, 100).collect()
+    assert {(g["base_class"], g["len"], c): g[c] for g in got for c in ("less", "good", "more") if g[c]} == {key: v for key, v in want.items() if v} and len(want) > 10
+
+
 def test_histogram_concat_and_merge(spark):
     h = histograms.of_counts(spark.createDataFrame([(1,), (1,), (3,), (50,)], "n long"), 5, 1, 10)
     both = histograms.concatenated([h, h])

@@ -1,11 +1,13 @@
 import gzip
 import os
+import random
 import struct
 import zlib
 
 import pytest
 
-from seqloom.operators import histograms
+from seqloom.functions import codec
+from seqloom.operators import histograms, profiles
 from seqloom.sources import artifacts, files
 
 
@@ -51,10 +53,52 @@ def test_bam(spark, tmp_path):
         list(files.bam_sequences(b"nothing"))
 
 
+def test_many_records_and_blocks_of_bam(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "CHUNK", 50)
+    r = random.Random(2)
+    letters = ["".join(r.choice("acgtn") for _ in range(r.randint(0, 90))) for _ in range(300)]
+    raw = b"BAM\1" + struct.pack("<i", 0) + struct.pack("<i", 0) + b"".join(bam_record(0, x) for x in letters)
+    data = b"".join(gzip.compress(raw[i : i + 700]) for i in range(0, len(raw), 700)) + gzip.compress(b"")
+    assert list(files.bam_sequences(data)) == letters
+    with pytest.raises(ValueError):
+        list(files.bam_sequences(gzip.compress(raw[:-3])))
+
+
+def test_lines_are_numbered_over_splits_and_part_files(spark, tmp_path):
+    records = [f"r{i} x > y\n{'acgt' * (i % 9)}\n{'g' * (i % 5)}" for i in range(3000)]
+    (tmp_path / "d.fa").mkdir()
+    for part in range(3):
+        (tmp_path / "d.fa" / f"part-{part}.txt").write_text("".join(f">{x}\n" for x in records[part * 1000 : part * 1000 + 1000]))
+    (tmp_path / "whole.fa").write_text("".join(f">{x}\n" for x in records))
+    want = [(i, "".join(x.split("\n")[1:])) for i, x in enumerate(records)]
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000b")
+    try:
+        for name in ("d.fa", "whole.fa"):
+            df = files.read_sequences(spark, str(tmp_path / name))
+            assert df.rdd.getNumPartitions() > 3 and seqs(df) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
+@pytest.mark.parametrize(("everything", "kept"), [(1, [0, 1, 3, 4]), (0, [1, 4])])
+def test_two_bit_database(spark, tmp_path, monkeypatch, everything, kept):
+    monkeypatch.setattr(files, "RECORDS", 2)
+    reads, flags = ["acgtacg", "ttttc", "ac", "ggggggggg", "catcat"], [0, 0x800, 0x800, 0, 0x800]
+    packed, records = b"", b""
+    for seq, flag in zip(reads, flags, strict=True):
+        records += struct.pack("=iiiiqqii", 0, len(seq), 0, 0, len(packed), 0, flag, 0)
+        packed += artifacts.packed_word(seq)
+    (tmp_path / ".x.idx").write_bytes(struct.pack("=i", len(reads)) + bytes(108) + records)
+    (tmp_path / ".x.bps").write_bytes(packed)
+    (tmp_path / "x.db").write_text(f"files =         1\n  {len(reads)} a a\nblocks =         1\nsize =  200000000 cutoff =         4 all = {everything}\n")
+    assert seqs(files.read_sequences(spark, str(tmp_path / "x.db"))) == [(i, reads[j]) for i, j in enumerate(kept)]
+
+
 def test_kinds():
     with pytest.raises(ValueError):
         files.kind_of("x.txt")
-    assert files.kind_of("a/b.FQ.gz") == "fastq"
+    assert files.kind_of("a/b.FQ.gz") == "fastq" and files.kind_of("x.dam") == "two-bit"
 
 
 def test_cram_and_mixed_kinds_are_refused(spark):
@@ -84,6 +128,49 @@ def test_table_files(spark, tmp_path):
         (tmp_path / f".x.ktab.{part}").write_bytes(struct.pack("=iq", 6, len(chosen)) + rows)
     got = artifacts.read_table_files(spark, str(tmp_path / "x.ktab"))
     assert sorted(tuple(r) for r in got.collect()) == list(zip(words, [7, 8, 9, 7], strict=True))
+    assert sorted(r["kmer"] for r in artifacts.read_table_files(spark, str(tmp_path / "x.ktab"), 8).collect()) == words[1:3]
+    assert artifacts.table_file_facts(str(tmp_path / "x.ktab")) == {"k": 6, "parts": 2, "minval": 1, "words": 4}
+
+
+def test_profile_files(spark, tmp_path):
+    made = [[1, 1, 1, 40, 2], [], [32767, 0], [5] * 200]
+    (tmp_path / "x.prof").write_bytes(struct.pack("=ii", 7, 2))
+    for part, first in ((1, 0), (2, 2)):
+        codes = [codec.encode(c) for c in made[first : first + 2]]
+        ends = [sum(map(len, codes[: i + 1])) for i in range(2)]
+        (tmp_path / f".x.pidx.{part}").write_bytes(struct.pack("=iqq2q", 7, first, 2, *ends))
+        (tmp_path / f".x.prof.{part}").write_bytes(b"".join(codes))
+    got = artifacts.read_profile_files(spark, str(tmp_path / "x.prof"))
+    assert sorted((r["read_id"], r["counts"]) for r in got.collect()) == list(enumerate(made))
+    got = artifacts.read_profile_files(spark, str(tmp_path / "x.prof"), [(1, 2)])
+    assert sorted((r["read_id"], r["counts"]) for r in got.collect()) == [(1, []), (2, [32767, 0])]
+
+
+def test_stored_profiles(spark, tmp_path):
+    prof = spark.createDataFrame([(r, p, (r * p) % 5) for r in range(6) for p in range(9)], "read_id long, pos int, count int")
+    artifacts.write_profiles(prof, str(tmp_path / "p"))
+    assert sorted(map(tuple, artifacts.read_profiles(spark, str(tmp_path / "p")).collect())) == sorted(map(tuple, prof.collect()))
+    found = artifacts.read_profiles(spark, str(tmp_path / "p"), [(4, 4)])
+    assert sorted(map(tuple, found.collect())) == sorted((4, p, (4 * p) % 5) for p in range(9))
+    assert "PushedFilters: [Or" in found._jdf.queryExecution().toString() or "GreaterThanOrEqual(read_id,4)" in found._jdf.queryExecution().toString()
+
+
+def test_tagged_file(spark, tmp_path):
+    lines = spark.createDataFrame([(2, "C 2 7 1"), (1, "S 4 acgt\nC 1 9")], "ord int, line string")
+    artifacts.write_tagged(lines, str(tmp_path / "t.kmr"), "kmr", ["D S 1 6 STRING", "D C 1 8 INT_LIST"], "table x", ["ord"])
+    names = sorted(x for x in os.listdir(tmp_path / "t.kmr") if x.startswith("part-"))
+    text = "".join((tmp_path / "t.kmr" / x).read_text() for x in names).split("\n")
+    assert text[:3] == ["1 3 kmr 2 0", "~ D S 1 6 STRING", "~ D C 1 8 INT_LIST"] and text[3].startswith("! 4 7 seqloom 3 1.0 7 table x ")
+    assert text[4:] == ["S 4 acgt", "C 1 9", "C 2 7 1", ""]
+    got = artifacts.read_tagged(spark, str(tmp_path / "t.kmr")).collect()
+    assert sorted((r["tag"], r["fields"]) for r in got) == [("C", ["1", "9"]), ("C", ["2", "7", "1"]), ("S", ["4", "acgt"])]
+
+
+def test_interval_file(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 4, 9), (0, 7, 12), (0, 2, 7)], "seq_idx long, beg int, end int")
+    artifacts.write_intervals(profiles.named_intervals(rows, "asm"), str(tmp_path / "x.bed"))
+    parts = sorted(x for x in os.listdir(tmp_path / "x.bed") if x.startswith("part-"))
+    assert "".join((tmp_path / "x.bed" / x).read_text() for x in parts) == "0\t2\t7\tasm\n0\t7\t12\tasm\n1\t4\t9\tasm\n"
 
 
 def test_artifacts_move_as_a_unit(spark, tmp_path):
