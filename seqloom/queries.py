@@ -18,7 +18,7 @@ from .plans import expressions, jobs
 from .sources import artifacts, derived, files
 
 #: Words of 21 letters, so that tables grow with the input (there are 2^41 of them); of 30 for runs; the default of 40 once.
-K, SMALL, LONG, COVERED = 21, 21, 30, 3
+K, SMALL, LONG, COVERED = 21, 21, 30, 2
 LANGUAGES = ("de", "en", "es", "fr")
 
 
@@ -400,20 +400,20 @@ def coverage_merged(spark, d):
 
 
 @query(
-    f"{sql_counted()}, s AS (SELECT kmer[1:{K // 2}] AS l, kmer[{K // 2 + 1}] AS m, kmer[{K // 2 + 2}:] AS r, count FROM tab WHERE count BETWEEN 3 AND 200) "
+    f"{sql_counted()}, s AS (SELECT kmer[1:{K // 2}] AS l, kmer[{K // 2 + 1}] AS m, kmer[{K // 2 + 2}:] AS r, count FROM tab WHERE count BETWEEN 1 AND 200) "
     'SELECT l AS "left", upper(m) AS centre, r AS "right", count FROM s QUALIFY count(*) OVER (PARTITION BY l, r) > 1'
 )
 def haplotype_groups(spark, d):
-    return tables.haplotypes(table(spark, d), K, 3, 200)
+    return tables.haplotypes(table(spark, d), K, 1, 200)
 
 
 @query(
-    f"{sql_counted()}, s AS (SELECT kmer[1:{K // 2}] AS l, kmer[{K // 2 + 1}] AS m, kmer[{K // 2 + 2}:] AS r, count FROM tab WHERE count BETWEEN 3 AND 200), "
+    f"{sql_counted()}, s AS (SELECT kmer[1:{K // 2}] AS l, kmer[{K // 2 + 1}] AS m, kmer[{K // 2 + 2}:] AS r, count FROM tab WHERE count BETWEEN 1 AND 200), "
     "g AS (SELECT *, count(*) OVER (PARTITION BY l, r) AS n FROM s) "
     'SELECT (dense_rank() OVER (ORDER BY l, r) - 1)::BIGINT AS site, l AS "left", upper(m) AS centre, r AS "right", count FROM g WHERE n > 1'
 )
 def haplotype_sites(spark, d):
-    return tables.haplotype_sites(table(spark, d), K, 3, 200)
+    return tables.haplotype_sites(table(spark, d), K, 1, 200)
 
 
 _H = LONG // 2
@@ -453,8 +453,12 @@ def homopolymer_compression(spark, d):
 
 
 def stored(spark: SparkSession, name: str) -> str:
-    """A new place in the warehouse, which driver and executors share."""
-    return f"{spark.conf.get('spark.sql.warehouse.dir')}/seqloom-{uuid.uuid4().hex}/{name}"
+    """A new place in a folder that driver and executors share: spark.checkpoint.dir, or the warehouse. It goes with the application."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{shared}/seqloom-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return f"{folder}/{name}"
 
 
 def _file(name: str, ending: str, line: str, sql: str = "seq", **options):
