@@ -94,6 +94,17 @@ def test_rows_without_an_identifier_are_compared(docs, spark, sf):
     assert corpus_pipeline.near_stage(spark, docs(rows, more=False), sf).count() == 6
 
 
+def test_near_stage_keeps_one_of_each_component(docs, rows, spark, sf):
+    """Against brute force; identifiers are null or repeated here and there, so that rows, not identifiers, are counted."""
+    want = brute(rows, 5, 80)
+    odd = [(None if d % 11 == 0 else d - d % 2 if d < 1000 else d, t) for d, t in rows]
+    got = corpus_pipeline.near_stage(spark, docs(odd, more=False), sf).collect()
+    component = dict(zip([t for _, t in rows], [c for _, (_, _, c, _) in sorted(zip([d for d, _ in rows], want, strict=True))], strict=True))
+    kept = [component[r["text"]] for r in got]
+    alone = [c for (_, n, c, _), (_, t) in zip(want, sorted(rows), strict=True) if not n]
+    assert sorted(set(kept)) == sorted({c for _, _, c, _ in want}) and len(kept) == len({c for _, n, c, _ in want if n}) + len(alone)
+
+
 def test_registers_merge_and_estimate():
     sketch = minhash.SetSketch(2000)
     r = np.random.default_rng(1)

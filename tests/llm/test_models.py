@@ -1,9 +1,13 @@
+import math
+import re
 import zlib
+from collections import Counter
 from itertools import groupby, pairwise
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import xxhash
 from pyspark.sql import functions as F
 
 from seqloom.llm import channel, quality_classifier, toxicity
@@ -31,6 +35,60 @@ def test_quality_odd_rows(docs):
     assert quality_classifier.classified(docs(rows).limit(0)).count() == 0
 
 
+def features_by_hand(text):
+    """Every feature's value of one text, word by word."""
+    words = [w for w in re.split(r"[\x20\x09-\x0d]+", text or "") if w]
+    out = Counter()
+    for w in words:
+        shape = re.sub("\x01", "A", re.sub(r"[^\W\d_]+", lambda m: re.sub(r"[^\x01]+", "a", re.sub(r"(?:(?=[^\W\d_])(?-i:[A-Z\u00c0-\u00d6\u00d8-\u00de]))+", "\x01", m[0])), re.sub(r"\d+", "0", w)))
+        for kind, part in (("s", shape), ("e", w.lower()[-2:]), ("w", re.sub(r"[^\w]+", "", w.lower()))):
+            out[4 + xxhash.xxh3_64_intdigest(kind + part) % (quality_classifier.DIMENSIONS - 4)] += 1
+    n = max(len(words), 1)
+    found = {column: math.sqrt(v / n) for column, v in out.items()}
+    again = sum(a == b for a, b in pairwise(words)) / n
+    return found | {0: math.sqrt(again), 1: math.sqrt((len(words) - len(set(words))) / n), 2: 1.0, 3: math.sqrt(again >= 0.15)}
+
+
+def test_scores_equal_a_straight_computation():
+    r = np.random.default_rng(2)
+    parts = ["the", "The", "WORD", "12", "a1b", "\u00c9t\u00e9", "!!", "x-y", "don't", "7%", "iPhone", "\u00fcber"]
+    texts = [" ".join(r.choice(parts, r.integers(1, 40))) for _ in range(200)] + [None, "", " \n", "one", "\x0ba\x0cb\x0d"]
+    weights = r.normal(size=quality_classifier.DIMENSIONS)
+    got = quality_classifier.LinearScorer(weights).of(quality_classifier.vectors(pa.array(texts, pa.string())))
+    for text, score in zip(texts, got, strict=True):
+        if not (text or "").strip():
+            assert score == 0
+            continue
+        odds = sum(weights[c] * v for c, v in features_by_hand(text).items())
+        assert abs(score - 1 / (1 + math.exp(-odds))) < 1e-5, text
+
+
+def test_expectation_maximisation_equals_plain_loops():
+    r = np.random.default_rng(4)
+    patterns = np.unique(r.integers(-1, 2, (60, 4)), axis=0)
+    counts = r.integers(1, 50, len(patterns)).astype(float)
+    model = quality_classifier.LabelModel(patterns, counts, rounds=7)
+    good = []
+    for p in patterns.tolist():
+        up, down = p.count(1), p.count(-1)
+        good.append(min(max((up + 0.5) / (up + down + 1) - 0.3 * (down > 0), 0.05), 0.95))
+    for _ in range(7):
+        balance = min(max(sum(g * n for g, n in zip(good, counts, strict=True)) / counts.sum(), 0.5), 0.99)
+        chance = lambda c, j, v: (sum(n * (g if c else 1 - g) for p, n, g in zip(patterns, counts, good, strict=True) if p[j] == v) + 1) / (sum(n * (g if c else 1 - g) for n, g in zip(counts, good, strict=True)) + 3)  # noqa: E731, B023
+        table = {(c, j, v): chance(c, j, v) for c in (0, 1) for j in range(4) for v in (-1, 0, 1)}
+        likely = lambda p, c: math.prod(table[c, j, v] for j, v in enumerate(p))  # noqa: E731, B023
+        good = [balance * likely(p, 1) / (balance * likely(p, 1) + (1 - balance) * likely(p, 0)) for p in patterns.tolist()]
+    assert np.allclose(model.posterior(patterns), good)
+
+
+def test_runs_do_not_change_toxicity_scores(spark):
+    docs, labels = tables(spark, SF)
+    evidence = toxicity.learnt(docs, labels)
+    texts = [r["text"] for r in docs.limit(150).collect()] + [None, "i d i o t", "id iot", ""]
+    whole = evidence.scores(pa.array(texts, pa.string()))
+    assert np.array_equal(whole, [evidence.scores(pa.array([t], pa.string()))[0] for t in texts])
+
+
 def test_label_model_finds_the_bad_labeller():
     r = np.random.default_rng(3)
     truth = r.random(20_000) < 0.8
