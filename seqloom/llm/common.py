@@ -77,7 +77,7 @@ def persisted(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/seqloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     where, files = _files(spark, path)
     files.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)

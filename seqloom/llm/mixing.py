@@ -8,9 +8,8 @@ the budget is its token budget: whole passes over its documents, then part of on
 Every pass visits the source's blocks (hash buckets of documents) in a pseudo-random order of its own; ``place`` is the block's
 place in it, from 0. The last pass takes whole blocks in that order and, of the block in which the budget ends, documents in
 another pseudo-random order. Tokens are counted once: rows with their counts are written to the shared folder, and what follows
-reads those columns that it needs. Places and running sums over a source's blocks are made in two levels (ranges of
-the order, then blocks inside a range), so no window holds more than 4096 ranges, the blocks of one, or the documents of one block;
-the number of blocks grows with the source's tokens and rows. Driver data: one row per source (``most_sources`` at most).
+reads those columns that it needs. Places and running sums over a source's blocks, and over the documents of its last block, are made in
+two levels (ranges of the order, then rows inside a range), so no window holds all blocks of a source or all documents of a block; the number of blocks grows with the source's tokens and rows. Driver data: one row per source (``most_sources`` at most).
 
 Defined results: a null source is a source of its own; null and empty texts have no tokens and come
 with their block; a source without tokens gets no weight and no rows; repeated rows are drawn each and share a block; null keys are
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import SPACE_CLASS, apart, column, others, persisted
 from .token_counts import token_counter
 
-BLOCK_TOKENS, BLOCK_ROWS, FEWEST, RANGE_BITS = 1 << 20, 1 << 16, 16, 12
+BLOCK_TOKENS, BLOCK_ROWS, FEWEST, RANGE_BITS, DOCUMENT_BITS = 1 << 20, 1 << 16, 16, 12, 6
 BROADCAST_ROWS = 200_000
 
 
@@ -109,16 +108,20 @@ def permuted(blocks: DataFrame, seed: int) -> DataFrame:
     return passes.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")).withColumn("turn", F.xxhash64(F.lit(seed), "source", "pass_no", "block"))
 
 
-def placed(order: DataFrame) -> DataFrame:
-    """``order`` plus ``place`` and ``done``: how many blocks come before by ``turn``, and the ``size`` of these and the block itself."""
-    ranged = order.withColumn("range", F.shiftrightunsigned("turn", 64 - RANGE_BITS))
-    inside = Window.partitionBy("source", "pass_no", "range").orderBy("turn", "block")
-    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.partitionBy("source", "pass_no").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = ranged.groupBy("source", "pass_no", "range").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
-    shifts = sums.select("source", "pass_no", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s"))
-    numbered = ranged.withColumn("inside", F.row_number().over(inside)).withColumn("sum", F.sum("size").over(upto)).join(shifts, ["source", "pass_no", "range"])
-    return numbered.select(*order.columns, (F.col("n") + F.col("inside") - 1).alias("place"), (F.col("s") + F.col("sum")).alias("done"))
+def placed(rows: DataFrame, by: list[str], turn: str, size: str, ties: list[Column], bits: int, own: str = "_") -> DataFrame:
+    """``rows`` plus ``place`` and ``done`` (behind the prefix ``own``): of the rows of one group, how many come before by ``turn``, and
+    the size of these and the row itself.
+
+    Two levels: rows inside a range of turns, and 2^bits ranges; no window holds more than one of the two.
+    """
+    place, done, part = own + "place", own + "done", own + "range"
+    ranged = rows.withColumn(part, F.shiftrightunsigned(turn, 64 - bits))
+    inside = Window.partitionBy(*by, part).orderBy(turn, *ties)
+    before = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy(*by, part).agg(F.count(F.lit(1)).alias(own + "n"), F.sum(size).alias(own + "s"))
+    shifts = sums.select(*by, part, *(F.coalesce(F.sum(own + x).over(before), F.lit(0)).alias(own + x) for x in "ns"))
+    numbered = ranged.withColumn(place, F.row_number().over(inside)).withColumn(done, F.sum(size).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return numbered.join(shifts, [*by, part]).select(*map(column, rows.columns), (F.col(own + "n") + F.col(place) - 1).alias(place), (F.col(own + "s") + F.col(done)).alias(done))
 
 
 def mixed(
@@ -146,15 +149,15 @@ def mixed(
     sizes = dealt.groupBy(F.col(group).alias("source"), "block").agg(F.sum("n_tokens").alias("size"))
     order = permuted(table, seed).join(sizes, ["source", "block"])  # blocks without rows have nothing to give
     room = F.col("left") - F.col("done") + F.col("size")
-    chosen = placed(order).withColumn("room", F.when(F.col("pass_no") < F.col("passes"), F.col("size")).otherwise(room)).where((F.col("pass_no") < F.col("passes")) | (F.col("room") > 0))
+    order = placed(order, ["source", "pass_no"], "turn", "size", [F.col("block")], RANGE_BITS, "")
+    chosen = order.withColumn("room", F.when(F.col("pass_no") < F.col("passes"), F.col("size")).otherwise(room)).where((F.col("pass_no") < F.col("passes")) | (F.col("room") > 0))
     chosen = chosen.select(F.col("source").alias(group), "block", "pass_no", "place", (F.col("size") <= F.col("room")).alias(own + "all"), F.col("room").alias(own + "room"))
     if sum(p.blocks * (p.passes + 1) for p in plans) <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
 
     drawn, results = dealt.join(chosen, [group, "block"]), [*names, "n_tokens", "pass_no", "block", "place"]
-    turn = F.xxhash64(F.lit(seed), group, "pass_no", hashed)
-    inside = Window.partitionBy(group).orderBy(turn, hashed, column(key)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = drawn.where(f"NOT {own}all").withColumn(own + "sum", F.sum("n_tokens").over(inside)).where(f"{own}sum <= {own}room")
+    cut = drawn.where(f"NOT {own}all").withColumn(own + "turn", F.xxhash64(F.lit(seed), group, "pass_no", hashed))
+    cut = placed(cut, [group], own + "turn", "n_tokens", [F.col(hashed), column(key)], DOCUMENT_BITS, own).where(f"{own}done <= {own}room")
     return drawn.where(f"{own}all").select(*results).unionByName(cut.select(*results))
 
 
