@@ -28,13 +28,19 @@ def ordered(table: DataFrame, partitions: int | None = None) -> DataFrame:
 
 def ordinals(table: DataFrame) -> DataFrame:
     """``table`` plus ``ord``, the 0-based place of each word in order."""
+    return _placed(table).drop("_total")
+
+
+def _placed(table: DataFrame) -> DataFrame:
+    """``table`` plus ``ord`` and ``_total``, the number of words."""
     prefix = F.substring("kmer", 1, PLACED_BY)
     counts = table.groupBy(prefix.alias("_prefix")).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = F.broadcast(counts.select("_prefix", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift")))  # at most 4^PLACED_BY rows
+    total = F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    shifts = F.broadcast(counts.select("_prefix", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"), total.alias("_total")))  # at most 4^PLACED_BY rows
     inside = F.row_number().over(Window.partitionBy("_prefix").orderBy("kmer"))
     numbered = table.withColumn("_prefix", prefix).withColumn("_inside", inside).join(shifts, "_prefix")
-    return numbered.select(*table.columns, (F.col("_shift") + F.col("_inside") - 1).cast("long").alias("ord"))
+    return numbered.select(*table.columns, (F.col("_shift") + F.col("_inside") - 1).cast("long").alias("ord"), "_total")
 
 
 def at(table: DataFrame, where: str) -> DataFrame:
@@ -102,10 +108,7 @@ def sliced(table: DataFrame, part: int, parts: int) -> DataFrame:
     """The part-th of ``parts`` disjoint key ranges (1-based) of about equal size."""
     if not 1 <= part <= parts:
         raise ValueError(f"part {part} of {parts}")
-    placed = ordinals(table)
-    total = table.count()
-    low, high = total * (part - 1) // parts, total * part // parts
-    return placed.where((F.col("ord") >= low) & (F.col("ord") < high)).drop("ord")
+    return _placed(table).where(f"ord >= _total * {part - 1} div {parts} AND ord < _total * {part} div {parts}").drop("ord", "_total")
 
 
 def aligned(tables: list[DataFrame]) -> DataFrame:

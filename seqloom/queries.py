@@ -202,7 +202,9 @@ def table_merge(spark, d):
 
 @query(f"{sql_counted()} SELECT kmer, count FROM tab")
 def table_concat(spark, d):
-    own = table(spark, d)
+    path = stored(spark, "x.ktab")
+    artifacts.write_table(table(spark, d), path)
+    own = artifacts.read_table(spark, path)
     return tables.concatenated([own.where("kmer < 'ag'"), own.where("kmer >= 'ag' AND kmer < 'cc'"), own.where("kmer >= 'cc'")])
 
 
@@ -360,8 +362,9 @@ def profile_selection(spark, d):
 
 @query(f"{SQL_PROFILE} SELECT read_id, pos, count FROM prof UNION ALL SELECT read_id + (SELECT count(*) FROM reads), pos, count FROM prof")
 def profile_concat(spark, d):
-    own = profiles.absolute(reads(spark, d), SMALL)
-    total = reads(spark, d).count()
+    path = stored(spark, "x.prof")
+    artifacts.write_profiles(profiles.absolute(reads(spark, d), SMALL), path)
+    own, total = artifacts.read_profiles(spark, path), reads(spark, d).count()
     return profiles.concatenated([(own, total), (own, total)])
 
 
