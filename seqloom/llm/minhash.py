@@ -23,7 +23,8 @@ defaults 8e-6 exactly at 0.85, 2e-8 at 0.9.
 Defined results: null, empty and blank texts have no shingles, link with nothing and stay alone; texts
 of fewer words than a shingle are one shingle; a repeated row belongs to its text's class; rows with a null
 identifier are compared like others, under numbers above all identifiers, so they never name a component that has
-one (a component of such rows alone is null, and one of its rows is kept); extra columns are ignored.
+one (a component of such rows alone is null, and one of its rows is kept); keys that are no integers are taken in their own order, over
+numbered rows; an empty table gives an empty result; columns other than key and text are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import byte_slices, column, persisted
 from .components import components
@@ -335,7 +337,9 @@ def _named(sketches: DataFrame, names: DataFrame) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 20, rows: int | None = None, text: str = "text", key: str = "doc_id", part: int = PART, leaders: int = LEADERS
 ) -> DataFrame:
-    """One row per document: the key (an integer), n_shingles, component_id and kept."""
+    """One row per document: the key, n_shingles, component_id and kept."""
+    if not isinstance(docs.schema[key].dataType, IntegralType):
+        return _by_row(docs, text, key, lambda numbered: near_duplicates(numbered, k, percent, bands, rows, text, "_row", part, leaders))
     rows = rows or (5 if percent >= 84 else 4)
     source = docs.select(column(key).cast("long").alias("_key"), column(text).alias("_text"))
     source, top = _numbered(source)
@@ -358,5 +362,14 @@ def near_duplicates(
     return _named(sketches.select("id", "n_shingles", "print"), names).select(real(own).alias(key), "n_shingles", real(component).alias("component_id"), own.eqNullSafe(component).alias("kept"))
 
 
+def _by_row(docs: DataFrame, text: str, key: str, found_in) -> DataFrame:
+    """For keys that are no integers: rows are numbered, and a component gets the smallest key of its rows."""
+    numbered = persisted(docs.select(column(key).alias("_name"), column(text).alias(text)).withColumn("_row", F.monotonically_increasing_id()))
+    found = numbered.select("_row", "_name").join(found_in(numbered), "_row")
+    names = found.groupBy("component_id").agg(F.min("_name").alias("_least"))
+    kept = F.when(F.col("_least").isNull(), F.col("kept")).otherwise(F.col("_name").eqNullSafe(F.col("_least")))
+    return found.join(names, "component_id").select(F.col("_name").alias(key), "n_shingles", F.col("_least").alias("component_id"), kept.alias("kept"))
+
+
 def op3_minhash(spark, sf_dir):
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, percent=85)

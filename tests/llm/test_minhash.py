@@ -79,6 +79,14 @@ def test_empty_null_and_repeated_rows(docs):
     assert sorted((str(r["doc_id"]), r["component_id"]) for r in got) == [("5", 5), ("5", 5), ("None", 5)]
 
 
+def test_keys_of_letters(spark):
+    rows = [("b", "one two three"), ("a", "ONE two three"), (None, "one two three"), ("z", "other"), (None, "lost"), (None, "lost"), ("e", None)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "name string, body string"), k=3, percent=85, key="name", text="body")
+    assert got.columns == ["name", "n_shingles", "component_id", "kept"]
+    want = [("a", 1, "a", True), ("b", 1, "a", False), (None, 1, "a", False), ("z", 1, "z", True), (None, 1, None, True), (None, 1, None, False), ("e", 0, "e", True)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_rows_without_an_identifier_are_compared(docs, spark, sf):
     r = random.Random(9)
     words = lambda: [f"w{r.randrange(10**6)}" for _ in range(200)]
