@@ -6,16 +6,15 @@ import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters that separate words, as a regular expression class and as plain text.
+#: Characters that separate words, as a regular expression class.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
-SPACES = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -47,11 +46,6 @@ def ascii_lower(value: Column) -> Column:
     return F.translate(value, UPPER, UPPER.lower())
 
 
-def let(value: Column, body) -> Column:
-    """Bind ``value`` once and use it many times in ``body`` without evaluating it again."""
-    return F.transform(F.array(value), body)[0]
-
-
 _own_dirs: dict[str, str] = {}
 _process = ctypes.CDLL(None)
 
@@ -139,7 +133,3 @@ def list_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sums of ``values`` over the lists that ``offsets`` describes, empty lists included."""
     running = np.concatenate(([0], np.cumsum(values)))
     return running[offsets[1:]] - running[offsets[:-1]]
-
-
-def concat_batches(parts: Iterable[pa.RecordBatch], schema: pa.Schema) -> pa.Table:
-    return pa.Table.from_batches(list(parts), schema=schema)
