@@ -221,6 +221,11 @@ def test_homopolymer_errors_by_hand(spark, k):
     assert {(g["base_class"], g["len"], c): g[c] for g in got for c in ("less", "good", "more") if g[c]} == {key: v for key, v in want.items() if v} and len(want) > 10
 
 
+def test_error_rates(spark):
+    rows = spark.createDataFrame([("at", 4, 1, 97, 2)], "base_class string, len int, less long, good long, more long")
+    assert homopolymers.with_rate(rows).first()["error_rate"] == 3.0
+
+
 def test_histogram_concat_and_merge(spark):
     h = histograms.of_counts(spark.createDataFrame([(1,), (1,), (3,), (50,)], "n long"), 5, 1, 10)
     both = histograms.concatenated([h, h])

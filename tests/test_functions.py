@@ -52,3 +52,7 @@ def test_read_ranges():
     assert ranges.read_ranges(["3-#", "2"], 9) == [(3, 9), (2, 2)]
     with pytest.raises(ValueError):
         ranges.read_ranges(["0"], 9)
+
+
+def test_grouped_numbers():
+    assert ranges.grouped_number(1234567) == "1,234,567"
