@@ -554,14 +554,14 @@ def stored_and_moved(spark, d):
 
 @query(
     f"{sql_counted()}, b AS (SELECT kmer[1:12] AS p, string_agg(kmer[13:], '' ORDER BY kmer) AS s, string_agg(count::VARCHAR, ' ' ORDER BY kmer) AS c, count(*) AS n FROM tab GROUP BY 1) "
-    f"SELECT 'S' AS tag, [(n * {K - 12})::VARCHAR, s] AS fields FROM b UNION ALL SELECT 'C', list_concat([n::VARCHAR], string_split(c, ' ')) FROM b "
-    f"UNION ALL SELECT 'K', ['{K}', '12', min(count)::VARCHAR, list_sum(list_transform(range(1, 13), lambda i: (instr('acgt', min(kmer)[i]) - 1) * pow(4, 12 - i)))::BIGINT::VARCHAR] FROM tab"
+    f"SELECT 'S' AS tag, (n * {K - 12}) || ' ' || s AS data FROM b UNION ALL SELECT 'C', n || ' ' || c FROM b "
+    f"UNION ALL SELECT 'K', '{K} 12 ' || min(count) || ' ' || list_sum(list_transform(range(1, 13), lambda i: (instr('acgt', min(kmer)[i]) - 1) * pow(4, 12 - i)))::BIGINT FROM tab"
 )
 def stored_tagged_table(spark, d):
     """A written tagged file, its head with schema and provenance left out."""
     path = stored(spark, "x.kmr")
     artifacts.write_tagged(tables.tagged_buckets(table(spark, d), K, 12), path, "kmr", ["D K 4 3 INT 3 INT 3 INT 3 INT", "D S 1 6 STRING", "D C 1 8 INT_LIST"], "table", ["ord"])
-    return artifacts.read_tagged(spark, path)
+    return artifacts.read_tagged(spark, path).select("tag", F.concat_ws(" ", "fields").alias("data"))
 
 
 @query(f"{sql_counted()}, o AS (SELECT kmer, count, ntile(7) OVER (ORDER BY kmer) AS part FROM tab) SELECT kmer, count, true AS in_order FROM o")
