@@ -30,6 +30,11 @@ def table(spark: SparkSession, sf_dir: str, k: int = K, cutoff: int = 1) -> Data
     return words.count_table(reads(spark, sf_dir), k, cutoff)
 
 
+def packed_table(spark: SparkSession, sf_dir: str, k: int = K, cutoff: int = 1) -> DataFrame:
+    """The same with packed words."""
+    return raw(spark, sf_dir, k).where(F.col("n") >= cutoff).select("kmer", F.least("n", F.lit(MOST)).cast("int").alias("count"))
+
+
 def by_language(spark: SparkSession, sf_dir: str, k: int = SMALL) -> list[DataFrame]:
     counted = words.readable(words.raw_counts(reads(spark, sf_dir), k, "lang"), k)
     return [counted.where(F.col("lang") == x).select("kmer", F.least("n", F.lit(MOST)).cast("int").alias("count")) for x in LANGUAGES]
@@ -332,7 +337,7 @@ _TARGET = f"{sql_counted(SMALL)}, {sql_reads('target', 'benchmark', 'item_id::BI
 
 @query(f"{_TARGET} SELECT read_id, pos::INTEGER AS pos, coalesce(count, 0)::INTEGER AS count FROM there LEFT JOIN (SELECT * FROM tab WHERE count >= {COVERED}) ON kmer = CASE WHEN w NOT LIKE '%n%' THEN least(w, {sql_turned('w')}) END")
 def profile_relative(spark, d):
-    return profiles.relative(derived.benchmark_reads(spark, d), table(spark, d, SMALL, COVERED), SMALL)
+    return profiles.relative(derived.benchmark_reads(spark, d), packed_table(spark, d, SMALL, COVERED), SMALL)
 
 
 @query(f"{SQL_PROFILE}, {SQL_RUNS} SELECT read_id, min(pos)::INTEGER AS first, max(pos)::INTEGER AS last, count FROM runs WHERE count > 0 GROUP BY read_id, count, g")
@@ -379,14 +384,14 @@ _HITS = f"{_TARGET}, hits AS (SELECT read_id AS seq_idx, pos FROM there JOIN (SE
 
 @query(f"{_HITS} SELECT seq_idx, pos::INTEGER AS beg, (pos + {SMALL})::INTEGER AS end FROM hits")
 def coverage_intervals(spark, d):
-    return jobs.mapped(table(spark, d, SMALL, COVERED), derived.benchmark_reads(spark, d), SMALL)
+    return jobs.mapped(packed_table(spark, d, SMALL, COVERED), derived.benchmark_reads(spark, d), SMALL)
 
 
 @query(f"{_HITS} SELECT seq_idx::VARCHAR || chr(9) || pos || chr(9) || (pos + {SMALL}) || chr(9) || 'benchmark' AS line FROM hits")
 def coverage_lines(spark, d):
     """The text of a written file of intervals."""
     path = stored(spark, "benchmark.bed")
-    found = jobs.mapped(table(spark, d, SMALL, COVERED), derived.benchmark_reads(spark, d), SMALL)
+    found = jobs.mapped(packed_table(spark, d, SMALL, COVERED), derived.benchmark_reads(spark, d), SMALL)
     artifacts.write_intervals(profiles.named_intervals(found, "benchmark"), path)
     return spark.read.text(path).select(F.col("value").alias("line"))
 
@@ -396,7 +401,7 @@ def coverage_lines(spark, d):
     f"SELECT seq_idx, min(pos)::INTEGER AS beg, (max(pos) + {SMALL})::INTEGER AS end FROM g GROUP BY seq_idx, i"
 )
 def coverage_merged(spark, d):
-    return jobs.mapped(table(spark, d, SMALL, COVERED), derived.benchmark_reads(spark, d), SMALL, merge=True)
+    return jobs.mapped(packed_table(spark, d, SMALL, COVERED), derived.benchmark_reads(spark, d), SMALL, merge=True)
 
 
 # --- word relations, scalars ---------------------------------------------------------------------
@@ -433,8 +438,7 @@ _H = LONG // 2
     "sum(CASE WHEN even THEN n0 ELSE n1 END)::BIGINT AS less, sum(CASE WHEN even THEN n1 ELSE n2 END)::BIGINT AS good, sum(CASE WHEN even THEN n2 ELSE n3 END)::BIGINT AS more FROM o WHERE even OR odd GROUP BY 1, 2"
 )
 def homopolymer_errors(spark, d):
-    clipped = raw(spark, d, LONG).select("kmer", F.least("n", F.lit(MOST)).alias("count"))
-    return homopolymers.errors(clipped, LONG, 2, 2, 500)
+    return homopolymers.errors(packed_table(spark, d, LONG), LONG, 2, 2, 500)
 
 
 @query(
