@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, minhash, mixing, packing, quality_classifier, quality_rules, sharding, token_counts, toxicity
+from . import exact_dedup, html_text, minhash, mixing, packing, quality_classifier, quality_rules, sharding, token_counts, toxicity, url_rules
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_mixing": mixing.op9_mixing,
     "op10_html_text": html_text.op10_html_text,
+    "op11_url_rules": url_rules.op11_url_rules,
 }
 
 SQL = {
     "op1_exact_dedup": exact_dedup.SQL,
     "op4_quality_rules": quality_rules.SQL,
     "op6_sharding": sharding.SQL,
+    "op11_url_rules": url_rules.SQL,
 }
