@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, minhash, mixing, packing, quality_classifier, quality_rules, sharding, token_counts, toxicity, url_rules
+from . import exact_dedup, html_text, minhash, mixing, packing, quality_classifier, quality_rules, sharding, token_counts, toxicity, url_rules, whitening
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op10_html_text": html_text.op10_html_text,
     "op11_url_rules": url_rules.op11_url_rules,
+    "op12_whitening": whitening.op12_whitening,
 }
 
 SQL = {

@@ -195,7 +195,7 @@ def _sql() -> str:
     WITH s AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substring(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
     p AS (SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM s),
     f AS (SELECT *, CASE {fits} END AS rule FROM p),
-    g AS (SELECT *, CASE WHEN rule IS NULL THEN CASE {globbed} END END AS glob FROM f)
+    g AS (SELECT *, CASE WHEN rule IS NULL THEN CASE {globbed} END END AS pattern FROM f)
     SELECT page_id, host, path, rule, pattern, CASE {of_rule} {of_glob} ELSE 'allow' END AS verdict FROM g"""
 
 
