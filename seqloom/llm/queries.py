@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, minhash, mixing, packing, quality_classifier, quality_rules, sharding, token_counts, toxicity, url_rules, whitening
+from . import exact_dedup, html_text, merkle, minhash, mixing, packing, quality_classifier, quality_rules, sharding, token_counts, toxicity, url_rules, whitening
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_html_text": html_text.op10_html_text,
     "op11_url_rules": url_rules.op11_url_rules,
     "op12_whitening": whitening.op12_whitening,
+    "op13_merkle": merkle.op13_merkle,
 }
 
 SQL = {
@@ -24,4 +25,5 @@ SQL = {
     "op4_quality_rules": quality_rules.SQL,
     "op6_sharding": sharding.SQL,
     "op11_url_rules": url_rules.SQL,
+    "op13_merkle": merkle.SQL,
 }
