@@ -255,3 +255,77 @@ def test_pipeline_stages_take_empty_tables(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf).count() == 0
+
+
+def test_whole_draw_of_the_query_by_hand(spark):
+    """Every row of op9 on a table of uneven sources, dealt by plain loops."""
+    sf = "/root/testdata/sf0.01"
+    got = mixing.op9_mixing(spark, sf).collect()
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "text")
+    tokens = dict(mixing.op9_mixing.__globals__["token_counter"].__globals__["op8_token_counts"](spark, sf).select("doc_id", "n_tokens").collect())
+    name, dealing = mixing._named(docs, "source", "doc_id", "text", 7)
+    rows = docs.select("doc_id", "source", name.alias("g"), dealing.alias("h")).collect()
+    totals, numbers = Counter(), Counter()
+    for r in rows:
+        totals[r["g"]] += tokens[r["doc_id"]]
+        numbers[r["g"]] += 1
+    sizes = [totals[g] for g in sorted(totals)]
+    t = mixing.exponent_for(sizes, sum(sizes), mixing.target_of(sizes, 0.0, mixing.CLOSING), 4.0)
+    assert 0 < t < 0.9
+    plans = mixing.planned(totals, None, 0.0, 4.0, numbers)
+    assert any(p.passes == 0 for p in plans) and any(p.passes == 1 and p.left for p in plans)
+    table = spark.createDataFrame([(p.source, p.blocks, p.passes, p.left) for p in plans], "source string, blocks long, passes int, left long")
+    turns = {(r["source"], r["pass_no"], r["block"]): r["turn"] % (1 << 64) for r in mixing.permuted(table, 7).collect()}
+    asked = spark.createDataFrame([(p.source, k) for p in plans for k in range(p.passes + 1)], "g string, pass_no int")
+    last = {(r["g"], r["pass_no"], r["h"]): r["t"] % (1 << 64) for r in spark.createDataFrame([(r["g"], r["h"]) for r in rows], "g string, h long").join(asked, "g").select("g", "pass_no", "h", F.xxhash64(F.lit(7), "g", "pass_no", "h").alias("t")).collect()}
+    want = set()
+    for p in plans:
+        blocks = {}
+        for r in rows:
+            if r["g"] == p.source:
+                blocks.setdefault(r["h"] % p.blocks, []).append(r)
+        for number in range(p.passes + 1):
+            left = p.left
+            for place, block in enumerate(sorted(blocks, key=lambda b: (turns[p.source, number, b] >> 52, turns[p.source, number, b] - ((turns[p.source, number, b] >> 63) << 64)))):
+                own = blocks[block]
+                size = sum(tokens[r["doc_id"]] for r in own)
+                if number == p.passes and left <= 0:
+                    break
+                if number < p.passes or size <= left:
+                    taken = own
+                    left -= size if number == p.passes else 0
+                else:
+                    taken, room = [], left
+                    for r in sorted(own, key=lambda r: (last[p.source, number, r["h"]] >> 58, last[p.source, number, r["h"]] - ((last[p.source, number, r["h"]] >> 63) << 64), r["h"])):
+                        room -= tokens[r["doc_id"]]
+                        if room < 0:
+                            break
+                        taken.append(r)
+                    left = 0
+                want |= {(r["doc_id"], r["source"], tokens[r["doc_id"]], number, block, place) for r in taken}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_drawn_rows_are_those_of_mixed(spark):
+    rows = [(i % 500, "abc"[(i % 10 > 6) + (i % 10 > 8)], "w " * (i % 7), i) for i in range(1500)] + [(3, "b", "w w", 0)] * 20 + [(None, None, None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, place int")
+    for options in ({}, {"least_repeats": 1.0, "most_repeats": 2.0}, {"budget": 900}):
+        mine = mixing.drawn(docs, **options)
+        assert mine.columns == docs.columns
+        theirs = mixing.mixed(docs.withColumnRenamed("place", "p"), **options).select("doc_id", "source", "text", "p")
+        assert Counter(map(tuple, mine.collect())) == Counter(map(tuple, theirs.collect()))
+    times = Counter(map(tuple, mixing.drawn(docs.where("doc_id IS NOT NULL"), least_repeats=1.0, most_repeats=2.0).collect()))
+    have = Counter(r for r in rows if r[0] is not None)
+    assert all(times[r] >= n for r, n in have.items()) and sum(times.values()) > 1.1 * sum(have.values())
+
+
+@pytest.mark.parametrize("stage", corpus_pipeline.STAGES[:-1], ids=lambda s: s[0])
+def test_stages_keep_columns_of_any_name(spark, sf, stage):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    names = ["kept", "score", "block", "place", "_row", "group_size", "a.b", "n_tokens", "pass_no", "keep_id", "text_sha256", "`x", "component_id", "_group"]
+    odd = docs.select("*", *(F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names))
+    made = stage[1](spark, odd, sf)
+    assert made.columns == odd.columns
+    for r in made.collect():
+        assert r[len(docs.columns) :] == tuple(n + str(r["doc_id"]) for n in names)
+    assert made.count() == stage[1](spark, docs, sf).count() > 0
