@@ -6,45 +6,60 @@ sets of similarity 0.8 or more. SQL cannot express the trained, sketching and pa
 is None and the tests hold the stages against brute force.
 
 Defined results of every stage: an empty table gives an empty one; columns may have any names and stay as they are, for each stage picks
-rows of its input (the mixing stage some of them several times) and nothing of what its operator adds. Documents without words go
+rows of its input (the mixing stage some of them several times) and nothing of what its operator adds, and operators see all columns but their own inputs
+under other names. Documents without words go
 with the classifier; of rows with equal texts, repeated rows and rows without an identifier included, one stays; of near-duplicates
 also; a null source is a source; null identifiers reach the packed pieces as nulls.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm import exact_dedup, minhash, mixing, packing, quality_classifier, token_counts
-from seqloom.llm.common import persisted
+from seqloom.llm.common import column, persisted
 
 ORACLE_SQL = None
+USED = ("doc_id", "text", "source")
+
+
+def among(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``stage`` picks of ``docs``; it sees columns that no operator reads under names that no operator gives."""
+    names = [c if c in USED else f"column {i} of documents" for i, c in enumerate(docs.columns)]
+    return stage(docs.toDF(*names)).select(*(column(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts."""
-    return quality_classifier.classified(docs).where("kept").select(*docs.columns)
+    return among(docs, lambda own: quality_classifier.classified(own).where("kept"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts, one with the smallest number."""
-    return exact_dedup.one_of_each(docs)
+    return among(docs, exact_dedup.one_of_each)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates, the first as they are numbered here."""
-    rows = persisted(docs.withColumn("_row", F.monotonically_increasing_id()))
-    kept = minhash.near_duplicates(rows, k=5, percent=80, key="_row").where("kept").select("_row")
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+
+    def first_of_each(own: DataFrame) -> DataFrame:
+        rows = persisted(own.withColumn("_row", F.monotonically_increasing_id()))
+        kept = minhash.near_duplicates(rows.select("_row", "text"), k=5, percent=80, key="_row").where("kept").select("_row")
+        return rows.join(kept, "_row", "left_semi")
+
+    return among(docs, first_of_each)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn so that sources meet the target weights of tokens; a document may be drawn again."""
+    """Documents drawn so that sources come nearer to equal weights of tokens: every source once at least, small ones up to twice, the last
+    pass of each cut where its budget ends."""
     import public_tokenizers
 
     counts = token_counts.token_counter(public_tokenizers.path("piece_bpe_32k.model"))
-    return mixing.mixed(docs, tokens=counts(F.col("text"))).select(*docs.columns)
+    return among(docs, lambda own: mixing.drawn(own, tokens=counts(F.col("text")), least_repeats=1.0, most_repeats=2.0))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
