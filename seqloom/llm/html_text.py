@@ -3,10 +3,12 @@
 A page is tokenised into a light DOM that forgives unclosed and misnested tags. Each node outside
 scripts, menus, comment sections and the like gets its link-adjusted characters per tag; a node's
 density sum adds its children's densities. The node of the largest sum is the heart of the page, and the
-least density on its path up to the body is the threshold: every node that reaches it contributes its own
-largest-sum subtree. A heart inside an article or main element stands for that whole element. A form, or
+least density on its path up to the body is the threshold. Of the subtrees beside that path those stay that are mostly unlinked and reach the
+threshold, or hold a sentence, or are a headline; beside the heart itself also any other paragraph, list or table. A heart inside an
+article element stands for the outermost such element, and other articles with a fourth of its text or more stay with it; failing
+those it stands for the main element around it. A form, or
 an element whose class or id names a side part, is left out before that only if it holds no article or main
-element of the page and less than half of its link-adjusted text. Pages
+element of the page and less than half of its link-adjusted text; an article that is named a comment is left out unless it is all there is. Pages
 are independent rows, so the plan is scan -> map with no shuffle.
 
 Defined results: null or empty html, and pages without any text, give the empty text; markup that the
@@ -48,9 +50,12 @@ BLOCK = frozenset(
 )
 DROPPED = frozenset("head nav footer aside button select option label input dialog menu object audio video canvas svg math template noscript".split())
 FOREIGN = frozenset("svg math".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TEXTUAL = HEADINGS | frozenset("p ul ol dl table blockquote pre figure".split())
 INLINE = frozenset("a abbr b big cite code em font i kbd mark s samp small span strike strong sub sup tt u var".split())
 BAD_NAMES = frozenset(
-    "nav navbar navigation menu sidebar footer header masthead ad ads advert adverts advertisement adsense banner promo sponsor sponsored cookie cookies consent gdpr "
+    "reply replies "
+    "nav navbar navigation menu sidebar footer header masthead ad ads adbox adslot adunit advert adverts advertisement adsense banner promo sponsor sponsored cookie cookies consent gdpr "
     "notice popup modal overlay newsletter subscribe signup login share sharing social related recommended comment comments disqus breadcrumb breadcrumbs pagination pager widget toolbar".split()
 )
 #: Last parts that make a longer name a side part's, parts that say nothing, and parts that make it a state.
@@ -58,7 +63,11 @@ ENDINGS = frozenset(
     "nav navbar navigation sidebar footer masthead ads advert adverts advertisement adsense banner consent gdpr popup modal "
     "newsletter comments disqus breadcrumb breadcrumbs pagination pager toolbar widget".split()
 )
-FRAMES = frozenset("area bar block body box button buttons container form group icons inner item items left link links list panel post posts right section slot top bottom unit wrap wrapper".split())
+FRAMES = frozenset("area bar block body box button buttons container form frame google group icons iframe inner item items label left link links list panel post posts right section slot thread threads top bottom unit wrap wrapper zone".split())
+#: Parts of a name that make an article a reader's comment, the end of a sentence, and what marks a line of rights.
+COMMENTS = frozenset("comment comments disqus reply replies".split())
+SENTENCE = re.compile(r"[.!?\u2026\u3002\uff01\uff1f][\"')\]\u2019\u201d\u00bb]*(?:\s|\Z)")
+RIGHTS = re.compile(r"\u00a9|&copy;|\bcopyright\b|all rights reserved", re.I)
 STATES = frozenset("has have no not with without is hide show open closed before after".split())
 HEADERS = frozenset("header site global top bar inner wrap wrapper container".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
@@ -123,7 +132,7 @@ class Page:
         self.foreign.append(self.foreign[parent] or name in FOREIGN)
         known = attributes(rest) if rest else {}
         self.dropped.append(self.dropped[parent] or name in DROPPED or name == "header" and not self.inside[parent] or unwanted(name, known))
-        self.doubtful.append(name == "form" or side_part(name, known, self.inside[parent]))
+        self.doubtful.append(name == "form" or side_part(name, known, self.inside[parent]) or name == "article" and comment(known))
         if name in BLOCK or not SELF_CLOSED.search(rest):
             self.depths.setdefault(name, []).append(len(self.stack))
             if name in BLOCK:
@@ -166,7 +175,7 @@ class Page:
             depth[i] = depth[self.parents[i]] + self.doubtful[i]
         for i in range(n - 1, 0, -1):
             plain[self.parents[i]] += plain[i]
-        articles = [i for i in range(n) if self.tags[i] in ("article", "main") and plain[i]]
+        articles = [i for i in range(n) if self.tags[i] in ("article", "main") and plain[i] and not self.doubtful[i]]
         # articles inside comments and the like do not count where there are others
         least = min((depth[i] for i in articles), default=0)
         articles = [i for i in articles if depth[i] == least]
@@ -176,7 +185,7 @@ class Page:
         for i in range(n - 1, 0, -1):
             holds[self.parents[i]] |= holds[i]
         for i in range(1, n):
-            small = not plain[i] or 2 * plain[i] < plain[0] or 4 * most >= plain[i]
+            small = not plain[i] or 2 * plain[i] < plain[0] or 4 * most >= plain[i] or self.tags[i] == "article" and plain[i] < plain[0]
             self.dropped[i] = self.dropped[i] or self.dropped[self.parents[i]] or self.doubtful[i] and not holds[i] and small
 
     def densities(self) -> tuple[list[float], list[float]]:
@@ -213,34 +222,100 @@ class Page:
         return density, sums
 
     def content(self) -> list[bool]:
-        """Which nodes belong to the main text."""
+        """Whose own text belongs to the main text."""
         n = len(self.tags)
         density, sums = self.densities()
         alive = [i for i in range(n) if not self.dropped[i]]
         heart = max(alive, key=lambda i: (sums[i], -i))
         path = [heart]
-        while path[-1] > 0 and self.tags[path[-1]] not in ("body", "article", "main"):
+        while path[-1] > 0:
             path.append(self.parents[path[-1]])
-        if self.tags[path[-1]] in ("article", "main"):
-            roots = {path[-1]}
+        kept, own = {heart}, set()
+        articles = [i for i in path if self.tags[i] == "article"]
+        mains = [i for i in path if self.tags[i] == "main"]
+        if articles:
+            kept = {articles[-1], *self.other_articles(articles[-1])}
+        elif mains:
+            kept = {mains[-1]}
         else:
-            below = [(sums[i], -i) for i in range(n)]
-            for i in range(n - 1, 0, -1):
-                if not self.dropped[i]:
-                    below[self.parents[i]] = max(below[self.parents[i]], below[i])
-            least = min(density[i] for i in path)
-            roots = {-below[i][1] for i in alive if density[i] >= least and density[i] > 0}
-        inside = [i in roots for i in range(n)]
+            body = next((i for i in path if self.tags[i] == "body"), 0)
+            facts = Facts(self, density, min(density[i] for i in path[: path.index(body) + 1]))
+            for child, parent in zip(path, path[1:], strict=False):
+                kept.update(i for i in facts.children[parent] if i != child and not self.dropped[i] and facts.stays(i, parent == path[1] and parent != body, i < child))
+                if facts.says[parent] and (parent != body or facts.ends[parent]):
+                    own.add(parent)
+                if parent == body:
+                    break
+        inside = [i in kept for i in range(n)]
         for i in range(1, n):
             inside[i] = (inside[i] or inside[self.parents[i]]) and not self.dropped[i]
+        for i in own:
+            inside[i] = not self.dropped[i]
         return inside
 
+    def other_articles(self, first: int) -> list[int]:
+        """Articles in no other article, not dropped, with a fourth of the first one's unlinked text or more."""
+        n = len(self.tags)
+        plain, nested = [0] * n, [False] * n
+        for item in self.items:
+            if item and not self.dropped[item[0]] and not self.linked[item[0]]:
+                plain[item[0]] += len("".join(item[1].split()))
+        for i in range(n - 1, 0, -1):
+            plain[self.parents[i]] += plain[i]
+        for i in range(1, n):
+            nested[i] = nested[self.parents[i]] or self.tags[self.parents[i]] == "article"
+        return [i for i in range(1, n) if self.tags[i] == "article" and not self.dropped[i] and not nested[i] and plain[i] and 4 * plain[i] >= plain[first]]
+
+
+class Facts:
+    """What the choice beside the path looks at, of each node and all below it: unlinked and linked characters, whether it holds a sentence,
+    a headline, a line of rights; and of its own text alone, whether it says something unlinked and ends a sentence."""
+
+    def __init__(self, page: Page, density: list[float], least: float):
+        n = len(page.tags)
+        self.tags, self.density, self.least = page.tags, density, least
+        self.plain, self.links, self.sentence, self.headline, self.rights = [0] * n, [0] * n, [False] * n, [x in ("h1", "h2") for x in page.tags], [False] * n
+        self.says, self.ends, self.children = [False] * n, [False] * n, [[] for _ in range(n)]
+        for item in page.items:
+            if item and not page.dropped[item[0]]:
+                node, text = item
+                size = len("".join(text.split()))
+                if page.linked[node]:
+                    self.links[node] += size
+                elif size:
+                    self.plain[node] += size
+                    self.says[node] = True
+                    self.ends[node] |= bool(SENTENCE.search(text))
+                    self.rights[node] |= bool(RIGHTS.search(text))
+        self.sentence = list(self.ends)
+        for i in range(n - 1, 0, -1):
+            above = page.parents[i]
+            self.children[above].append(i)
+            if not page.dropped[i]:
+                self.plain[above] += self.plain[i]
+                self.links[above] += self.links[i]
+                for flags in (self.sentence, self.headline, self.rights):
+                    flags[above] |= flags[i]
+
+    def stays(self, i: int, beside_heart: bool, before: bool) -> bool:
+        if not self.plain[i] or self.links[i] > self.plain[i] or self.rights[i] and self.plain[i] < 200:
+            return False
+        textual = self.tags[i] in TEXTUAL or self.tags[i] in INLINE
+        return self.density[i] >= self.least or self.sentence[i] or self.tags[i] in HEADINGS or before and self.headline[i] or beside_heart and textual
+
 
 def unwanted(name: str, known: dict[str, str]) -> bool:
-    if not known or name in ("html", "body", "article", "main"):
+    if not known or name in ("html", "body"):
         return False
     hides = re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", known.get("style", ""), re.I)
-    return "hidden" in known or known.get("aria-hidden", "").lower() == "true" or known.get("role", "").lower() in BAD_ROLES or hides is not None
+    if "hidden" in known or known.get("aria-hidden", "").lower() == "true" or hides is not None:
+        return True
+    return name not in ("article", "main") and known.get("role", "").lower() in BAD_ROLES
+
+
+def comment(known: dict[str, str]) -> bool:
+    """Whether the class or id names a reader's comment."""
+    return any(not COMMENTS.isdisjoint(re.split(r"[^a-z0-9]+", x)) and bad_name(x, True) for a in ("class", "id") for x in known.get(a, "").lower().split())
 
 
 def side_part(name: str, known: dict[str, str], inside: bool) -> bool:

@@ -329,3 +329,97 @@ def test_stages_keep_columns_of_any_name(spark, sf, stage):
     for r in made.collect():
         assert r[len(docs.columns) :] == tuple(n + str(r["doc_id"]) for n in names)
     assert made.count() == stage[1](spark, docs, sf).count() > 0
+
+
+STORY = "<p>" + "A long paragraph of the story tells what happened, to whom, and when it was. " * 6 + "</p>"
+
+
+@pytest.mark.parametrize(
+    ("page", "lines"),
+    [
+        (f"<div class=story><p>Short lead.</p><div>{STORY * 4}</div><p>Short end.</p></div>", ["Short lead.", 4, "Short end."]),
+        (f"<div><h1>headline</h1><div class=text>{STORY * 4}</div></div>", ["headline", 4]),
+        (f"<section><p>First things come first.</p></section><section>{STORY * 3}</section><section><p>And the last ones last.</p></section>", ["First things come first.", 3, "And the last ones last."]),
+        (f"<div class=post><p>They said this</p><blockquote>{STORY * 5}</blockquote><p>and we do not agree</p></div>", ["They said this", 5, "and we do not agree"]),
+        (f"<div id=page><div class=head><h1>Title</h1></div><div>Lead text here.<br>{STORY * 3}and a tail</div><ul><li><a href=a>More stories</a></ul></div><div>&copy; 2020 Firm. All rights reserved.</div>", ["Title", "Lead text here.", 3, "and a tail"]),
+        (f"<article>{STORY}</article><article class='comment'>{STORY * 6}</article>", [1]),
+        (f"<article><p>We quote it.</p><article class=tweet>{STORY * 6}</article><p>So it was.</p></article>", ["We quote it.", 6, "So it was."]),
+        (f"<article hidden>{STORY * 6}</article><div><p>Seen one.</p>{STORY}</div>", ["Seen one.", 1]),
+        (f"<main><article>{STORY * 2}</article><article>{STORY}</article><article><a href=x>Teaser</a></article></main>", [3]),
+        (f"<article>{STORY}<div id='google_ads_iframe'>x</div><p class='advertisement-label'>x</p><div class='adbox'>x</div><div class='comment_thread'>x</div></article>", [1]),
+        (f"<div>{STORY}</div><article class='comment'>{STORY * 3}</article>", [1]),
+        ("<article class='comment'><p>All there is.</p></article>", ["All there is."]),
+    ],
+)
+def test_main_text_loses_nothing_beside_the_heart(page, lines):
+    story = " ".join(STORY[3:-4].split())
+    want = [line for x in lines for line in ([story] * x if isinstance(x, int) else [x])]
+    assert html_text.main_text(f"<html><body><nav><a href=1>Home</a></nav>{page}<footer>Foot</footer></body></html>").split("\n") == want
+
+
+def test_choice_on_small_trees_by_its_definition():
+    """Pages without article and main: what stays beside the path from the heart, by recursion over nested lists."""
+    r = random.Random(11)
+    texts = ["", "Some words", "A sentence ends here.", "word " * 40, "More words follow, and they end. " * 4, "© Firm"]
+
+    def tree(depth):
+        name = r.choice(["div", "p", "section", "h1", "h3", "a", "blockquote", "ul"]) if depth else "div"
+        leaf = name in ("p", "h1", "h3", "a") or depth == 3
+        return [name, r.choice(texts), [] if leaf else [tree(depth + 1) for _ in range(r.randint(0, 3))]]
+
+    def html(node):
+        return f"<{node[0]}>{node[1]}{''.join(map(html, node[2]))}</{node[0]}>"
+
+    def size(text):
+        return len("".join(text.split()))
+
+    def flat(node, linked=False):
+        """(tag, text, linked) of a node and all below it."""
+        linked = linked or node[0] == "a"
+        return [(node[0], node[1], linked)] + [x for c in node[2] for x in flat(c, linked)]
+
+    for _ in range(300):
+        body = ["body", "", [tree(0) for _ in range(3)]]
+        root = ["html", "", [body]]
+        page = html_text.Page(f"<body>{''.join(map(html, body[2]))}</body>")
+        nodes, above = [], {}
+
+        def number(node, parent):
+            above[len(nodes)] = parent
+            nodes.append(node)
+            own = len(nodes) - 1
+            for c in node[2]:
+                number(c, own)
+
+        number(root, -1)
+        assert page.tags == [x[0] for x in nodes]
+        density, sums = page.densities()
+        heart = max(range(len(nodes)), key=lambda i: (sums[i], -i))
+        path = [heart]
+        while above[path[-1]] >= 0:
+            path.append(above[path[-1]])
+        want = {i for i in range(len(nodes)) if heart in _line(above, i)}
+        if heart > 0:
+            least = min(density[i] for i in path[: path.index(1) + 1])
+            for child in path[: path.index(1)]:
+                parent = above[child]
+                for i in (i for i in above if above[i] == parent and i != child):
+                    all_of = flat(nodes[i])
+                    plain, linked = (sum(size(t) for _, t, l in all_of if l is x) for x in (False, True))
+                    rights = any("©" in t for _, t, l in all_of if not l)
+                    sentence = any("." in t for _, t, l in all_of if not l)
+                    title = nodes[i][0] in ("h1", "h3") or i < child and any(x[0] == "h1" for x in all_of)
+                    near = parent == above[heart] and parent != 1 and nodes[i][0] in ("p", "h1", "h3", "blockquote", "ul", "a")
+                    if plain and linked <= plain and not (rights and plain < 200) and (density[i] >= least or sentence or title or near):
+                        want |= {j for j in above if i in _line(above, j)}
+                if size(nodes[parent][1]) and (parent != 1 or "." in nodes[parent][1]):
+                    want.add(parent)
+        assert [i in want for i in range(len(nodes))] == page.content()
+
+
+def _line(above, i):
+    line = {i}
+    while above[i] >= 0:
+        i = above[i]
+        line.add(i)
+    return line
