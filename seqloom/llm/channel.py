@@ -2,7 +2,7 @@
 
 A character trigram model says how likely a reading is; a lattice says what each written character may stand for:
 digits and signs for letters, letters of other alphabets and accented ones for those they look like, signs and spaces for
-nothing, repetitions for one letter. Viterbi decoding finds the likeliest reading, of any length.
+nothing, a mask between letters for any letter, repetitions for one letter. Viterbi decoding finds the likeliest reading, of any length.
 
 Skeletons are a coarse, vectorised filter before decoding: characters folded to classes, runs collapsed. Their hashes can
 be joined, so that words written in several parts are found without decoding every pair of words.
@@ -31,6 +31,9 @@ LOOK_ALIKES = dict(
 )
 EDGE, OTHER, SIZE = 0, 1, 64
 CODE = {c: i + 2 for i, c in enumerate(LETTERS)}
+MASKS = "*#%?"
+MASKED = "abcdefghijklmnopqrstuvwxyz"
+COST_HIDDEN, COST_VANISHED = 3.2, 6.0  #: one of 26 letters behind a mask, which hardly ever stands for nothing between letters
 COST_READING, COST_GUESS, COST_SKIP, COST_SHRINK, COST_ACCENT, COST_JOIN = 0.7, 2.5, 0.7, 0.7, 1.0, 1.5
 TRAILING = ".,;:!?\"'()[]{}|#*$%&<>~`^_-/\\"
 LEADING = ".,;:?\"'()[]{}&<>~`^_-/\\"
@@ -100,7 +103,11 @@ def lattice(word: str) -> Iterator[list[tuple[str, float]]]:
         while i + run < len(word) and word[i + run] == c:
             run += 1
         i += run
-        extra = 0.0
+        extra, before, after = 0.0, word[i - run - 1 : i - run], word[i : i + 1]
+        if c in MASKS and run <= 3 and before and after and before in CODE and after in CODE:
+            for _ in range(run):
+                yield [*((x, COST_GUESS if x in READINGS[c] else COST_HIDDEN) for x in MASKED), ("", COST_VANISHED)]
+            continue
         if c not in CODE and c not in READINGS and not c.isascii():
             c, extra = likeness(c), COST_READING
         if c == " ":
@@ -125,7 +132,7 @@ def decode(word: str, model: CharacterModel) -> str:
     """The likeliest reading of a disguised word, or of several words that may be one.
 
     Long readings are settled window by window: once the best one has two windows, its first is final, and the
-    readings that differ there end.
+    readings that differ there end. So beyond 128 letters this is an approximation, though a letter hardly ever depends on one so far behind it.
     """
     settled: list[str] = []
     states = {(EDGE, EDGE): (0.0, "")}

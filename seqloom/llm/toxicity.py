@@ -3,7 +3,8 @@
 A character trigram model is counted over the words of all documents (its table is bounded by the
 alphabet: 64^3 cells). A word that may be disguised -- digits or signs among letters or instead of them, a letter
 repeated, letters that look like others, or parts set apart -- becomes a lattice (:mod:`.channel`), and Viterbi decoding finds its
-likeliest reading, whatever its length; a word with inner marks is also read part by part. Words written in several parts are found
+likeliest reading, whatever its length; a word with inner marks is also read part by part, and one with masked letters (``*#%?``) that reads as nothing
+listed is held against the listed words of its length. Words written in several parts are found
 by the joined skeletons of neighbouring words and read with the spaces in the lattice, so they count only where one word is likelier
 than several.
 
@@ -34,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .channel import LEADING, SIZE, TRAILING, CharacterModel, Filter, Skeletons, decode, disguised, normal, spans, stripped, trigram_counts
+from .channel import LEADING, MASKS, READINGS, SIZE, TRAILING, CharacterModel, Filter, Skeletons, decode, disguised, normal, spans, stripped, trigram_counts
 from .common import byte_slices, column, persisted, ragged_take
 
 MARKS = "\"'.,;:()[]{}"
@@ -102,6 +103,9 @@ class Evidence:
     def __post_init__(self):
         exact = [f[1:].removesuffix(AGAIN) for f in self.listed if f[0] == "="]
         self.longest = max(map(len, exact), default=0)
+        self.by_size: dict[int, list[str]] = {}
+        for word in sorted(set(exact)):
+            self.by_size.setdefault(len(word), []).append(word)
         self.may_be = Filter(exact, sorted({f.removesuffix(AGAIN) for f in self.listed if f[0] != "="}))
 
     def candidates(self, words: pa.Array, bare: pa.Array, skeletons: Skeletons) -> np.ndarray:
@@ -131,8 +135,21 @@ class Evidence:
         return out
 
     def of_word(self, word: str) -> tuple[str, ...]:
-        """The listed features of the first reading of a word that has any."""
-        return self.remembered(word, lambda: next(filter(None, map(self.looked_up, readings(word, self.model))), ()))
+        """The listed features of the first reading of a word that has any, or else those of the word behind its masks."""
+        return self.remembered(word, lambda: next(filter(None, map(self.looked_up, readings(word, self.model))), ()) or self.unmasked(word))
+
+    def unmasked(self, word: str) -> tuple[str, ...]:
+        """The most significant listed word that a word with masks (one a letter, at most half of them) may be.
+
+        Letters are masked so that the word is recognised all the same, so a listed word is preferred to a likelier one that is not.
+        """
+        form = normal(word).strip(MARKS + "!?")
+        masks = sum(c in MASKS for c in form)
+        if not masks or 2 * masks > len(form) or len(form) - masks < 2:
+            return ()
+        fits = [x for x in self.by_size.get(len(form), ()) if all(a in MASKS or a == b or b in READINGS.get(a, "") for a, b in zip(form, x, strict=True))]
+        found = [names for x in fits if (names := self.looked_up(x))]
+        return max(found, key=lambda names: max(self.listed.get(f, self.listed.get(f + AGAIN)) for f in names), default=())
 
     def of_span(self, words: list[str]) -> tuple[str, ...]:
         """The listed word that neighbouring words are likelier to be than several words; frequent words stay what they are."""

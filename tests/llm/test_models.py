@@ -200,3 +200,20 @@ def test_toxicity_without_labels_and_odd_rows(docs, spark):
     got = toxicity.toxicity(docs([(1, None), (None, ""), (2, "x " * 100_000)]), none).collect()
     assert len(got) == 3 and all(r["predicted"] == 0 for r in got) and not [r for r in got if r["doc_id"] is None][0]["held_out"]
     assert toxicity.toxicity(docs([(1, "a")]).limit(0), none).count() == 0
+
+
+def test_masked_letters_of_listed_words_are_read():
+    words = ["trash", "scum", "clown", "loser", "idiot", "worthless"]
+    plain = ["the", "this", "that", "thing", "there", "crash", "these", "shall", "which", "whether", "her", "letter"]
+    model = toxicity.CharacterModel(toxicity.trigram_counts(plain * 40, np.ones(40 * len(plain))))
+    evidence = toxicity.Evidence({"=" + w: (9.0 + i, 3.0) for i, w in enumerate(words)}, 0.05, model)
+    bare = evidence.scores(pa.array(["nothing here"]))[0]
+    for w in words:
+        for i in range(1, len(w) - 1):
+            for mask in "*#%?":
+                text = f"so {w[:i]}{mask}{w[i + 1 :]}, he said"
+                assert evidence.scores(pa.array([text]))[0] > 0.4, text
+    read = ["*rash", "tras*", "t**sh", "tr*sh!", "(l*$er)", "w*rth#ess", "ID*OT?"]
+    assert (evidence.scores(pa.array(read)) > 0.4).all()
+    left = ["lose?", "t***h", "*****", "scum5", "5*6", "a*b", "tr*shy", "cl*ss", "idio?"]
+    assert (evidence.scores(pa.array(left[:3] + left[4:])) == bare).all()
