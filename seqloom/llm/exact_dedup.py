@@ -1,8 +1,8 @@
 """Exact duplicates by Patricia-trie owners.
 
-Texts are equal when identical after lower-casing A-Z. Each input partition first reduces its copies to
-one row per distinct text (the text travels once, later copies add a null-text row with their best
-identifier and number), so a text that fills a third of the table costs one row per input partition.
+Texts are equal when identical after lower-casing A-Z. Each input partition first inserts its texts into a trie of its own and passes on
+one row per distinct text, so a text that fills a third of the table costs one row per input partition; a trie that
+outgrows its budget is passed on and begun anew.
 Those rows are dealt by length and content hash; each dealt partition inserts the full byte strings into a
 compressed radix trie whose terminal nodes hold the owner and the number of copies. When a trie's labels
 outgrow the budget, its largest subtree is spilled to the task's scratch file and finished after the
@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import apart, ascii_lower, column, others, persisted
+from .common import apart, ascii_lower, column, others, persisted, released
 
-TRIE_BYTES = 256 << 20
+TRIE_BYTES, NODE_BYTES = 256 << 20, 300  #: a trie's size, its nodes' own included
 
 
 class Node:
@@ -67,7 +67,7 @@ class PatriciaTrie:
             child = node.children.get(key[at])
             if child is None:
                 node.children[key[at]] = Node(key[at:], [owner, number, tag])
-                self.bytes += len(key) - at
+                self.bytes += len(key) - at + NODE_BYTES
                 break
             label = child.label
             if key.startswith(label, at):
@@ -77,6 +77,7 @@ class PatriciaTrie:
             same = len(os.path.commonprefix((label, rest)))
             fork = node.children[key[at]] = Node(label[:same])
             child.label = label[same:]
+            self.bytes += NODE_BYTES
             fork.children[child.label[0]] = child
             node, at = fork, at + same
         if self.bytes > self.budget:
@@ -96,7 +97,7 @@ class PatriciaTrie:
         total, stack = 0, [node]
         while stack:
             node = stack.pop()
-            total += len(node.label)
+            total += len(node.label) + NODE_BYTES
             stack.extend(node.children.values())
         return total
 
@@ -137,66 +138,60 @@ class PatriciaTrie:
 
 PARTIAL = "n_bytes long, content long, digest binary, body binary, owner {kind}, number long"
 GROUPS = "digest binary, keep_id {kind}, group_size long"
+BATCH_BYTES = 16 << 20
 
 
-def _partials(largest: bool):
-    """One row with the text for each distinct text of a partition, one without for its further copies."""
+def _partials(largest: bool, budget: int):
+    """One row for each distinct text of a partition, or of as much of it as fits one trie."""
+
+    def passed_on(trie: PatriciaTrie, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for body, (owner, number, (content, digest)) in trie.entries():
+            rows.append((len(body), content, digest, body, owner, number))
+            held += len(body) + 100
+            if held > BATCH_BYTES:
+                yield _partial_rows(rows, kind)
+                rows, held = [], 0
+        if rows:
+            yield _partial_rows(rows, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        more: dict[bytes, list | None] = {}
-        merge = PatriciaTrie(largest).merge
+        trie, kind = PatriciaTrie(largest), pa.null()
         for batch in batches:
-            digests, owners = batch.column("digest").to_pylist(), batch.column("owner").to_pylist()
-            sizes, contents = batch.column("n_bytes"), batch.column("content")
-            fresh = []
-            for i, digest in enumerate(digests):
-                if digest not in more:
-                    more[digest] = None
-                    fresh.append(i)
-                elif more[digest] is None:
-                    more[digest] = [owners[i], 1, sizes[i].as_py(), contents[i].as_py()]
-                else:
-                    merge(more[digest], owners[i], 1)
-            if fresh:
-                at = pa.array(fresh)
-                picked = [batch.column(c).take(at) for c in ("n_bytes", "content", "digest", "body", "owner")]
-                yield pa.RecordBatch.from_arrays([*picked, pa.array([1] * len(fresh), pa.int64())], names=["n_bytes", "content", "digest", "body", "owner", "number"])
-        copies = [(d, *x) for d, x in more.items() if x is not None]
-        if copies:
-            digests, owners, numbers, sizes, contents = zip(*copies, strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(sizes, pa.int64()), pa.array(contents, pa.int64()), pa.array(digests, pa.binary()), pa.nulls(len(copies), pa.binary()), pa.array(owners, batch.schema.field("owner").type), pa.array(numbers, pa.int64())],
-                names=["n_bytes", "content", "digest", "body", "owner", "number"],
-            )
+            kind = batch.schema.field("owner").type
+            for body, owner, content, digest in zip(*(batch.column(c).to_pylist() for c in ("body", "owner", "content", "digest")), strict=True):
+                trie.insert(body, owner, 1, (content, digest))
+                if trie.bytes > budget:
+                    yield from passed_on(trie, kind)
+                    trie = PatriciaTrie(largest)
+        yield from passed_on(trie, kind)
+        released()
 
     return run
 
 
+def _partial_rows(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), kind, pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=["n_bytes", "content", "digest", "body", "owner", "number"])
+
+
 def _tries(largest: bool, budget: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with tempfile.TemporaryDirectory() as scratch:
-            trie, later, kind = PatriciaTrie(largest, budget, scratch), {}, pa.null()
+            trie, kind, rows = PatriciaTrie(largest, budget, scratch), pa.null(), []
             for batch in batches:
                 kind = batch.schema.field("owner").type
-                for digest, body, owner, number in zip(*(batch.column(c).to_pylist() for c in ("digest", "body", "owner", "number")), strict=True):
-                    if body is not None:
-                        trie.insert(body, owner, number, digest)
-                    elif digest in later:
-                        trie.merge(later[digest], owner, number)
-                    else:
-                        later[digest] = [owner, number]
-            rows = []
+                for row in zip(*(batch.column(c).to_pylist() for c in ("body", "owner", "number", "digest")), strict=True):
+                    trie.insert(*row)
             for owner, number, digest in trie.owners():
-                entry = [owner, number]
-                if digest in later:
-                    trie.merge(entry, *later[digest])
-                if entry[1] > 1:
-                    rows.append((digest, *entry))
+                if number > 1:
+                    rows.append((digest, owner, number))
                 if len(rows) >= 50_000:
                     yield _groups(rows, kind)
                     rows = []
             if rows:
                 yield _groups(rows, kind)
+        released()
 
     return run
 
@@ -214,7 +209,7 @@ def exact_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k
     body = ascii_lower(F.coalesce(column(text), F.lit("")))
     digest = F.unhex(F.sha2(F.encode(body, "UTF-8"), 256))
     texts = docs.select(F.octet_length(body).cast("long").alias("n_bytes"), F.xxhash64(body).alias("content"), digest.alias("digest"), F.encode(body, "UTF-8").alias("body"), column(key).alias("owner"))
-    partials = texts.mapInArrow(_partials(largest), PARTIAL.format(kind=kind))
+    partials = texts.mapInArrow(_partials(largest, budget), PARTIAL.format(kind=kind))
     groups = partials.repartition("n_bytes", "content").mapInArrow(_tries(largest, budget), GROUPS.format(kind=kind)).toDF(digest_name, keep_name, size_name)
     names = [column(c) for c in others(docs, "keep_id", "group_size", "kept", "text_sha256")]
     joined = docs.withColumn(digest_name, digest).join(groups, digest_name, "left")

@@ -50,6 +50,8 @@ def test_against_brute_force(docs):
     for keep in ("largest", "smallest"):
         got = exact_duplicates(docs(rows), keep=keep).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()
         assert sorted(map(tuple, got), key=str) == brute(rows, keep == "largest")
+    small = exact_duplicates(docs(rows), budget=2000).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()  # tries are passed on and spilled
+    assert sorted(map(tuple, small), key=str) == brute(rows, False)
 
 
 def test_one_row_of_each_text_reaches_the_next_stage(docs, spark, sf):
