@@ -11,11 +11,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import letters
 from ..functions.letters import MOST
 from ..functions.ranges import address
 from ..plans import expressions as E
+from ..sources.scratch import written
+from . import superwords, words
 
 #: Letters of the prefixes that ordinals are counted by.
 PLACED_BY = 6
@@ -52,9 +55,9 @@ def at(table: DataFrame, where: str) -> DataFrame:
     return found if last is None else found.where(F.col("kmer") < last)
 
 
-def lookup(table: DataFrame, words: DataFrame) -> DataFrame:
+def lookup(table: DataFrame, sought: DataFrame) -> DataFrame:
     """(word, count) for the column ``word``; -1 where the word or its complement is not in the table."""
-    asked = words.select("word", letters.canonical(letters.lowered(F.col("word"))).alias("_kmer"))
+    asked = sought.select("word", letters.canonical(letters.lowered(F.col("word"))).alias("_kmer"))
     return asked.join(table.withColumnRenamed("kmer", "_kmer"), "_kmer", "left").select("word", F.coalesce("count", F.lit(-1)).alias("count"))
 
 
@@ -111,25 +114,38 @@ def sliced(table: DataFrame, part: int, parts: int) -> DataFrame:
     return _placed(table).where(f"ord >= _total * {part - 1} div {parts} AND ord < _total * {part} div {parts}").drop("ord", "_total")
 
 
-def aligned(tables: list[DataFrame]) -> DataFrame:
-    """kmer, c0, c1, ...: counts of each word in each table, 0 where absent; one shuffle for all tables."""
-    tagged = reduce(DataFrame.unionByName, (t.select("kmer", F.col("count").cast("long").alias("_n"), F.lit(i).alias("_t")) for i, t in enumerate(tables)))
+def aligned(tables: list[DataFrame], k: int | None = None) -> DataFrame:
+    """kmer, c0, c1, ...: counts of each word in each table, 0 where absent; one shuffle for all tables, of packed words if ``k`` is given."""
+    own = [words.keyed(t, k) for t in tables] if k else tables
+    tagged = reduce(DataFrame.unionByName, (t.select("kmer", F.col("count").cast("long").alias("_n"), F.lit(i).alias("_t")) for i, t in enumerate(own)))
     return tagged.groupBy("kmer").agg(*(F.coalesce(F.max(F.when(F.col("_t") == i, F.col("_n"))), F.lit(0).cast("long")).alias(f"c{i}") for i in range(len(tables))))
 
 
-def evaluated(tables: list[DataFrame], expressions: dict[str, str]) -> dict[str, DataFrame]:
+def counted_apart(reads: DataFrame, k: int, group: str, names: list[str]) -> DataFrame:
+    """:func:`aligned` for the tables of each group of sequences, without making them: one pass over the sequences, one shuffle. Packed words."""
+    columns = [F.least(f"c{i}", F.lit(MOST).cast("long")).alias(f"c{i}") for i in range(len(names))]
+    return superwords.aligned(reads, k, group, names).select("kmer", *columns)
+
+
+def evaluated(tables: list[DataFrame], expressions: dict[str, str], k: int | None = None) -> dict[str, DataFrame]:
     """Each named expression as a table. All share one alignment, which callers may cache through :func:`aligned`."""
-    wide = aligned(tables)
-    return {name: evaluated_on(wide, len(tables), text) for name, text in expressions.items()}
+    wide = aligned(tables, k)
+    return {name: evaluated_on(wide, len(tables), text, k) for name, text in expressions.items()}
 
 
-def evaluated_on(wide: DataFrame, tables: int, text: str) -> DataFrame:
+def evaluated_on(wide: DataFrame, tables: int, text: str, k: int | None = None) -> DataFrame:
+    """An expression on aligned tables; their words are letters, or packed ones of ``k`` letters, which become letters last."""
     tree = E.parsed(text)
     if max(E.tables_of(tree)) >= tables:
         raise ValueError("the expression names a table that is not given")
     counts = [F.col(f"c{i}") for i in range(tables)]
-    result = wide.where(E.presence(tree, counts)).select("kmer", E.value(tree, counts, letters.gc_percent(F.col("kmer"))).alias("_v"))
-    return result.where("_v > 0").select("kmer", F.least("_v", F.lit(MOST)).cast("int").alias("count"))
+    packed = not isinstance(wide.schema["kmer"].dataType, StringType)
+    if packed and not k:
+        raise ValueError("packed words need their length")
+    share = words.gc_percent(F.col("kmer"), k) if packed else letters.gc_percent(F.col("kmer"))
+    result = wide.where(E.presence(tree, counts)).select("kmer", E.value(tree, counts, share).alias("_v")).where("_v > 0")
+    found = result.select("kmer", F.least("_v", F.lit(MOST)).cast("int").alias("count"))
+    return words.readable(found, k) if packed else found
 
 
 def merged_raw(tables: list[DataFrame]) -> DataFrame:
@@ -141,6 +157,11 @@ def merged(tables: list[DataFrame]) -> DataFrame:
     return merged_raw(tables).select("kmer", F.least("n", F.lit(MOST)).cast("int").alias("count"))
 
 
+def merged_on(wide: DataFrame, tables: int) -> DataFrame:
+    """kmer, n of aligned tables."""
+    return wide.select("kmer", reduce(Column.__add__, (F.col(f"c{i}") for i in range(tables))).alias("n"))
+
+
 def concatenated(slices: list[DataFrame]) -> DataFrame:
     """Tables over disjoint key ranges as one; nothing is shuffled."""
     return reduce(DataFrame.unionByName, slices)
@@ -152,10 +173,13 @@ def symmetric(table: DataFrame) -> DataFrame:
     return table.unionByName(turned.where(~letters.is_palindrome(F.col("kmer"))))
 
 
-def venn(tables: list[DataFrame], low: int = 1, high: int = 100) -> DataFrame:
+def venn(tables: list[DataFrame], low: int = 1, high: int = 100, k: int | None = None) -> DataFrame:
+    return venn_on(aligned(tables, k), len(tables), low, high)
+
+
+def venn_on(wide: DataFrame, tables: int, low: int = 1, high: int = 100) -> DataFrame:
     """(mask, freq, n): for each set of tables a word is in, the histogram of its smallest count there."""
-    wide = aligned(tables)
-    counts = [F.col(f"c{i}") for i in range(len(tables))]
+    counts = [F.col(f"c{i}") for i in range(tables)]
     mask = reduce(Column.__add__, (F.when(c > 0, 1 << i).otherwise(0) for i, c in enumerate(counts)))
     present = F.array_min(F.filter(F.array(*counts), lambda c: c > 0))
     freq = F.least(F.greatest(present, F.lit(low)), F.lit(high)).cast("int")
@@ -165,23 +189,40 @@ def venn(tables: list[DataFrame], low: int = 1, high: int = 100) -> DataFrame:
 def haplotype_sites(table: DataFrame, k: int, low: int = 1, high: int = MOST) -> DataFrame:
     """:func:`haplotypes` plus ``site``, the 0-based number of each group in the order of left and right parts.
 
-    Groups are numbered inside short prefixes and shifted by the groups of the prefixes before (at most 4^PLACED_BY rows).
+    Groups are numbered inside short prefixes and shifted by the groups of the prefixes before (at most 4^PLACED_BY rows). They are written
+    once to the shared folder, few as they are, so the table is made once.
     """
-    found = haplotypes(table, k, low, high).withColumn("_prefix", F.substring("left", 1, PLACED_BY))
-    groups = found.select("_prefix", "left", "right").distinct()
-    counts = groups.groupBy("_prefix").agg(F.count(F.lit(1)).alias("_n"))
+    found = written(_haplotypes(table, k, low, high))
+    found = found.withColumn("left", F.substring("_letters", 1, k // 2)).withColumn("right", F.substring("_letters", k // 2 + 2, k)).withColumn("_prefix", F.substring("_letters", 1, PLACED_BY))
+    counts = found.groupBy("_prefix").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
     shifts = F.broadcast(counts.select("_prefix", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift")))
-    inside = F.dense_rank().over(Window.partitionBy("_prefix").orderBy("left", "right"))
-    return found.withColumn("_inside", inside).join(shifts, "_prefix").select((F.col("_shift") + F.col("_inside") - 1).cast("long").alias("site"), "left", "centre", "right", "count")
+    inside = F.row_number().over(Window.partitionBy("_prefix").orderBy("left", "right"))
+    sites = found.withColumn("_inside", inside).join(shifts, "_prefix").select((F.col("_shift") + F.col("_inside") - 1).cast("long").alias("site"), "left", "right", F.explode("_g").alias("_x"))
+    return sites.select("site", "left", F.element_at(F.array(*map(F.lit, "ACGT")), F.col("_x.centre") + 1).alias("centre"), "right", F.col("_x.count").alias("count"))
 
 
 def haplotypes(table: DataFrame, k: int, low: int = 1, high: int = MOST) -> DataFrame:
     """(left, centre, right, count): words in range that differ from another one in the middle letter alone."""
     half = k // 2
-    split = table.where(F.col("count").between(low, high)).select(F.substring("kmer", 1, half).alias("left"), F.substring("kmer", half + 1, 1).alias("centre"), F.substring("kmer", half + 2, k).alias("right"), "count")
-    groups = split.groupBy("left", "right").agg(F.collect_list(F.struct("centre", "count")).alias("_g"))  # at most four letters
-    return groups.where(F.size("_g") > 1).select("left", "right", F.explode("_g").alias("_x")).select("left", F.upper("_x.centre").alias("centre"), "right", F.col("_x.count").alias("count"))
+    found = _haplotypes(table, k, low, high).select("_letters", F.explode("_g").alias("_x"))
+    centre = F.element_at(F.array(*map(F.lit, "ACGT")), F.col("_x.centre") + 1)
+    return found.select(F.substring("_letters", 1, half).alias("left"), centre.alias("centre"), F.substring("_letters", half + 2, k).alias("right"), F.col("_x.count").alias("count"))
+
+
+def _haplotypes(table: DataFrame, k: int, low: int, high: int) -> DataFrame:
+    """(_letters, _g): groups of two or more words as the letters of one with its centre masked, and (centre, count) of each.
+
+    Packed words are grouped on their LONGs without the two bits of the centre; only what is found becomes letters.
+    """
+    own = words.keyed(table.where(F.col("count").between(low, high)), k)
+    limb, inside = divmod(k // 2, words.PACKED_UP_TO)
+    shift = 2 * (words.limbs(k)[limb] - 1 - inside)
+    part = F.col("kmer") if k <= words.PACKED_UP_TO else F.col(f"kmer.w{limb}")
+    centre, masked = F.shiftright(part, shift).bitwiseAND(3).cast("int"), part.bitwiseAND(F.lit(~(3 << shift)).cast("long"))
+    kept = masked if k <= words.PACKED_UP_TO else F.struct(*(masked.alias(f"w{i}") if i == limb else F.col(f"kmer.w{i}").alias(f"w{i}") for i in range(len(words.limbs(k)))))
+    groups = own.select(kept.alias("kmer"), F.struct(centre.alias("centre"), "count").alias("_x")).groupBy("kmer").agg(F.collect_list("_x").alias("_g"))  # at most four letters
+    return words.readable(groups.where(F.size("_g") > 1), k).withColumnRenamed("kmer", "_letters")
 
 
 def lines(table: DataFrame) -> DataFrame:

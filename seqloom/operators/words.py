@@ -1,21 +1,23 @@
 """Words of k letters in sequences.
 
-For k up to 31 a word is a LONG of two bits a letter, built in numpy over whole Arrow batches; longer words
-are strings. Sequences of any length are walked in slices that overlap by k - 1 letters, so memory
-follows the slice and not the sequence.
+A word is a LONG of two bits a letter, or for k above 31 a struct of several of 31 letters each (the last one has the rest), built in
+numpy over whole Arrow batches; tuples of LONGs sort as their letters do. Sequences of any length are walked in slices that overlap by k - 1 letters,
+so memory follows the slice and not the sequence.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.letters import MOST, unpacked
+from pyspark.sql.types import StringType
+
+from ..functions.letters import MOST
 
 PACKED_UP_TO = 31
 SLICE = 4 << 20
@@ -31,30 +33,69 @@ def check_k(k: int) -> None:
         raise ValueError("words have at least 5 letters")
 
 
+def limbs(k: int) -> list[int]:
+    """Letters of each LONG of a word."""
+    return [min(PACKED_UP_TO, k - at) for at in range(0, k, PACKED_UP_TO)]
+
+
 def word_type(k: int) -> str:
-    return "long" if k <= PACKED_UP_TO else "string"
+    return "long" if k <= PACKED_UP_TO else f"struct<{', '.join(f'w{i}: long' for i in range(len(limbs(k))))}>"
+
+
+def rolled(codes: np.ndarray, size: int, turned: bool = False) -> np.ndarray:
+    """Every window of ``size`` letters as a LONG, its reverse complement if ``turned``; blocks of doubled length make it in few steps."""
+    n = len(codes) - size + 1
+    block = (3 - codes if turned else codes).astype(np.int64)
+    out, done, length = np.zeros(max(n, 0), np.int64), 0, 1
+    while n > 0:
+        if size & length:
+            part = block[done : done + n]
+            out = out | part << 2 * done if turned else out << 2 * length | part
+            done += length
+        if 2 * length > size:
+            break
+        left, right = block[:-length], block[length:]
+        block = right << 2 * length | left if turned else left << 2 * length | right
+        length *= 2
+    return out
 
 
 def canonical_words(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every window of letter codes its canonical word, and whether it is free of invalid letters."""
-    n = len(codes) - k + 1
+    """For every window of letter codes its canonical word (one row of LONGs if k is above 31), and whether it is free of invalid letters."""
+    n, sizes = len(codes) - k + 1, limbs(k)
     if n <= 0:
-        return np.zeros(0, np.int64 if k <= PACKED_UP_TO else f"S{k}"), np.zeros(0, bool)
+        return np.zeros(0 if len(sizes) == 1 else (0, len(sizes)), np.int64), np.zeros(0, bool)
     bad = np.concatenate(([0], np.cumsum(codes == 4)))
-    valid = bad[k:] == bad[:-k]
-    if k > PACKED_UP_TO:
-        windows = np.lib.stride_tricks.sliding_window_view(codes, k)
-        forward = np.ascontiguousarray(_LETTERS[windows]).view(f"S{k}").ravel()
-        turned = np.where(windows == 4, 4, 3 - np.minimum(windows, 3))[:, ::-1]
-        backward = np.ascontiguousarray(_LETTERS[turned]).view(f"S{k}").ravel()
-        return np.where(forward <= backward, forward, backward), valid
-    letters = np.minimum(codes, 3).astype(np.int64)
-    forward, backward = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for j in range(k):
-        part = letters[j : j + n]
-        forward |= part << (2 * (k - 1 - j))
-        backward |= (3 - part) << (2 * j)
-    return np.minimum(forward, backward), valid
+    letters = np.minimum(codes, 3)
+    made = {(size, turned): rolled(letters, size, turned) for size in set(sizes) for turned in (False, True)}
+    starts = range(0, k, PACKED_UP_TO)
+    forward = [made[size, False][at : at + n] for at, size in zip(starts, sizes, strict=True)]
+    backward = [made[size, True][k - at - size : k - at - size + n] for at, size in zip(starts, sizes, strict=True)]
+    less, equal = np.zeros(n, bool), np.ones(n, bool)
+    for f, b in zip(forward, backward, strict=True):
+        less |= equal & (f < b)
+        equal &= f == b
+    chosen = [np.where(less, f, b) for f, b in zip(forward, backward, strict=True)]
+    return chosen[0] if len(sizes) == 1 else np.stack(chosen, axis=1), bad[k:] == bad[:-k]
+
+
+def ranked(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of words, and in it the place of the first of each distinct one."""
+    order = np.argsort(words) if words.ndim == 1 else np.lexsort(words.T[::-1])
+    some = words[order]
+    new = np.ones(len(some), bool)
+    new[1:] = some[1:] != some[:-1] if words.ndim == 1 else (some[1:] != some[:-1]).any(axis=1)
+    return order, np.flatnonzero(new)
+
+
+def distinct(words: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words in order, and their numbers or the sums of their weights (rows of weights add up by column)."""
+    if not len(words):
+        return words, np.zeros((0, *weights.shape[1:]) if weights is not None else 0, np.int64)
+    if words.ndim == 1 and weights is None:
+        return np.unique(words, return_counts=True)
+    order, first = ranked(words)
+    return words[order[first]], np.diff(np.append(first, len(order))) if weights is None else np.add.reduceat(weights[order], first)
 
 
 def letter_codes(words: pa.Array, k: int) -> np.ndarray:
@@ -86,28 +127,72 @@ def slices(seq: str | None, k: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def slice_size(k: int) -> int:
-    """Windows that are worked on at a time: words of letters take k bytes each, several times over."""
-    return SLICE if k <= PACKED_UP_TO else max(SLICE // k, 1)
+    """Windows that are worked on at a time."""
+    return max(SLICE // len(limbs(k)), 1)
 
 
-def _array(words: np.ndarray, k: int) -> pa.Array:
+def word_array(words: np.ndarray, k: int) -> pa.Array:
     if k <= PACKED_UP_TO:
         return pa.array(words)
+    return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(words[:, i])) for i in range(words.shape[1])], names=[f"w{i}" for i in range(words.shape[1])])
+
+
+def word_numbers(words: pa.Array, k: int) -> np.ndarray:
+    """The reverse of :func:`word_array`."""
+    return words.to_numpy(zero_copy_only=False) if k <= PACKED_UP_TO else np.stack([x.to_numpy(zero_copy_only=False) for x in words.flatten()], axis=1)
+
+
+def spelled(numbers: np.ndarray, k: int) -> pa.Array:
+    """Packed words as letters."""
+    own = numbers.reshape(len(numbers), -1)
+    codes = np.concatenate([unpacked_codes(own[:, i], size) for i, size in enumerate(limbs(k))], axis=1)
     # all words are k bytes, so their bytes in a row are the values buffer of one string array
-    ends = np.arange(0, len(words) * k + 1, k, dtype=np.int32)
-    return pa.Array.from_buffers(pa.string(), len(words), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(words).tobytes())])
+    ends = np.arange(0, len(codes) * k + 1, k, dtype=np.int32)
+    return pa.Array.from_buffers(pa.string(), len(codes), [None, pa.py_buffer(ends), pa.py_buffer(_LETTERS[codes].tobytes())])
+
+
+def letters_of(word: Column, k: int) -> Column:
+    """A packed word as letters."""
+
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from (spelled(word_numbers(x, k), k) for x in parts)
+
+    return F.arrow_udf(run, "string")(word)
+
+
+def gc_percent(word: Column, k: int) -> Column:
+    """Whole per cent of letters g and c of a packed word: those whose two bits differ."""
+    parts = [word] if k <= PACKED_UP_TO else [word.getField(f"w{i}") for i in range(len(limbs(k)))]
+    odd = F.lit(0x1555555555555555)
+    number = reduce(Column.__add__, (F.bit_count(x.bitwiseXOR(F.shiftright(x, 1)).bitwiseAND(odd)) for x in parts))
+    return F.floor(100 * number / k).cast("int")
 
 
 def readable(df: DataFrame, k: int, word: str = "kmer") -> DataFrame:
     """Words as letters."""
-    return df.withColumn(word, unpacked(F.col(word), k)) if k <= PACKED_UP_TO else df
+    return df.withColumn(word, letters_of(F.col(word), k))
+
+
+def keyed(df: DataFrame, k: int, word: str = "kmer") -> DataFrame:
+    """Words of letters as :func:`word_type`; others stay."""
+    if not isinstance(df.schema[word].dataType, StringType):
+        return df
+
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for x in parts:
+            codes = letter_codes(x, k)
+            cut = [codes[:, at : at + size].astype(np.int64) for at, size in zip(range(0, k, PACKED_UP_TO), limbs(k), strict=True)]
+            made = [(c << (2 * np.arange(c.shape[1] - 1, -1, -1, dtype=np.int64))).sum(axis=1) for c in cut]
+            yield word_array(made[0] if len(made) == 1 else np.stack(made, axis=1), k)
+
+    return df.withColumn(word, F.arrow_udf(run, word_type(k))(F.col(word)))
 
 
 def partial_counts(reads: DataFrame, k: int, group: str | None = None) -> DataFrame:
     """(group,) kmer, n: counts within each Arrow batch, words as :func:`word_type`."""
     check_k(k)
 
-    most = 4 * slice_size(k) if k > PACKED_UP_TO else SLICE
+    most = slice_size(k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,49 +216,20 @@ def partial_counts(reads: DataFrame, k: int, group: str | None = None) -> DataFr
 
 def _counted(gathered: dict, k: int, group: str | None) -> Iterator[pa.RecordBatch]:
     for name, parts in gathered.items():
-        words, counts = np.unique(np.concatenate(parts), return_counts=True)
+        words, counts = distinct(np.concatenate(parts))
         if len(words):
-            columns = [_array(words, k), pa.array(counts.astype(np.int64))]
+            columns = [word_array(words, k), pa.array(counts.astype(np.int64))]
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(words), pa.string()), *columns] if group else columns, names=["_group", "kmer", "n"] if group else ["kmer", "n"])
 
 
-ROWS = 1 << 16  #: positions of an Arrow batch, about
-
-
-def positions(reads: DataFrame, k: int, key: str = "read_id") -> DataFrame:
-    """(key, pos, kmer) of every window; kmer is null where a letter is invalid."""
-    check_k(k)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, ...]] = []
-        held = 0
-        for batch in batches:
-            keys = batch.column("_key").to_pylist()
-            for name, seq in zip(keys, batch.column("seq"), strict=True):
-                for start, codes in slices(seq.as_py(), k):
-                    words, valid = canonical_words(codes, k)
-                    parts.append((np.full(len(words), name is not None), np.full(len(words), name or 0, np.int64), np.arange(start, start + len(words), dtype=np.int32), words, valid))
-                    held += len(words)
-                    if held >= ROWS:
-                        yield _positioned(parts, k)
-                        parts, held = [], 0
-        if parts:
-            yield _positioned(parts, k)
-
-    return reads.select(F.col(key).cast("long").alias("_key"), "seq").mapInArrow(run, f"_key long, pos int, kmer {word_type(k)}").withColumnRenamed("_key", key)
-
-
-def _positioned(parts: list[tuple[np.ndarray, ...]], k: int) -> pa.RecordBatch:
-    named, names, places, words, valid = (np.concatenate(x) for x in zip(*parts, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(names, mask=~named), pa.array(places), pc.if_else(pa.array(valid), _array(words, k), None)], names=["_key", "pos", "kmer"])
-
-
 def raw_counts(reads: DataFrame, k: int, group: str | None = None) -> DataFrame:
     """(group,) kmer, n: unclipped counts of canonical words, words as :func:`word_type`."""
-    return partial_counts(reads, k, group).groupBy(*([group] if group else []), "kmer").agg(F.sum("n").alias("n"))
+    from .superwords import counted
+
+    return counted(reads, k, group)
 
 
 def count_table(reads: DataFrame, k: int, cutoff: int = 1) -> DataFrame:
     """kmer (letters), count: words seen at least ``cutoff`` times, counts clipped."""
     counted = raw_counts(reads, k).where(F.col("n") >= cutoff)
-    return readable(counted, k).select("kmer", F.least("n", F.lit(MOST)).cast("int").alias("count"))
+    return readable(counted.select("kmer", F.least("n", F.lit(MOST)).cast("int").alias("count")), k)

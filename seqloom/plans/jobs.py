@@ -29,7 +29,7 @@ def count(reads: DataFrame, k: int = 40, cutoff: int = 1, compress: bool = False
     reads = prepared(reads, compress, barcode)
     raw = words.raw_counts(reads, k)
     made = profiles.relative(reads, against, k) if against is not None else profiles.absolute(reads, k) if profile else None
-    table = words.readable(raw.where(F.col("n") >= cutoff), k).select("kmer", F.least("n", F.lit(letters.MOST)).cast("int").alias("count"))
+    table = words.readable(raw.where(F.col("n") >= cutoff).select("kmer", F.least("n", F.lit(letters.MOST)).cast("int").alias("count")), k)
     return Counted(table, histograms.of_counts(raw, k), made)
 
 
@@ -46,4 +46,10 @@ def summary(reads: DataFrame, k: int) -> DataFrame:
 
 def expressed(given: list[DataFrame], expressions: dict[str, str], low: int = 1, high: int = letters.MOST) -> dict[str, tuple[DataFrame, histograms.Histogram]]:
     """Each named expression's table and histogram."""
-    return {name: (t, histograms.of_counts(t.select(F.col("count").cast("long").alias("n")), 0, low, high)) for name, t in tables.evaluated(given, expressions).items()}
+    return expressed_on(tables.aligned(given), len(given), expressions, low, high)
+
+
+def expressed_on(wide: DataFrame, number: int, expressions: dict[str, str], low: int = 1, high: int = letters.MOST, k: int | None = None) -> dict[str, tuple[DataFrame, histograms.Histogram]]:
+    """The same on aligned tables."""
+    made = {name: tables.evaluated_on(wide, number, text, k) for name, text in expressions.items()}
+    return {name: (t, histograms.of_counts(t.select(F.col("count").cast("long").alias("n")), 0, low, high)) for name, t in made.items()}

@@ -6,16 +6,14 @@ languages serve as tables a to d of the set algebra, and ``benchmark`` as the ta
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import codec, letters
 from .functions.letters import MOST
-from .operators import histograms, homopolymers, profiles, tables, words
+from .operators import histograms, homopolymers, profiles, superwords, tables, words
 from .plans import expressions, jobs
-from .sources import artifacts, derived, files
+from .sources import artifacts, derived, files, scratch
 
 #: Words of 21 letters, so that tables grow with the input (there are 2^41 of them); of 30 for runs; the default of 40 once.
 K, SMALL, LONG, COVERED = 21, 21, 30, 2
@@ -35,9 +33,9 @@ def packed_table(spark: SparkSession, sf_dir: str, k: int = K, cutoff: int = 1)
     return raw(spark, sf_dir, k).where(F.col("n") >= cutoff).select("kmer", F.least("n", F.lit(MOST)).cast("int").alias("count"))
 
 
-def by_language(spark: SparkSession, sf_dir: str, k: int = SMALL) -> list[DataFrame]:
-    counted = words.readable(words.raw_counts(reads(spark, sf_dir), k, "lang"), k)
-    return [counted.where(F.col("lang") == x).select("kmer", F.least("n", F.lit(MOST)).cast("int").alias("count")) for x in LANGUAGES]
+def wide(spark: SparkSession, sf_dir: str, k: int = SMALL) -> DataFrame:
+    """The tables of the four languages, aligned, words packed."""
+    return tables.counted_apart(reads(spark, sf_dir), k, "lang", list(LANGUAGES))
 
 
 def raw(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
@@ -117,6 +115,12 @@ def kmer_count_long_words(spark, d):
     return table(spark, d, LONG + 10, 2)
 
 
+@query(f"WITH {sql_reads()}, {sql_windows(101)}, {sql_raw(101)} SELECT kmer, n::INTEGER AS count FROM raw WHERE n > 2")
+def kmer_count_words_of_101(spark, d):
+    """Words of four LONGs."""
+    return table(spark, d, 101, 3)
+
+
 @query(
     f"WITH {sql_reads('raw_reads')}, squeezed AS (SELECT read_id, lang, "
     + "regexp_replace(" * 5 + "seq" + "".join(f", '{c}+', '{c}', 'g')" for c in "acgtn")
@@ -202,7 +206,8 @@ def table_symmetric(spark, d):
 
 @query(f"{sql_wide()} SELECT kmer, least(c0 + c1 + c2 + c3, {MOST})::INTEGER AS count FROM wide")
 def table_merge(spark, d):
-    return tables.merged(by_language(spark, d))
+    merged = tables.merged_on(wide(spark, d), 4)
+    return words.readable(merged.select("kmer", F.least("n", F.lit(MOST)).cast("int").alias("count")), SMALL)
 
 
 @query(f"{sql_counted()} SELECT kmer, count FROM tab")
@@ -282,7 +287,7 @@ def histogram_concat(spark, d):
 
 @query(f"{sql_wide()} SELECT least(c0 + c1 + c2 + c3, {MOST})::INTEGER AS freq, count(*) AS n FROM wide GROUP BY 1")
 def histogram_merge(spark, d):
-    return histograms.of_counts(tables.merged_raw(by_language(spark, d)), SMALL).bins
+    return histograms.of_counts(tables.merged_on(wide(spark, d), 4), SMALL).bins
 
 
 # --- set algebra ---------------------------------------------------------------------------------
@@ -290,7 +295,7 @@ def histogram_merge(spark, d):
 
 def _expression(name: str, text: str, where: str, value: str) -> None:
     def run(spark, d):
-        return tables.evaluated(by_language(spark, d), {name: text})[name]
+        return tables.evaluated_on(wide(spark, d), 4, text, SMALL)
 
     run.__name__ = name
     query(f"{sql_wide()}, v AS (SELECT kmer, {value} AS v FROM wide WHERE {where}) SELECT kmer, least(v, {MOST})::INTEGER AS count FROM v WHERE v > 0")(run)
@@ -313,7 +318,7 @@ _expression("tables_filtered_members", "#(B[3-]) &< A", "c1 > 0 AND c0 > 0", "CA
 
 @query(f"{sql_wide()} SELECT least(greatest(greatest(c0 - c1, 0), 2), 30)::INTEGER AS freq, count(*) AS n FROM wide WHERE {_IN} AND c0 > c1 GROUP BY 1")
 def tables_expression_histogram(spark, d):
-    return jobs.expressed(by_language(spark, d), {"x": "A &- B"}, 2, 30)["x"][1].bins
+    return jobs.expressed_on(wide(spark, d), 4, {"x": "A &- B"}, 2, 30, SMALL)["x"][1].bins
 
 
 @query(
@@ -321,7 +326,7 @@ def tables_expression_histogram(spark, d):
     "SELECT mask::INTEGER AS mask, least(greatest(c, 1), 100)::INTEGER AS freq, count(*) AS n FROM m GROUP BY ALL"
 )
 def tables_venn(spark, d):
-    return tables.venn(by_language(spark, d))
+    return tables.venn_on(wide(spark, d), 4)
 
 
 # --- profiles, intervals -------------------------------------------------------------------------
@@ -368,7 +373,7 @@ def profile_selection(spark, d):
 @query(f"{SQL_PROFILE} SELECT read_id, pos, count FROM prof UNION ALL SELECT read_id + (SELECT count(*) FROM reads), pos, count FROM prof")
 def profile_concat(spark, d):
     path = stored(spark, "x.prof")
-    artifacts.write_profiles(profiles.absolute(reads(spark, d), SMALL), path)
+    artifacts.write_profiles(superwords.probed(reads(spark, d), SMALL), path)
     own, total = artifacts.read_profiles(spark, path), reads(spark, d).count()
     return profiles.concatenated([(own, total), (own, total)])
 
@@ -412,7 +417,7 @@ def coverage_merged(spark, d):
     'SELECT l AS "left", upper(m) AS centre, r AS "right", count FROM s QUALIFY count(*) OVER (PARTITION BY l, r) > 1'
 )
 def haplotype_groups(spark, d):
-    return tables.haplotypes(table(spark, d), K, 1, 200)
+    return tables.haplotypes(packed_table(spark, d), K, 1, 200)
 
 
 @query(
@@ -421,7 +426,7 @@ def haplotype_groups(spark, d):
     'SELECT (dense_rank() OVER (ORDER BY l, r) - 1)::BIGINT AS site, l AS "left", upper(m) AS centre, r AS "right", count FROM g WHERE n > 1'
 )
 def haplotype_sites(spark, d):
-    return tables.haplotype_sites(table(spark, d), K, 1, 200)
+    return tables.haplotype_sites(packed_table(spark, d), K, 1, 200)
 
 
 _H = LONG // 2
@@ -459,13 +464,7 @@ def homopolymer_compression(spark, d):
 # --- files and stored artifacts ------------------------------------------------------------------
 
 
-def stored(spark: SparkSession, name: str) -> str:
-    """A new place in a folder that driver and executors share: spark.checkpoint.dir, or the warehouse. It goes with the application."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    folder = f"{shared}/seqloom-{uuid.uuid4().hex}"
-    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return f"{folder}/{name}"
+stored = scratch.fresh
 
 
 def _file(name: str, ending: str, line: str, sql: str = "seq", **options):
@@ -533,7 +532,7 @@ def stored_table_range(spark, d):
 @query(f"{SQL_PROFILE} SELECT read_id, pos, count FROM prof WHERE read_id BETWEEN 10 AND 40 OR read_id BETWEEN 500 AND 510")
 def stored_profiles(spark, d):
     path = stored(spark, "x.prof")
-    artifacts.write_profiles(profiles.absolute(reads(spark, d), SMALL), path)
+    artifacts.write_profiles(superwords.probed(reads(spark, d), SMALL), path)
     return artifacts.read_profiles(spark, path, [(10, 40), (500, 510)])
 
 

@@ -43,9 +43,11 @@ def placed_rows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"), "kmer", "count")
 
 
-def write_profiles(profile: DataFrame, path: str, reads: DataFrame | None = None) -> None:
-    """(read_id, code) in ranges of reads, so that a read is found by file and row-group statistics."""
-    profiles.compact(profile, reads).repartitionByRange("read_id").sortWithinPartitions("read_id").write.mode("overwrite").parquet(path)
+def write_profiles(profile: DataFrame, path: str) -> None:
+    """(read_id, first, code) of a profile's fragments or rows, in ranges of reads, so that a read is found by file and row-group statistics. A long profile is
+    several rows; sequences without a window have none."""
+    fragments = profile if "counts" in profile.columns else profiles.fragments_of(profile)
+    profiles.compact(fragments).repartitionByRange("read_id", "first").sortWithinPartitions("read_id", "first").write.mode("overwrite").parquet(path)
 
 
 def read_profiles(spark: SparkSession, path: str, wanted: list[tuple[int, int]] | None = None) -> DataFrame:

@@ -1,11 +1,14 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from seqloom.operators import histograms, homopolymers, profiles, tables, words
+from seqloom.operators import histograms, homopolymers, profiles, superwords, tables, words
 from seqloom.plans import expressions, jobs
 from seqloom.streaming.counts import running_counts
 
@@ -255,3 +258,119 @@ def test_profile_text_forms(spark):
     assert [r["line"] for r in profiles.lines(prof).orderBy("read_id", "pos").collect()] == ["Read\t1", "0", "2", "2"]
     assert [r["line"] for r in profiles.run_lines(prof).collect()] == ["1\t2\t2"]
     assert [r["line"] for r in profiles.tagged_lines(prof).collect()] == ["P 3 0 2 2"]
+
+
+@pytest.mark.parametrize("k", [5, 7, 21, 31, 32, 62, 63, 101])
+def test_super_words_lose_no_window(k, seqs):
+    """Stretches, packing, splitting of hot minimizers, counts and profiles by plain loops, without Spark."""
+    given = [*seqs, None, "acgté" * 9]
+    want = counted([s for s in given if s], k)
+    batch = pa.RecordBatch.from_arrays([pa.array(given), pa.array(range(len(given)), pa.int64())], names=["seq", "_key"])
+    codes = next(superwords.letters(iter([batch]), k))[0]
+    for hot in (np.zeros(0, np.uint64), np.unique(superwords.window_minimizers(codes, k))[:3]):
+        sent = pa.Table.from_batches(list(superwords._sent(k, 6, hot, None)(iter([batch]))))
+        found, profile = {}, {}
+        for bucket in set(sent.column("bucket").to_pylist()):
+            made = superwords._summed(k, 1, ["kmer", "n"])(sent.filter(pc.equal(sent.column("bucket"), bucket)))
+            names = words.spelled(words.word_numbers(made.column("kmer").combine_chunks(), k), k).to_pylist()
+            assert not found.keys() & set(names)
+            found |= dict(zip(names, made.column("n").to_pylist(), strict=True))
+        assert found == want
+        placed = pa.Table.from_batches(list(superwords._placed(k, 6, hot)(iter([batch]))))
+        for bucket in set(placed.column("bucket").to_pylist()):
+            made = superwords._answered(k, True)(placed.filter(pc.equal(placed.column("bucket"), bucket)))
+            for key, first, counts in zip(*(made.column(c).to_pylist() for c in ("key", "first", "counts")), strict=True):
+                for i, n in enumerate(counts):
+                    assert (key, first + i) not in profile
+                    profile[key, first + i] = n
+        windows = {(i, p): s[p : p + k].lower() for i, s in enumerate(given) if s for p in range(len(s) - k + 1)}
+        assert profile == {at: 0 if set(w) - set("acgt") else want[canonical(w)] for at, w in windows.items()}
+
+
+def test_super_words_are_few_bytes():
+    """Of letters without repeats, a window costs at least three times fewer bytes than a word and its count."""
+    r = random.Random(8)
+    batch = pa.RecordBatch.from_arrays([pa.array(["".join(r.choices("acgt", k=20_000)) for _ in range(10)])], names=["seq"])
+    for k in (21, 40):
+        size = sum(b.nbytes for b in superwords._sent(k, 16, np.zeros(0, np.uint64), None)(iter([batch])))
+        assert 3 * size < 10 * (20_000 - k + 1) * (8 * len(words.limbs(k)) + 8)
+
+
+def test_long_sequences_in_slices(spark, monkeypatch):
+    r = random.Random(4)
+    seq = "".join(r.choices("acgtn", [30, 30, 30, 30, 1], k=3000))
+    batch = pa.RecordBatch.from_arrays([pa.array(["acgtacgt", seq, "ttacgtacga"]), pa.array([7, 8, 9])], names=["seq", "_key"])
+    monkeypatch.setattr(words, "SLICE", 256)
+    monkeypatch.setattr(superwords, "PIECE", 64)
+    placed = pa.Table.from_batches(list(superwords._placed(7, 3, np.zeros(0, np.uint64))(iter([batch]))))
+    got = {}
+    for bucket in range(3):
+        made = superwords._answered(7, True)(placed.filter(pc.equal(placed.column("bucket"), bucket)))
+        for key, first, counts in zip(*(made.column(c).to_pylist() for c in ("key", "first", "counts")), strict=True):
+            assert first // 64 == (first + len(counts) - 1) // 64
+            got |= {(key, first + i): n for i, n in enumerate(counts)}
+    whole = counted([seq, "acgtacgt", "ttacgtacga"], 7)
+    assert len(got) == 2994 + 2 + 4 and all(got[8, p] == (0 if "n" in seq[p : p + 7] else whole[canonical(seq[p : p + 7])]) for p in range(2994))
+
+
+def test_hot_minimizers_are_found_and_split(spark):
+    seqs = ["a" * 60 + "c"] * 3000 + ["acgtaccgtgtacgatcgatcgtagctagctagtcgatgc"] * 20
+    buckets, hot = superwords.plan(reads(spark, seqs), 11, sample=1.0)
+    assert 1 <= len(hot) < buckets
+    assert as_dict(words.readable(superwords.counted(reads(spark, seqs), 11, planned=(buckets, hot)).withColumnRenamed("n", "count"), 11)) == dict(counted(seqs, 11))
+
+
+@pytest.mark.parametrize("block", [1, 3, 7, 1000])
+def test_runs_and_intervals_over_blocks(spark, block):
+    r = random.Random(block)
+    counts = {key: [r.choice([0, 0, 2, 2, 2, 3]) for _ in range(60)] for key in range(5)}
+    prof = spark.createDataFrame([(key, p, c) for key, own in counts.items() for p, c in enumerate(own)], "read_id long, pos int, count int")
+    want_runs, want_hits = set(), set()
+    for key, own in counts.items():
+        p = 0
+        while p < 60:
+            q = p
+            while q + 1 < 60 and own[q + 1] == own[p]:
+                q += 1
+            if own[p]:
+                want_runs.add((key, p, q, own[p]))
+            p = q + 1
+        open_at = last = None
+        for p, c in enumerate(own):
+            if c:
+                if last is not None and p - last > 2:
+                    want_hits.add((key, open_at, last + 2))
+                    open_at = None
+                open_at, last = p if open_at is None else open_at, p
+        if last is not None:
+            want_hits.add((key, open_at, last + 2))
+    assert {tuple(x) for x in profiles.runs(prof, block).select("read_id", "first", "last", "count").collect()} == want_runs
+    assert {tuple(x) for x in profiles.intervals(prof, 2, True, block).select("seq_idx", "beg", "end").collect()} == want_hits
+
+
+def test_pieces_of_profiles(spark, seqs):
+    whole = counted(seqs, 7)
+    made = {}
+    for row in profiles.pieces(superwords.probed(reads(spark, seqs), 7)).collect():
+        made[row["read_id"], row["first"]] = row["counts"]
+    assert made.keys() == {(i, 0) for i, s in enumerate(seqs) if len(s) > 6}
+    for (i, _), counts in made.items():
+        s = seqs[i].lower()
+        assert counts == [0 if set(s[p : p + 7]) - set("acgt") else whole[canonical(s[p : p + 7])] for p in range(len(s) - 6)]
+
+
+def test_aligned_groups_and_haplotypes_of_long_words(spark):
+    r = random.Random(9)
+    base = "".join(r.choices("acgt", k=80))
+    rows = [("x", base), ("y", base[:40] + "acgt"["cgta".index(base[40])] + base[41:]), (None, base[:50])]
+    df = spark.createDataFrame(rows, "lang string, seq string")
+    wide = tables.counted_apart(df, 41, "lang", ["x", "y"])
+    got = {row["kmer"]: (row["c0"], row["c1"]) for row in words.readable(wide, 41).collect()}
+    cx, cy = counted([rows[0][1]], 41), counted([rows[1][1]], 41)
+    assert got == {w: (cx.get(w, 0), cy.get(w, 0)) for w in cx.keys() | cy.keys()}
+    t = table(spark, {w: 1 for w in cx.keys() | cy.keys()})
+    pairs = tables.haplotypes(t, 41).collect()
+    assert len(pairs) == 2 and {p["left"] + p["centre"].lower() + p["right"] for p in pairs} <= got.keys() and len({(p["left"], p["right"]) for p in pairs}) == 1
+    assert {p["site"] for p in tables.haplotype_sites(t, 41).collect()} == {0}
+    e = tables.evaluated_on(wide, 2, "(A |+ B){-50}", 41).collect()
+    assert {x["kmer"] for x in e} == {w for w in got if 1 <= 100 * sum(c in "gc" for c in w) // 41 <= 50}

@@ -1,5 +1,5 @@
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from seqloom.functions import codec, ranges
@@ -16,6 +16,7 @@ def test_two_bit_round_trip(word):
     assert unpacked_word(packed_word(word), len(word)) == word
 
 
+@settings(deadline=None)
 @given(st.lists(st.integers(0, 32767), max_size=300))
 def test_profile_code_round_trip(counts):
     assert codec.decode(codec.encode(counts)) == counts
