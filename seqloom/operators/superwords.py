@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from ..functions.letters import MOST
 from . import words as W
 
-HELD = 24 << 20  #: bytes of super-words that a task holds before it sends them
-FULL = 4 << 20  #: windows of a bucket, about
+HELD = 8 << 20  #: bytes of super-words that a task holds before it sends them
+CHUNK = 1 << 19  #: letters that are worked on at a time
+FULL = 3 << 20  #: windows of a bucket, about
 SAMPLE, MOST_HOT = 0.05, 10_000
 MOST_SIDES = 64
 PIECE = 1 << 16  #: a fragment of a profile does not go beyond a multiple of this place
@@ -88,8 +89,13 @@ def unpacked_letters(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, n
 
 def words_in(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Canonical words of all windows of stretches, in order, and how many each has."""
-    windows = lengths - k + 1
-    return W.canonical_words(codes, k)[0][ragged(starts, windows)], windows
+    windows, found, at = lengths - k + 1, [], 0
+    while at < len(starts):
+        end = max(int(np.searchsorted(starts, starts[at] + CHUNK)), at + 1)  # stretches follow each other
+        own = codes[starts[at] : starts[end - 1] + lengths[end - 1]]
+        found.append(W.canonical_words(own, k)[0][ragged(starts[at:end] - starts[at], windows[at:end])])
+        at = end
+    return (np.concatenate(found) if found else W.canonical_words(codes[:0], k)[0]), windows
 
 
 # --- sending -------------------------------------------------------------------------------------
@@ -104,16 +110,16 @@ def letters(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[np.ndar
         lengths = pc.binary_length(seq).to_numpy(zero_copy_only=False).astype(np.int64)
         at = 0
         while at < len(seq):
-            if lengths[at] > W.SLICE:
+            if lengths[at] > CHUNK:
                 codes = W._CODE[np.frombuffer(seq[at].as_py().encode(), np.uint8)]
-                for first in range(0, len(codes) - k + 1, W.SLICE):
-                    some = codes[first : first + W.SLICE + k - 1]
+                for first in range(0, len(codes) - k + 1, CHUNK):
+                    some = codes[first : first + CHUNK + k - 1]
                     yield some, np.zeros(1, np.int64), np.array([len(some)]), np.array([at]), np.array([first]), batch
                 at += 1
                 continue
             ends = np.cumsum(lengths[at:] + 1)
-            over = int(np.searchsorted(ends, 2 * W.SLICE, side="right"))
-            longer = np.flatnonzero(lengths[at : at + over] > W.SLICE)
+            over = int(np.searchsorted(ends, 2 * CHUNK, side="right"))
+            longer = np.flatnonzero(lengths[at : at + over] > CHUNK)
             n = max(int(longer[0]) if len(longer) else over, 1)
             text = "\n".join([*seq.slice(at, n).to_pylist(), ""])
             yield W._CODE[np.frombuffer(text.encode(), np.uint8)], ends[:n] - lengths[at : at + n] - 1, lengths[at : at + n], np.arange(at, at + n), np.zeros(n, np.int64), batch
@@ -242,7 +248,7 @@ def _table_sent(k: int, buckets: int, hot: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, W.SLICE // k) for i in range(0, batch.num_rows, W.SLICE // k)):
+            for part in (batch.slice(i, CHUNK // k) for i in range(0, batch.num_rows, CHUNK // k)):
                 numbers = W.word_numbers(part.column("kmer"), k).reshape(part.num_rows, -1)
                 codes = np.concatenate([W.unpacked_codes(numbers[:, i], size) for i, size in enumerate(W.limbs(k))], axis=1)
                 codes = np.concatenate([codes, np.full((len(codes), 1), 4, np.uint8)], axis=1).ravel()
@@ -275,7 +281,7 @@ def _summed(k: int, sides: int, names: list[str]) -> Callable[[pa.Table], pa.Tab
             weights[:, side] = np.repeat(counts, windows)
             parts.append((words, weights))
             held += len(words)
-            if held > W.slice_size(k):
+            if held > FULL // 2:
                 parts, held = [W.distinct(*map(np.concatenate, zip(*parts, strict=True)))], 0
         words, sums = W.distinct(*map(np.concatenate, zip(*parts, strict=True)))
         return pa.Table.from_arrays([W.word_array(words, k), *(pa.array(np.ascontiguousarray(sums[:, i])) for i in range(sides))], names=names)

@@ -1,15 +1,15 @@
 """Count tables: access by ordinal, prefix and word; set algebra; merging; symmetry.
 
 A table is a DataFrame (kmer STRING, count INT), one row a word. Letters sort a < c < g < t, so the order
-of strings is the order of words. Ordinals number the words inside each prefix and shift them by the running
-count of the prefixes before (at most 4^6 rows), so no window spans the table.
+of strings is the order of words. Ordinals are places in the files of the stored table, shifted by an index of prefixes (at most 4^6 rows
+and one a file), so no window spans the table.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -17,10 +17,11 @@ from ..functions import letters
 from ..functions.letters import MOST
 from ..functions.ranges import address
 from ..plans import expressions as E
-from ..sources.scratch import written
+from ..sources import artifacts
+from ..sources.scratch import fresh, written
 from . import superwords, words
 
-#: Letters of the prefixes that ordinals are counted by.
+#: Letters of the prefixes that haplotype sites are counted by.
 PLACED_BY = 6
 
 
@@ -29,28 +30,23 @@ def ordered(table: DataFrame, partitions: int | None = None) -> DataFrame:
     return table.repartitionByRange(*by).sortWithinPartitions("kmer")
 
 
-def ordinals(table: DataFrame) -> DataFrame:
-    """``table`` plus ``ord``, the 0-based place of each word in order."""
-    return _placed(table).drop("_total")
+def _kept(table: DataFrame) -> str:
+    """Where ``table`` is stored in order for the time of the application: it is made once, and ordinals are places in files."""
+    path = fresh(table.sparkSession, "x.ktab")
+    artifacts.write_table(table.select("kmer", "count"), path)
+    return path
 
 
-def _placed(table: DataFrame) -> DataFrame:
-    """``table`` plus ``ord`` and ``_total``, the number of words."""
-    prefix = F.substring("kmer", 1, PLACED_BY)
-    counts = table.groupBy(prefix.alias("_prefix")).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
-    total = F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    shifts = F.broadcast(counts.select("_prefix", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"), total.alias("_total")))  # at most 4^PLACED_BY rows
-    inside = F.row_number().over(Window.partitionBy("_prefix").orderBy("kmer"))
-    numbered = table.withColumn("_prefix", prefix).withColumn("_inside", inside).join(shifts, "_prefix")
-    return numbered.select(*table.columns, (F.col("_shift") + F.col("_inside") - 1).cast("long").alias("ord"), "_total")
+def ordinals(table: DataFrame) -> DataFrame:
+    """``table`` plus ``ord``, the 0-based place of each word in order."""
+    return artifacts.numbered(table.sparkSession, _kept(table))
 
 
 def at(table: DataFrame, where: str) -> DataFrame:
     """Rows of an address: ordinals ``5`` and ``5-9``, prefixes ``acg`` and ``ac-cg``."""
     kind, first, last = address(where)
     if kind == "ordinal":
-        return ordinals(table).where(F.col("ord").between(first, last)).drop("ord")
+        return artifacts.numbered(table.sparkSession, _kept(table), first, last).drop("ord")
     found = table.where(F.col("kmer") >= first)
     return found if last is None else found.where(F.col("kmer") < last)
 
@@ -73,7 +69,7 @@ def seek_entry(table: DataFrame, word: str) -> DataFrame:
 
 def seek_ordinal(table: DataFrame, place: int) -> DataFrame:
     """The row at a 0-based place in order."""
-    return ordinals(table).where(F.col("ord") == place).drop("ord")
+    return artifacts.numbered(table.sparkSession, _kept(table), place, place).drop("ord")
 
 
 def disordered(table: DataFrame, place: str) -> DataFrame:
@@ -87,14 +83,18 @@ def disordered(table: DataFrame, place: str) -> DataFrame:
 def disordered_stored(placed: DataFrame, run: int = 1 << 16) -> DataFrame:
     """Rows of a stored table (file, row, kmer, count) that do not strictly follow the row stored before them, in file order.
 
-    Runs of rows are checked inside; the last word of each run is then held against the first row of the next one (one row a run).
+    Runs of rows are checked inside; the last word of each run is then held against the first row of the next one of its file (one row a
+    run), and the last one of each file against the next file's first.
     """
     own = placed.withColumn("run", F.expr(f"row div {run}"))
     inside = Window.partitionBy("file", "run").orderBy("row")
     wrong = own.withColumn("before", F.lag("kmer").over(inside)).where("before >= kmer").select("kmer", "count")
     ends = own.groupBy("file", "run").agg(F.min_by(F.struct("kmer", "count"), "row").alias("first"), F.max_by("kmer", "row").alias("last"))
-    joints = ends.withColumn("before", F.lag("last").over(Window.orderBy("file", "run"))).where("before >= first.kmer")
-    return wrong.unionByName(joints.select("first.kmer", "first.count"))
+    joints = ends.withColumn("before", F.lag("last").over(Window.partitionBy("file").orderBy("run")))
+    files = ends.groupBy("file").agg(F.min_by("first", "run").alias("first"), F.max_by("last", "run").alias("last"))  # one row a file
+    between = files.withColumn("before", F.lag("last").over(Window.orderBy("file")))
+    joined = joints.select("first", "before").unionByName(between.select("first", "before")).where("before >= first.kmer")
+    return wrong.unionByName(joined.select("first.kmer", "first.count"))
 
 
 def prefix_index(table: DataFrame, length: int) -> DataFrame:
@@ -111,7 +111,13 @@ def sliced(table: DataFrame, part: int, parts: int) -> DataFrame:
     """The part-th of ``parts`` disjoint key ranges (1-based) of about equal size."""
     if not 1 <= part <= parts:
         raise ValueError(f"part {part} of {parts}")
-    return _placed(table).where(f"ord >= _total * {part - 1} div {parts} AND ord < _total * {part} div {parts}").drop("ord", "_total")
+    return sliced_stored(table.sparkSession, _kept(table), part, parts)
+
+
+def sliced_stored(spark: SparkSession, path: str, part: int, parts: int) -> DataFrame:
+    """The same of a stored table; only the files of the range are read."""
+    total = artifacts.words_of(spark, path)
+    return artifacts.numbered(spark, path, total * (part - 1) // parts, total * part // parts - 1).drop("ord")
 
 
 def aligned(tables: list[DataFrame], k: int | None = None) -> DataFrame:

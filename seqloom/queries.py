@@ -177,11 +177,14 @@ def table_order_check(spark, d):
     return tables.disordered_stored(artifacts.placed_rows(spark, path))
 
 
-@query(f"{sql_counted()} SELECT kmer, count FROM tab WHERE false")
+@query(f"{sql_counted()} SELECT kmer, count FROM tab ORDER BY kmer LIMIT 1")
 def table_order_check_sorted(spark, d):
-    path = stored(spark, "forward.ktab")
-    artifacts.write_table(table(spark, d), path)
-    return tables.disordered_stored(artifacts.placed_rows(spark, path))
+    """Of a sorted table with its first word once more behind it: that word alone is out of order."""
+    path, own = stored(spark, "forward.ktab"), table(spark, d)
+    artifacts.write_table(own, path)
+    artifacts.read_table(spark, path).orderBy("kmer").limit(1).coalesce(1).write.parquet(f"{path}2")
+    rows = artifacts.placed_rows(spark, path).unionByName(artifacts.placed_rows(spark, f"{path}2").withColumn("file", F.concat(F.lit("~"), "file")))
+    return tables.disordered_stored(rows)
 
 
 @query(f"{sql_counted()}, p AS (SELECT kmer[1:4] AS prefix, count(*) AS n FROM tab GROUP BY 1) SELECT prefix, n, (sum(n) OVER (ORDER BY prefix))::BIGINT AS upto FROM p")
@@ -210,12 +213,35 @@ def table_merge(spark, d):
     return words.readable(merged.select("kmer", F.least("n", F.lit(MOST)).cast("int").alias("count")), SMALL)
 
 
-@query(f"{sql_counted()} SELECT kmer, count FROM tab")
+@query(f"{sql_counted(SMALL)}, {sql_reads('reads2', 'benchmark', 'item_id::BIGINT AS read_id')}, {sql_windows(SMALL, 'windows2', 'reads2', 'read_id')}, raw2 AS (SELECT least(w, {sql_turned('w')}) AS kmer, count(*) AS n FROM windows2 WHERE w NOT LIKE '%n%' GROUP BY ALL) "
+       f"SELECT kmer, count FROM tab WHERE kmer < 'cc' UNION ALL SELECT kmer, least(n, {MOST})::INTEGER AS count FROM raw2 WHERE kmer >= 'cc'")
 def table_concat(spark, d):
+    """Key ranges of two stored tables, of documents and of benchmark, as one table."""
+    paths = stored(spark, "x.ktab"), stored(spark, "y.ktab")
+    artifacts.write_table(table(spark, d, SMALL), paths[0])
+    artifacts.write_table(words.count_table(derived.benchmark_reads(spark, d), SMALL), paths[1])
+    low, high = (artifacts.read_table(spark, p) for p in paths)
+    return tables.concatenated([low.where("kmer < 'ag'"), low.where("kmer >= 'ag' AND kmer < 'cc'"), high.where("kmer >= 'cc'")])
+
+
+@query(f"{sql_wide()} SELECT kmer, c0, c1, c2, c3 FROM wide WHERE (c0 > 0)::INT + (c1 > 0)::INT + (c2 > 0)::INT + (c3 > 0)::INT > 1")
+def stored_tables_aligned(spark, d):
+    """Stored tables of the four languages merged range by range as sorted streams; words of two tables or more."""
+    apart, paths = scratch.written(wide(spark, d)), []
+    for i, lang in enumerate(LANGUAGES):
+        paths.append(stored(spark, f"{lang}.ktab"))
+        own = apart.where(F.col(f"c{i}") > 0).select("kmer", F.col(f"c{i}").cast("int").alias("count"))
+        artifacts.write_table(words.readable(own, SMALL), paths[-1])
+    present = sum(((F.col(f"c{i}") > 0).cast("int") for i in range(4)), F.lit(0))
+    return artifacts.aligned_stored(spark, paths, 1 << 16).where(present > 1)
+
+
+@query(f"{sql_counted()} SELECT kmer, count FROM tab WHERE kmer >= 'gattaca' ORDER BY kmer LIMIT 1")
+def stored_table_seek(spark, d):
+    """By the stored index: one file is read."""
     path = stored(spark, "x.ktab")
     artifacts.write_table(table(spark, d), path)
-    own = artifacts.read_table(spark, path)
-    return tables.concatenated([own.where("kmer < 'ag'"), own.where("kmer >= 'ag' AND kmer < 'cc'"), own.where("kmer >= 'cc'")])
+    return artifacts.seek_stored(spark, path, "GATTACA")
 
 
 @query(f"{sql_counted()} SELECT kmer, kmer || chr(9) || count AS line FROM tab")
@@ -267,10 +293,10 @@ def histogram_scoped(spark, d):
     return histogram(spark, d).clipped(1, 1000).scoped()
 
 
-@query(f"{sql_counted()}, c AS (SELECT least(n, 1000) AS freq, n FROM raw) SELECT freq::INTEGER AS freq, (CASE WHEN freq = 1000 THEN sum(n) // 1000 ELSE count(*) END)::BIGINT AS n FROM c GROUP BY freq")
+@query(f"{sql_counted()}, c AS (SELECT least(n, 5000) AS freq, n FROM raw) SELECT freq::INTEGER AS freq, (CASE WHEN freq = 5000 THEN sum(n) // 5000 ELSE count(*) END)::BIGINT AS n FROM c GROUP BY freq")
 def histogram_fit(spark, d):
-    """A range that does not contain 1 to 1000 is widened."""
-    return histogram(spark, d).for_fitting(5, 40)
+    """A range that does not contain 1 to 1000 is widened at its lower end."""
+    return histogram(spark, d).for_fitting(5, 5000)
 
 
 @query(f"{SQL_HIST} SELECT freq, freq || chr(9) || n AS line FROM hist")
@@ -378,10 +404,18 @@ def profile_concat(spark, d):
     return profiles.concatenated([(own, total), (own, total)])
 
 
-@query(f"{SQL_PROFILE} SELECT read_id, pos, count FROM prof")
+@query(
+    f"{SQL_PROFILE}, s AS (SELECT read_id, pos, count, count - lag(count) OVER (PARTITION BY read_id ORDER BY pos) AS step FROM prof), "
+    "z AS (SELECT *, pos - row_number() OVER (PARTITION BY read_id, coalesce(step, 1) = 0 ORDER BY pos) AS g FROM s), "
+    "b AS (SELECT read_id, (count(*) + 62) // 63 AS n FROM z WHERE step = 0 GROUP BY read_id, g "
+    "UNION ALL SELECT read_id, CASE WHEN step IS NULL THEN CASE WHEN count < 128 THEN 1 ELSE 2 END WHEN abs(step) <= 31 THEN 1 ELSE 2 END FROM z WHERE step IS NULL OR step <> 0) "
+    "SELECT read_id, sum(n)::BIGINT AS n_bytes, true AS same FROM b GROUP BY read_id"
+)
 def profile_codec(spark, d):
-    made = profiles.arrays(profiles.absolute(reads(spark, d), SMALL))
-    return made.select("read_id", codec.decoded(codec.encoded(F.col("counts"))).alias("counts")).select("read_id", F.posexplode("counts").alias("pos", "count"))
+    """Bytes of each profile's compact form, and whether it gives the profile back."""
+    made = profiles.pieces(superwords.probed(reads(spark, d), SMALL)).withColumn("code", codec.encoded(F.col("counts")))
+    checked = made.select("read_id", F.length("code").cast("long").alias("n"), (codec.decoded(F.col("code")) == F.col("counts")).alias("same"))
+    return checked.groupBy("read_id").agg(F.sum("n").alias("n_bytes"), F.min("same").alias("same"))
 
 
 _HITS = f"{_TARGET}, hits AS (SELECT read_id AS seq_idx, pos FROM there JOIN (SELECT * FROM tab WHERE count >= {COVERED}) ON kmer = least(w, {sql_turned('w')}) WHERE w NOT LIKE '%n%')"
@@ -508,10 +542,15 @@ def files_several(spark, d):
     return files.read_sequences(spark, paths)
 
 
-@query("SELECT * FROM (VALUES ('x.fa', 'fasta'), ('x.FASTA.gz', 'fasta'), ('a/b.fq', 'fastq'), ('b.fastq.gz', 'fastq'), ('c.sam', 'sam'), ('c.bam', 'bam'), ('d.cram', 'cram'), ('e.db', 'two-bit'), ('e.dam', 'two-bit')) t(path, kind)")
+_ENDINGS = {".fa": "fasta", ".FASTA.gz": "fasta", ".fq": "fastq", ".fastq.gz": "fastq", ".sam": "sam", ".bam": "bam", ".cram": "cram", ".db": "two-bit", ".dam": "two-bit", ".txt": None}
+
+
+@query("SELECT doc_id, source || '/' || lang || doc_id || e.ending AS path, e.kind FROM documents JOIN (VALUES " + ", ".join(f"({i}, '{e}', {f'{chr(39)}{k}{chr(39)}' if k else 'NULL'})" for i, (e, k) in enumerate(_ENDINGS.items())) + f") e(i, ending, kind) ON doc_id % {len(_ENDINGS)} = i")
 def file_kinds(spark, d):
-    paths = ["x.fa", "x.FASTA.gz", "a/b.fq", "b.fastq.gz", "c.sam", "c.bam", "d.cram", "e.db", "e.dam"]
-    return spark.createDataFrame([(p, files.kind_of(p)) for p in paths], "path string, kind string")
+    """Kinds of files by names made of each document's source, language and number."""
+    ending = F.element_at(F.array(*map(F.lit, _ENDINGS)), (F.col("doc_id") % len(_ENDINGS) + 1).cast("int"))
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.concat("source", F.lit("/"), "lang", F.col("doc_id").cast("string"), ending).alias("path"))
+    return docs.withColumn("kind", files.kind_column(F.col("path")))
 
 
 @query(f"{sql_counted()} SELECT kmer, count FROM tab WHERE count >= 2")
@@ -543,16 +582,16 @@ def stored_histogram(spark, d):
     return artifacts.read_histogram_file(spark, path).bins
 
 
-@query(f"{sql_counted()} SELECT kmer, count FROM tab")
+@query(f"{sql_counted()} SELECT kmer, count, 0 AS left_behind FROM tab WHERE count >= 3")
 def stored_and_moved(spark, d):
-    """Artifacts of one root copied, moved and removed as a unit."""
+    """Artifacts of one root copied, moved and removed as a unit; the moved table above a cut-off, and how many artifacts stayed behind."""
     root = stored(spark, "a")
     artifacts.write_table(table(spark, d), f"{root}.ktab")
     artifacts.copy(spark, root, f"{root}2")
     artifacts.copy(spark, f"{root}2", f"{root}3", move=True)
-    if artifacts.remove(spark, root) != 1 or artifacts.of_root(spark, root) or artifacts.of_root(spark, f"{root}2"):
-        raise RuntimeError("artifacts were left behind")
-    return artifacts.read_table(spark, f"{root}3.ktab")
+    artifacts.remove(spark, root)
+    left = len(artifacts.of_root(spark, root) + artifacts.of_root(spark, f"{root}2"))
+    return artifacts.read_table(spark, f"{root}3.ktab", 3).withColumn("left_behind", F.lit(left))
 
 
 @query(
@@ -577,11 +616,15 @@ def table_ranges(spark, d):
     return made.join(checked, "part").select("kmer", "count", "in_order")
 
 
-@query("SELECT * FROM (VALUES ('A &+ B', 9), ('A &- B', 1), ('A &* B', 4), ('A |+ C', 1), ('A[5-] &> B', 7), ('#A |+ #B', 1), ('A - B', 2), ('A ^ B', 2)) t(expression, least)")
+@query(
+    f"{sql_wide()}, m AS (SELECT min(c0) FILTER (WHERE c0 >= 2) AS a, min(c1) FILTER (WHERE c1 >= 7) AS b, min(c2) FILTER (WHERE c2 >= 1) AS c FROM wide) "
+    + " UNION ALL ".join(f"SELECT '{text}' AS expression, ({value})::INTEGER AS least FROM m" for text, value in (("A &+ B", "a + b"), ("A &- B", "1"), ("A &* B", "(a + b) // 2"), ("A |+ C", "least(a, c)"), ("A[5-] &> B", "greatest(a, b, 5)"), ("#A |+ #B", "1"), ("A - B", "a"), ("A ^ B", "least(a, b)")))
+)
 def expression_least_values(spark, d):
-    """The least count a result may have, from the least counts 2, 7 and 1 of the tables."""
+    """The least count a result may have, from the least counts of tables with cut-offs 2, 7 and 1."""
     texts = ["A &+ B", "A &- B", "A &* B", "A |+ C", "A[5-] &> B", "#A |+ #B", "A - B", "A ^ B"]
-    return spark.createDataFrame([(x, expressions.least_value(expressions.parsed(x), [2, 7, 1])) for x in texts], "expression string, least int")
+    least = wide(spark, d).agg(*(F.min(F.when(F.col(f"c{i}") >= cut, F.col(f"c{i}"))) for i, cut in enumerate((2, 7, 1)))).first()
+    return spark.createDataFrame([(x, expressions.least_value(expressions.parsed(x), list(least))) for x in texts], "expression string, least int")
 
 
 @query(f"{SQL_HIST} SELECT freq, format('{{:,}}', n) AS shown FROM hist")

@@ -16,8 +16,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.codec import decode_all
@@ -28,9 +30,22 @@ KINDS = ("hist", "ktab", "prof")
 _TWO_BIT = np.frombuffer(b"acgt", np.uint8)
 
 
+#: Letters of the prefixes in a stored table's index.
+INDEXED_BY = 6
+
+
 def write_table(table: DataFrame, path: str) -> None:
-    """Sorted ranges of words, so that prefix addresses prune by file and row-group statistics."""
+    """Sorted ranges of words, so that prefix addresses prune by file and row-group statistics, and an index of them.
+
+    The index, in a folder that Spark's readers skip, has a row for each prefix in each file: its first row there, its words (number,
+    first and last), and how many words of the table come before. It has at most 4^INDEXED_BY rows and one more for each file.
+    """
+    spark = table.sparkSession
     table.repartitionByRange("kmer").sortWithinPartitions("kmer").write.mode("overwrite").parquet(path)
+    prefix = F.substring("kmer", 1, INDEXED_BY)
+    found = placed_rows(spark, path).groupBy("file", prefix.alias("prefix")).agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("n"), F.min("kmer").alias("first"), F.max("kmer").alias("last"))
+    before = Window.orderBy("file", "row").rowsBetween(Window.unboundedPreceding, -1)
+    found.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).coalesce(1).write.mode("overwrite").parquet(f"{path}/_index")
 
 
 def read_table(spark: SparkSession, path: str, cutoff: int = 1) -> DataFrame:
@@ -43,6 +58,102 @@ def placed_rows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"), "kmer", "count")
 
 
+def table_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/_index")
+
+
+def numbered(spark: SparkSession, path: str, first: int = 0, last: int | None = None) -> DataFrame:
+    """(kmer, count, ord) of a stored table's rows at ordinals first to last; only the files that hold them are read, and nothing is sorted."""
+    wanted = table_index(spark, path).where((F.col("before") + F.col("n") > first) & (F.lit(last is None) | (F.col("before") <= (last or 0))))
+    bases = {r["file"]: r["base"] for r in wanted.groupBy("file").agg(F.min(F.col("before") - F.col("row")).alias("base")).collect()}  # one row a file
+    if not bases:
+        return spark.read.parquet(path).select("kmer", "count", F.lit(0).cast("long").alias("ord")).where("false")
+    rows = spark.read.parquet(*(f"{path}/{name}" for name in sorted(bases))).select("kmer", "count", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    shifts = F.broadcast(spark.createDataFrame(sorted(bases.items()), "_file string, _base long"))  # one row a file
+    made = rows.join(shifts, "_file").select("kmer", "count", (F.col("_base") + F.col("_row")).alias("ord"))
+    return made.where((F.col("ord") >= first) & (F.lit(last is None) | (F.col("ord") <= (last or 0))))
+
+
+def words_of(spark: SparkSession, path: str) -> int:
+    return table_index(spark, path).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def seek_stored(spark: SparkSession, path: str, word: str) -> DataFrame:
+    """The first row of a stored table at or after a word as it is written; one file is read."""
+    at = table_index(spark, path).where(F.col("last") >= word.lower()).orderBy("before").select("file").first()
+    rows = spark.read.parquet(f"{path}/{at['file']}" if at else path)
+    return rows.where(F.col("kmer") >= word.lower()).orderBy("kmer").limit(1)
+
+
+class _Rows:
+    """The rows of a stored table inside a range of words, as a stream of sorted batches."""
+
+    def __init__(self, files: list[str], low: str, high: str | None):
+        self.batches, self.now = self.read(files, low, high), None
+        self.more()
+
+    @staticmethod
+    def read(files: list[str], low: str, high: str | None) -> Iterator[tuple[pa.Array, pa.Array]]:
+        for name in files:
+            with opened(name) as file:
+                stored = pq.ParquetFile(file)
+                at = stored.schema_arrow.get_field_index("kmer")
+                groups = [stored.metadata.row_group(i).column(at).statistics for i in range(stored.num_row_groups)]
+                some = [i for i, x in enumerate(groups) if x is None or not x.has_min_max or (x.max >= low and (high is None or x.min < high))]
+                for batch in stored.iter_batches(row_groups=some, columns=["kmer", "count"]):
+                    kept = pc.greater_equal(batch.column("kmer"), low)
+                    batch = batch.filter(kept if high is None else pc.and_(kept, pc.less(batch.column("kmer"), high)))
+                    if batch.num_rows:
+                        yield batch.column("kmer"), batch.column("count").cast(pa.int64())
+
+    def more(self) -> None:
+        self.now = next(self.batches, None)
+
+    @property
+    def last(self) -> str:
+        return self.now[0][-1].as_py()
+
+    def upto(self, limit: str) -> tuple[pa.Array, pa.Array]:
+        words, counts = self.now
+        n = pc.sum(pc.less_equal(words, limit)).as_py()
+        taken, self.now = (words[:n], counts[:n]), (words[n:], counts[n:])
+        if n == len(words):
+            self.more()
+        return taken
+
+
+def aligned_stored(spark: SparkSession, paths: list[str], rows: int = 1 << 20) -> DataFrame:
+    """kmer, c0, c1, ...: :func:`..operators.tables.aligned` for stored tables, in order and without a shuffle.
+
+    The index of the largest table gives the splitters of ranges of about ``rows`` of its words; one task merges one range of all tables as
+    sorted streams, and holds a batch of each.
+    """
+    indexes = [[tuple(r) for r in table_index(spark, p).orderBy("before").select("file", "prefix", "n", "first", "last", "before").collect()] for p in paths]  # bounded, see write_table
+    pivot = max(indexes, key=lambda index: sum(r[2] for r in index))
+    cuts, held = [""], 0
+    for _, prefix, n, *_ in pivot:
+        if held >= rows and prefix > cuts[-1]:
+            cuts, held = [*cuts, prefix], 0
+        held += n
+    ranges = list(zip(cuts, [*cuts[1:], None], strict=True))
+    files = [[list(dict.fromkeys(f"{path}/{r[0]}" for r in index if r[4] >= low and (high is None or r[3] < high))) for path, index in zip(paths, indexes, strict=True)] for low, high in ranges]
+    names = [f"c{i}" for i in range(len(paths))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for at in (i for batch in batches for i in batch.column("id").to_pylist()):
+            streams = [_Rows(own, *ranges[at]) for own in files[at]]
+            while alive := [i for i, x in enumerate(streams) if x.now is not None]:
+                limit = min(streams[i].last for i in alive)
+                parts = []
+                for i in alive:
+                    words, counts = streams[i].upto(limit)
+                    parts.append(pa.table([words, *(counts if j == i else pa.array(np.zeros(len(words), np.int64)) for j in range(len(streams)))], names=["kmer", *names]))
+                made = pa.concat_tables(parts).group_by("kmer", use_threads=False).aggregate([(c, "sum") for c in names]).sort_by("kmer")
+                yield from made.select(["kmer", *(f"{c}_sum" for c in names)]).rename_columns(["kmer", *names]).combine_chunks().to_batches()
+
+    return spark.range(0, len(ranges), 1, len(ranges)).mapInArrow(run, "kmer string, " + ", ".join(f"{c} long" for c in names))
+
+
 def write_profiles(profile: DataFrame, path: str) -> None:
     """(read_id, first, code) of a profile's fragments or rows, in ranges of reads, so that a read is found by file and row-group statistics. A long profile is
     several rows; sequences without a window have none."""

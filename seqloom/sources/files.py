@@ -47,6 +47,12 @@ def kind_of(path: str) -> str:
     raise ValueError(f"cannot tell what kind of file {path} is")
 
 
+def kind_column(path: Column) -> Column:
+    """The same for a column of paths; null where no ending is known."""
+    name = F.regexp_replace(F.lower(path), r"\.gz$", "")
+    return F.coalesce(*(F.when(name.endswith(ending), kind) for ending, kind in KINDS.items()))
+
+
 def read_sequences(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """All sequences of files of one kind, in the order of the paths."""
     paths = [paths] if isinstance(paths, str) else list(paths)

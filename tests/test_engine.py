@@ -300,7 +300,7 @@ def test_long_sequences_in_slices(spark, monkeypatch):
     r = random.Random(4)
     seq = "".join(r.choices("acgtn", [30, 30, 30, 30, 1], k=3000))
     batch = pa.RecordBatch.from_arrays([pa.array(["acgtacgt", seq, "ttacgtacga"]), pa.array([7, 8, 9])], names=["seq", "_key"])
-    monkeypatch.setattr(words, "SLICE", 256)
+    monkeypatch.setattr(superwords, "CHUNK", 256)
     monkeypatch.setattr(superwords, "PIECE", 64)
     placed = pa.Table.from_batches(list(superwords._placed(7, 3, np.zeros(0, np.uint64))(iter([batch]))))
     got = {}

@@ -3,8 +3,10 @@ import os
 import random
 import struct
 import zlib
+from itertools import product
 
 import pytest
+from pyspark.sql import functions as F
 
 from seqloom.functions import codec
 from seqloom.operators import histograms, profiles
@@ -181,3 +183,49 @@ def test_artifacts_move_as_a_unit(spark, tmp_path):
     assert artifacts.copy(spark, str(tmp_path / "x"), str(tmp_path / "y"), overwrite=False) == 0
     assert artifacts.remove(spark, str(tmp_path / "x")) == 1
     assert not os.path.exists(tmp_path / "x.ktab")
+
+
+def stored_words(spark, tmp_path, seed, n, name):
+    r = random.Random(seed)
+    rows = {"".join(r.choices("acgt", k=9)): r.randint(1, 40) for _ in range(n)} | {"aaaaaa" + "".join(x): 3 for x in product("acgt", repeat=3)}
+    path = str(tmp_path / f"{name}.ktab")
+    df = spark.createDataFrame(sorted(rows.items()), "kmer string, count int").repartition(5)
+    artifacts.write_table(df, path)
+    return rows, path
+
+
+def test_stored_table_by_ordinal_and_word(spark, tmp_path):
+    rows, path = stored_words(spark, tmp_path, 1, 3000, "x")
+    order = sorted(rows)
+    files_of = lambda df: len(set(df.inputFiles()))
+    assert len(set(spark.read.parquet(path).inputFiles())) > 3
+    assert artifacts.words_of(spark, path) == len(order)
+    got = artifacts.numbered(spark, path, 100, 130)
+    assert {r["ord"]: (r["kmer"], r["count"]) for r in got.collect()} == {i: (order[i], rows[order[i]]) for i in range(100, 131)}
+    one = artifacts.numbered(spark, path, 1500, 1500)
+    assert files_of(one) == 1 and one.first()["kmer"] == order[1500]
+    assert {r["kmer"]: r["ord"] for r in artifacts.numbered(spark, path).collect()} == {w: i for i, w in enumerate(order)}
+    assert artifacts.numbered(spark, path, len(order), None).count() == 0
+    for word in ("a", "GATTACA", order[7], "ttttttttt", "zz"):
+        found = artifacts.seek_stored(spark, path, word)
+        assert [r["kmer"] for r in found.collect()] == [w for w in order if w >= word.lower()][:1]
+    assert files_of(artifacts.seek_stored(spark, path, "gattaca")) == 1
+    assert "Window" not in artifacts.numbered(spark, path, 5, 900)._jdf.queryExecution().toString()
+
+
+def test_stored_tables_merge_without_exchange(spark, tmp_path):
+    made = [stored_words(spark, tmp_path, seed, n, f"t{seed}") for seed, n in ((1, 3000), (2, 50), (3, 1200))]
+    empty = str(tmp_path / "e.ktab")
+    artifacts.write_table(spark.createDataFrame([], "kmer string, count int"), empty)
+    for rows in (10, 700, 1 << 20):
+        wide = artifacts.aligned_stored(spark, [p for _, p in made] + [empty], rows)
+        assert "Exchange" not in wide._jdf.queryExecution().toString()
+        got = {r["kmer"]: (r["c0"], r["c1"], r["c2"], r["c3"]) for r in wide.collect()}
+        assert got == {w: (*(t.get(w, 0) for t, _ in made), 0) for w in set().union(*(t for t, _ in made))}
+        assert wide.count() == len(got)
+
+
+def test_kinds_of_a_column(spark):
+    names = ["x.fa", "X.FASTA.GZ", "a/b.fq", "c.sam", "c.bam", "d.cram", "e.dam", "e.txt", None]
+    df = spark.createDataFrame([(n,) for n in names], "p string")
+    assert [r[0] for r in df.select(files.kind_column(F.col("p"))).collect()] == ["fasta", "fasta", "fastq", "sam", "bam", "cram", "two-bit", None, None]
