@@ -13,7 +13,7 @@ from .functions import codec, letters
 from .functions.letters import MOST
 from .operators import histograms, homopolymers, profiles, superwords, tables, words
 from .plans import expressions, jobs
-from .sources import artifacts, derived, files, scratch
+from .sources import artifacts, derived, files, scratch, writers
 
 #: Words of 21 letters, so that tables grow with the input (there are 2^41 of them); of 30 for runs; the default of 40 once.
 K, SMALL, LONG, COVERED = 21, 21, 30, 2
@@ -531,6 +531,19 @@ def file_sam(spark, d):
     return files.read_sequences(spark, path)
 
 
+@query(f"WITH {sql_reads()} SELECT (row_number() OVER (ORDER BY read_id) - 1)::BIGINT AS read_id, seq FROM reads WHERE seq IS NOT NULL AND read_id % 3 <> 1")
+def file_bam(spark, d):
+    """Written as binary alignments, a file for each range of reads; every third record is secondary or supplementary and is left out."""
+    flag = F.expr("CASE WHEN read_id % 3 <> 1 THEN 16 WHEN read_id % 2 = 0 THEN 256 ELSE 2064 END")
+    return files.read_sequences(spark, writers.write_bam(reads(spark, d).where("seq IS NOT NULL"), stored(spark, "bam"), flag))
+
+
+@query(f"WITH {sql_reads()} SELECT (row_number() OVER (ORDER BY read_id) - 1)::BIGINT AS read_id, translate(seq, 'n', 'a') AS seq FROM reads WHERE length(seq) >= 100")
+def file_two_bit(spark, d):
+    """Written as two-bit databases, one for each range of reads, trimmed to reads of 100 letters or more."""
+    return files.read_sequences(spark, writers.write_two_bit(reads(spark, d).where("seq IS NOT NULL"), stored(spark, "db"), 100))
+
+
 @query(f"WITH {sql_reads()}, n AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY read_id) AS i, seq FROM reads WHERE seq IS NOT NULL) SELECT (row_number() OVER (ORDER BY lang, i) - 1)::BIGINT AS read_id, seq FROM n")
 def files_several(spark, d):
     """One file for each language, read together; identifiers go on from file to file."""

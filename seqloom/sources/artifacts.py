@@ -9,6 +9,7 @@ first, n, and n end offsets; data part: the profiles' bytes.
 from __future__ import annotations
 
 import os
+import re
 import struct
 from collections.abc import Iterator
 from datetime import UTC, datetime
@@ -209,9 +210,15 @@ def packed_word(word: str) -> bytes:
     return bytes(codes[i] << 6 | codes[i + 1] << 4 | codes[i + 2] << 2 | codes[i + 3] for i in range(0, len(codes), 4))
 
 
+def located(path: str):
+    """The store, of those that pyarrow knows, and the place in it."""
+    path = re.sub(r"^file:/(?=[^/])", "file:///", path)
+    return fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
+
+
 def opened(path: str):
-    """A file of any store that pyarrow knows; Spark's own reader skips names with a leading dot."""
-    store, inside = fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
+    """A file of any such store; Spark's own reader skips names with a leading dot."""
+    store, inside = located(path)
     return store.open_input_file(inside)
 
 

@@ -3,7 +3,8 @@
 Text formats go through Spark's own reader, which splits and decompresses them and reaches any store it
 knows; a path may be a file or a folder of part files. A line's place is its number inside its split plus the lines of the splits
 before it: one row per split, in a table that is joined and never passes through the driver. Lines are not shuffled for that.
-CRAM has no decoder here and is refused. A binary alignment is one task a file; its blocks are decompressed one by one.
+CRAM has no decoder here and is refused. Binary alignments are read in byte ranges: a task finds the first block in its range and in it the
+first record, and ends with the last record that begins in its range.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .artifacts import opened
+from .artifacts import located, opened
 
 #: File kinds by name ending, the letters of binary alignments, and the flag bits of secondary records.
 KINDS = {
@@ -31,6 +32,7 @@ KINDS = {
 BAM_LETTERS = "=acmgrsvtwyhkdbn"
 SECONDARY = 0x900
 CHUNK, RECORDS = 1 << 16, 10_000
+BLOCK, HEAD, CHAIN, RANGE = b"\x1f\x8b\x08\x04", 512, 5, 64 << 20  #: a block's first bytes, what is read to learn its size, records that prove a place, bytes of a task
 _NIBBLES, _TWO_BIT = np.frombuffer(BAM_LETTERS.encode(), np.uint8), np.frombuffer(b"acgt", np.uint8)
 #: Fixed values of two-bit databases: the size of the index's head, a read's record in it, the flag of the best read of a well, and the
 #: line of the stub with the trimming.
@@ -157,25 +159,191 @@ class _Bytes:
         return struct.unpack("<i", self.take(4))[0]
 
 
-def bam_sequences(data: bytes) -> Iterator[str]:
-    raw = _Bytes(gzip_members(data))
+def block_size(head: bytes) -> int:
+    """Bytes of the block that begins with these 18 or more bytes, or 0: blocks name their size in an extra field."""
+    if len(head) < 18 or not head.startswith(BLOCK):
+        return 0
+    extra, at = struct.unpack_from("<H", head, 10)[0], 12
+    while at + 4 <= min(12 + extra, len(head)):
+        name, n = head[at : at + 2], struct.unpack_from("<H", head, at + 2)[0]
+        if name == b"BC" and n == 2 and at + 6 <= len(head):
+            return struct.unpack_from("<H", head, at + 4)[0] + 1
+        at += 4 + n
+    return 0
+
+
+class _Content:
+    """What the blocks of a file hold from the first block at or after a byte on; places count from there. ``fetch(at, n)`` reads the file."""
+
+    def __init__(self, fetch, total: int, at: int, stop: int, aligned: bool):
+        self.fetch, self.total, self.bytes, self.first = fetch, total, b"", 0
+        self.next = at if aligned else self.found(at, stop)  # where the next block begins, None if none does before ``stop``
+        self.data, self.base, self.blocks = bytearray(), 0, []
+
+    def peek(self, at: int, n: int) -> bytes:
+        n = min(n, self.total - at)
+        if not self.first <= at <= at + n <= self.first + len(self.bytes):
+            self.bytes, self.first = self.fetch(at, min(max(n, 16 * CHUNK), self.total - at)), at
+        return self.bytes[at - self.first : at - self.first + n]
+
+    def found(self, at: int, stop: int) -> int | None:
+        """The first block that begins at ``at`` or later but before ``stop``: the end of the file or another block follows it."""
+        while at < min(stop, self.total):
+            some = self.peek(at, CHUNK)
+            place = some.find(BLOCK)
+            if place < 0:
+                at += max(len(some) - len(BLOCK) + 1, 1)
+                continue
+            at += place
+            size = block_size(self.peek(at, HEAD))
+            if at < stop and size and (at + size == self.total or at + size < self.total and block_size(self.peek(at + size, HEAD))):
+                return at
+            at += 1
+        return None
+
+    def load(self) -> bool:
+        if self.next is None or self.next >= self.total:
+            return False
+        size = block_size(self.peek(self.next, HEAD))
+        whole = self.peek(self.next, size)
+        if not size or len(whole) < size:
+            raise ValueError("the file ends within a block" if size else "no block where one should be")
+        self.blocks.append((self.base + len(self.data), self.next))
+        self.data += zlib.decompress(whole, 31)
+        self.next += size
+        return True
+
+    def at(self, place: int, n: int) -> bytes:
+        """``n`` bytes from a place on, fewer at the end of the file."""
+        while self.base + len(self.data) < place + n and self.load():
+            pass
+        return bytes(self.data[place - self.base : place - self.base + n])
+
+    def block_of(self, place: int) -> int | None:
+        """Where the block begins that holds a place; None behind the last one. Places before it are forgotten."""
+        if not self.at(place, 1):
+            return None
+        while len(self.blocks) > 1 and self.blocks[1][0] <= place:
+            self.blocks.pop(0)
+        if place - self.base > 16 * CHUNK:
+            del self.data[: place - self.base]
+            self.base = place
+        return self.blocks[0][1]
+
+
+def record_after(content: _Content, place: int, references: int) -> int:
+    """Where the next record begins if one may begin here, else 0."""
+    head = content.at(place, 36)
+    if len(head) < 36:
+        return 0
+    size, reference, at, name, _, _, cigar, _, length, mate, mate_at, _ = struct.unpack("<iiiBBHHHiiii", head)
+    if not (-1 <= reference < max(references, 1) and -1 <= mate < max(references, 1) and at >= -1 and mate_at >= -1 and name >= 1 and length >= 0):
+        return 0
+    if size < 32 + name + 4 * cigar + (length + 1) // 2 + length:
+        return 0
+    text = content.at(place + 36, name)
+    return place + 4 + size if len(text) == name and text[-1] == 0 and all(33 <= c <= 126 for c in text[:-1]) else 0
+
+
+def bam_range(fetch, total: int, start: int, stop: int, skip: int | None, references: int = 0) -> Iterator[str]:
+    """Sequences of the records that begin in blocks which begin in bytes start to stop.
+
+    The first range skips the file's head (``skip`` bytes of content). Another one (None) takes the first place from which a chain of
+    CHAIN records fits, or one to the end of the file; the record that runs into it belongs to the range before.
+    """
+    content, place = _Content(fetch, total, start, stop, skip is not None), skip or 0
+
+    def fits(at: int) -> bool:
+        for _ in range(CHAIN):
+            at = record_after(content, at, references)
+            if not at:
+                return False
+            if not content.at(at, 1):
+                return len(content.at(at - 1, 1)) == 1
+        return True
+
+    owned = lambda: (block := content.block_of(place)) is not None and block < stop
+    while skip is None and owned() and not fits(place):
+        place += 1
+    while owned():
+        size = content.at(place, 4)
+        record = content.at(place + 4, struct.unpack("<i", size)[0]) if len(size) == 4 else b""
+        if len(size) < 4 or len(record) < struct.unpack("<i", size)[0]:
+            raise ValueError("the file ends within a record")
+        yield from sequence_of(record)
+        place += 4 + len(record)
+
+
+def sequence_of(record: bytes) -> Iterator[str]:
+    """The letters of a record that is not secondary."""
+    name, cigar, flag, length = record[8], *struct.unpack_from("<HHi", record, 12)
+    if not flag & SECONDARY:
+        packed = np.frombuffer(record, np.uint8, (length + 1) // 2, 32 + name + 4 * cigar)
+        yield _NIBBLES[np.stack([packed >> 4, packed & 15], axis=1).ravel()[:length]].tobytes().decode()
+
+
+def bam_head(raw: _Bytes) -> tuple[int, int]:
+    """Bytes of content before the first record, and the number of references."""
     if raw.take(4) != b"BAM\1":
         raise ValueError("not a BAM file")
-    raw.take(raw.integer())
-    for _ in range(raw.integer()):
-        raw.take(raw.integer() + 4)
+    text = raw.integer()
+    raw.take(text)
+    number, size = raw.integer(), 12 + text
+    for _ in range(number):
+        name = raw.integer()
+        raw.take(name + 4)
+        size += name + 8
+    return size, number
+
+
+def bam_sequences(data: bytes) -> Iterator[str]:
+    """Those of a whole file, whose blocks need not name their sizes."""
+    raw = _Bytes(gzip_members(data))
+    bam_head(raw)
     while not raw.ended():
-        record = raw.take(raw.integer())
-        name, cigar, flag, length = record[8], *struct.unpack_from("<HHi", record, 12)
-        start = 32 + name + 4 * cigar
-        if not flag & SECONDARY:
-            packed = np.frombuffer(record, np.uint8, (length + 1) // 2, start)
-            yield _NIBBLES[np.stack([packed >> 4, packed & 15], axis=1).ravel()[:length]].tobytes().decode()
+        yield from sequence_of(raw.take(raw.integer()))
+
+
+def _bam(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
+    """Every ``size`` bytes of a file are a task, which finds the records that begin there. Files whose blocks do not name their sizes, and
+    folders, are one task a file."""
+    store, inside = located(path)
+    about = store.get_file_info(inside)
+    if not about.is_file:
+        return _whole_bam(spark, path)
+    total = about.size
+
+    def fetch(at: int, n: int) -> bytes:
+        with opened(path) as file:
+            file.seek(at)
+            return file.read(n)
+
+    if not block_size(fetch(0, min(HEAD, total))):
+        return _whole_bam(spark, path)
+    skip, references = bam_head(_Bytes(_contents(fetch, total)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (i for batch in batches for i in batch.column("id").to_pylist()):
+            place, found = 0, bam_range(fetch, total, part * size, min(part * size + size, total), None if part else skip, references)
+            while some := list(islice(found, RECORDS)):
+                yield pa.RecordBatch.from_arrays([pa.array([part] * len(some)), pa.array(range(place, place + len(some)), pa.int64()), pa.array(some, pa.string())], names=["_part", "_at", "seq"])
+                place += len(some)
+
+    parts = max(-(-total // size), 1)
+    rows = spark.range(0, parts, 1, min(parts, 100_000)).mapInArrow(run, "_part long, _at long, seq string")
+    shifts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", _before("_n", "_part").alias("_shift"))  # one row a range
+    return rows.join(shifts, "_part").select((F.col("_shift") + F.col("_at")).cast("long").alias("read_id"), "seq")
+
 
+def _contents(fetch, total: int) -> Iterator[bytes]:
+    content, place = _Content(fetch, total, 0, total, True), 0
+    while content.block_of(place) is not None:
+        piece = content.at(place, len(content.data) - (place - content.base))
+        yield piece
+        place += len(piece)
 
-def _bam(spark: SparkSession, path: str) -> DataFrame:
-    """One task a file, as its blocks chain; files above 2 GB need converting first."""
 
+def _whole_bam(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content"):
