@@ -25,7 +25,7 @@ from . import words as W
 
 HELD = 8 << 20  #: bytes of super-words that a task holds before it sends them
 CHUNK = 1 << 19  #: letters that are worked on at a time
-FULL = 3 << 20  #: windows of a bucket, about
+FULL = 2 << 20  #: windows of a bucket, about
 SAMPLE, MOST_HOT = 0.05, 10_000
 MOST_SIDES = 64
 PIECE = 1 << 16  #: a fragment of a profile does not go beyond a multiple of this place
@@ -277,14 +277,17 @@ def _summed(k: int, sides: int, names: list[str]) -> Callable[[pa.Table], pa.Tab
         parts, held = [], 0
         for side, codes, starts, lengths, counts in _received(table):
             words, windows = words_in(codes, starts, lengths, k)
-            weights = np.zeros((len(words), sides), np.int64)
-            weights[:, side] = np.repeat(counts, windows)
-            parts.append((words, weights))
+            parts.append((words, np.full(len(words), side, np.int8), np.repeat(counts, windows)))
             held += len(words)
-            if held > FULL // 2:
-                parts, held = [W.distinct(*map(np.concatenate, zip(*parts, strict=True)))], 0
-        words, sums = W.distinct(*map(np.concatenate, zip(*parts, strict=True)))
-        return pa.Table.from_arrays([W.word_array(words, k), *(pa.array(np.ascontiguousarray(sums[:, i])) for i in range(sides))], names=names)
+            if held > 2 * FULL:
+                words, of, counts = map(np.concatenate, zip(*parts, strict=True))
+                merged = [(i, *W.distinct(words[of == i], counts[of == i])) for i in range(sides)]
+                parts, held = [(some, np.full(len(some), i, np.int8), n) for i, some, n in merged if len(some)], 0
+        words, of, counts = map(np.concatenate, zip(*parts, strict=True))
+        order, first = W.ranked(words)
+        of, counts = of[order], counts[order]
+        sums = [np.add.reduceat(counts if sides == 1 else np.where(of == i, counts, 0), first) if len(first) else counts for i in range(sides)]
+        return pa.Table.from_arrays([W.word_array(words[order[first]], k), *map(pa.array, sums)], names=names)
 
     return run
 
