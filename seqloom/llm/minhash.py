@@ -11,7 +11,7 @@
    shingle of their prefix (exact filter), pass the registers' joint likelihood (a pair is left out only when
    the threshold is e^-25 as likely as the best estimate), and then have their full sets intersected.
    A task returns a star per connected part: at most one edge per member, never all pairs.
-   A bucket above ``PART`` members is dealt into parts of that size, and a few leaders of it go to every part, so that the parts of a
+   A bucket above ``PART`` members or ``PART_SHINGLES`` shingles is dealt into parts of about that size, and a few leaders of it go to every part, so that the parts of a
    family meet. Pairs of members that are connected then need no more. Only where a bucket has members outside its largest component,
    these (again in parts) meet the members of all other parts: no pair of a bucket is left out, and no set is sent again for a family
    that the leaders connect.
@@ -47,7 +47,7 @@ from .components import components
 ROWS = 1 << 52  #: above any row number that Spark gives to fewer than 2^19 partitions
 
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
-PART, LEADERS = 3000, 16
+PART, PART_SHINGLES, LEADERS = 3000, 4 << 20, 16  #: members and shingles of a task's part, leaders of a bucket of several parts
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -302,21 +302,23 @@ def _verified(source: DataFrame, placed: DataFrame, k: int, registers: int, perc
     return sent.mapInArrow(_verify(percent), "a long, b long")
 
 
-def _first_places(banded: DataFrame, part: int, leaders: int) -> DataFrame:
+def _first_places(banded: DataFrame, part: int, leaders: int, shingles: int) -> DataFrame:
     """Members of shared buckets, dealt into parts; some leaders of a bucket of several parts go to all of them."""
-    buckets = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("rep")).alias("mark"), F.sum(F.hash("rep").cast("long")).alias("total")).where("size > 1")
-    chosen = buckets.groupBy("size", "mark", "total").agg(F.min("bucket").alias("bucket"))
-    placed = banded.join(chosen, "bucket").withColumn("parts", F.ceil(F.col("size") / part).cast("int")).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    buckets = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("rep")).alias("mark"), F.sum(F.hash("rep").cast("long")).alias("total"), F.sum("weight").alias("load")).where("size > 1")
+    chosen = buckets.groupBy("size", "mark", "total", "load").agg(F.min("bucket").alias("bucket"))
+    placed = banded.join(chosen, "bucket").withColumn("parts", F.greatest(F.ceil(F.col("size") / part), F.ceil(F.col("load") / shingles)).cast("int")).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     leads = (F.col("parts") > 1) & (F.pmod(F.xxhash64(F.lit("lead"), "rep", "bucket"), F.ceil(F.col("size") / leaders)) == 0)
     return placed.withColumn("one", F.explode(F.when(leads, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("mine"))))
 
 
-def _second_places(first: DataFrame, linked: DataFrame, part: int) -> DataFrame:
+def _second_places(first: DataFrame, linked: DataFrame, part: int, shingles: int) -> DataFrame:
     """In buckets of several parts that are not connected yet: all members, against those outside the largest component."""
-    big = first.where("parts > 1 AND one = mine").select("rep", "bucket", "parts", "mine")
-    labelled = big.join(linked, big["rep"] == linked["node"], "left").select("rep", "bucket", "parts", "mine", F.coalesce("component", "rep").alias("label"))
-    counts = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    open_ones = counts.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("size")).select("bucket", F.col("top.label").alias("largest"), F.ceil((F.col("size") - F.col("top.n")) / part).cast("int").alias("groups"))
+    big = first.where("parts > 1 AND one = mine").select("rep", "bucket", "parts", "mine", "weight")
+    labelled = big.join(linked, big["rep"] == linked["node"], "left").select("rep", "bucket", "parts", "mine", "weight", F.coalesce("component", "rep").alias("label"))
+    counts = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
+    open_ones = counts.groupBy("bucket").agg(F.max(F.struct("n", "label", "w")).alias("top"), F.sum("n").alias("size"), F.sum("w").alias("load"))
+    groups = F.greatest(F.ceil((F.col("size") - F.col("top.n")) / part), F.ceil((F.col("load") - F.col("top.w")) / shingles))
+    open_ones = open_ones.select("bucket", F.col("top.label").alias("largest"), groups.cast("int").alias("groups"))
     waiting = labelled.join(open_ones.where("groups > 0"), "bucket")
     own = F.pmod(F.xxhash64(F.lit("rest"), "rep"), F.col("groups")).cast("int")
     member = F.transform(F.sequence(F.lit(0), F.col("groups") - 1), lambda j: F.struct(F.col("mine").alias("one"), j.alias("two"), F.lit(0).alias("side")))
@@ -335,23 +337,23 @@ def _named(sketches: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 20, rows: int | None = None, text: str = "text", key: str = "doc_id", part: int = PART, leaders: int = LEADERS
+    docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 20, rows: int | None = None, text: str = "text", key: str = "doc_id", part: int = PART, leaders: int = LEADERS, shingles: int = PART_SHINGLES
 ) -> DataFrame:
     """One row per document: the key, n_shingles, component_id and kept."""
     if not isinstance(docs.schema[key].dataType, IntegralType):
-        return _by_row(docs, text, key, lambda numbered: near_duplicates(numbered, k, percent, bands, rows, text, "_row", part, leaders))
+        return _by_row(docs, text, key, lambda numbered: near_duplicates(numbered, k, percent, bands, rows, text, "_row", part, leaders, shingles))
     rows = rows or (5 if percent >= 84 else 4)
     source = docs.select(column(key).cast("long").alias("_key"), column(text).alias("_text"))
     source, top = _numbered(source)
     sketches = persisted(source.mapInArrow(_sketch(k, bands, rows), "id long, n_shingles long, print binary, bands array<long>"))
-    classes = sketches.where("print IS NOT NULL").groupBy("print").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
-    banded = persisted(classes.select("rep", F.explode("bands").alias("bucket")))
+    classes = sketches.where("print IS NOT NULL").groupBy("print").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("n_shingles").alias("weight"))
+    banded = persisted(classes.select("rep", "weight", F.explode("bands").alias("bucket")))
 
-    first = _first_places(banded, part, leaders)
+    first = _first_places(banded, part, leaders, shingles)
     edges = _verified(source, first.select("rep", "bucket", "one", F.lit(0).alias("two"), F.lit(0).alias("side"), F.col("rep").alias("label")), k, bands * rows, percent)
     linked = persisted(components(edges))
     if not first.where("parts > 1").isEmpty():
-        more = persisted(_second_places(first, linked, part))
+        more = persisted(_second_places(first, linked, part, shingles))
         if not more.isEmpty():
             stars = linked.select(F.col("node").alias("a"), F.col("component").alias("b"))
             linked = persisted(components(stars.unionByName(_verified(source, more, k, bands * rows, percent))))

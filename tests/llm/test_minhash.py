@@ -51,26 +51,27 @@ def rows():
     return out + [(1000 + i, t) for i, t in enumerate(odd)] + [(2000, "w " * 5000), (2001, "w " * 4000)]
 
 
-@pytest.mark.parametrize(("k", "percent", "part", "leaders"), [(3, 85, 3000, 16), (5, 80, 3000, 16), (3, 85, 7, 16), (3, 85, 5, 1)])
+@pytest.mark.parametrize(("k", "percent", "part", "leaders"), [(3, 85, 3000, 16), (5, 80, 3000, 16), (3, 85, 7, 16), (3, 85, 5, 1), (3, 85, None, 2)])
 def test_against_brute_force(docs, rows, k, percent, part, leaders):
-    got = minhash.near_duplicates(docs(rows), k=k, percent=percent, part=part, leaders=leaders).collect()
+    sizes = {"part": part} if part else {"shingles": 700}  # by members, or by their shingles
+    got = minhash.near_duplicates(docs(rows), k=k, percent=percent, leaders=leaders, **sizes).collect()
     assert sorted(map(tuple, got)) == brute(rows, k, percent)
 
 
 def test_second_places_make_every_open_pair_meet_once(spark):
     """Of the pairs of a bucket that are neither in one part nor in one component, every one meets; others never do."""
-    first = spark.createDataFrame([(i, 7, 5, i % 5, i % 5) for i in range(40)], "rep long, bucket long, parts int, mine int, one int")
+    first = spark.createDataFrame([(i, 7, 5, i % 5, i % 5, 10) for i in range(40)], "rep long, bucket long, parts int, mine int, one int, weight long")
     component = lambda i: 0 if i < 28 else 30 if i in (30, 31) else i
     linked = spark.createDataFrame([(i, component(i)) for i in range(40) if component(i) != i], "node long, component long")
     places = {}
-    for r in minhash._second_places(first, linked, 4).collect():
+    for r in minhash._second_places(first, linked, 4, 1000).collect():
         places.setdefault((r["one"], r["two"]), []).append((r["rep"], r["side"], r["label"]))
         assert r["label"] == component(r["rep"])
     met = [frozenset((a[0], b[0])) for own in places.values() for a in own for b in own if a[1] < b[1] and a[2] != b[2]]
     want = {frozenset((i, j)) for i in range(40) for j in range(i) if i % 5 != j % 5 and component(i) != component(j)}
     assert set(met) == want and max(map(len, places.values())) <= 8 + 8
     everyone = linked.unionByName(spark.createDataFrame([(i, 0) for i in range(28, 40)], "node long, component long")).groupBy("node").agg(F.min("component").alias("component"))
-    assert minhash._second_places(first, everyone, 4).count() == 0
+    assert minhash._second_places(first, everyone, 4, 1000).count() == 0
 
 
 def test_empty_null_and_repeated_rows(docs):
