@@ -12,6 +12,7 @@ or the table's words are, and give back fragments (sequence, first place, counts
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,6 +35,16 @@ _MIX, _TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
 READS, TABLE, NOTHING = 0, 1, 2
 
 
+_process = ctypes.CDLL(None)
+
+
+def released() -> None:
+    """Give freed memory back to the machine: workers live on between stages and hold it otherwise."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(_process, "malloc_trim", None):
+        trim(0)
+
+
 def minimizer_length(k: int) -> int:
     return max(3, min(9 if k < 32 else 11, k // 2))
 
@@ -219,6 +230,7 @@ def _sent(k: int, buckets: int, hot: np.ndarray, sides: dict[str, int] | None):
                     if out.add(side, bucket[valid], supers):
                         yield from out.sent()
         yield from out.sent()
+        released()
 
     return run
 
@@ -287,7 +299,10 @@ def _summed(k: int, sides: int, names: list[str]) -> Callable[[pa.Table], pa.Tab
         order, first = W.ranked(words)
         of, counts = of[order], counts[order]
         sums = [np.add.reduceat(counts if sides == 1 else np.where(of == i, counts, 0), first) if len(first) else counts for i in range(sides)]
-        return pa.Table.from_arrays([W.word_array(words[order[first]], k), *map(pa.array, sums)], names=names)
+        words = words[order[first]]
+        del parts, order, of, counts
+        released()
+        return pa.Table.from_arrays([W.word_array(words, k), *map(pa.array, sums)], names=names)
 
     return run
 
@@ -325,6 +340,7 @@ def _answered(k: int, own: bool) -> Callable[[pa.Table], pa.Table]:
             return pa.table({"key": pa.array([], pa.int64()), "first": pa.array([], pa.int64()), "counts": pa.array([], pa.list_(pa.int32()))})
         ends = np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
         lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(values).astype(np.int32)))
+        released()
         return pa.table({"key": pa.concat_arrays(keys), "first": pa.array(np.concatenate(places)), "counts": lists})
 
     return run
