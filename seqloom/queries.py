@@ -13,7 +13,7 @@ from .functions import codec, letters
 from .functions.letters import MOST
 from .operators import histograms, homopolymers, profiles, superwords, tables, words
 from .plans import expressions, jobs
-from .sources import artifacts, derived, files, scratch, writers
+from .sources import artifacts, derived, files, fragments, scratch, writers
 
 #: Words of 21 letters, so that tables grow with the input (there are 2^41 of them); of 30 for runs; the default of 40 once.
 K, SMALL, LONG, COVERED = 21, 21, 30, 2
@@ -520,6 +520,18 @@ _file("file_fastq", ".fq", r"concat('@', name, '\n', seq, '\n+\n', repeat('@', l
 _file("file_fastq_gzip", ".fastq.gz", r"concat('@', name, '\n', seq, '\n+\n', repeat('>', length(seq)))", compression="gzip")
 
 
+@query(
+    f"WITH {sql_reads()}, c AS (SELECT (row_number() OVER (ORDER BY read_id) - 1)::BIGINT AS read_id, " + "regexp_replace(" * 5 + "seq" + "".join(f", '{c}+', '{c}', 'g')" for c in "acgtn")
+    + " AS seq FROM reads WHERE seq IS NOT NULL), o AS (SELECT *, unnest(range(0, length(seq), 500)) AS place FROM c) SELECT read_id, place::BIGINT AS \"offset\", substring(seq, place + 1, 539) AS seq FROM o"
+)
+def file_fasta_fragments(spark, d):
+    """Compressed sequences in fragments that overlap by 39 letters, from records of many lines; no record is put together."""
+    path = stored(spark, "long.fa")
+    rows = reads(spark, d).where("seq IS NOT NULL")
+    rows.repartitionByRange("read_id").sortWithinPartitions("read_id").select(F.expr(r"concat('>', read_id, '\n', regexp_replace(seq, '(.{60})', '$1\n'))")).write.text(path)
+    return fragments.read_fragments(spark, path, 39, 500, compress=True)
+
+
 @query(f"WITH {sql_reads()} SELECT (row_number() OVER (ORDER BY read_id) - 1)::BIGINT AS read_id, seq FROM reads WHERE seq <> '' AND read_id % 3 <> 1")
 def file_sam(spark, d):
     """Every third record is secondary or supplementary and is left out."""
