@@ -469,9 +469,12 @@ _H = LONG // 2
 @query(
     f"{sql_counted(LONG)}, h AS (SELECT kmer, count::BIGINT AS count, kmer[1:{_H}] AS l, kmer[{_H + 1}:] AS r, kmer[{_H}] AS b FROM tab), "
     "s AS (SELECT *, length(l) - length(rtrim(l, b)) AS n FROM h), x AS (SELECT *, length(r) - length(ltrim(r, b)) - n + 1 AS y FROM s WHERE n <= 5), "
-    f"y AS (SELECT *, least(y, 3) AS c FROM x WHERE y >= 0), f AS (SELECT *, substring(r, (n + c)::BIGINT, ({LONG - _H - 2} - n)::BIGINT) AS flank FROM y), "
-    "t AS (SELECT *, row_number() OVER (PARTITION BY l, n, c, flank ORDER BY kmer) AS turn FROM f), "
-    "g AS (SELECT l, n, b, flank, turn, " + ", ".join(f"coalesce(sum(count) FILTER (WHERE c = {i}), 0) AS n{i}" for i in range(4)) + " FROM t GROUP BY ALL), "
+    f"y AS (SELECT *, least(y, 3) AS c FROM x WHERE y >= 0), f AS (SELECT *, substring(r, (n + c)::BIGINT, ({LONG - _H - 2} - n)::BIGINT) AS flank, substring(r, (c + {LONG - _H - 2})::BIGINT) AS more FROM y), "
+    "w AS (SELECT l, n, b, flank, c, count, nullif(more[1], '') AS a1, nullif(more[2], '') AS a2, nullif(more[3], '') AS a3 FROM f), "
+    "m AS (SELECT *, coalesce(a3 = min(a3) OVER (PARTITION BY l, n, flank, a1, a2), true) AS u3, coalesce(a2 = min(a2) OVER (PARTITION BY l, n, flank, a1), true) AS u2, "
+    "coalesce(a1 = min(a1) OVER (PARTITION BY l, n, flank), true) AS u1 FROM w), "
+    "t AS (SELECT l, n, b, flank, c, count, CASE WHEN u3 AND u2 AND u1 THEN '' WHEN u3 AND u2 THEN a1 WHEN u3 THEN a1 || a2 ELSE a1 || a2 || a3 END AS place FROM m), "
+    "g AS (SELECT l, n, b, flank, place, " + ", ".join(f"coalesce(sum(count) FILTER (WHERE c = {i}), 0) AS n{i}" for i in range(4)) + " FROM t GROUP BY ALL), "
     "e AS (SELECT *, n1 BETWEEN 2 AND 500 AND n0 <= 2 AND n2 <= 2 AS even FROM g), o AS (SELECT *, NOT even AND n2 BETWEEN 2 AND 500 AND n1 <= 2 AND n3 <= 2 AND 2 * n < 10 AS odd FROM e) "
     "SELECT CASE WHEN b IN ('a', 't') THEN 'at' ELSE 'cg' END AS base_class, (2 * n + CASE WHEN even THEN 0 ELSE 1 END)::INTEGER AS len, "
     "sum(CASE WHEN even THEN n0 ELSE n1 END)::BIGINT AS less, sum(CASE WHEN even THEN n1 ELSE n2 END)::BIGINT AS good, sum(CASE WHEN even THEN n2 ELSE n3 END)::BIGINT AS more FROM o WHERE even OR odd GROUP BY 1, 2"

@@ -183,7 +183,7 @@ def test_fit_range_is_widened(spark):
 
 
 def homopolymers_by_hand(counts, k, error, low, high):
-    """The rule of the module's text, word by word."""
+    """The rule of the module's text: sorted lists of flanks are merged word by word."""
     half, sites = k // 2, {}
     for w, n in sorted(counts.items()):
         left, right, base = w[:half], w[half:], w[half - 1]
@@ -191,11 +191,20 @@ def homopolymers_by_hand(counts, k, error, low, high):
         x = len(right) - len(right.lstrip(base)) - size + 1
         if size <= 5 and x >= 0:
             x = min(x, 3)
-            sites.setdefault((left, size, base, right[size + x - 1 : size + x - 1 + k - half - 2 - size]), {}).setdefault(x, []).append(n)
+            sites.setdefault((left, size, base), [[], [], [], []])[x].append((right[size + x - 1 :], n))
     out = Counter()
-    for (_, size, base, _), found in sites.items():
-        for turn in range(max(map(len, found.values()))):
-            n = [found[x][turn] if turn < len(found.get(x, ())) else 0 for x in range(4)]
+    for (_, size, base), lists in sites.items():
+        while any(lists):
+            taken = []
+            for x in range(4):
+                if not lists[x]:
+                    continue
+                flank, before = lists[x][0][0], lists[taken[0]][0][0][: k - half - size + 1 - x] if taken else ""
+                if not taken or flank < before:
+                    taken = [x]
+                elif flank == before:
+                    taken.append(x)
+            n = [lists[x].pop(0)[1] if x in taken else 0 for x in range(4)]
             kind = "at" if base in "at" else "cg"
             if low <= n[1] <= high and n[0] <= error and n[2] <= error:
                 chosen, length = n[0:3], 2 * size
@@ -208,6 +217,38 @@ def homopolymers_by_hand(counts, k, error, low, high):
     return out
 
 
+def homopolymers_found(spark, counts, k, *limits):
+    rows = homopolymers.errors(table(spark, counts), k, *limits).collect()
+    return {(g["base_class"], g["len"], c): g[c] for g in rows for c in ("less", "good", "more") if g[c]}
+
+
+@pytest.mark.parametrize("k", [30, 33, 64])
+def test_homopolymer_flanks_with_common_letters(spark, k):
+    """Flanks that differ only in their last letters, so that many words meet at one site."""
+    r = random.Random(k)
+    half, counts = k // 2, {}
+    for _ in range(40):
+        base, size = r.choice("acgt"), r.randint(1, 5)
+        other = "c" if base != "c" else "g"
+        left = other * (half - size) + base * size
+        left = "".join(r.choice("acgt") for _ in range(half - size - 1)) + left[half - size - 1 :]
+        flank = other + "".join(r.choice("acgt") for _ in range(k - half - size - 3))
+        for _ in range(r.randint(2, 14)):
+            x = r.randint(0, 3)
+            counts[(left + base * (size - 1 + x) + flank + "".join(r.choice("acg") for _ in range(3)))[:k]] = r.choice([1, 1, 2, 9, 40])
+    want = homopolymers_by_hand(counts, k, 2, 5, 100)
+    assert homopolymers_found(spark, counts, k, 2, 5, 100) == {key: v for key, v in want.items() if v} and len(want) > 10
+
+
+def test_homopolymer_words_that_only_share_the_shortest_flank(spark):
+    """The one word of class 0 and the one of class 1 agree but for the letters that class 3 lacks: they are not of one place."""
+    left, flank = "c" * 14 + "a", "g" * 12
+    counts = {left + flank + "aca": 2, left + "a" + flank + "cc": 40}
+    assert homopolymers_found(spark, counts, 30, 2, 5, 100) == {("at", 2, "good"): 40}
+    counts = {left + flank + "cca": 2, left + flank + "ccg": 1, left + "a" + flank + "cc": 40, left + "aa" + flank + "c": 1, left + "aa" + flank + "g": 30, left + "aaa" + flank: 2}
+    assert homopolymers_found(spark, counts, 30, 2, 5, 100) == {("at", 2, "less"): 2, ("at", 2, "good"): 40, ("at", 2, "more"): 1, ("at", 3, "good"): 30}
+
+
 @pytest.mark.parametrize("k", [30, 31, 64])
 def test_homopolymer_errors_by_hand(spark, k):
     r = random.Random(k)
