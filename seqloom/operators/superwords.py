@@ -6,7 +6,8 @@ word meet there, and a window costs a fraction of a byte times its letters inste
 before they are sent and weighed afterwards. A bucket counts its words for good: no shuffle of words follows.
 
 Minimizers that would fill a bucket alone (found on a sample of the sequences; whichever they are, results are the same) are split: their
-windows are sent singly, dealt by the word. Profiles send super-words with their place, look them up where all instances
+windows are sent singly, dealt by the word. Where words are to meet that differ in their centre alone, the minimizer is that of the flanks
+(:class:`Flanks`), which such words share. Profiles send super-words with their place, look them up where all instances
 or the table's words are, and give back fragments (sequence, first place, counts).
 """
 
@@ -54,15 +55,57 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return (x ^ x >> _TURN) * _MIX
 
 
+def least_within(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` values in a row."""
+    length = 1
+    while 2 * length <= width:
+        values = np.minimum(values[:-length], values[length:])
+        length *= 2
+    return np.minimum(values[: len(values) - (width - length)], values[width - length :])
+
+
 def window_minimizers(codes: np.ndarray, k: int) -> np.ndarray:
     """The least hash among the canonical subwords of every window; only those of windows without invalid letters mean something."""
     m = minimizer_length(k)
-    least = mixed(W.canonical_words(codes, m)[0])
-    window, length = k - m + 1, 1
-    while 2 * length <= window:
-        least = np.minimum(least[:-length], least[length:])
-        length *= 2
-    return np.minimum(least[: len(least) - (window - length)], least[window - length :])
+    return least_within(mixed(W.canonical_words(codes, m)[0]), k - m + 1)
+
+
+def hashed(words: np.ndarray) -> np.ndarray:
+    own = words.reshape(len(words), -1)
+    return mixed(sum(mixed(own[:, i]) * np.uint64(2 * i + 1) for i in range(own.shape[1])))
+
+
+class Whole:
+    """Words go by the minimizer of all their letters, those of split minimizers by the word."""
+
+    def __init__(self, k: int):
+        self.k = k
+
+    def minimizers(self, codes: np.ndarray) -> np.ndarray:
+        return window_minimizers(codes, self.k)
+
+    def single(self, words: np.ndarray) -> np.ndarray:
+        return hashed(words)
+
+
+class Flanks(Whole):
+    """The same without the centre, so words that differ in it alone go to one bucket.
+
+    Subwords of ``m`` letters lie wholly to one side of the centre; of an even number of letters the two middle ones are left out, so that both
+    strands have the same.
+    """
+
+    def __init__(self, k: int, m: int):
+        super().__init__(k)
+        self.m, self.flank = m, (k - 1) // 2
+
+    def minimizers(self, codes: np.ndarray) -> np.ndarray:
+        least = least_within(mixed(W.canonical_words(codes, self.m)[0]), self.flank - self.m + 1)
+        n, right = len(codes) - self.k + 1, self.k - self.flank
+        return np.minimum(least[:n], least[right : right + n])
+
+    def single(self, words: np.ndarray) -> np.ndarray:
+        return hashed(W.without_centre(words, self.k)[0])
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray, step: int = 1) -> np.ndarray:
@@ -137,7 +180,7 @@ def letters(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[np.ndar
             at += n
 
 
-def stretches(codes: np.ndarray, k: int, buckets: int, hot: np.ndarray, places: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def stretches(codes: np.ndarray, k: int, buckets: int, hot: np.ndarray, places: np.ndarray | None = None, rule: Whole | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first window, windows, bucket, valid) of the super-words of letter codes, and of what lies between.
 
     With the ``places`` of windows in their sequences, stretches end at multiples of PIECE.
@@ -147,7 +190,8 @@ def stretches(codes: np.ndarray, k: int, buckets: int, hot: np.ndarray, places:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, bool),)
     bad = np.concatenate(([0], np.cumsum(codes == 4)))
     valid = bad[k:] == bad[:-k]
-    least = window_minimizers(codes, k)
+    rule = rule or Whole(k)
+    least = rule.minimizers(codes)
     new = np.ones(n, bool)
     new[1:] = (valid[1:] != valid[:-1]) | valid[1:] & (least[1:] != least[:-1])
     if places is not None:
@@ -160,9 +204,7 @@ def stretches(codes: np.ndarray, k: int, buckets: int, hot: np.ndarray, places:
     dealt = least[starts]
     if single.any():
         own = single[starts]
-        found = W.canonical_words(codes[ragged(starts[own], np.full(own.sum(), k))], k)[0][::k]
-        found = found.reshape(len(found), -1)
-        dealt[own] = mixed(sum(mixed(found[:, i]) * np.uint64(2 * i + 1) for i in range(found.shape[1])))
+        dealt[own] = rule.single(W.canonical_words(codes[ragged(starts[own], np.full(own.sum(), k))], k)[0][::k])
     return starts, np.diff(np.append(starts, n)), (mixed(dealt) >> np.uint64(33)).astype(np.int64) % buckets, valid[starts]
 
 
@@ -216,7 +258,7 @@ class Outgoing:
             yield _blobs(bucket[first], side[first], coded.dictionary.take(pa.array(found // sides)), sums)
 
 
-def _sent(k: int, buckets: int, hot: np.ndarray, sides: dict[str, int] | None):
+def _sent(k: int, buckets: int, hot: np.ndarray, sides: dict[str, int] | None, rule: Whole | None = None):
     """Counted super-words of sequences; ``sides`` numbers the names in the column _group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +267,7 @@ def _sent(k: int, buckets: int, hot: np.ndarray, sides: dict[str, int] | None):
             for side in range(len(sides) if sides else 1):
                 own = batch if not sides else batch.filter(pc.equal(batch.column("_side"), side))
                 for codes, *_ in letters(iter([own]), k):
-                    starts, windows, bucket, valid = stretches(codes, k, buckets, hot)
+                    starts, windows, bucket, valid = stretches(codes, k, buckets, hot, rule=rule)
                     supers = packed_letters(codes, starts[valid], windows[valid] + k - 1)
                     if out.add(side, bucket[valid], supers):
                         yield from out.sent()
@@ -307,6 +349,28 @@ def _summed(k: int, sides: int, names: list[str]) -> Callable[[pa.Table], pa.Tab
     return run
 
 
+def _paired(k: int, low: int, high: int) -> Callable[[pa.Table], pa.Table]:
+    """The words of a bucket, counted in range, that differ in the centre alone: (kmer without centre, list of centre and count)."""
+    summed = _summed(k, 1, ["kmer", "n"])
+
+    def run(table: pa.Table) -> pa.Table:
+        found = summed(table).combine_chunks()
+        n = np.minimum(found.column("n").to_numpy(), MOST)
+        inside = np.flatnonzero((n >= low) & (n <= high))
+        words, centres = W.without_centre(W.word_numbers(found.column("kmer").combine_chunks(), k)[inside], k)
+        order, first = W.ranked(words)
+        sizes = np.diff(np.append(first, len(order)))
+        several = sizes > 1
+        members = order[ragged(first[several], sizes[several])]
+        pairs = pa.StructArray.from_arrays([pa.array(centres[members].astype(np.int32)), pa.array(n[inside][members].astype(np.int32))], names=["centre", "count"])
+        ends = np.concatenate(([0], np.cumsum(sizes[several]))).astype(np.int32)
+        made = pa.table({"kmer": W.word_array(words[order[first[several]]], k), "_g": pa.ListArray.from_arrays(pa.array(ends), pairs)})
+        released()
+        return made
+
+    return run
+
+
 def _answered(k: int, own: bool) -> Callable[[pa.Table], pa.Table]:
     """Fragments of profiles: the counts of the table's words, or of the ``own`` words of the sequences."""
 
@@ -349,14 +413,14 @@ def _answered(k: int, own: bool) -> Callable[[pa.Table], pa.Table]:
 # --- plans ---------------------------------------------------------------------------------------
 
 
-def plan(reads: DataFrame, k: int, sample: float = SAMPLE) -> tuple[int, np.ndarray]:
+def plan(reads: DataFrame, k: int, sample: float = SAMPLE, rule: Whole | None = None) -> tuple[int, np.ndarray]:
     """How many buckets, and which minimizers are split: those with more than half a bucket of windows in a sample of the sequences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for codes, *_ in letters(batches, k):
-            starts, windows, _, valid = stretches(codes, k, 1, np.zeros(0, np.uint64))
+            starts, windows, _, valid = stretches(codes, k, 1, np.zeros(0, np.uint64), rule=rule)
             if valid.any():
-                found, of = np.unique(window_minimizers(codes, k)[starts[valid]], return_inverse=True)
+                found, of = np.unique((rule or Whole(k)).minimizers(codes)[starts[valid]], return_inverse=True)
                 n = np.bincount(of, windows[valid]).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([*found.view(np.int64).tolist(), None], pa.int64()), pa.array([*n.tolist(), int(n.sum())], pa.int64())], names=["minimizer", "n"])
 
@@ -394,6 +458,24 @@ def aligned(reads: DataFrame, k: int, group: str, names: list[str], planned: tup
     return sent.groupBy("bucket").applyInArrow(_summed(k, len(names), ["kmer", *columns]), f"kmer {W.word_type(k)}, " + ", ".join(f"{c} long" for c in columns))
 
 
+def flank_rule(reads: DataFrame, k: int, sample: float = SAMPLE) -> Flanks:
+    """Subwords as short as they can be (they make long super-words) while there are some for every bucket; at least 5 letters, if the flanks have them."""
+    letters_in = reads.sample(sample, seed=1).agg(F.sum(F.length("seq"))).first()[0] or 0
+    buckets = max(letters_in / sample / FULL, 1)
+    m = next((m for m in range(5, 12) if 4**m > 16 * buckets), 12)
+    return Flanks(k, max(1, min(m, (k - 1) // 2 - 1)))
+
+
+def paired(reads: DataFrame, k: int, low: int, high: int, rule: Flanks | None = None, planned: tuple[int, np.ndarray] | None = None) -> DataFrame:
+    """(kmer, _g): words of sequences that are seen ``low`` to ``high`` times and differ in their centre alone, as one word without centre and a list of
+    (centre, count). Words are counted and grouped in the same bucket, so all takes one shuffle of super-words."""
+    W.check_k(k)
+    rule = rule or flank_rule(reads, k)
+    buckets, hot = planned or plan(reads, k, rule=rule)
+    sent = reads.select("seq").mapInArrow(_sent(k, buckets, hot, None, rule), SENT)
+    return sent.groupBy("bucket").applyInArrow(_paired(k, low, high), f"kmer {W.word_type(k)}, _g array<struct<centre: int, count: int>>")
+
+
 def probed(reads: DataFrame, k: int, table: DataFrame | None = None, key: str = "read_id", planned: tuple[int, np.ndarray] | None = None) -> DataFrame:
     """(key, first, counts): fragments of profiles, which cover every window once; counts of the table's words, or of the words of ``reads``."""
     W.check_k(k)

@@ -193,27 +193,51 @@ def venn_on(wide: DataFrame, tables: int, low: int = 1, high: int = 100) -> Data
 
 
 def haplotype_sites(table: DataFrame, k: int, low: int = 1, high: int = MOST) -> DataFrame:
-    """:func:`haplotypes` plus ``site``, the 0-based number of each group in the order of left and right parts.
+    """:func:`haplotypes` plus ``site``, the 0-based number of each group in the order of left and right parts."""
+    return _numbered_sites(_haplotypes(table, k, low, high), k)
 
-    Groups are numbered inside short prefixes and shifted by the groups of the prefixes before (at most 4^PLACED_BY rows). They are written
+
+def haplotypes(table: DataFrame, k: int, low: int = 1, high: int = MOST) -> DataFrame:
+    """(left, centre, right, count): words in range that differ from another one in the middle letter alone."""
+    return _sites(_haplotypes(table, k, low, high), k)
+
+
+def haplotype_sites_of(reads: DataFrame, k: int, low: int = 1, high: int = MOST) -> DataFrame:
+    """:func:`haplotype_sites` of the words of sequences, whose table is not made: words that differ in the middle meet where they are counted."""
+    return _numbered_sites(_haplotypes_of(reads, k, low, high), k)
+
+
+def haplotypes_of(reads: DataFrame, k: int, low: int = 1, high: int = MOST) -> DataFrame:
+    """:func:`haplotypes` in the same way."""
+    return _sites(_haplotypes_of(reads, k, low, high), k)
+
+
+def _numbered_sites(groups: DataFrame, k: int) -> DataFrame:
+    """Groups are numbered inside short prefixes and shifted by the groups of the prefixes before (at most 4^PLACED_BY rows). They are written
     once to the shared folder, few as they are, so the table is made once.
     """
-    found = written(_haplotypes(table, k, low, high))
+    found = written(groups)
     found = found.withColumn("left", F.substring("_letters", 1, k // 2)).withColumn("right", F.substring("_letters", k // 2 + 2, k)).withColumn("_prefix", F.substring("_letters", 1, PLACED_BY))
     counts = found.groupBy("_prefix").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
     shifts = F.broadcast(counts.select("_prefix", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift")))
     inside = F.row_number().over(Window.partitionBy("_prefix").orderBy("left", "right"))
     sites = found.withColumn("_inside", inside).join(shifts, "_prefix").select((F.col("_shift") + F.col("_inside") - 1).cast("long").alias("site"), "left", "right", F.explode("_g").alias("_x"))
-    return sites.select("site", "left", F.element_at(F.array(*map(F.lit, "ACGT")), F.col("_x.centre") + 1).alias("centre"), "right", F.col("_x.count").alias("count"))
+    return sites.select("site", "left", _centre().alias("centre"), "right", F.col("_x.count").alias("count"))
 
 
-def haplotypes(table: DataFrame, k: int, low: int = 1, high: int = MOST) -> DataFrame:
-    """(left, centre, right, count): words in range that differ from another one in the middle letter alone."""
+def _sites(groups: DataFrame, k: int) -> DataFrame:
     half = k // 2
-    found = _haplotypes(table, k, low, high).select("_letters", F.explode("_g").alias("_x"))
-    centre = F.element_at(F.array(*map(F.lit, "ACGT")), F.col("_x.centre") + 1)
-    return found.select(F.substring("_letters", 1, half).alias("left"), centre.alias("centre"), F.substring("_letters", half + 2, k).alias("right"), F.col("_x.count").alias("count"))
+    found = groups.select("_letters", F.explode("_g").alias("_x"))
+    return found.select(F.substring("_letters", 1, half).alias("left"), _centre().alias("centre"), F.substring("_letters", half + 2, k).alias("right"), F.col("_x.count").alias("count"))
+
+
+def _centre() -> Column:
+    return F.element_at(F.array(*map(F.lit, "ACGT")), F.col("_x.centre") + 1)
+
+
+def _haplotypes_of(reads: DataFrame, k: int, low: int, high: int) -> DataFrame:
+    return words.readable(superwords.paired(reads, k, low, high), k).withColumnRenamed("kmer", "_letters")
 
 
 def _haplotypes(table: DataFrame, k: int, low: int, high: int) -> DataFrame:
@@ -222,8 +246,7 @@ def _haplotypes(table: DataFrame, k: int, low: int, high: int) -> DataFrame:
     Packed words are grouped on their LONGs without the two bits of the centre; only what is found becomes letters.
     """
     own = words.keyed(table.where(F.col("count").between(low, high)), k)
-    limb, inside = divmod(k // 2, words.PACKED_UP_TO)
-    shift = 2 * (words.limbs(k)[limb] - 1 - inside)
+    limb, shift = words.centre_of(k)
     part = F.col("kmer") if k <= words.PACKED_UP_TO else F.col(f"kmer.w{limb}")
     centre, masked = F.shiftright(part, shift).bitwiseAND(3).cast("int"), part.bitwiseAND(F.lit(~(3 << shift)).cast("long"))
     kept = masked if k <= words.PACKED_UP_TO else F.struct(*(masked.alias(f"w{i}") if i == limb else F.col(f"kmer.w{i}").alias(f"w{i}") for i in range(len(words.limbs(k)))))

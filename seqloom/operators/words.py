@@ -38,6 +38,12 @@ def limbs(k: int) -> list[int]:
     return [min(PACKED_UP_TO, k - at) for at in range(0, k, PACKED_UP_TO)]
 
 
+def centre_of(k: int) -> tuple[int, int]:
+    """The LONG of a word that has its centre, letter k // 2, and by how many bits the centre stands to the left in it."""
+    limb, inside = divmod(k // 2, PACKED_UP_TO)
+    return limb, 2 * (limbs(k)[limb] - 1 - inside)
+
+
 def word_type(k: int) -> str:
     return "long" if k <= PACKED_UP_TO else f"struct<{', '.join(f'w{i}: long' for i in range(len(limbs(k))))}>"
 
@@ -79,6 +85,16 @@ def canonical_words(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return chosen[0] if len(sizes) == 1 else np.stack(chosen, axis=1), bad[k:] == bad[:-k]
 
 
+def without_centre(words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words with the bits of their centre cleared, and these bits."""
+    limb, shift = centre_of(k)
+    part = words if words.ndim == 1 else words[:, limb]
+    cleared = part & ~(np.int64(3) << shift)
+    if words.ndim > 1:
+        cleared = np.concatenate([words[:, :limb], cleared[:, None], words[:, limb + 1 :]], axis=1)
+    return cleared, part >> shift & 3
+
+
 def ranked(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order of words, and in it the place of the first of each distinct one."""
     order = np.argsort(words) if words.ndim == 1 else np.lexsort(words.T[::-1])

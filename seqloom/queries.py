@@ -451,7 +451,7 @@ def coverage_merged(spark, d):
     'SELECT l AS "left", upper(m) AS centre, r AS "right", count FROM s QUALIFY count(*) OVER (PARTITION BY l, r) > 1'
 )
 def haplotype_groups(spark, d):
-    return tables.haplotypes(packed_table(spark, d), K, 1, 200)
+    return tables.haplotypes_of(reads(spark, d), K, 1, 200)
 
 
 @query(
@@ -460,7 +460,7 @@ def haplotype_groups(spark, d):
     'SELECT (dense_rank() OVER (ORDER BY l, r) - 1)::BIGINT AS site, l AS "left", upper(m) AS centre, r AS "right", count FROM g WHERE n > 1'
 )
 def haplotype_sites(spark, d):
-    return tables.haplotype_sites(packed_table(spark, d), K, 1, 200)
+    return tables.haplotype_sites_of(reads(spark, d), K, 1, 200)
 
 
 _H = LONG // 2

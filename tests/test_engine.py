@@ -169,6 +169,47 @@ def test_haplotype_sites(spark):
     assert got == [(0, "aa", "C", "aa", 1), (0, "aa", "G", "aa", 2), (1, "gg", "A", "gg", 4), (1, "gg", "C", "gg", 5), (1, "gg", "T", "gg", 3)]
 
 
+def variants(r, k):
+    """Sequences whose words often differ from another one in a letter, on either strand, invalid letters and short sequences included."""
+    base = "".join(r.choices("acgt", k=300))
+    seqs = []
+    for _ in range(12):
+        s = list(base[r.randrange(100) :])
+        for i in range(r.randrange(k), len(s), k + 3):
+            s[i] = r.choice("acgtn")
+        s = "".join(s)
+        seqs.append(r.choice([s, s[::-1].translate(TURN), s.upper()]))
+    return [*seqs, "ac" * 60, "a" * 80, "", "acg", None]
+
+
+@pytest.mark.parametrize("k", [5, 8, 21, 22, 40, 41, 63, 70])
+def test_haplotypes_of_sequences_equal_those_of_their_table(spark, k):
+    r = random.Random(k)
+    df = reads(spark, variants(r, k))
+    found = counted([s for s in variants(random.Random(k), k) if s], k)
+    found = {w: n for w, n in found.items() if n <= 9}
+    groups = {}
+    for w in found:
+        groups.setdefault((w[: k // 2], w[k // 2 + 1 :]), []).append(w)
+    want = sorted((le, w[k // 2].upper(), ri, found[w]) for (le, ri), ws in groups.items() if len(ws) > 1 for w in ws)
+    got = sorted(tuple(x) for x in tables.haplotypes_of(df, k, 1, 9).collect())
+    assert got == want and len(want) > 3
+    # every minimizer split, few buckets; the sites as well
+    rule = superwords.flank_rule(df, k)
+    hot = superwords.plan(df, k, 1.0, rule)[1]
+    codes = words._CODE[np.frombuffer("".join(s for s in variants(random.Random(k), k) if s).encode(), np.uint8)]
+    hot = np.unique(np.concatenate([hot, rule.minimizers(codes)]))
+    split = superwords.paired(df, k, 1, 9, rule, (3, hot))
+    assert sum(len(x["_g"]) for x in split.collect()) == len(want)
+
+
+def test_sites_of_sequences(spark):
+    df = reads(spark, variants(random.Random(4), 21))
+    t = words.count_table(df, 21)
+    assert sorted(map(tuple, tables.haplotype_sites_of(df, 21, 1, 9).collect())) == sorted(map(tuple, tables.haplotype_sites(t, 21, 1, 9).collect()))
+    assert tables.haplotypes_of(df.limit(0), 21).count() == 0
+
+
 def test_tagged_buckets(spark):
     t = table(spark, {"accaa": 1, "acgaa": 2, "ggtgg": 3})
     assert [r["line"] for r in tables.tagged_buckets(t, 5, 2).orderBy("ord").collect()] == ["K 5 2 1 1", "S 6 caagaa\nC 2 1 2", "S 3 tgg\nC 1 3"]
