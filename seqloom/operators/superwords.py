@@ -27,6 +27,7 @@ from . import words as W
 
 HELD = 8 << 20  #: bytes of super-words that a task holds before it sends them
 CHUNK = 1 << 19  #: letters that are worked on at a time
+SENDING = 1 << 16  #: the same where what is made of them is gathered: as much as a processor's cache holds
 FULL = 2 << 20  #: windows of a bucket, about
 SAMPLE, MOST_HOT = 0.05, 10_000
 MOST_SIDES = 64
@@ -155,7 +156,7 @@ def words_in(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, k: int)
 # --- sending -------------------------------------------------------------------------------------
 
 
-def letters(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.RecordBatch]]:
+def letters(batches: Iterator[pa.RecordBatch], k: int, chunk: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.RecordBatch]]:
     """(codes, starts, lengths, rows, firsts, batch): runs of whole sequences, each followed by an invalid letter, or one slice of a long one."""
     for batch in batches:
         seq = pc.fill_null(batch.column("seq"), "")
@@ -164,16 +165,16 @@ def letters(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[np.ndar
         lengths = pc.binary_length(seq).to_numpy(zero_copy_only=False).astype(np.int64)
         at = 0
         while at < len(seq):
-            if lengths[at] > CHUNK:
+            if lengths[at] > chunk:
                 codes = W._CODE[np.frombuffer(seq[at].as_py().encode(), np.uint8)]
-                for first in range(0, len(codes) - k + 1, CHUNK):
-                    some = codes[first : first + CHUNK + k - 1]
+                for first in range(0, len(codes) - k + 1, chunk):
+                    some = codes[first : first + chunk + k - 1]
                     yield some, np.zeros(1, np.int64), np.array([len(some)]), np.array([at]), np.array([first]), batch
                 at += 1
                 continue
             ends = np.cumsum(lengths[at:] + 1)
-            over = int(np.searchsorted(ends, 2 * CHUNK, side="right"))
-            longer = np.flatnonzero(lengths[at : at + over] > CHUNK)
+            over = int(np.searchsorted(ends, 2 * chunk, side="right"))
+            longer = np.flatnonzero(lengths[at : at + over] > chunk)
             n = max(int(longer[0]) if len(longer) else over, 1)
             text = "\n".join([*seq.slice(at, n).to_pylist(), ""])
             yield W._CODE[np.frombuffer(text.encode(), np.uint8)], ends[:n] - lengths[at : at + n] - 1, lengths[at : at + n], np.arange(at, at + n), np.zeros(n, np.int64), batch
@@ -214,7 +215,7 @@ PLACED = SENT + ", keys array<long>, places binary"
 
 def _blobs(bucket: np.ndarray, side: np.ndarray, supers: pa.LargeBinaryArray, counts: np.ndarray, keys: pa.Array | None = None, places: np.ndarray | None = None) -> pa.RecordBatch:
     """One row for each bucket and side."""
-    order = np.lexsort((side, bucket))
+    order = np.argsort(bucket.astype(np.int64) * (int(side.max(initial=0)) + 1) + side, kind="stable")
     bucket, side, counts = bucket[order], side[order], counts[order].astype(np.uint32)
     supers = supers.take(pa.array(order))
     sizes = pc.binary_length(supers).to_numpy(zero_copy_only=False).astype(np.uint32)
@@ -250,12 +251,15 @@ class Outgoing:
         self.parts, self.bytes = [], 0
         coded = supers.dictionary_encode()
         sides = int(side.max(initial=0)) + 1
-        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * sides + side
-        found, first, of = np.unique(code, return_index=True, return_inverse=True)
-        sums = np.zeros(len(found), np.int64)
-        np.add.at(sums, of, counts)
-        if len(found):
-            yield _blobs(bucket[first], side[first], coded.dictionary.take(pa.array(found // sides)), sums)
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        dealt = np.zeros(len(coded.dictionary), np.int64)
+        dealt[code] = bucket  # equal super-words have one minimizer
+        for own in range(sides):
+            some = slice(None) if sides == 1 else side == own
+            sums = np.bincount(code[some], counts[some], len(dealt)).astype(np.int64)
+            found = np.flatnonzero(sums)
+            if len(found):
+                yield _blobs(dealt[found], np.full(len(found), own), coded.dictionary.take(pa.array(found)), sums[found])
 
 
 def _sent(k: int, buckets: int, hot: np.ndarray, sides: dict[str, int] | None, rule: Whole | None = None):
@@ -266,7 +270,7 @@ def _sent(k: int, buckets: int, hot: np.ndarray, sides: dict[str, int] | None, r
         for batch in batches:
             for side in range(len(sides) if sides else 1):
                 own = batch if not sides else batch.filter(pc.equal(batch.column("_side"), side))
-                for codes, *_ in letters(iter([own]), k):
+                for codes, *_ in letters(iter([own]), k, SENDING):
                     starts, windows, bucket, valid = stretches(codes, k, buckets, hot, rule=rule)
                     supers = packed_letters(codes, starts[valid], windows[valid] + k - 1)
                     if out.add(side, bucket[valid], supers):
@@ -324,13 +328,14 @@ def _received(table: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray, np
         yield side.as_py(), *unpacked_letters(np.frombuffer(data.as_buffer(), np.uint8), sizes), np.frombuffer(counts.as_buffer(), np.uint32).astype(np.int64)
 
 
-def _summed(k: int, sides: int, names: list[str]) -> Callable[[pa.Table], pa.Table]:
-    """The words of a bucket with one column of counts for each side."""
+def _summed(k: int, sides: int, names: list[str], turned: Callable[[np.ndarray], np.ndarray] = lambda words: words) -> Callable[[pa.Table], pa.Table]:
+    """The words of a bucket, in the form they are ``turned`` to and in its order, with one column of counts for each side."""
 
     def run(table: pa.Table) -> pa.Table:
         parts, held = [], 0
         for side, codes, starts, lengths, counts in _received(table):
             words, windows = words_in(codes, starts, lengths, k)
+            words = turned(words)
             parts.append((words, np.full(len(words), side, np.int8), np.repeat(counts, windows)))
             held += len(words)
             if held > 2 * FULL:
@@ -351,20 +356,21 @@ def _summed(k: int, sides: int, names: list[str]) -> Callable[[pa.Table], pa.Tab
 
 def _paired(k: int, low: int, high: int) -> Callable[[pa.Table], pa.Table]:
     """The words of a bucket, counted in range, that differ in the centre alone: (kmer without centre, list of centre and count)."""
-    summed = _summed(k, 1, ["kmer", "n"])
+    summed = _summed(k, 1, ["kmer", "n"], lambda words: W.centre_last(words, k))
 
     def run(table: pa.Table) -> pa.Table:
         found = summed(table).combine_chunks()
         n = np.minimum(found.column("n").to_numpy(), MOST)
         inside = np.flatnonzero((n >= low) & (n <= high))
-        words, centres = W.without_centre(W.word_numbers(found.column("kmer").combine_chunks(), k)[inside], k)
-        order, first = W.ranked(words)
-        sizes = np.diff(np.append(first, len(order)))
+        words, centres = W.centre_split(W.word_numbers(found.column("kmer").combine_chunks(), k)[inside], k)
+        same = words[1:] == words[:-1] if words.ndim == 1 else (words[1:] == words[:-1]).all(axis=1)
+        first = np.flatnonzero(np.concatenate(([True], ~same))) if len(words) else np.zeros(0, np.int64)
+        sizes = np.diff(np.append(first, len(words)))
         several = sizes > 1
-        members = order[ragged(first[several], sizes[several])]
+        members = ragged(first[several], sizes[several])
         pairs = pa.StructArray.from_arrays([pa.array(centres[members].astype(np.int32)), pa.array(n[inside][members].astype(np.int32))], names=["centre", "count"])
         ends = np.concatenate(([0], np.cumsum(sizes[several]))).astype(np.int32)
-        made = pa.table({"kmer": W.word_array(words[order[first[several]]], k), "_g": pa.ListArray.from_arrays(pa.array(ends), pairs)})
+        made = pa.table({"kmer": W.word_array(words[first[several]], k), "_g": pa.ListArray.from_arrays(pa.array(ends), pairs)})
         released()
         return made
 

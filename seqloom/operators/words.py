@@ -95,6 +95,28 @@ def without_centre(words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return cleared, part >> shift & 3
 
 
+def centre_last(words: np.ndarray, k: int) -> np.ndarray:
+    """Words with their centre moved behind all other letters, so that those which differ in it alone follow each other in order."""
+    limb, shift = centre_of(k)
+    turned = words.copy() if words.ndim > 1 else words[:, None].copy()
+    part, last = turned[:, limb].copy(), turned.shape[1] - 1
+    centre, below = part >> shift & 3, part & (np.int64(1) << shift) - 1
+    turned[:, limb] = (part >> (shift + 2)) << shift | below
+    turned[:, last] = turned[:, last] << 2 | centre  # 64 bits at most: the sign may change, which keeps such words together
+    return turned.reshape(words.shape)
+
+
+def centre_split(turned: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The reverse: words with the bits of their centre cleared, and these bits."""
+    limb, shift = centre_of(k)
+    words = turned.copy() if turned.ndim > 1 else turned[:, None].copy()
+    centre = words[:, -1] & 3
+    words[:, -1] = (words[:, -1].view(np.uint64) >> np.uint64(2)).view(np.int64)
+    part = words[:, limb].copy()
+    words[:, limb] = (part >> shift) << (shift + 2) | part & (np.int64(1) << shift) - 1
+    return words.reshape(turned.shape), centre
+
+
 def ranked(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order of words, and in it the place of the first of each distinct one."""
     order = np.argsort(words) if words.ndim == 1 else np.lexsort(words.T[::-1])

@@ -203,6 +203,18 @@ def test_haplotypes_of_sequences_equal_those_of_their_table(spark, k):
     assert sum(len(x["_g"]) for x in split.collect()) == len(want)
 
 
+@pytest.mark.parametrize("k", [5, 8, 30, 31, 32, 61, 62, 63, 93, 124, 128])
+def test_centre_moves_and_returns(k):
+    r = np.random.default_rng(k)
+    words_ = np.stack([r.integers(0, 1 << 2 * size, 300) for size in words.limbs(k)], axis=1)
+    words_ = words_[:, 0] if words_.shape[1] == 1 else words_
+    turned = words.centre_last(words_, k)
+    assert len(np.unique(turned, axis=0)) == len(np.unique(words_, axis=0))
+    assert words.centre_split(words.centre_last(words_[:0], k), k)[0].shape == words_[:0].shape
+    for got, want in zip(words.centre_split(turned, k), words.without_centre(words_, k), strict=True):
+        assert (got == want).all()
+
+
 def test_sites_of_sequences(spark):
     df = reads(spark, variants(random.Random(4), 21))
     t = words.count_table(df, 21)
