@@ -29,3 +29,9 @@ def test_against_sql(spark, name):
 
 def plain(row):
     return [list(x) if hasattr(x, "tolist") and not isinstance(x, str) and getattr(x, "ndim", 0) else x for x in row]
+
+
+def test_the_moved_table_is_whole(spark):
+    moved, counted = (entry.queries()[name](spark, SF) for name in ("stored_and_moved", "kmer_count"))
+    ours = sorted(map(tuple, moved.collect()))
+    assert ours == sorted((r["kmer"], r["count"], 0) for r in counted.collect()) and any(n == 1 for _, n, _ in ours)
