@@ -35,3 +35,13 @@ def test_the_moved_table_is_whole(spark):
     moved, counted = (entry.queries()[name](spark, SF) for name in ("stored_and_moved", "kmer_count"))
     ours = sorted(map(tuple, moved.collect()))
     assert ours == sorted((r["kmer"], r["count"], 0) for r in counted.collect()) and any(n == 1 for _, n, _ in ours)
+
+
+def test_profile_codec_gives_every_place_back(spark):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    ours = entry.queries()["profile_codec"](spark, SF).select("read_id", "pos", "count", "n_bytes", "same").toPandas()
+    theirs = con.sql(f"SELECT read_id, pos, count, n_bytes, same FROM ({entry.oracle_sql()['profile_codec']})").df()
+    assert sorted(map(tuple, ours.values.tolist())) == sorted(map(tuple, theirs.values.tolist()))
+    profile = entry.queries()["profile_absolute"](spark, SF).select("read_id", "pos", "count").toPandas()
+    assert sorted(map(tuple, ours[["read_id", "pos", "count"]].values.tolist())) == sorted(map(tuple, profile.values.tolist()))

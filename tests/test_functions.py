@@ -1,6 +1,9 @@
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from seqloom.functions import codec, ranges
 from seqloom.sources.artifacts import packed_word, unpacked_word
@@ -57,3 +60,12 @@ def test_read_ranges():
 
 def test_grouped_numbers():
     assert ranges.grouped_number(1234567) == "1,234,567"
+
+
+def test_bytes_of_pieces_join_to_those_of_the_whole_form(spark):
+    r = np.random.default_rng(6)
+    wholes = [np.repeat(r.integers(0, high, 40), r.choice([1, 2, 62, 63, 64, 130], 40)).tolist() for high in (1, 2, 40, 300, 32768) for _ in range(8)]
+    rows = [(i, codec.edges_all(pa.array([w[at : at + size] for at in range(0, len(w), size)], pa.list_(pa.int32()))).to_pylist()) for i, w in enumerate(wholes) for size in (1, 50, 64, 700)]
+    fields = ",".join(f"{n}:bigint" for n in codec.EDGES.names)
+    got = spark.createDataFrame(rows, f"i int, parts array<struct<{fields}>>").select("i", codec.joined_bytes(F.col("parts")).alias("n")).collect()
+    assert len(got) == 4 * len(wholes) and all(g["n"] == len(codec.encode(wholes[g["i"]])) for g in got)
