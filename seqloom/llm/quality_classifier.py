@@ -1,16 +1,17 @@
 """Quality classifier from weak labels.
 
 Overlapping heuristic labellers vote good, bad or nothing on each document, as built-in expressions over the
-rule metrics. Only the table of vote patterns (at most 3^labellers rows) leaves the cluster; on it,
-expectation-maximisation estimates the class balance and each labeller's accuracies, assuming votes are
-independent given the class. The posteriors of a bounded sample are the soft labels of a linear scorer
-over hashed word features, which then scores every document in one map pass; only texts go to Python and only scores
-come back. The cut of the scores is the one of least expected cost over the sample's vote posteriors. No table of labels is read.
+rule metrics. One pass over the texts writes every document's votes and hashed word features to the shared folder. Only the table of
+vote patterns (at most 3^labellers rows) leaves the cluster; on it, expectation-maximisation estimates the class balance and each
+labeller's accuracies, assuming votes are independent given the class. The posteriors of all documents are the soft labels of a linear
+scorer: limited-memory BFGS, whose losses and slopes are added up over all stored features by treeAggregate, one array a partition. The
+cut of the scores is the one of least expected cost over all documents' vote posteriors, from running sums inside ranges of scores. No table
+of labels is read, and nothing is estimated from a part of the rows.
 
-``sample`` bounds the scorer's training rows; the vote patterns cover all documents.
+Losses, slopes and costs are sums of whole multiples of 2^-30, so they do not depend on how rows are partitioned.
 
 Defined results: null, empty and blank texts score 0 and are rejected; if all documents vote alike, the
-scorer keeps what the posterior keeps; repeated rows score alike and train once; null keys are keys; an empty table gives an
+scorer keeps what the posterior keeps; repeated rows score alike and train once (each by its share); null keys are keys; an empty table gives an
 empty result; input columns named score or kept are replaced, others stay untouched.
 """
 
@@ -23,10 +24,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, byte_slices, column, others, text_or_empty
+from .common import SPACE_CLASS, byte_slices, column, others, persisted, text_or_empty
 from .quality_rules import measured
 
 DIMENSIONS = 1 << 14
@@ -34,6 +35,8 @@ REPEATED, COPIED, BIAS, STUTTER = 0, 1, 2, 3  # features outside the hashed rang
 RESERVED = 4
 SHARE = {"repeats": ("n_repeat_words / n_words", 0.05, 0.35), "symbols": ("n_symbols / n_words", 0.02, 0.15), "lines": ("n_dup_lines / greatest(n_lines, 1)", 0.01, 0.3), "shouts": ("n_shouts / n_words", 0.02, 0.2)}
 RUN = 2 << 20  #: text bytes of which words are held at a time
+UNIT = 1 << 30  #: sums are of whole parts of this size
+HELD = 1 << 18  #: feature values of which slopes are made at a time
 
 
 def labellers() -> dict[str, Column]:
@@ -47,10 +50,16 @@ def labellers() -> dict[str, Column]:
 
 
 def voted(docs: DataFrame, text: str = "_text") -> DataFrame:
-    """``docs`` with words, plus ``pattern``, the labellers' votes."""
+    """``docs`` plus ``_votes``, the labellers' votes as digits of base 3, the first one lowest; null without words."""
     shouts = F.size(F.regexp_extract_all(text_or_empty(text), F.lit(rf"!!(?={SPACE_CLASS}|$)"), F.lit(0)))
-    known = measured(docs.withColumn("n_shouts", shouts), text).where("n_words > 0")
-    return known.select(*docs.columns, F.array(*(v.cast("int") for v in labellers().values())).alias("pattern"))
+    known = measured(docs.withColumn("n_shouts", shouts), text)
+    known = known.withColumn("_wordless", F.col("n_words") == 0).withColumn("n_words", F.greatest("n_words", F.lit(1)))
+    digits = [(v.cast("int") + 1) * 3**i for i, v in enumerate(labellers().values())]
+    return known.select(*(column(c) for c in docs.columns), F.when(~F.col("_wordless"), sum(digits[1:], digits[0])).alias("_votes"))
+
+
+def pattern_of(votes: int) -> list[int]:
+    return [votes // 3**i % 3 - 1 for i in range(len(labellers()))]
 
 
 class LabelModel:
@@ -134,92 +143,207 @@ class LinearScorer:
     def __init__(self, weights: np.ndarray, cut: float = 0.5):
         self.weights, self.cut = weights, cut
 
-    @classmethod
-    def trained(cls, found: list[tuple[np.ndarray, np.ndarray]], targets: np.ndarray, rounds: int = 150, rate: float = 0.5, decay: float = 1e-4) -> LinearScorer:
-        n = len(found)
-        rows = np.repeat(np.arange(n, dtype=np.int32), [len(c) for c, _ in found])
-        columns, values = np.concatenate([c for c, _ in found]), np.concatenate([v for _, v in found])
-        weights, speed = np.zeros(DIMENSIONS), np.full(DIMENSIONS, 1e-8)
-        for _ in range(rounds):
-            chance = 1 / (1 + np.exp(-np.clip(np.bincount(rows, weights[columns] * values, n), -50, 50)))
-            slope = np.bincount(columns, (chance - targets)[rows] * values, DIMENSIONS) / n + decay * weights
-            speed += slope**2
-            weights -= rate * slope / np.sqrt(speed)
-        return cls(weights)
-
     def of(self, found: Iterable[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """Scores of feature vectors; those without words get 0."""
-        odds = np.array([self.weights[c] @ v if len(c) > RESERVED else -50.0 for c, v in found])
+        odds = np.array([self.weights[c] @ v if len(c) > RESERVED else -50.0 for c, v in found], float)
         return np.where(odds <= -50, 0.0, 1 / (1 + np.exp(-np.clip(odds, -50, 50))))
 
 
-def cheapest_cut(scores: np.ndarray, good: np.ndarray, lost_cost: float = 1.0) -> float:
-    """The cut of least expected cost: rows below it are lost, each with its chance of being good times ``lost_cost``, rows above kept, each
-    with its chance of being bad. Of several the one in the widest gap between scores; it lies above 0."""
-    order = np.argsort(scores, kind="stable")
-    below = np.concatenate(([0.0], np.cumsum(lost_cost * good[order])))
-    above = np.concatenate((np.cumsum((1 - good[order])[::-1])[::-1], [0.0]))
-    edges = np.concatenate(([0.0], scores[order], [1.0]))
-    cost, gap = below + above, np.diff(edges)
-    cost[gap <= 0] = np.inf
-    best = np.flatnonzero(cost <= cost.min() + 1e-9)
-    at = best[gap[best].argmax()]
-    return float((edges[at] + edges[at + 1]) / 2)
+FEATURES = "struct<columns:binary,weights:binary>"
+
+
+def _features(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    kind = pa.struct([("columns", pa.binary()), ("weights", pa.binary())])
+    for texts in arrays:
+        rows = []
+        for part in byte_slices(pa.RecordBatch.from_arrays([texts], names=["_text"]), "_text", RUN):
+            rows += [{"columns": c.astype(np.uint16).tobytes(), "weights": v.tobytes()} for c, v in vectors(part.column("_text"))]
+        yield pa.array(rows, kind)
+
+
+def _bytes_of(values: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a binary array and where each row's begin, and end."""
+    values = values.cast(pa.binary())
+    offsets = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1]
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(values.buffers()[2] or b"", kind, (offsets[-1] - offsets[0]) // size, offsets[0]), (offsets - offsets[0]) // size
+
 
+def _stored_vectors(features: pa.StructArray) -> list[tuple[np.ndarray, np.ndarray]]:
+    (columns, offsets), (values, _) = _bytes_of(features.field("columns"), np.uint16), _bytes_of(features.field("weights"), np.float32)
+    return [(columns[a:b], values[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
-def _vectors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in byte_slices(batch, "_text", RUN):
-            columns, values = zip(*vectors(part.column("_text")), strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("_order"), part.column("pattern"), pa.array(map(np.ndarray.tobytes, columns), pa.binary()), pa.array(map(np.ndarray.tobytes, values), pa.binary())], names=["_order", "pattern", "columns", "weights"]
-            )
 
+class Slopes:
+    """Loss and its slope over batches of stored rows: whole parts of UNIT, as Python tasks and the driver add them up."""
 
-def fitted(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int = 4000, lost_cost: float = 1.0) -> LinearScorer:
-    """The scorer of a corpus, with its cut.
+    def __init__(self, weights: np.ndarray, targets: np.ndarray, squares: bool = False):
+        self.weights, self.targets, self.squares = weights, targets, squares
 
-    ``sample`` distinct rows, chosen by a hash whatever their length, train it. Their feature vectors are made on the executors, so
-    the driver gets at most ``sample`` x DIMENSIONS numbers and no text.
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            columns, offsets = _bytes_of(batch.column("columns"), np.uint16)
+            values, _ = _bytes_of(batch.column("weights"), np.float32)
+            good, share = self.targets[batch.column("_votes").to_numpy()], 1 / batch.column("_times").to_numpy()
+            start = 0
+            while start < batch.num_rows:
+                stop = max(int(np.searchsorted(offsets, offsets[start] + HELD, side="right")) - 1, start + 1)
+                a, b = offsets[start], offsets[stop]
+                part = self.of(columns[a:b].astype(np.int64), values[a:b].astype(float), offsets[start : stop + 1] - a, good[start:stop], share[start:stop])
+                total = part if total is None else total + part
+                start = stop
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["data"])
+
+    def of(self, columns: np.ndarray, values: np.ndarray, offsets: np.ndarray, good: np.ndarray, share: np.ndarray) -> np.ndarray:
+        """Sums of rows, of losses, of slopes and (where wanted) of squares."""
+        odds = np.clip(np.add.reduceat(self.weights[columns] * values, offsets[:-1]), -50, 50)
+        losses = share * (np.logaddexp(0, odds) - good * odds)
+        sizes = np.diff(offsets)
+        slopes = np.rint(UNIT * values * np.repeat(share * (1 / (1 + np.exp(-odds)) - good), sizes))
+        sums = [[np.rint(UNIT * share).sum(), np.rint(UNIT * losses).sum()], np.bincount(columns, slopes, DIMENSIONS)]
+        if self.squares:
+            sums.append(np.bincount(columns, np.rint(UNIT * values**2 * np.repeat(share, sizes)), DIMENSIONS))
+        return np.concatenate(sums).astype(np.int64)
+
+
+def trained(rows: DataFrame, targets: np.ndarray, rounds: int = 25, decay: float = 1e-4, least: float = 1e-4) -> LinearScorer:
+    """Logistic regression on all ``rows`` by limited-memory BFGS, until a round betters the loss by less than its ``least`` part.
+
+    ``targets`` has the chance to be good of each value of ``_votes``. A round reads all stored features once, or more often where its step is
+    too long; the driver gets three arrays of DIMENSIONS numbers at most from each of a few tasks.
     """
-    nothing = LinearScorer(np.zeros(DIMENSIONS))
-    own = docs.select(column(text).alias("_text"), F.xxhash64(column(key), column(text)).alias("_order"))
-    patterns = voted(own).groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()
-    if not patterns:
-        return nothing
-    model = LabelModel(np.array([r["pattern"] for r in patterns]), np.array([r["n"] for r in patterns], float))
-    usable = own.where(F.octet_length("_text") > 0)
-    chosen = F.broadcast(usable.select("_order").orderBy("_order").limit(sample).distinct())  # at most ``sample`` rows
-    rows = voted(usable.join(chosen, "_order", "left_semi").dropDuplicates(["_order"]))
-    rows = rows.mapInArrow(_vectors_of, "_order long, pattern array<int>, columns binary, weights binary").collect()
-    if not rows:
-        return nothing
-    rows.sort(key=lambda r: r["_order"])
-    targets = model.posterior(np.array([r["pattern"] for r in rows]))
-    found = [(np.frombuffer(r["columns"], np.int32), np.frombuffer(r["weights"], np.float32)) for r in rows]
-    scorer = LinearScorer.trained(found, targets)
-    scorer.cut = cheapest_cut(scorer.of(found), targets, lost_cost)
+
+    def at(weights: np.ndarray, squares: bool = False) -> tuple[float, np.ndarray, np.ndarray]:
+        parts = rows.mapInArrow(Slopes(weights, targets, squares), "data binary").rdd
+        size = 2 + (1 + squares) * DIMENSIONS
+        add = lambda total, more: total + (np.frombuffer(more["data"], np.int64) if isinstance(more, tuple) else more)
+        total = parts.treeAggregate(np.zeros(size, np.int64), add, add, depth=2)
+        mean = total[1:] / total[0]
+        return mean[0] + decay / 2 * weights @ weights, mean[1 : 1 + DIMENSIONS] + decay * weights, mean[1 + DIMENSIONS :]
+
+    weights = np.zeros(DIMENSIONS)
+    loss, slope, squares = at(weights, squares=True)
+    inner = 1 / (squares / 4 + decay)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(rounds):
+        way, used = -slope, []
+        for s, y in reversed(past):
+            used.append(s @ way / (s @ y))
+            way = way - used[-1] * y
+        scale = past[-1][0] @ past[-1][1] / (past[-1][1] @ (inner * past[-1][1])) if past else 0.25
+        way = scale * inner * way
+        for (s, y), x in zip(past, reversed(used), strict=True):
+            way = way + (x - y @ way / (s @ y)) * s
+        fall, step = slope @ way, 1.0
+        while step > 1e-6:
+            new = weights + step * way
+            new_loss, new_slope, _ = at(new)
+            if new_loss <= loss + 1e-4 * step * fall:
+                break
+            step *= min(max(-fall * step / (2 * (new_loss - loss - step * fall)), 0.1), 0.5)
+        else:
+            break
+        if (new - weights) @ (new_slope - slope) > 0:
+            past = [*past[-9:], (new - weights, new_slope - slope)]
+        done = loss - new_loss < least * loss
+        weights, loss, slope = new, new_loss, new_slope
+        if done:
+            break
+    return LinearScorer(weights)
+
+
+def cheapest_cut(scored: DataFrame) -> float:
+    """The cut of least expected cost of rows (score, lost, wrong): rows below it are lost and cost ``lost``, rows above are kept and
+    cost ``wrong``, both whole numbers. Of several cuts the one in the widest gap between scores; it lies above 0."""
+    levels = scored.groupBy("score").agg(F.sum("lost").alias("lost"), F.sum("wrong").alias("wrong"))
+    levels = persisted(levels.repartitionByRange("score").withColumn("part", F.spark_partition_id()))
+    parts = levels.groupBy("part").agg(F.min("score").alias("least"), F.sum("lost").alias("lost"), F.sum("wrong").alias("wrong")).orderBy("least").collect()
+    if not parts:
+        return 0.5
+    cost = sum(p["wrong"] for p in parts)
+    best = [(cost, -parts[0]["least"], 0.0)] if parts[0]["least"] > 0 else []
+    starts = []
+    for p, after in zip(parts, [*(p["least"] for p in parts[1:]), 1.0], strict=True):
+        starts.append((p["part"], cost, after))
+        cost += p["lost"] - p["wrong"]
+    w = Window.partitionBy("part").orderBy("score")
+    edges = levels.join(F.broadcast(scored.sparkSession.createDataFrame(starts, "part int, cost long, after double")), "part")
+    edges = edges.select("score", (F.col("cost") + F.sum(F.col("lost") - F.col("wrong")).over(w)).alias("cost"), (F.coalesce(F.lead("score").over(w), "after") - F.col("score")).alias("gap"))
+    found = edges.where("gap > 0").agg(F.min(F.struct("cost", -F.col("gap"), "score"))).first()[0]
+    _, gap, edge = min([*best, *([tuple(found)] if found else [])])
+    return edge - gap / 2
+
+
+def prepared(docs: DataFrame, columns: list[str], text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``columns`` of ``docs`` plus ``_order``, ``_votes`` and ``_features`` of every row, written once."""
+    names = [f"_{i}" for i in range(len(columns))]
+    own = docs.select(*(column(c).alias(n) for c, n in zip(columns, names, strict=True)), column(text).alias("_text"), F.xxhash64(column(key), column(text)).alias("_order"))
+    made = F.arrow_udf(_features, FEATURES)
+    return persisted(voted(own).select(*names, "_order", "_votes", made("_text").alias("_features")))
+
+
+def fitted(stored: DataFrame, lost_cost: float = 1.0) -> LinearScorer:
+    """The scorer of all :func:`prepared` rows, with its cut. A row that occurs n times trains n times with an nth of its weight."""
+    usable = stored.where("_votes IS NOT NULL")
+    counted = usable.groupBy("_votes").agg(F.count(F.lit(1)).alias("n")).orderBy("_votes").collect()
+    if not counted:
+        return LinearScorer(np.zeros(DIMENSIONS))
+    patterns = np.array([pattern_of(r["_votes"]) for r in counted])
+    posterior = LabelModel(patterns, np.array([r["n"] for r in counted], float)).posterior(patterns)
+    targets = np.zeros(3 ** patterns.shape[1])
+    targets[[r["_votes"] for r in counted]] = posterior
+
+    rows = usable.select("_order", "_votes", "_features.columns", "_features.weights")
+    again = persisted(rows.groupBy("_order").agg(F.count(F.lit(1)).alias("_times")).where("_times > 1"))
+    if again.isEmpty():
+        rows = rows.withColumn("_times", F.lit(1).cast("long"))
+    else:
+        rows = persisted(rows.join(again, "_order", "left").withColumn("_times", F.coalesce("_times", F.lit(1).cast("long"))))
+    scorer = trained(rows.drop("_order"), targets)
+
+    def costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good, share = targets[batch.column("_votes").to_numpy()], 1 / batch.column("_times").to_numpy()
+            scores = scorer.of(_stored_vectors(pa.StructArray.from_arrays([batch.column("columns"), batch.column("weights")], ["columns", "weights"])))
+            lost, wrong = (np.rint(UNIT * share * x).astype(np.int64) for x in (lost_cost * good, 1 - good))
+            yield pa.RecordBatch.from_arrays([pa.array(scores), pa.array(lost), pa.array(wrong)], names=["score", "lost", "wrong"])
+
+    scorer.cut = cheapest_cut(rows.drop("_order").mapInArrow(costs, "score double, lost long, wrong long"))
     return scorer
 
 
-def classified(docs: DataFrame, text: str = "text", key: str = "doc_id", lost_cost: float = 1.0, sample: int = 4000) -> DataFrame:
-    """``docs`` plus ``score`` (chance of good quality) and ``kept``: whether keeping costs less, when to lose a good document costs
-    ``lost_cost`` times as much as to keep a bad one."""
-    scorer = fitted(docs, text, key, sample, lost_cost)
-    weights = scorer.weights.astype(np.float32)
+def classified(docs: DataFrame, text: str = "text", key: str = "doc_id", lost_cost: float = 1.0, columns: list[str] | None = None) -> DataFrame:
+    """``columns`` (all by default) of ``docs`` plus ``score`` (chance of good quality) and ``kept``: whether keeping costs less, when to lose a
+    good document costs ``lost_cost`` times as much as to keep a bad one.
+
+    Where ``columns`` are named they are written beside the features, and scores come from these; else texts are read anew, so that
+    no second copy of them is written.
+    """
+    names = others(docs, "score", "kept") if columns is None else columns
+    stored = prepared(docs, columns or [], text, key)
+    scorer = fitted(stored, lost_cost)
 
-    def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = LinearScorer(weights)
+    def of_texts(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in arrays:
             batch = pa.RecordBatch.from_arrays([texts], names=["_text"])
-            parts = [own.of(vectors(part.column("_text"))) for part in byte_slices(batch, "_text", RUN)]
+            parts = [scorer.of(vectors(part.column("_text"))) for part in byte_slices(batch, "_text", RUN)]
             yield pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 
-    score = F.arrow_udf(run, "double").asNondeterministic()  # so that no filter above repeats it
-    names = [column(c) for c in others(docs, "score", "kept")]
-    return docs.select(*names, score(column(text)).alias("score")).withColumn("kept", F.col("score") >= scorer.cut)
+    def of_features(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for features in arrays:
+            yield pa.array(scorer.of(_stored_vectors(features)), pa.float64())
+
+    # not deterministic in name, so that no filter above repeats it
+    if columns is None:
+        scored = docs.select(*(column(c) for c in names), F.arrow_udf(of_texts, "double").asNondeterministic()(column(text)).alias("score"))
+    else:
+        score = F.arrow_udf(of_features, "double").asNondeterministic()
+        scored = stored.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(names)), score("_features").alias("score"))
+    return scored.withColumn("kept", F.col("score") >= scorer.cut)
 
 
 def op7_quality_classifier(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return classified(docs).select("doc_id", "score", "kept")
+    return classified(docs, columns=["doc_id"])

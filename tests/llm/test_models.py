@@ -217,3 +217,44 @@ def test_masked_letters_of_listed_words_are_read():
     assert (evidence.scores(pa.array(read)) > 0.4).all()
     left = ["lose?", "t***h", "*****", "scum5", "5*6", "a*b", "tr*shy", "cl*ss", "idio?"]
     assert (evidence.scores(pa.array(left[:3] + left[4:])) == bare).all()
+
+
+def test_every_row_trains_the_quality_scorer(spark):
+    r = np.random.default_rng(9)
+    texts = [" ".join([*r.choice(["the", "of", "and", "cat", "dog", "!!", "#$%"], 6), f"w{i:05d}x"]) for i in range(4600)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, texts[0])] * 3, "doc_id long, text string")
+    one, two = (quality_classifier.fitted(quality_classifier.prepared(rows.repartition(n, "text"), [])) for n in (3, 8))
+    own = [4 + xxhash.xxh3_64_intdigest(f"ww{i:05d}x") % (quality_classifier.DIMENSIONS - 4) for i in range(4600)]
+    assert (one.weights[own] != 0).all()
+    assert np.array_equal(one.weights, two.weights) and one.cut == two.cut
+
+
+def test_slopes_equal_plain_loops():
+    r = np.random.default_rng(10)
+    texts = [" ".join(r.choice(["the", "The", "x-y", "12", "!!"], r.integers(1, 30))) for _ in range(40)]
+    weights, targets, votes, times = r.normal(size=quality_classifier.DIMENSIONS), r.random(9), r.integers(0, 9, 40), r.integers(1, 3, 40)
+    found = list(quality_classifier.vectors(pa.array(texts)))
+    data = [pa.array([x.astype(kind).tobytes() for x in column], pa.binary()) for column, kind in zip(zip(*found, strict=True), (np.uint16, np.float32), strict=True)]
+    batch = pa.RecordBatch.from_arrays([*data, pa.array(votes), pa.array(times)], names=["columns", "weights", "_votes", "_times"])
+    got = sum(np.frombuffer(b["data"][0].as_py(), np.int64) for b in quality_classifier.Slopes(weights, targets, True)([batch.slice(0, 7), batch.slice(7)])) / quality_classifier.UNIT
+    want = np.zeros(len(got))
+    for text, vote, n in zip(texts, votes, times, strict=True):
+        own = features_by_hand(text)
+        chance = 1 / (1 + math.exp(-sum(weights[c] * v for c, v in own.items())))
+        want[0] += 1 / n
+        want[1] -= (targets[vote] * math.log(chance) + (1 - targets[vote]) * math.log(1 - chance)) / n
+        for c, v in own.items():
+            want[2 + c] += (chance - targets[vote]) * v / n
+            want[2 + quality_classifier.DIMENSIONS + c] += v * v / n
+    assert np.abs(got - want).max() < 1e-5
+
+
+def test_cheapest_cut_equals_every_cut_tried(spark):
+    r = np.random.default_rng(11)
+    for size, levels in ((1, 1), (60, 12), (300, 1000)):
+        rows = [(float(x) / levels, int(a), int(b)) for x, a, b in zip(r.integers(0, levels + 1, size), r.integers(0, 9, size), r.integers(0, 9, size), strict=True)]
+        edges = sorted({0.0, 1.0, *(s for s, _, _ in rows)})
+        tried = [(sum(a for s, a, _ in rows if s < cut) + sum(b for s, _, b in rows if s >= cut), low - high, cut) for low, high in pairwise(edges) for cut in [(low + high) / 2]]
+        cut = quality_classifier.cheapest_cut(spark.createDataFrame(rows, "score double, lost long, wrong long").repartition(5))
+        least = min(tried)
+        assert any(abs(cut - c) < 1e-9 for cost, gap, c in tried if cost == least[0] and abs(gap - least[1]) < 1e-9)
