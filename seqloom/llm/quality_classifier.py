@@ -1,8 +1,8 @@
 """Quality classifier from weak labels.
 
 Overlapping heuristic labellers vote good, bad or nothing on each document, as built-in expressions over the
-rule metrics. One pass over the texts writes every document's votes and hashed word features to the shared folder. Only the table of
-vote patterns (at most 3^labellers rows) leaves the cluster; on it, expectation-maximisation estimates the class balance and each
+rule metrics. One pass over the texts, which splits each into words once for both, writes every document's votes and hashed word
+features to the shared folder. Only the table of vote patterns (at most 3^labellers rows) leaves the cluster; on it, expectation-maximisation estimates the class balance and each
 labeller's accuracies, assuming votes are independent given the class. The posteriors of all documents are the soft labels of a linear
 scorer: limited-memory BFGS, whose losses and slopes are added up over all stored features by treeAggregate, one array a partition. The
 cut of the scores is the one of least expected cost over all documents' vote posteriors, from running sums inside ranges of scores. No table
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, byte_slices, column, others, persisted, text_or_empty
-from .quality_rules import measured
+from .common import byte_slices, column, list_sums, others, persisted
+from .quality_rules import METRICS, STOP_WORDS
 
 DIMENSIONS = 1 << 14
 REPEATED, COPIED, BIAS, STUTTER = 0, 1, 2, 3  # features outside the hashed range
@@ -49,13 +50,11 @@ def labellers() -> dict[str, Column]:
     return votes
 
 
-def voted(docs: DataFrame, text: str = "_text") -> DataFrame:
-    """``docs`` plus ``_votes``, the labellers' votes as digits of base 3, the first one lowest; null without words."""
-    shouts = F.size(F.regexp_extract_all(text_or_empty(text), F.lit(rf"!!(?={SPACE_CLASS}|$)"), F.lit(0)))
-    known = measured(docs.withColumn("n_shouts", shouts), text)
-    known = known.withColumn("_wordless", F.col("n_words") == 0).withColumn("n_words", F.greatest("n_words", F.lit(1)))
+def voted(known: DataFrame) -> DataFrame:
+    """``known``, which has COUNTS, plus ``_votes``: the labellers' votes as digits of base 3, the first one lowest; null without words."""
+    safe = known.withColumn("_wordless", F.col("n_words") == 0).withColumn("n_words", F.greatest("n_words", F.lit(1)))
     digits = [(v.cast("int") + 1) * 3**i for i, v in enumerate(labellers().values())]
-    return known.select(*(column(c) for c in docs.columns), F.when(~F.col("_wordless"), sum(digits[1:], digits[0])).alias("_votes"))
+    return safe.withColumn("_votes", F.when(~F.col("_wordless"), sum(digits[1:], digits[0])))
 
 
 def pattern_of(votes: int) -> list[int]:
@@ -98,43 +97,146 @@ class LabelModel:
         return right / (right + wrong)
 
 
+class Words:
+    """Words of a batch of texts as numbers of a dictionary, text after text, and where each text's begin, and end."""
+
+    def __init__(self, texts: pa.Array):
+        self.texts = pc.fill_null(texts, "")
+        lists = pc.ascii_split_whitespace(self.texts)
+        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        flat = lists.flatten()
+        filled = pc.not_equal(flat, "")
+        self.offsets = np.concatenate(([0], np.cumsum(filled.to_numpy(zero_copy_only=False))))[offsets]
+        coded = flat.filter(filled).dictionary_encode()
+        self.dictionary, self.codes = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        self.sizes = np.diff(self.offsets)
+        self.rows = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.distinct = _distinct(self.rows, self.codes, len(self.sizes))
+
+    def summed(self, values: pa.Array | np.ndarray) -> np.ndarray:
+        """Sums over each text's words of what each word of the dictionary has."""
+        return list_sums(np.asarray(values).astype(np.int64)[self.codes], self.offsets)
+
+
+def _begins(values: np.ndarray) -> np.ndarray:
+    """Which of sorted values differ from the one before."""
+    return np.concatenate((np.ones(len(values[:1]), bool), values[1:] != values[:-1]))
+
+
+def _distinct(rows: np.ndarray, codes: np.ndarray, n: int) -> np.ndarray:
+    """How many different codes each of ``n`` rows has."""
+    span = int(codes.max(initial=0)) + 1
+    keys = np.sort(rows * span + codes)
+    return np.bincount(keys[_begins(keys)] // span, minlength=n)
+
+
+def _repeats(words: Words) -> np.ndarray:
+    """How many words of each text lie in a three-word window found at least twice in it."""
+    starts = np.flatnonzero(words.rows[2:] == words.rows[:-2])
+    keys, span = words.rows[starts], len(words.dictionary)
+    for i in range(3):
+        if (int(keys.max(initial=0)) + 1) * span >= 1 << 63:
+            keys = np.unique(keys, return_inverse=True)[1]
+        keys = keys * span + words.codes[starts + i]
+    order = np.argsort(keys)
+    again = np.flatnonzero(~_begins(keys[order]))
+    held = np.zeros(len(words.codes), bool)
+    for first in (starts[order[again]], starts[order[again - 1]]):
+        for i in range(3):
+            held[first + i] = True
+    return list_sums(held.astype(np.int64), words.offsets)
+
+
+#: What labellers read: the rule metrics, as :func:`quality_rules.measured` defines them, and words that end in two exclamation marks.
+COUNTS = (*METRICS, "n_shouts")
+SYMBOL, LOWER = (np.isin(np.arange(256), list(signs)) for signs in (b"#*$%&|<>", b"abcdefghijklmnopqrstuvwxyz"))
+
+
+def counted(words: Words) -> dict[str, np.ndarray]:
+    """COUNTS of each text."""
+    n = len(words.sizes)
+    split = pc.split_pattern(words.texts, "\n")
+    lines, rows = split.flatten(), pc.list_parent_indices(split).to_numpy().astype(np.int64)
+    filled = pc.not_equal(pc.ascii_trim_whitespace(lines), "")
+    rows = rows[filled.to_numpy(zero_copy_only=False)]
+    n_lines = np.bincount(rows, minlength=n)
+    data, ends = _bytes_of(words.dictionary, np.uint8)
+    shouts = words.summed(pc.ends_with(words.dictionary, "!!"))
+    for end in "\u0085\u2028\u2029":  # a line's end that is no white space of words
+        shouts = shouts + pc.ends_with(words.texts, "!!" + end).to_numpy(zero_copy_only=False)
+    return {
+        "n_words": words.sizes,
+        "word_chars": words.summed(pc.utf8_length(words.dictionary)),
+        "n_symbols": words.summed(list_sums(SYMBOL[data], ends)),
+        "n_dup_lines": n_lines - _distinct(rows, lines.filter(filled).dictionary_encode().indices.to_numpy().astype(np.int64), n),
+        "n_lines": n_lines,
+        "n_repeat_words": _repeats(words),
+        "n_stop_words": words.summed(pc.is_in(words.dictionary, pa.array(STOP_WORDS))),
+        "n_distinct_words": words.distinct,
+        "n_shouts": shouts,
+    }
+
+
 #: What makes the shape of a word: letter classes and digits, runs collapsed; signs stay.
 SHAPE = ((r"\p{N}+", "0"), (r"\p{Lu}+", "\x01"), (r"\p{L}+", "a"), ("\x01", "A"))
 
 
+def _shortened(words: pa.Array) -> pa.Array:
+    """``words`` with one letter a for each run of a-z."""
+    data, offsets = _bytes_of(words, np.uint8)
+    lower, begins = LOWER[data], np.zeros(len(data) + 1, bool)
+    begins[offsets] = True
+    left = ~lower
+    left[:1] = True
+    left[1:] |= ~lower[:-1]
+    left |= begins[:-1]
+    ends = np.concatenate(([0], np.cumsum(left)))[offsets]
+    return pa.StringArray.from_buffers(len(words), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.where(lower, ord("a"), data)[left].astype(np.uint8)))
+
+
 def word_features(words: pa.Array) -> np.ndarray:
     """Three hashed features of each word: its shape, its last two letters, its letters in lower case."""
-    shapes = words
+    # runs of a-z first: few forms are left for the classes of all letters, and their shapes stay the same
+    forms = _shortened(words).dictionary_encode()
+    shapes = forms.dictionary
     for pattern, sign in SHAPE:
         shapes = pc.replace_substring_regex(shapes, pattern, sign)
     lowered = pc.utf8_lower(words)
-    parts = {"s": shapes, "e": pc.utf8_slice_codeunits(lowered, -2), "w": pc.replace_substring_regex(lowered, r"[^\p{L}\p{N}_]+", "")}
-    out = np.empty((len(words), len(parts)), np.int32)
-    for i, (kind, part) in enumerate(parts.items()):
+    signed = pc.invert(pc.ascii_is_alnum(lowered))
+    letters = pc.replace_with_mask(lowered, signed, pc.replace_substring_regex(lowered.filter(signed), r"[^\p{L}\p{N}_]+", ""))
+    out = np.empty((len(words), 3), np.int64)
+    for i, (kind, part) in enumerate({"s": shapes, "e": pc.utf8_slice_codeunits(lowered, -2), "w": letters}.items()):
         coded = part.dictionary_encode()
-        hashed = np.fromiter((xxhash.xxh3_64_intdigest(kind + x) % (DIMENSIONS - RESERVED) for x in coded.dictionary.to_pylist()), np.int32, len(coded.dictionary))
-        out[:, i] = RESERVED + hashed[coded.indices.to_numpy()]
+        named = pc.binary_join_element_wise(kind, coded.dictionary, "").cast(pa.binary()).to_numpy(zero_copy_only=False)
+        hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, named), np.uint64, len(named)) % (DIMENSIONS - RESERVED)
+        found = hashed.astype(np.int64)[coded.indices.to_numpy()]
+        out[:, i] = RESERVED + (found[forms.indices.to_numpy()] if kind == "s" else found)
     return out
 
 
+def sparse(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features and values of all texts, and where each text's begin, and end: square roots of shares, so that frequent words do not drown
+    the others."""
+    n, sizes = len(words.sizes), np.maximum(words.sizes, 1)
+    keys = np.sort((words.rows[:, None] * DIMENSIONS + word_features(words.dictionary)[words.codes]).ravel())
+    at = np.flatnonzero(_begins(keys))
+    times, (rows, found) = np.diff(at, append=len(keys)), np.divmod(keys[at], DIMENSIONS)
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=n) + RESERVED)))
+    columns, values = np.empty(offsets[-1], np.int32), np.empty(offsets[-1])
+    places = np.arange(len(at)) + RESERVED * (rows + 1)
+    columns[places], values[places] = found, times / sizes[rows]
+    same = (words.codes[1:] == words.codes[:-1]) & (words.rows[1:] == words.rows[:-1])
+    repeated = np.bincount(words.rows[1:][same], minlength=n) / sizes
+    for feature, value in ((REPEATED, repeated), (COPIED, (words.sizes - words.distinct) / sizes), (BIAS, 1.0), (STUTTER, repeated >= 0.15)):
+        columns[offsets[:-1] + feature], values[offsets[:-1] + feature] = feature, value
+    return columns, np.sqrt(values).astype(np.float32), offsets
+
+
 def vectors(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Features and values of each text: square roots of shares, so that frequent words do not drown the others."""
-    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-    offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-    flat = lists.flatten()
-    filled = pc.not_equal(flat, "")
-    offsets = np.concatenate(([0], np.cumsum(filled.to_numpy(zero_copy_only=False))))[offsets].tolist()
-    coded = flat.filter(filled).dictionary_encode()
-    features, codes = word_features(coded.dictionary), coded.indices.to_numpy()
-    for start, stop in zip(offsets[:-1], offsets[1:], strict=True):
-        own = codes[start:stop]
-        found, times = np.unique(own, return_counts=True)
-        columns, at = np.unique(features[found].ravel(), return_inverse=True)
-        size = max(stop - start, 1)
-        values = np.bincount(at, np.repeat(times, features.shape[1]), len(columns)) / size
-        repeated = np.count_nonzero(own[1:] == own[:-1]) / size
-        more = [repeated, (stop - start - len(found)) / size, 1.0, float(repeated >= 0.15)]
-        yield np.concatenate([(REPEATED, COPIED, BIAS, STUTTER), columns]).astype(np.int32), np.sqrt(np.concatenate([more, values])).astype(np.float32)
+    """Features and values of each text."""
+    columns, values, offsets = sparse(Words(texts))
+    for a, b in pairwise(offsets.tolist()):
+        yield columns[a:b], values[a:b]
 
 
 class LinearScorer:
@@ -149,16 +251,24 @@ class LinearScorer:
         return np.where(odds <= -50, 0.0, 1 / (1 + np.exp(-np.clip(odds, -50, 50))))
 
 
-FEATURES = "struct<columns:binary,weights:binary>"
+STUDIED = "struct<columns:binary,weights:binary," + ",".join(f"{name}:long" for name in COUNTS) + ">"
 
 
-def _features(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    kind = pa.struct([("columns", pa.binary()), ("weights", pa.binary())])
+def _studied(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Features and COUNTS of each text."""
     for texts in arrays:
-        rows = []
+        parts: list[list[pa.Array]] = [[pa.array([], pa.binary())] * 2 + [pa.array([], pa.int64())] * len(COUNTS)]
         for part in byte_slices(pa.RecordBatch.from_arrays([texts], names=["_text"]), "_text", RUN):
-            rows += [{"columns": c.astype(np.uint16).tobytes(), "weights": v.tobytes()} for c, v in vectors(part.column("_text"))]
-        yield pa.array(rows, kind)
+            words = Words(part.column("_text"))
+            columns, values, offsets = sparse(words)
+            found = counted(words)
+            parts.append([_as_bytes(columns.astype(np.uint16), offsets), _as_bytes(values, offsets), *(pa.array(found[name], pa.int64()) for name in COUNTS)])
+        yield pa.StructArray.from_arrays([pa.concat_arrays(x) for x in zip(*parts, strict=True)], ["columns", "weights", *COUNTS])
+
+
+def _as_bytes(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """A binary array of each row's numbers."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
 
 
 def _bytes_of(values: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
@@ -280,8 +390,10 @@ def prepared(docs: DataFrame, columns: list[str], text: str = "text", key: str =
     """``columns`` of ``docs`` plus ``_order``, ``_votes`` and ``_features`` of every row, written once."""
     names = [f"_{i}" for i in range(len(columns))]
     own = docs.select(*(column(c).alias(n) for c, n in zip(columns, names, strict=True)), column(text).alias("_text"), F.xxhash64(column(key), column(text)).alias("_order"))
-    made = F.arrow_udf(_features, FEATURES)
-    return persisted(voted(own).select(*names, "_order", "_votes", made("_text").alias("_features")))
+    # not deterministic in name, so that the many uses of its counts do not repeat it
+    made = own.select(*names, "_order", F.arrow_udf(_studied, STUDIED).asNondeterministic()("_text").alias("_made"))
+    known = made.select(*names, "_order", F.struct("_made.columns", "_made.weights").alias("_features"), *(f"_made.{name}" for name in COUNTS))
+    return persisted(voted(known).select(*names, "_order", "_votes", "_features"))
 
 
 def fitted(stored: DataFrame, lost_cost: float = 1.0) -> LinearScorer:

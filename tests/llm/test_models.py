@@ -10,7 +10,7 @@ import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import functions as F
 
-from seqloom.llm import channel, quality_classifier, toxicity
+from seqloom.llm import channel, quality_classifier, quality_rules, toxicity
 
 
 def tables(spark, sf):
@@ -258,3 +258,49 @@ def test_cheapest_cut_equals_every_cut_tried(spark):
         cut = quality_classifier.cheapest_cut(spark.createDataFrame(rows, "score double, lost long, wrong long").repartition(5))
         least = min(tried)
         assert any(abs(cut - c) < 1e-9 for cost, gap, c in tried if cost == least[0] and abs(gap - least[1]) < 1e-9)
+
+
+def test_quality_pass_splits_texts_once(spark, monkeypatch):
+    monkeypatch.setattr(quality_classifier, "persisted", lambda df: df)
+    rows = spark.createDataFrame([(1, "the cat and the dog"), (2, None)], "doc_id long, text string")
+    made = quality_classifier.prepared(rows, ["doc_id"])
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 1 and plan.split("ArrowEvalPython [")[1].split("]")[0].count("_studied(") == 1
+    assert not any(name in plan for name in ("split(", "regexp_extract_all(", "sort_array("))
+    assert [r["_votes"] is None for r in made.orderBy("_0").collect()] == [False, True]
+
+
+def counts_texts():
+    r = np.random.default_rng(12)
+    parts = ["the", "der", "cat", "D\u00e9j\u00e0", "!!", "a!!", "b!!!", "#$", "x|<y>", "12", "\u00a0", "\u2028"]
+    texts = ["".join(w + r.choice([" ", "  ", "\n", "\t\x0b", "\n \n"]) for w in r.choice(parts, r.integers(1, 60))) for _ in range(150)]
+    odd = [None, "", " \n", "\n\n", "a!!\u0085", "a!!\u2028", "a!!\u2029\n", "a!!\n", "a!! ", "a\r\na\r\n", "a\na\n \n \na", "a a a a a", "a b c a b", "a b c a b c", "\x0ba\x0cb\x0d"]
+    return [*odd, *texts, *odd]
+
+
+def test_quality_counts_equal_rule_metrics(spark):
+    texts = counts_texts()
+    got = quality_classifier.counted(quality_classifier.Words(pa.array(texts, pa.string())))
+    shouts = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"!!(?=[\x20\x09-\x0D]|$)"), F.lit(0)))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("n_shouts", shouts)
+    want = quality_rules.measured(rows).orderBy("doc_id").collect()
+    for name in quality_classifier.COUNTS:
+        assert got[name].tolist() == [w[name] for w in want], name
+    for few in ([], [None], [" ", ""]):
+        words = quality_classifier.Words(pa.array(few, pa.string()))
+        assert all(x.tolist() == [0] * len(few) for x in quality_classifier.counted(words).values())
+        assert quality_classifier.sparse(words)[0].tolist() == [0, 1, 2, 3] * len(few)
+
+
+def test_repeats_among_very_many_words():
+    words = quality_classifier.Words(pa.array(counts_texts(), pa.string()))
+    want = quality_classifier.counted(words)["n_repeat_words"].tolist()
+    words.dictionary = pa.nulls(1 << 30)  # so that numbers of windows exceed 63 bits
+    assert quality_classifier._repeats(words).tolist() == want and max(want) > 3
+
+
+def test_shortened_words_keep_their_shapes():
+    words = ["abc", "", "aBcDEf", "\u00e9ab\u00e9", "", "ab1cd", "z", "a", "x-yz", "\u00dfab", "ab", "cd"]
+    got = quality_classifier._shortened(pa.array(words))
+    assert got.to_pylist() == [re.sub("[a-z]+", "a", w) for w in words]
+    assert len(quality_classifier._shortened(pa.array([], pa.string()))) == 0
