@@ -50,6 +50,10 @@ class Histogram:
         words = self.bins.agg(_total("n", F.col("freq") == self.low).alias("i_low"), _total("n", F.col("freq") == self.high).alias("i_high"))
         return replace(self, bins=bins, ends=words, instances=True)
 
+    def at_bins(self) -> DataFrame:
+        """freq, n: each bin's words times its frequency. Unlike in :meth:`as_instances`, words beyond the ends count as the end they are folded into."""
+        return self.as_words().bins.select("freq", (F.col("freq").cast("long") * F.col("n")).alias("n"))
+
     def as_words(self) -> Histogram:
         if not self.instances:
             return self
