@@ -27,3 +27,7 @@ def same_as_sql(spark, folder, name):
 
 def test_instances_of_the_last_bin(spark, repeats):
     assert (MOST, MOST) in same_as_sql(spark, repeats, "histogram_instances")
+
+
+def test_counts_of_long_words_are_not_clipped(spark, repeats):
+    assert max(n for _, n in same_as_sql(spark, repeats, "kmer_count_long_words")) > MOST
