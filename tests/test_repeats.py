@@ -31,3 +31,7 @@ def test_instances_of_the_last_bin(spark, repeats):
 
 def test_counts_of_long_words_are_not_clipped(spark, repeats):
     assert max(n for _, n in same_as_sql(spark, repeats, "kmer_count_long_words")) > MOST
+
+
+def test_counts_of_words_of_101_are_not_clipped(spark, repeats):
+    assert max(n for _, n in same_as_sql(spark, repeats, "kmer_count_words_of_101")) > MOST
