@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+import __spark_entry__ as entry
 from seqloom.functions.planes import numbers, planed, planed_steps, summed_steps
 from seqloom.operators import tables, words
 from seqloom.sources import artifacts
@@ -62,3 +63,23 @@ def test_stored_order_of_files(spark, reads, tmp_path):
     once_more = order + rows_of(spark.read.parquet(names[0]))
     again = sorted(b for a, b in zip(once_more, once_more[1:], strict=False) if a[0] >= b[0])
     assert sorted(rows_of(tables.disordered_files(spark, names + names[:1]))) == again
+
+
+@pytest.fixture(scope="module")
+def counted(spark, sf):
+    return sorted(rows_of(entry.queries()["kmer_count"](spark, sf)))
+
+
+#: Queries that need words in order, and what they make of the sorted table.
+IN_ORDER = {
+    "table_ranges": lambda t: [(*r, True) for r in t],
+}
+
+
+@pytest.mark.parametrize("name", IN_ORDER)
+def test_in_order_without_making_the_table_twice(spark, sf, counted, name, monkeypatch):
+    def twice(*_):
+        raise AssertionError("Spark makes a table twice to sort it by ranges")
+
+    monkeypatch.setattr(type(spark.range(0)), "repartitionByRange", twice)
+    assert sorted(rows_of(entry.queries()[name](spark, sf))) == IN_ORDER[name](counted)
