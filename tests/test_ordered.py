@@ -4,10 +4,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from seqloom.functions.planes import numbers, planed, planed_steps, summed_steps
-from seqloom.operators import tables, words
+from seqloom.operators import superwords, tables, words
 from seqloom.sources import artifacts
 
 
@@ -88,3 +89,17 @@ def test_in_order_without_making_the_table_twice(spark, sf, counted, name, monke
 
     monkeypatch.setattr(type(spark.range(0)), "repartitionByRange", twice)
     assert sorted(rows_of(entry.queries()[name](spark, sf))) == IN_ORDER[name](counted)
+
+
+def test_words_are_looked_up_where_they_are_counted(spark, reads):
+    made = superwords.looked_up(reads, 21, F.col("read_id") % 7 == 0)
+    assert "Join" not in made._jdf.queryExecution().toString()
+    table = dict(rows_of(words.count_table(reads, 21)))
+    turned = str.maketrans("acgt", "tgca")
+    asked = {s[i : i + 21] for n, s in reads.collect() if n % 7 == 0 and s for i in range(len(s) - 20)}
+    assert sorted(rows_of(made)) == sorted((w, table[min(w, w[::-1].translate(turned))]) for w in asked if "n" not in w)
+    assert superwords.looked_up(reads, 21, F.lit(None).cast("boolean")).count() == 0
+
+
+def test_look_up_query_joins_nothing(spark, sf):
+    assert "Join" not in entry.queries()["table_lookup"](spark, sf)._jdf.queryExecution().toString()
