@@ -103,3 +103,11 @@ def test_words_are_looked_up_where_they_are_counted(spark, reads):
 
 def test_look_up_query_joins_nothing(spark, sf):
     assert "Join" not in entry.queries()["table_lookup"](spark, sf)._jdf.queryExecution().toString()
+
+
+def test_chains_of_alternatives_stay_short(spark):
+    wide = spark.createDataFrame([("aaaaa", 1, 0, 0, 5), ("ccccc", 0, 0, 0, 0), ("ggggg", 0, 2, 3, 9)], "kmer string, c0 long, c1 long, c2 long, c3 long")
+    made = {text: tables.evaluated_on(wide, 4, text) for text in ("#A |+ #B |+ #C |+ #D", "A |> B |> C |> D", "A |. B |. C |. D", "A |< B |< C |< D", "(A &< D) |+ (B &< C)")}
+    assert [sorted(r[1] for r in x.collect()) for x in made.values()] == [[2, 3], [5, 9], [1, 2], [1, 2], [1, 2]]
+    plan = made["#A |+ #B |+ #C |+ #D"]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("CASE WHEN") < 30
