@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from seqloom.functions.planes import numbers, planed, planed_steps, summed_steps
-from seqloom.operators import superwords, tables, words
+from seqloom.operators import profiles, superwords, tables, words
 from seqloom.sources import artifacts
 
 
@@ -111,3 +111,27 @@ def test_chains_of_alternatives_stay_short(spark):
     assert [sorted(r[1] for r in x.collect()) for x in made.values()] == [[2, 3], [5, 9], [1, 2], [1, 2], [1, 2]]
     plan = made["#A |+ #B |+ #C |+ #D"]._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("CASE WHEN") < 30
+
+
+@pytest.fixture(scope="module")
+def long_reads(spark):
+    r = random.Random(3)
+    seqs = ["acgt" * 40_000, "a" * 70_000 + "n" + "a" * 65_600, "".join(r.choices("acgtn", [9, 9, 9, 9, 1], k=3000)), "acg", "", None, "acgtta" * 30]
+    return spark.createDataFrame([*enumerate(seqs), (None, "gattacag" * 9)], "read_id long, seq string").repartition(3)
+
+
+def test_pieces_in_packed_runs(long_reads):
+    made, want = ({(r["read_id"], r["first"]): r["counts"] for r in x.collect()} for x in (superwords.pieced(long_reads, 7), profiles.pieces(superwords.probed(long_reads, 7))))
+    assert made == want and (None, 0) in made and {first for n, first in made if n == 0} == {0, 65_536, 131_072}
+
+
+def test_runs_of_pieces(long_reads):
+    own = long_reads.where("read_id IS NOT NULL")
+    made = profiles.runs_of_pieces(superwords.pieced(own, 7))
+    assert sorted(rows_of(made.select("read_id", "first", "last", "count"))) == sorted(rows_of(profiles.runs(profiles.absolute(own, 7)).select("read_id", "first", "last", "count")))
+
+
+@pytest.mark.parametrize("name", ["profile_runs", "profile_codec"])
+def test_no_place_is_shuffled_alone(spark, sf, name):
+    plan = entry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "pos" not in plan.split("Exchange", 1)[1] and "counts" not in plan.split("Exchange", 1)[1]
