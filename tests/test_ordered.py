@@ -135,3 +135,11 @@ def test_runs_of_pieces(long_reads):
 def test_no_place_is_shuffled_alone(spark, sf, name):
     plan = entry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "pos" not in plan.split("Exchange", 1)[1] and "counts" not in plan.split("Exchange", 1)[1]
+
+
+def test_tagged_buckets_in_order(spark, reads):
+    lines, first = tables.tagged_buckets_of(reads, 21, 3)
+    assert "rangepartitioning" not in lines._jdf.queryExecution().toString()
+    got = [r["line"] for r in lines.collect()]
+    want = [r["line"] for r in tables.tagged_buckets(words.count_table(reads, 21), 21, 3).orderBy("ord").collect()]
+    assert first() + got == want
