@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from seqloom.functions.planes import numbers, planed, planed_steps, summed_steps
-from seqloom.operators import profiles, superwords, tables, words
+from seqloom.operators import homopolymers, profiles, superwords, tables, words
 from seqloom.sources import artifacts
 
 
@@ -143,3 +143,21 @@ def test_tagged_buckets_in_order(spark, reads):
     got = [r["line"] for r in lines.collect()]
     want = [r["line"] for r in tables.tagged_buckets(words.count_table(reads, 21), 21, 3).orderBy("ord").collect()]
     assert first() + got == want
+
+
+@pytest.mark.parametrize("k", [30, 31])
+def test_homopolymer_errors_of_sequences(spark, k):
+    r = random.Random(k)
+    seqs = []
+    for _ in range(60):
+        left, flank, base = "".join(r.choices("acgt", k=20)), "".join(r.choices("acgt", k=20)), r.choice("acgt")
+        for _ in range(r.randint(2, 9)):
+            end = list(flank)
+            end[r.randrange(9, 15)] = r.choice("acgt")
+            seqs += [left + base * r.randint(1, 9) + "".join(end)] * r.choice([1, 1, 3, 8])
+    own = spark.createDataFrame(list(enumerate(seqs)), "read_id long, seq string")
+    made = homopolymers.errors_of(own, k, 2, 2, 500)
+    assert "Window" not in made._jdf.queryExecution().toString()  # which would shuffle and sort words as rows
+    want = rows_of(homopolymers.errors(words.count_table(own, k), k, 2, 2, 500))
+    assert sorted(rows_of(made)) == sorted(want) and len(want) > 9
+    assert homopolymers.errors_of(own.limit(0), k, 2, 2, 500).count() == 0
